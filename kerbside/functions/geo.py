@@ -213,7 +213,7 @@ def eta_seconds(distance_m) -> Column:
 # --- polygons ----------------------------------------------------------------------------------
 
 
-def _previous_vertices(ring) -> Column:
+def previous_vertices(ring) -> Column:
     return F.concat(F.slice(ring, -1, 1), F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))))
 
 
@@ -224,7 +224,7 @@ def point_in_ring(lon, lat, ring) -> Column:
     """
     crossings = F.zip_with(
         ring,
-        _previous_vertices(ring),
+        previous_vertices(ring),
         lambda a, b: ((a[1] > lat) != (b[1] > lat))
         & (lon < (b[0] - a[0]) * (lat - a[1]) / ((b[1] - a[1]) + S.GEOMETRY_EPSILON) + a[0]),
     )
