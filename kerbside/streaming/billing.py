@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,6 +11,7 @@ from kerbside import schemas as S
 from kerbside import sinks
 from kerbside.functions import events
 from kerbside.operators import billing as billing_ops
+from kerbside.session import broadcast_if_small
 from kerbside.streaming import common
 
 REQUIRED = [["trip_id", "tripId"], ["driver_id", "driverId"]]
@@ -40,7 +42,7 @@ def start_billing_job(spark: SparkSession, raw: DataFrame, out: str, checkpoint:
         batch = batch.persist()
         try:
             good, bad = completions_from_events(batch)
-            existing = _billed(spark, table, batch_id)
+            existing = _billed(spark, table, batch_id, good)
             rows = billing_ops.bill_trips(good, existing, F.col("completed_at")).persist()
             sinks.append_batch(rows, table, batch_id)
             sinks.append_batch(billing_ops.billing_events(rows), f"{out}/events", batch_id)
@@ -52,9 +54,11 @@ def start_billing_job(spark: SparkSession, raw: DataFrame, out: str, checkpoint:
     return common.job(raw.writeStream.foreachBatch(write), checkpoint, every).start()
 
 
-def _billed(spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    fs = hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop_path):
+def _billed(spark: SparkSession, table: str, batch_id: int, batch: DataFrame) -> DataFrame | None:
+    """Trips of this batch that other batches billed: the small batch filters the large table."""
+    try:
+        stored = spark.read.parquet(table)
+    except AnalysisException:  # nothing written yet
         return None
-    return spark.read.parquet(table).where(F.col("batch_id") < batch_id).select("trip_id")
+    ids = broadcast_if_small(batch.select("trip_id").distinct(), 1_000_000)
+    return stored.where(F.col("batch_id") != batch_id).join(ids, "trip_id", "left_semi").select("trip_id")
