@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbside import schemas as S
 from kerbside.functions import geo, scalars
 from kerbside.operators import curate, tables, timeline
+from kerbside.session import cut_lineage
 
 
 # --- requests ----------------------------------------------------------------------------------
@@ -73,6 +74,7 @@ def trip_lifecycle(events: DataFrame, bucket: str = "1 hour") -> tuple[DataFrame
     answered = slot.where((F.col("kind") != "assign") & (F.col("prev_kind") == "assign")).select(
         "driver_id", "ts", "seq", F.col("kind"), F.col("prev_trip_id").alias("trip_id"),
         F.col("prev_client_id").alias("client_id"))
+    answered = cut_lineage(answered)  # used by three branches below, and small next to the pings
     accepted = answered.where("kind = 'accept'")
     rejected = answered.where("kind = 'reject'")
 
@@ -86,6 +88,7 @@ def trip_lifecycle(events: DataFrame, bucket: str = "1 hour") -> tuple[DataFrame
     ).where("asof_kind = 'accept'")
     active = active.select("driver_id", "ts", "seq", "kind", F.col("asof_trip_id").alias("trip_id"),
                            F.col("asof_client_id").alias("client_id"))
+    active = cut_lineage(active)
 
     label = F.create_map(*[F.lit(v) for v in (
         "accept", "ACCEPTED", "reject", "REJECTED", "start", "IN_PROGRESS", "complete", "COMPLETED")])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Decimal
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -25,6 +26,11 @@ def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
     return 2 * EARTH_RADIUS_M * math.asin(min(1.0, math.sqrt(h)))
 
 
+def _half_up(value: float, places: int) -> float:
+    """Round like the batch form: half up on the decimal digits."""
+    return float(Decimal(repr(value)).quantize(Decimal(1).scaleb(-places), ROUND_HALF_UP))
+
+
 class DriverTrips(StatefulProcessor):
     """pending -> accepted (busy) -> in progress -> completed, or rejected.
 
@@ -78,7 +84,7 @@ class DriverTrips(StatefulProcessor):
                 minutes = (pd.Timestamp(e.ts).value // 1_000_000 - s["start_us"] // 1000) / 60000
             s.update(active=None, client=None, status="AVAILABLE", start_us=None, metres=0.0)
             return status(trip, "COMPLETED", client or "unknown",
-                          round(km, 3) if km > 0 else 5.0, round(minutes, 2), 1.0)
+                          _half_up(km, 3) if km > 0 else 5.0, _half_up(minutes, 2), 1.0)
         return []
 
     def close(self) -> None:
