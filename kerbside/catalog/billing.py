@@ -9,6 +9,7 @@ from kerbside.catalog.base import query
 from kerbside.functions import events, scalars
 from kerbside.operators import billing, tables
 from kerbside.plans import bindings as B
+from kerbside.session import spread
 from kerbside.streaming import billing as stream_billing
 
 _MONEY = "total_fare, commission, driver_payout"
@@ -187,7 +188,7 @@ def reconciliation_candidates(spark, d):
 
 def completion_events(spark, d):
     """Raw completion messages; the spelling and the missing fields depend on the trip."""
-    t = B.trips_hist(spark, d)
+    t = spread(B.trips_hist(spark, d))
     k = F.col("trip_id")
     sid = k.cast("string")
     km, minutes = F.col("trip_distance_miles"), (F.col("n_points") + F.col("stride")).cast("double")

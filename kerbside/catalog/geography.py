@@ -9,6 +9,7 @@ from kerbside.catalog.base import query, rounded
 from kerbside.functions import clip, geo
 from kerbside.operators import curate, demand, proximity, zones
 from kerbside.plans import bindings as B
+from kerbside.session import once
 
 CENTER = (33.5731, -7.5898)
 
@@ -56,8 +57,7 @@ def remapped_points(spark, d):
   FROM (SELECT *, list_transform(points, lambda p: [round({_RX},6), round({_RY},6)]) AS q FROM polylines)""",
        B.TRIPS, B.POLYLINES)
 def remapped_polylines(spark, d):
-    t = B.points(B.trips_hist(spark, d)).withColumn("q", F.from_json(
-        geo.remap_polyline(F.to_json("points")), S.POLYLINE))
+    t = once(B.points(B.trips_hist(spark, d)), "q", F.from_json(geo.remap_polyline(F.to_json("points")), S.POLYLINE))
     total = lambda i: F.aggregate("q", F.lit(0.0), lambda acc, p: acc + p[i])
     return t.select("trip_id", "stride", F.size("q").alias("n"), F.round(total(0), 4).alias("lon_sum"),
                     F.round(total(1), 4).alias("lat_sum"))
@@ -67,8 +67,7 @@ def remapped_polylines(spark, d):
 def clipped_polylines(spark, d):
     """Remapped without clamp, clipped at the coast. No SQL twin; compared with a plain loop in tests."""
     t = B.points(B.trips_hist(spark, d)).select("trip_id", F.to_json("points").alias("POLYLINE"))
-    return t.select("trip_id", clip.remap_and_clip(F.col("POLYLINE")).alias("city_polyline")).where(
-        "city_polyline <> '[]'")
+    return once(t, "city_polyline", clip.remap_and_clip(F.col("POLYLINE"))).where("city_polyline <> '[]'").drop("POLYLINE")
 
 
 @query(f"""SELECT event_id, {B.sql_grid('lat', 'lon', 'reject')} AS rejecting, {B.sql_grid('lat', 'lon', 'clamp')} AS clamping
@@ -239,7 +238,7 @@ def points_in_bounds(spark, d):
        B.TRIPS, B.POLYLINES)
 def polyline_access(spark, d):
     """First, last, n-th and number of points, through text; an absent point is null."""
-    t = B.points(B.trips_hist(spark, d)).select("trip_id", geo.parse_polyline(F.to_json("points")).alias("p"))
+    t = once(B.points(B.trips_hist(spark, d)), "p", geo.parse_polyline(F.to_json("points")))
     at = lambda i, j: F.get(F.try_element_at("p", F.lit(i)), F.lit(j))
     return t.select("trip_id", at(1, 0).alias("first_lon"), at(1, 1).alias("first_lat"),
                     F.round(at(-1, 0), 6).alias("last_lon"), F.round(at(-1, 1), 6).alias("last_lat"),

@@ -2,13 +2,14 @@
 
 The only Python in the column functions: the rule needs projections, a search step towards the
 centroid and a first-crossing test per trip, which is bulky as nested expressions. It runs as an
-Arrow batch function; the geometry is NumPy over all points of a batch at once.
+Arrow function; the geometry is NumPy over all points of a batch at once, without a loop over rows.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,57 +78,72 @@ def _pull_inland(pts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _first_crossing(p: np.ndarray, q: np.ndarray) -> np.ndarray | None:
-    """Where the segment p-q first meets the land ring."""
-    r, s = q - p, _TO - _FROM
-    denom = r[0] * s[:, 1] - r[1] * s[:, 0]
+def _first_crossings(p: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each segment p-q first meets the land ring, and whether it does."""
+    r, s = (q - p)[:, None, :], _TO - _FROM
+    w = _FROM - p[:, None, :]
+    denom = r[:, :, 0] * s[:, 1] - r[:, :, 1] * s[:, 0]
     flat = np.abs(denom) < S.GEOMETRY_EPSILON
     denom = np.where(flat, 1.0, denom)
-    w = _FROM - p
-    t = (w[:, 0] * s[:, 1] - w[:, 1] * s[:, 0]) / denom
-    u = (w[:, 0] * r[1] - w[:, 1] * r[0]) / denom
+    t = (w[:, :, 0] * s[:, 1] - w[:, :, 1] * s[:, 0]) / denom
+    u = (w[:, :, 0] * r[:, :, 1] - w[:, :, 1] * r[:, :, 0]) / denom
     hit = ~flat & (t >= 0) & (t <= 1) & (u >= 0) & (u <= 1)
-    return p + t[hit].min() * r if hit.any() else None
-
-
-def _clip_batch(lines: pd.Series) -> pd.Series:
-    sizes = [0 if line is None else len(line) for line in lines]
-    empty: list[list[float]] = []
-    if not sum(sizes):
-        return pd.Series([empty] * len(sizes), index=lines.index)
-    pts = np.concatenate([np.stack([np.asarray(p, float) for p in line])
-                          for line, n in zip(lines, sizes, strict=True) if n])
-    land, inland = _on_land(pts), _pull_inland(pts)
-    out, at = [], 0
-    for n in sizes:
-        ok, here = land[at:at + n], slice(at, at + n)
-        at += n
-        if not ok.any():
-            out.append(empty)
-            continue
-        first = int(ok.argmax())
-        sea = np.flatnonzero(~ok[first:])
-        last = first + int(sea[0]) if len(sea) else n
-        kept = inland[here][first:last]
-        if last < n:
-            cross = _first_crossing(kept[-1], pts[here][last])
-            if cross is not None:
-                kept = np.vstack([kept, _pull_inland(cross[None, :])])
-        out.append(kept.tolist() if len(kept) > 1 else empty)
-    return pd.Series(out, index=lines.index)
-
-
-_clip = F.pandas_udf(_clip_batch, S.POLYLINE)
+    t = np.where(hit, t, np.inf).min(axis=1)
+    met = np.isfinite(t)
+    return p + np.where(met, t, 0.0)[:, None] * r[:, 0, :], met
+
+
+def _clip(lines: pa.Array) -> pa.Array:
+    """All polylines of a batch at once; ``starts`` marks where each line begins in the points."""
+    sizes = pc.fill_null(pc.list_value_length(lines), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    pts = lines.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, 2)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    if not len(pts):
+        return _lists(np.zeros(len(sizes) + 1, np.int64), pts)
+    line = np.repeat(np.arange(len(sizes)), sizes)
+    land, spot, end = _on_land(pts), np.arange(len(pts)), starts[1:]
+    # first land point per line, then the first sea point after it; the line's end if there is none
+    first = end.copy()
+    np.minimum.at(first, line[land], spot[land])
+    sea = ~land & (spot > first[line])
+    last = end.copy()
+    np.minimum.at(last, line[sea], spot[sea])
+
+    keep = (spot >= first[line]) & (spot < last[line])
+    kept, kept_line = _pull_inland(pts[keep]), line[keep]
+    cut = np.flatnonzero((last < end) & (first < last))
+    if len(cut):
+        before = _pull_inland(pts[last[cut] - 1])
+        cross, met = _first_crossings(before, pts[last[cut]])
+        extra = _pull_inland(cross[met])
+        order = np.argsort(np.concatenate([kept_line, cut[met]]), kind="stable")
+        kept = np.concatenate([kept, extra])[order]
+        kept_line = np.concatenate([kept_line, cut[met]])[order]
+    count = np.bincount(kept_line, minlength=len(sizes))
+    long_enough = count > 1
+    kept = kept[long_enough[kept_line]]
+    return _lists(np.concatenate([[0], np.cumsum(np.where(long_enough, count, 0))]), kept)
+
+
+def _lists(starts: np.ndarray, pts: np.ndarray) -> pa.Array:
+    pairs = pa.ListArray.from_arrays(pa.array(np.arange(len(pts) + 1) * 2, pa.int32()), pa.array(pts.reshape(-1)))
+    return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pairs)
+
+
+_clip_udf = F.arrow_udf(_clip, S.POLYLINE, F.ArrowUDFType.SCALAR)
 
 
 def clip_polyline(points) -> Column:
     """From the first land point to the first crossing of the coast; empty with fewer than 2 points."""
-    return _clip(points)
+    return _clip_udf(points)
 
 
 def remap_and_clip(text, src: S.Box = S.SOURCE_EXPLORE, dst: S.Box = S.CITY) -> Column:
     """JSON in, JSON out: drop points outside the source box, carry the rest over, clip at the coast."""
-    pts = geo.parse_polyline(text)
-    usable = F.when(F.forall(pts, geo.is_point), pts)
-    moved = geo.remap_without_clamp(geo.keep_in_box(usable, src), src, dst)
-    return F.to_json(clip_polyline(F.coalesce(moved, F.array().cast(S.POLYLINE))))
+
+    def moved(pts):
+        usable = F.when(F.forall(pts, geo.is_point), pts)
+        return geo.remap_without_clamp(geo.keep_in_box(usable, src), src, dst)
+
+    on_map = F.coalesce(geo.let(geo.parse_polyline(text), moved), F.array().cast(S.POLYLINE))
+    return F.to_json(clip_polyline(on_map))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from kerbside.session import once
+
 BAD_RECORD = "_bad_record"
 
 
@@ -31,7 +33,7 @@ def check_events(df: DataFrame, schema: T.StructType, required: list[list[str]],
         .when(e[BAD_RECORD].isNotNull(), F.lit("unreadable record"))
         .when(missing != "", F.concat(F.lit("missing: "), missing))
     )
-    return df.withColumn("event", parse_event(F.col(value), schema)).withColumn("error", error)
+    return once(df, "event", parse_event(F.col(value), schema)).withColumn("error", error)
 
 
 def split_valid(df: DataFrame, schema: T.StructType, required: list[list[str]],

@@ -33,6 +33,11 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     return haversine(lat1, lon1, lat2, lon2, S.EARTH_RADIUS_KM)
 
 
+def let(value, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 # --- polylines ---------------------------------------------------------------------------------
 
 
@@ -53,14 +58,18 @@ def is_point(p) -> Column:
 
 def polyline_length_km(points) -> Column:
     """Sum of the legs; null for fewer than two points or any bad point."""
-    legs = F.zip_with(
-        F.slice(points, 1, F.greatest(F.size(points) - 1, F.lit(0))),
-        F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))),
-        lambda a, b: haversine_km(F.get(a, F.lit(1)), F.get(a, F.lit(0)),
-                                  F.get(b, F.lit(1)), F.get(b, F.lit(0))),
-    )
-    usable = (F.size(points) > 1) & F.forall(points, is_point)
-    return F.when(usable, F.aggregate(legs, F.lit(0.0), lambda acc, leg: acc + leg))
+
+    def length(pts):
+        rest = F.greatest(F.size(pts) - 1, F.lit(0))
+        legs = F.zip_with(
+            F.slice(pts, 1, rest), F.slice(pts, 2, rest),
+            lambda a, b: haversine_km(F.get(a, F.lit(1)), F.get(a, F.lit(0)),
+                                      F.get(b, F.lit(1)), F.get(b, F.lit(0))),
+        )
+        usable = (F.size(pts) > 1) & F.forall(pts, is_point)
+        return F.when(usable, F.aggregate(legs, F.lit(0.0), lambda acc, leg: acc + leg))
+
+    return let(points, length)
 
 
 def polyline_duration_s(points) -> Column:
@@ -89,8 +98,11 @@ def remap_points(points, src: S.Box = S.SOURCE_CITY, dst: S.Box = S.CITY) -> Col
         lon, lat = remap_point(F.get(p, F.lit(0)), F.get(p, F.lit(1)), src, dst)
         return F.array(F.round(lon, 6), F.round(lat, 6))
 
-    usable = (F.size(points) > 1) & F.forall(points, is_point)
-    return F.when(usable, F.transform(points, one)).otherwise(F.array().cast(S.POLYLINE))
+    def moved(pts):
+        usable = (F.size(pts) > 1) & F.forall(pts, is_point)
+        return F.when(usable, F.transform(pts, one)).otherwise(F.array().cast(S.POLYLINE))
+
+    return let(points, moved)
 
 
 def remap_polyline(text, src: S.Box = S.SOURCE_CITY, dst: S.Box = S.CITY) -> Column:

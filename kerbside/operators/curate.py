@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from kerbside import schemas as S
 from kerbside.functions import geo, scalars
 from kerbside.operators.tables import first_per_key
-from kerbside.session import broadcast_if_small
+from kerbside.session import broadcast_if_small, once
 
 
 # --- row filters -------------------------------------------------------------------------------
@@ -78,7 +78,7 @@ def curate_trips(raw: DataFrame, zone_map: DataFrame) -> DataFrame:
     """
     trips = first_per_key(without_missing(raw), ["TRIP_ID"], ["TIMESTAMP", "TAXI_ID", "POLYLINE"])
     pts = F.col("_points")
-    trips = valid_trajectory(trips.withColumn("_points", geo.parse_polyline(F.col("POLYLINE"))), "_points")
+    trips = valid_trajectory(once(trips, "_points", geo.parse_polyline(F.col("POLYLINE"))), "_points")
     first, last = F.get(pts, F.lit(0)), F.get(pts, F.size(pts) - 1)
     trips = trips.withColumns({
         "start_lon": F.get(first, F.lit(0)), "start_lat": F.get(first, F.lit(1)),
@@ -108,9 +108,8 @@ def map_zones(df: DataFrame, zone_map: DataFrame, source_zone: str) -> DataFrame
 
 def remap_trips(raw: DataFrame) -> DataFrame:
     """Complete trips with their polyline carried to the target city; unusable ones are dropped."""
-    return without_missing(raw).withColumn(
-        "CITY_POLYLINE", geo.remap_polyline(F.col("POLYLINE"))
-    ).where(F.col("CITY_POLYLINE") != "[]")
+    moved = geo.remap_polyline(F.col("POLYLINE"))
+    return once(without_missing(raw), "CITY_POLYLINE", moved).where(F.col("CITY_POLYLINE") != "[]")
 
 
 def typed_yellow(raw: DataFrame) -> DataFrame:
@@ -130,16 +129,13 @@ def typed_yellow(raw: DataFrame) -> DataFrame:
 
 def typed_trajectories(curated: DataFrame) -> DataFrame:
     """Curated trips as (zone_id, pickup_ts, km, hour) with the length measured on the polyline."""
-    pts = geo.parse_polyline(F.col("POLYLINE"))
-    return (
-        curated.select(
-            pick_column(curated, "zone_id", "arrondissement_id").cast("string").alias("zone_id"),
-            scalars.from_epoch_seconds(F.col("TIMESTAMP").cast("long")).alias("pickup_ts"),
-            geo.polyline_length_km(pts).alias("trip_length_km"),
-        )
-        .transform(known, "zone_id", "pickup_ts", "trip_length_km")
-        .withColumn("hour", F.hour("pickup_ts"))
-    )
+    rows = curated.select(
+        pick_column(curated, "zone_id", "arrondissement_id").cast("string").alias("zone_id"),
+        scalars.from_epoch_seconds(F.col("TIMESTAMP").cast("long")).alias("pickup_ts"), "POLYLINE",
+    ).transform(known, "zone_id", "pickup_ts")
+    length = geo.polyline_length_km(geo.parse_polyline(F.col("POLYLINE")))
+    return known(once(rows, "trip_length_km", length), "trip_length_km").drop("POLYLINE").withColumn(
+        "hour", F.hour("pickup_ts"))
 
 
 # --- profiling ---------------------------------------------------------------------------------

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import geo, scalars
 from kerbside.operators.tables import latest_per_key
-from kerbside.session import broadcast_if_small, cut_lineage
+from kerbside.session import broadcast_if_small, cut_lineage, once
 
 _COVER = 8  # a polygon's box spans at most this many cells per axis at its own level
 
@@ -101,7 +101,7 @@ def _first_zone_by_cells(points: DataFrame, cover: DataFrame, levels: list[int],
         hits.append(F.get(F.transform(F.filter(F.col(f"_z{level}"), holds), _label), F.lit(0)))
     if not hits:
         return out.withColumn("_zone", F.lit(None).cast("struct<zone_id:int,zone_name:string>"))
-    return out.withColumn("_zone", F.least(*hits) if len(hits) > 1 else hits[0])
+    return once(out, "_zone", F.least(*hits) if len(hits) > 1 else hits[0])
 
 
 def _first_zone_by_rows(points: DataFrame, cover: DataFrame, levels: list[int], holds) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kerbside import schemas as S
 from kerbside.functions import geo
+from kerbside.session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -98,7 +99,7 @@ TRIPS = """trips_hist AS (SELECT l_orderkey*10 + l_linenumber AS trip_id, cast(l
 def points(df: DataFrame) -> DataFrame:
     """Add ``points``: n_points pairs starting at a fixed corner, spaced by ``stride``."""
     k = F.sequence(F.lit(0), (F.col("n_points") - 1).cast("int"))
-    return df.withColumn("points", F.transform(k, lambda i: F.array(
+    return spread(df).withColumn("points", F.transform(k, lambda i: F.array(
         F.lit(-8.68) + F.lit(0.001) * i * F.col("stride"), F.lit(41.15) + F.lit(0.001) * i)))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
@@ -51,3 +51,22 @@ def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """
     small = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= max_rows
     return F.broadcast(df) if small else df
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add an expensive column that is computed exactly once per row. Batch or stream.
+
+    A plain withColumn is inlined into every later use, and a filter on it is pushed below and
+    evaluates it again. A one-element explode gives the same row and stops both.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use idle cores: deal the rows of a scan with fewer splits than cores to all of them.
+
+    For work that is heavy per row on an input of few, unsplittable files. An input with enough
+    splits, the usual case on a cluster, is returned as it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
