@@ -240,8 +240,8 @@ def zone_kpis(spark, d):
     t = B.points(B.trips_hist(spark, d)).withColumn("zone_id", F.col("taxi_id").cast("int")).select(
         "zone_id", F.col("trip_id").alias("TRIP_ID"), F.to_json("points").alias("POLYLINE"))
     peak = demand.peak_hour(demand.demand_by_zone_hour(B.zoned(B.pings(spark, d)), "ts"))
-    out = demand.zone_kpis(demand.total_trips(t), demand.average_duration(t), peak, _gaps(spark, d),
-                           S.CITY_NAME, F.lit("2024-02-01").cast("timestamp"))
+    out = demand.zone_kpis(demand.trip_kpis(t), peak, _gaps(spark, d), S.CITY_NAME,
+                           F.lit("2024-02-01").cast("timestamp"))
     return rounded(out, 6, "avg_trip_duration_minutes")
 
 

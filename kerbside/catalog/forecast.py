@@ -104,7 +104,7 @@ _CUT = """cut AS (SELECT to_timestamp(cast(epoch(min(time_window)) AS bigint) +
 @query("""SELECT CASE WHEN time_window < cut THEN 'train' ELSE 'test' END AS part, count(*) AS rows, min(time_window) AS first, max(time_window) AS last,
   cast(sum(demand) AS bigint) AS demand FROM features, cut GROUP BY 1""", *_CTES, _FEATURES, _CUT)
 def temporal_split(spark, d):
-    train, test = forecast.temporal_split(features(spark, d))
+    train, test = forecast.temporal_split(cut_lineage(features(spark, d)))
     both = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
     return both.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.min("time_window").alias("first"),
                                     F.max("time_window").alias("last"), F.sum("demand").alias("demand"))
@@ -113,7 +113,7 @@ def temporal_split(spark, d):
 @query("""SELECT round(sqrt(avg(pow(demand-demand_lag_7d,2))), 6) AS rmse, round(avg(abs(demand-demand_lag_7d)), 6) AS mae, count(*) AS rows
   FROM features, cut WHERE time_window >= cut""", *_CTES, _FEATURES, _CUT)
 def baseline_errors(spark, d):
-    _, test = forecast.temporal_split(features(spark, d))
+    _, test = forecast.temporal_split(cut_lineage(features(spark, d)))
     return rounded(forecast.baseline_metrics(test), 6, "rmse", "mae")
 
 

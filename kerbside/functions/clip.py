@@ -130,7 +130,7 @@ def _lists(starts: np.ndarray, pts: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pairs)
 
 
-_clip_udf = F.arrow_udf(_clip, S.POLYLINE, F.ArrowUDFType.SCALAR)
+_clip_udf = F.arrow_udf(_clip, S.POLYLINE)
 
 
 def clip_polyline(points) -> Column:

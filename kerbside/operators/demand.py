@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from kerbside import schemas as S
 from kerbside.functions import geo, scalars
+from kerbside.session import cut_lineage
 
 # --- counts ------------------------------------------------------------------------------------
 
@@ -104,16 +105,27 @@ def coverage_gaps(zone_demand: DataFrame, vehicles: DataFrame, min_vehicles: int
     )
 
 
-def zone_kpis(total: DataFrame, duration: DataFrame, peak: DataFrame, gaps: DataFrame,
-              city: str, window_start: Column) -> DataFrame:
-    """Every zone of any of the four KPI frames, absent values 0. Zone ids are compared as text."""
-    text = lambda df: df.withColumn("zone_id", F.col("zone_id").cast("string"))
-    joined = text(total)
-    for other in (duration, peak.select("zone_id", F.col("peak_hour").alias("peak_demand_hour")), gaps):
-        joined = joined.join(text(other), "zone_id", "full")
+def trip_kpis(curated: DataFrame, trip: str = "TRIP_ID", polyline: str = "POLYLINE",
+              zone: str = "zone_id") -> DataFrame:
+    """total_trips and avg_trip_duration_minutes per known zone in one pass over the trips."""
+    seconds = geo.polyline_duration_s(geo.parse_polyline(F.col(polyline)))
+    return curated.where(F.col(zone).isNotNull()).groupBy(F.col(zone).alias("zone_id")).agg(
+        F.count(trip).alias("total_trips"), (F.avg(seconds) / 60).alias("avg_trip_duration_minutes"))
+
+
+def zone_kpis(trips: DataFrame, peak: DataFrame, gaps: DataFrame, city: str, window_start: Column) -> DataFrame:
+    """Every zone of any of the KPI frames, absent values 0. Zone ids are compared as text.
+
+    The frames have one row per zone each, so stacking them and taking the only value per column
+    is the chain of full outer joins in a single shuffle.
+    """
     values = ["total_trips", "avg_trip_duration_minutes", "peak_demand_hour", "coverage_gap_demand"]
-    return joined.select(F.lit(city).alias("city"), "zone_id", window_start.alias("window_start"), *values).fillna(
-        0, subset=values)
+    stacked = None
+    for f in (trips, peak.select("zone_id", F.col("peak_hour").alias("peak_demand_hour")), gaps):
+        f = f.withColumn("zone_id", F.col("zone_id").cast("string"))
+        stacked = f if stacked is None else stacked.unionByName(f, allowMissingColumns=True)
+    return stacked.groupBy("zone_id").agg(*[F.max(v).alias(v) for v in values]).select(
+        F.lit(city).alias("city"), "zone_id", window_start.alias("window_start"), *values).fillna(0, subset=values)
 
 
 def all_cities(*frames: DataFrame) -> DataFrame:
@@ -129,8 +141,10 @@ def densify(demand: DataFrame, step: str = "1 hour", value: str = "demand") -> D
     """Every zone at every step between the first and the last time of the whole frame, gaps 0.
 
     Each zone expands the global range itself (bounds are a scalar subquery), then zeros and counts
-    are summed. There is neither a cross join nor a driver round trip.
+    are summed. There is neither a cross join nor a driver round trip. The counts (zones x steps at
+    most) are written once, so the trips behind them are read once.
     """
+    demand = cut_lineage(demand)
     bounds = demand.agg(F.min("time_window").alias("lo"), F.max("time_window").alias("hi"))
     spine = demand.select("zone_id").distinct().select(
         "zone_id",

@@ -13,7 +13,7 @@ because ties are broken by id.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,13 +29,12 @@ _LEVELS = list(range(0, geo.CELL_BITS + 1, STEP))
 _SLACK = 1e-6       # metres, absorbs rounding in the bounds
 
 
-def _node(level: int, lat, lon) -> Column:
-    """Cell of a level as one long: level, x, y."""
-    drop = geo.CELL_BITS - level
-    x = F.shiftright(geo.cell_x(lon, geo.CELL_BITS), drop)
-    y = F.shiftright(geo.cell_y(lat, geo.CELL_BITS), drop)
+def _node(level) -> Column:
+    """Cell of a level as one long (level, x, y), from the finest cell in columns x and y."""
+    drop = F.lit(geo.CELL_BITS) - level
+    shift = lambda c: F.call_function("shiftright", F.col(c), drop)
     width = 2 ** geo.CELL_BITS
-    return (F.lit(level * width * width) + x * F.lit(width) + y).cast("long")
+    return level.cast("long") * F.lit(width * width) + shift("x") * F.lit(width) + shift("y")
 
 
 def _lower_bound(lat, lon, box) -> Column:
@@ -64,16 +63,11 @@ _BOX = ["lat_min", "lat_max", "lon_min", "lon_max"]
 
 def _pyramid(points: DataFrame) -> DataFrame:
     """One row per group, level and occupied cell: node, parent, cnt, box, cnt of the parent."""
-    spread = points.select(
-        "grp", "lat", "lon",
-        F.explode(F.array(*[
-            F.struct(F.lit(z).alias("level"), _node(z, F.col("lat"), F.col("lon")).alias("node"),
-                     (_node(z - STEP, F.col("lat"), F.col("lon")) if z else F.lit(-1).cast("long"))
-                     .alias("parent"))
-            for z in _LEVELS
-        ])).alias("c"),
-    )
-    nodes = spread.groupBy("grp", "c.level", "c.node", "c.parent").agg(
+    level = F.col("level")
+    spread = points.withColumn("level", F.explode(F.lit(_LEVELS))).select(
+        "grp", "lat", "lon", "level", _node(level).alias("node"),
+        F.when(level > 0, _node(level - STEP)).otherwise(F.lit(-1)).alias("parent"))
+    nodes = spread.groupBy("grp", "level", "node", "parent").agg(
         F.count(F.lit(1)).alias("cnt"),
         F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"),
         F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"),
@@ -102,6 +96,38 @@ def _bounds(lat, lon, box) -> list[Column]:
     return [_lower_bound(lat, lon, box).alias("lb"), _upper_bound(lat, lon, box).alias("ub")]
 
 
+def _roots(q: DataFrame, roots: DataFrame, n: int, k: int, radius_m: float | None) -> DataFrame:
+    """Queries with the cells of the first level that may hold a neighbour.
+
+    The cells of a group are one array, so bounding and dropping happens inside the row. Up to
+    ROOTS cells in all travel in the plan as a value; beyond that (very many groups) they are joined.
+    """
+    lists = roots.groupBy("grp").agg(F.collect_list(F.struct("node", "cnt", *_BOX)).alias("cells"))
+    if n <= ROOTS:
+        table = lists.agg(F.map_from_entries(F.collect_list(F.struct("grp", "cells")))).scalar()
+        q = q.withColumn("cells", F.try_element_at(table, F.col("grp")))
+    else:
+        q = q.join(lists, "grp")
+    qlat, qlon = F.col("qlat"), F.col("qlon")
+    q = q.withColumn("cells", F.transform("cells", lambda c: F.struct(
+        c["node"].alias("node"), c["cnt"].alias("cnt"), *[c[x].alias(x) for x in _BOX], *_bounds(qlat, qlon, c))))
+    if k == 1:
+        q = q.withColumn("bound", F.array_min(F.transform("cells", lambda c: c["ub"])))
+    else:
+        by_reach = F.array_sort(F.transform("cells", lambda c: F.struct(c["ub"].alias("ub"), c["cnt"].alias("cnt"))))
+        start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("double").alias("ub"))
+        step = lambda acc, c: F.when(acc["seen"] >= k, acc).otherwise(F.struct(
+            (acc["seen"] + c["cnt"]).alias("seen"),
+            F.when(acc["seen"] + c["cnt"] >= k, c["ub"]).alias("ub")))
+        q = q.withColumn("bound", F.aggregate(by_reach, start, step)["ub"])
+    reach = F.coalesce(F.col("bound"), F.lit(float("inf")))
+    if radius_m is not None:
+        reach = F.least(reach, F.lit(float(radius_m)))
+    kept = F.filter("cells", lambda c: c["lb"] <= reach + _SLACK)
+    return q.select("qid", "grp", "qlat", "qlon", F.explode(kept).alias("c")).select(
+        "qid", "grp", "qlat", "qlon", "c.*")
+
+
 def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
             radius_m: float | None = None) -> DataFrame:
     """The k nearest points per query, exact, ties broken by the smaller id.
@@ -119,7 +145,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
     place = Window.partitionBy("grp", "lat", "lon").orderBy("pid")
     # rank <= k is pushed below the shuffle (window group limit), so a crowded place stays small
     points = points.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k).drop("_r")
-    points = cut_lineage(points)
+    points = cut_lineage(points.withColumns({
+        "x": geo.cell_x(F.col("lon"), geo.CELL_BITS), "y": geo.cell_y(F.col("lat"), geo.CELL_BITS)}))
     nodes = cut_lineage(_pyramid(points))
 
     stats = {r["level"]: (r["n"], r["top"]) for r in
@@ -132,13 +159,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
 
     qlat, qlon = F.col("qlat"), F.col("qlon")
     q = queries.where(usable).select("qid", "grp", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
-    roots = nodes.where(F.col("level") == start).select("grp", "node", "cnt", *_BOX)
-    if stats[start][0] <= ROOTS:
-        roots = F.broadcast(roots)  # at most ROOTS rows
-    cands = q.join(roots, "grp").select("*", *_bounds(qlat, qlon, {c: F.col(c) for c in _BOX}))
-    if radius_m is not None:
-        cands = cands.where(F.col("lb") <= radius_m + _SLACK)
-    if start < stop or stats[start][0] > 1:
+    cands = _roots(q, nodes.where(F.col("level") == start), stats[start][0], k, radius_m)
+    if start < stop:
         cands = _prune(cands, k, radius_m)
 
     for level in range(start + STEP, stop + 1, STEP):
@@ -158,11 +180,9 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
         )
         cands = _prune(cands, k, radius_m)
 
-    used = range(start, stop + 1, STEP)
-    members = points.select(
-        F.col("grp").alias("p_grp"), "pid", "lat", "lon",
-        F.explode(F.array(*[_node(z, F.col("lat"), F.col("lon")) for z in used])).alias("p_node"),
-    )
+    used = F.explode(F.lit(list(range(start, stop + 1, STEP))))
+    members = points.withColumn("level", used).select(
+        F.col("grp").alias("p_grp"), "pid", "lat", "lon", _node(F.col("level")).alias("p_node"))
     hits = (
         cands.select("qid", "grp", "qlat", "qlon", "node")
         .join(members, (F.col("grp") == F.col("p_grp")) & (F.col("node") == F.col("p_node")))
@@ -189,18 +209,36 @@ def _empty_result(queries: DataFrame, points: DataFrame) -> DataFrame:
 # --- vehicle search ----------------------------------------------------------------------------
 
 
+def _per_place(df: DataFrame, place: list[str], search: Callable[[DataFrame], DataFrame],
+               how: str = "left") -> DataFrame:
+    """Search every distinct place once and give the result to all rows at that place.
+
+    Requests crowd at the same spots (ranks, stations, zone centres standing in for missing
+    coordinates). ``search`` gets the places with a ``qid`` and returns ``qid`` and result columns.
+    """
+    places = df.select(*place).distinct().withColumn("qid", F.struct(*place))
+    found = search(places)
+    result = [c for c in found.columns if c != "qid"]
+    found = found.select(*[F.col(f"qid.{c}").alias(c) for c in place], *result)
+    return df.join(found, place, how)
+
+
 def nearby(searches: DataFrame, drivers: DataFrame, radius_m: float = 2000.0,
            limit: int = 50) -> DataFrame:
     """Drivers within the radius of every search point, nearest first, at most ``limit`` hits.
 
     searches: search_id, lat, lon. drivers: driver_id, lat, lon (latest positions).
     """
-    found = nearest(
-        searches.select(F.col("search_id").alias("qid"), "lat", "lon"),
-        drivers.select(F.col("driver_id").alias("pid"), "lat", "lon"), k=limit, radius_m=radius_m,
-    )
-    return found.select(F.col("qid").alias("search_id"), F.col("pid").alias("driver_id"),
-                        F.round("distance_m", 2).alias("distance_meters"), "lat", "lon", "rank")
+    points = drivers.select(F.col("driver_id").alias("pid"), "lat", "lon")
+
+    def search(places):
+        found = nearest(places.select("qid", F.col("at_lat").alias("lat"), F.col("at_lon").alias("lon")),
+                        points, k=limit, radius_m=radius_m)
+        return found.select("qid", F.col("pid").alias("driver_id"),
+                            F.round("distance_m", 2).alias("distance_meters"), "lat", "lon", "rank")
+
+    at = searches.select("search_id", F.col("lat").alias("at_lat"), F.col("lon").alias("at_lon"))
+    return _per_place(at, ["at_lat", "at_lon"], search, "inner").drop("at_lat", "at_lon")
 
 
 def match_nearest(requests: DataFrame, positions: DataFrame) -> DataFrame:
@@ -211,26 +249,27 @@ def match_nearest(requests: DataFrame, positions: DataFrame) -> DataFrame:
     Missing pickup coordinates fall back to the centre of the origin zone. A request without a
     vehicle gives NO_TAXI_AVAILABLE.
     """
+    known = F.col("origin_lat").isNotNull() & F.col("origin_lon").isNotNull()
     lat0, lon0 = geo.zone_center(F.col("origin_zone"))
     pickup = requests.withColumns({
-        "pickup_lat": F.when(F.col("origin_lon").isNotNull(), F.coalesce("origin_lat", lat0)).otherwise(lat0),
-        "pickup_lon": F.when(F.col("origin_lat").isNotNull(), F.coalesce("origin_lon", lon0)).otherwise(lon0),
+        "pickup_lat": F.when(known, F.col("origin_lat")).otherwise(lat0),
+        "pickup_lon": F.when(known, F.col("origin_lon")).otherwise(lon0),
     })
-    queries = pickup.select(
-        F.col("trip_id").alias("qid"), F.col("pickup_lat").alias("lat"), F.col("pickup_lon").alias("lon"),
-        F.explode(geo.adjacent_zones(F.col("origin_zone"))).alias("grp"),
-    )
     vehicles = positions.where(F.col("status") == "available").select(
         F.col("taxi_id").alias("pid"), F.col("zone_id").alias("grp"), "lat", "lon")
-    found = nearest(queries, vehicles).select(
-        F.col("qid").alias("trip_id"), F.col("pid").alias("driver_id"),
-        F.col("grp").alias("matched_zone"), "distance_m")
-    return _match_rows(requests, found)
 
+    def search(places):
+        queries = places.select("qid", F.col("pickup_lat").alias("lat"), F.col("pickup_lon").alias("lon"),
+                                F.explode(geo.adjacent_zones(F.col("origin_zone"))).alias("grp"))
+        return nearest(queries, vehicles).select(
+            "qid", F.col("pid").alias("driver_id"), F.col("grp").alias("matched_zone"), "distance_m")
+
+    return _match_rows(_per_place(pickup, ["origin_zone", "pickup_lat", "pickup_lon"], search))
 
-def _match_rows(requests: DataFrame, found: DataFrame) -> DataFrame:
+
+def _match_rows(matched: DataFrame) -> DataFrame:
     hit = F.col("driver_id").isNotNull()
-    return requests.join(found, "trip_id", "left").select(
+    return matched.select(
         "trip_id", "driver_id", "rider_id",
         F.round("distance_m", 1).alias("distance_meters"),
         F.when(hit, geo.eta_seconds(F.col("distance_m"))).alias("eta_seconds"),
@@ -250,24 +289,27 @@ def pickup_origin(lat, lon, zone) -> tuple[Column, Column]:
 def match_within_radius(requests: DataFrame, drivers: DataFrame, radius_m: float = 5000.0) -> DataFrame:
     """Nearest driver inside the radius, distance rounded to 2 places and ETA; unmatched stay."""
     lat, lon = pickup_origin(F.col("origin_lat"), F.col("origin_lon"), F.col("origin_zone"))
-    found = nearest(
-        requests.select(F.col("trip_id").alias("qid"), lat.alias("lat"), lon.alias("lon")),
-        drivers.select(F.col("driver_id").alias("pid"), "lat", "lon"), radius_m=radius_m,
-    ).select(F.col("qid").alias("trip_id"), F.col("pid").alias("driver_id"),
-             F.round("distance_m", 2).alias("distance_meters"))
-    return requests.select("trip_id", "origin_zone", "destination_zone").join(found, "trip_id", "left").select(
-        "trip_id", "driver_id", "distance_meters",
-        F.when(F.col("driver_id").isNotNull(), geo.eta_seconds(F.col("distance_meters"))).alias("eta_seconds"),
-        "origin_zone", "destination_zone",
-    )
+    points = drivers.select(F.col("driver_id").alias("pid"), "lat", "lon")
+
+    def search(places):
+        return nearest(places, points, radius_m=radius_m).select(
+            "qid", F.col("pid").alias("driver_id"), F.round("distance_m", 2).alias("distance_meters"))
+
+    at = requests.select("trip_id", "origin_zone", "destination_zone", lat.alias("lat"), lon.alias("lon"))
+    eta = F.when(F.col("driver_id").isNotNull(), geo.eta_seconds(F.col("distance_meters")))
+    return _per_place(at, ["lat", "lon"], search).select(
+        "trip_id", "driver_id", "distance_meters", eta.alias("eta_seconds"), "origin_zone", "destination_zone")
 
 
 def snap_to_node(points: DataFrame, nodes: DataFrame) -> DataFrame:
     """Nearest road node of every point. points: point_id, lat, lon; nodes: node_id, lat, lon."""
-    return nearest(
-        points.select(F.col("point_id").alias("qid"), "lat", "lon"),
-        nodes.select(F.col("node_id").alias("pid"), "lat", "lon"),
-    ).select(F.col("qid").alias("point_id"), F.col("pid").alias("node_id"), "distance_m")
+    targets = nodes.select(F.col("node_id").alias("pid"), "lat", "lon")
+
+    def search(places):
+        return nearest(places, targets).select("qid", F.col("pid").alias("node_id"), "distance_m")
+
+    return _per_place(points.select("point_id", "lat", "lon"), ["lat", "lon"], search, "inner").select(
+        "point_id", "node_id", "distance_m")
 
 
 def snap_trips(trips: DataFrame, nodes: DataFrame) -> DataFrame:

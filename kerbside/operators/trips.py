@@ -226,18 +226,19 @@ def driver_states(status: DataFrame, positions: DataFrame, active: DataFrame, pe
     One row per driver in every source: status (driver_id, status), positions and index
     (driver_id, lat, lon, ts), active and pending (driver_id, trip_id).
     """
-    parts = [status, positions, active, pending, index]
-    ids = None
-    for p in parts:
-        one = p.select("driver_id")
-        ids = one if ids is None else ids.unionByName(one)
-    pos = positions.select("driver_id", F.struct("lat", "lon", "ts").alias("_pos"))
-    idx = index.select("driver_id", F.struct("lat", "lon").alias("_idx"))
-    act = active.select("driver_id", F.col("trip_id").alias("active_trip"))
-    pen = pending.select("driver_id", F.col("trip_id").alias("pending_trip"))
-    out = ids.distinct()
-    for p in (status.select("driver_id", "status"), pos, act, pen, idx):
-        out = out.join(p, "driver_id", "left")
+    parts = [
+        status.select("driver_id", "status"),
+        positions.select("driver_id", F.struct("lat", "lon", "ts").alias("_pos")),
+        active.select("driver_id", F.col("trip_id").alias("active_trip")),
+        pending.select("driver_id", F.col("trip_id").alias("pending_trip")),
+        index.select("driver_id", F.struct("lat", "lon").alias("_idx")),
+    ]
+    stacked = parts[0]
+    for p in parts[1:]:
+        stacked = stacked.unionByName(p, allowMissingColumns=True)
+    # one row per driver in every part: the only value per column, in a single shuffle
+    out = stacked.groupBy("driver_id").agg(
+        *[F.max(c).alias(c) for c in ("status", "_pos", "active_trip", "pending_trip", "_idx")])
     return out.select(
         "driver_id",
         F.when(F.col("active_trip").isNotNull(), "BUSY").otherwise(F.col("status")).alias("known_status"),
