@@ -74,9 +74,10 @@ def curate_trips(raw: DataFrame, zone_map: DataFrame) -> DataFrame:
 
     One row per trip id, complete trips with at least two points, start and end with cell ids, the
     grid zone mapped through ``zone_map`` (cell id where the map has no entry), month label.
-    The duplicate with the smallest (time, taxi, polyline) is kept, so reruns agree.
+    Among the complete copies of a trip the smallest (time, taxi, hash of the polyline) is kept, so
+    reruns agree; the hash keeps the long text out of the comparison that is shuffled.
     """
-    trips = first_per_key(without_missing(raw), ["TRIP_ID"], ["TIMESTAMP", "TAXI_ID", "POLYLINE"])
+    trips = first_per_key(without_missing(raw), ["TRIP_ID"], ["TIMESTAMP", "TAXI_ID", F.xxhash64("POLYLINE")])
     pts = F.col("_points")
     trips = valid_trajectory(once(trips, "_points", geo.parse_polyline(F.col("POLYLINE"))), "_points")
     first, last = F.get(pts, F.lit(0)), F.get(pts, F.size(pts) - 1)

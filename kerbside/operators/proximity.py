@@ -13,6 +13,7 @@ because ties are broken by id.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -22,11 +23,13 @@ from kerbside import schemas as S
 from kerbside.functions import geo
 from kerbside.session import cut_lineage
 
-LEAF = 32           # open a cell once it holds at most this many points
-ROOTS = 64          # the walk starts at the finest level with at most this many cells
-STEP = 2            # bits per axis and level: up to 16 children
+LEAF = 32                 # open a cell once it holds at most this many points
+ROOTS = 64                # the walk starts at the finest level with at most this many cells
+BROADCAST_ROWS = 500_000  # narrow rows of about 100 bytes, counted before
+STEP = 2                  # bits per axis and level: up to 16 children
 _LEVELS = list(range(0, geo.CELL_BITS + 1, STEP))
-_SLACK = 1e-6       # metres, absorbs rounding in the bounds
+_SLACK = 1e-3       # metres, absorbs rounding in the bounds
+_RADIAN = math.pi / 180
 
 
 def _node(level) -> Column:
@@ -37,28 +40,37 @@ def _node(level) -> Column:
     return level.cast("long") * F.lit(width * width) + shift("x") * F.lit(width) + shift("y")
 
 
-def _lower_bound(lat, lon, box) -> Column:
-    """No point of the box is closer than this: distance to its latitude band and to its meridians."""
-    gap = F.greatest(box["lat_min"] - lat, lat - box["lat_max"], F.lit(0.0))
-    to_band = F.radians(gap)
+# Bounds without trigonometry per cell: they are evaluated for every query and cell on the way.
+# ``qcos`` is the cosine of the query's latitude, ``cos_max`` the largest one inside the cell's box.
+
+
+def _lower_bound(box) -> Column:
+    """No point of the box is closer: the gap to its latitude band, and the one to its meridians.
+
+    The way to a meridian d away is at least asin(cos(lat) sin d) >= cos(lat) (d - d^3/6).
+    """
+    lat, lon = F.col("qlat"), F.col("qlon")
+    band = F.greatest(box["lat_min"] - lat, lat - box["lat_max"], F.lit(0.0))
+    turn = lambda edge: F.least(F.abs(lon - edge), 360.0 - F.abs(lon - edge), F.lit(90.0))
     inside = lon.between(box["lon_min"], box["lon_max"])
-    turn = lambda edge: F.radians(
-        F.least(F.abs(lon - edge), 360.0 - F.abs(lon - edge), F.lit(90.0)))
-    off = F.least(turn(box["lon_min"]), turn(box["lon_max"]))
-    to_meridian = F.when(inside, 0.0).otherwise(F.asin(F.cos(F.radians(lat)) * F.sin(off)))
-    return F.greatest(to_band, to_meridian) * S.EARTH_RADIUS_M
+    d = F.when(inside, 0.0).otherwise(F.least(turn(box["lon_min"]), turn(box["lon_max"]))) * _RADIAN
+    return F.greatest(band * _RADIAN, F.col("qcos") * (d - d * d * d / 6)) * S.EARTH_RADIUS_M
+
 
+def _upper_bound(box) -> Column:
+    """Every point of the box is within this: the straight way in degrees to the farthest corner.
 
-def _upper_bound(lat, lon, box) -> Column:
-    """Every point of the box is within this: distance to the middle plus half the diagonal."""
-    mid_lat = (box["lat_min"] + box["lat_max"]) / 2
-    mid_lon = (box["lon_min"] + box["lon_max"]) / 2
-    half = F.sqrt(F.pow(F.radians(box["lat_max"] - box["lat_min"]), 2)
-                  + F.pow(F.radians(box["lon_max"] - box["lon_min"]), 2)) / 2
-    return geo.haversine_m(lat, lon, mid_lat, mid_lon) + half * S.EARTH_RADIUS_M
+    A degree of longitude counts with the largest cosine met on the way, 1 across the equator.
+    """
+    lat, lon = F.col("qlat"), F.col("qlon")
+    up = F.greatest(F.abs(lat - box["lat_min"]), F.abs(lat - box["lat_max"]))
+    across = F.greatest(F.abs(lon - box["lon_min"]), F.abs(lon - box["lon_max"]))
+    same_side = (lat * box["lat_min"] > 0) & (lat * box["lat_max"] > 0)
+    across = across * F.when(same_side, F.greatest(F.col("qcos"), box["cos_max"])).otherwise(F.lit(1.0))
+    return F.sqrt(up * up + across * across) * (_RADIAN * S.EARTH_RADIUS_M)
 
 
-_BOX = ["lat_min", "lat_max", "lon_min", "lon_max"]
+_BOX = ["lat_min", "lat_max", "lon_min", "lon_max", "cos_max"]
 
 
 def _pyramid(points: DataFrame) -> DataFrame:
@@ -71,29 +83,32 @@ def _pyramid(points: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("cnt"),
         F.min("lat").alias("lat_min"), F.max("lat").alias("lat_max"),
         F.min("lon").alias("lon_min"), F.max("lon").alias("lon_max"),
+        F.max(F.cos(F.radians("lat"))).alias("cos_max"),
     )
     siblings = Window.partitionBy("grp", "parent", "level")  # at most 16 rows, one for the top
     return nodes.withColumn("parent_cnt", F.sum("cnt").over(siblings))
 
 
-def _prune(cands: DataFrame, k: int, radius_m: float | None) -> DataFrame:
-    """Drop cells that cannot hold one of the k nearest points of their query."""
+def _prune(cands: DataFrame, k: int) -> DataFrame:
+    """Tighten every query's bound to where its k nearest points must lie, drop the cells beyond."""
     q = Window.partitionBy("qid")
     if k == 1:
-        bound = F.min("ub").over(q)
+        new = F.min("ub").over(q)
     else:
         running = q.orderBy("ub", "node").rowsBetween(Window.unboundedPreceding, 0)
         cands = cands.withColumn("_seen", F.sum("cnt").over(running))
-        bound = F.min(F.when(F.col("_seen") >= k, F.col("ub"))).over(q)
-    cands = cands.withColumn("_bound", bound)
-    keep = F.col("_bound").isNull() | (F.col("lb") <= F.col("_bound") + _SLACK)
-    if radius_m is not None:
-        keep = keep & (F.col("lb") <= radius_m + _SLACK)
-    return cands.where(keep).drop("_bound", "_seen")
+        new = F.min(F.when(F.col("_seen") >= k, F.col("ub"))).over(q)
+    cands = cands.withColumn("bound", F.least("bound", new))  # least skips a null
+    return cands.where(F.col("lb") <= F.col("bound") + _SLACK).drop("_seen")
+
 
+def _bounds(box) -> list[Column]:
+    return [_lower_bound(box).alias("lb"), _upper_bound(box).alias("ub")]
 
-def _bounds(lat, lon, box) -> list[Column]:
-    return [_lower_bound(lat, lon, box).alias("lb"), _upper_bound(lat, lon, box).alias("ub")]
+
+def _broadcast_upto(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast hint when the known number of rows is small; else a shuffle join with skew handling."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _roots(q: DataFrame, roots: DataFrame, n: int, k: int, radius_m: float | None) -> DataFrame:
@@ -108,9 +123,8 @@ def _roots(q: DataFrame, roots: DataFrame, n: int, k: int, radius_m: float | Non
         q = q.withColumn("cells", F.try_element_at(table, F.col("grp")))
     else:
         q = q.join(lists, "grp")
-    qlat, qlon = F.col("qlat"), F.col("qlon")
     q = q.withColumn("cells", F.transform("cells", lambda c: F.struct(
-        c["node"].alias("node"), c["cnt"].alias("cnt"), *[c[x].alias(x) for x in _BOX], *_bounds(qlat, qlon, c))))
+        c["node"].alias("node"), c["cnt"].alias("cnt"), *[c[x].alias(x) for x in _BOX], *_bounds(c))))
     if k == 1:
         q = q.withColumn("bound", F.array_min(F.transform("cells", lambda c: c["ub"])))
     else:
@@ -123,9 +137,10 @@ def _roots(q: DataFrame, roots: DataFrame, n: int, k: int, radius_m: float | Non
     reach = F.coalesce(F.col("bound"), F.lit(float("inf")))
     if radius_m is not None:
         reach = F.least(reach, F.lit(float(radius_m)))
-    kept = F.filter("cells", lambda c: c["lb"] <= reach + _SLACK)
-    return q.select("qid", "grp", "qlat", "qlon", F.explode(kept).alias("c")).select(
-        "qid", "grp", "qlat", "qlon", "c.*")
+    q = q.withColumn("bound", reach)
+    kept = F.filter("cells", lambda c: c["lb"] <= F.col("bound") + _SLACK)
+    return q.select("qid", "grp", "qlat", "qlon", "qcos", "bound", F.explode(kept).alias("c")).select(
+        "qid", "grp", "qlat", "qlon", "qcos", "bound", "c.*")
 
 
 def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
@@ -149,19 +164,20 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
         "x": geo.cell_x(F.col("lon"), geo.CELL_BITS), "y": geo.cell_y(F.col("lat"), geo.CELL_BITS)}))
     nodes = cut_lineage(_pyramid(points))
 
-    stats = {r["level"]: (r["n"], r["top"]) for r in
-             nodes.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("cnt").alias("top"))
-             .collect()}  # one row per level
+    stats = {r["level"]: (r["n"], r["top"], r["points"]) for r in
+             nodes.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("cnt").alias("top"),
+                                        F.sum("cnt").alias("points")).collect()}  # one row per level
     if not stats:
         return _empty_result(queries, points)
     start = max([z for z in _LEVELS if stats[z][0] <= ROOTS], default=0)
     stop = min([z for z in _LEVELS if z >= start and stats[z][1] <= LEAF], default=_LEVELS[-1])
 
     qlat, qlon = F.col("qlat"), F.col("qlon")
-    q = queries.where(usable).select("qid", "grp", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"))
+    q = queries.where(usable).select("qid", "grp", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"),
+                                 F.cos(F.radians("lat")).alias("qcos"))
     cands = _roots(q, nodes.where(F.col("level") == start), stats[start][0], k, radius_m)
     if start < stop:
-        cands = _prune(cands, k, radius_m)
+        cands = _prune(cands, k)
 
     for level in range(start + STEP, stop + 1, STEP):
         kids = nodes.where((F.col("level") == level) & (F.col("parent_cnt") > LEAF)).select(
@@ -171,22 +187,26 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
         )
         # cells that are small enough already have no kids here and pass through
         opened = cands.join(
-            kids, (F.col("grp") == F.col("k_grp")) & (F.col("node") == F.col("k_parent")), "left")
+            _broadcast_upto(kids, stats[level][0]),
+            (F.col("grp") == F.col("k_grp")) & (F.col("node") == F.col("k_parent")), "left")
         box = {c: F.coalesce(F.col(f"k_{c}"), F.col(c)) for c in _BOX}
         cands = opened.select(
-            "qid", "grp", "qlat", "qlon",
+            "qid", "grp", "qlat", "qlon", "qcos", "bound",
             F.coalesce("k_node", "node").alias("node"), F.coalesce("k_cnt", "cnt").alias("cnt"),
-            *[box[c].alias(c) for c in _BOX], *_bounds(qlat, qlon, box),
+            *[box[c].alias(c) for c in _BOX], *_bounds(box),
         )
-        cands = _prune(cands, k, radius_m)
+        # most kids fall to the bound of the level above, before anything is shuffled by query
+        cands = _prune(cands.where(F.col("lb") <= F.col("bound") + _SLACK), k)
 
-    used = F.explode(F.lit(list(range(start, stop + 1, STEP))))
-    members = points.withColumn("level", used).select(
+    levels = list(range(start, stop + 1, STEP))
+    members = points.withColumn("level", F.explode(F.lit(levels))).select(
         F.col("grp").alias("p_grp"), "pid", "lat", "lon", _node(F.col("level")).alias("p_node"))
     hits = (
-        cands.select("qid", "grp", "qlat", "qlon", "node")
-        .join(members, (F.col("grp") == F.col("p_grp")) & (F.col("node") == F.col("p_node")))
+        cands.select("qid", "grp", "qlat", "qlon", "qcos", "bound", "node")
+        .join(_broadcast_upto(members, stats[start][2] * len(levels)),
+              (F.col("grp") == F.col("p_grp")) & (F.col("node") == F.col("p_node")))
         .withColumn("distance_m", geo.haversine_m(qlat, qlon, F.col("lat"), F.col("lon")))
+        .where(F.col("distance_m") <= F.col("bound") + _SLACK)
         .select("qid", "pid", "grp", "lat", "lon", "distance_m")
     )
     if radius_m is not None:

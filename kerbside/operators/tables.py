@@ -10,19 +10,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def _winner(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
+def _winner(df: DataFrame, keys: list[str], order: list[str | Column], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     row = F.struct(*rest) if rest else F.struct(*keys)
     best = df.groupBy(*keys).agg(pick(row, F.struct(*order)).alias("_row"))
     return best.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in rest]).select(*df.columns)
 
 
-def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def latest_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     """The row with the greatest ``order`` per key; end the order with a tie-break."""
     return _winner(df, keys, order, F.max_by)
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def first_per_key(df: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
     return _winner(df, keys, order, F.min_by)
 
 

@@ -7,6 +7,8 @@ on the cell and an exact test, never a nested loop over all polygons.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,6 +47,7 @@ def cover_zones(zones: DataFrame) -> DataFrame:
                     "zone_order", "zone_id", "zone_name", "polygons", "_box")
 
 
+_BROADCAST_VERTICES = 1_000_000  # about 50 MB of rings
 _CROWDED = 256  # zones sharing one cell beyond which zones are joined row by row
 
 
@@ -97,7 +100,9 @@ def _first_zone_by_cells(points: DataFrame, cover: DataFrame, levels: list[int],
         one = cells.where(F.col("_level") == level).select(
             F.col("_cell").alias(f"_c{level}"), F.col("_zones").alias(f"_z{level}"))
         here = _cell_at(F.lit(level), F.col("lat"), F.col("lon")) == F.col(f"_c{level}")
-        out = out.join(broadcast_if_small(one, 5_000), here, "left")
+        vertices = F.aggregate(F.transform(f"_z{level}", lambda z: F.size(F.flatten(F.flatten(z["polygons"])))),
+                               F.lit(0), lambda acc, n: acc + n)
+        out = out.join(broadcast_if_small(one, _BROADCAST_VERTICES, vertices), here, "left")
         hits.append(F.get(F.transform(F.filter(F.col(f"_z{level}"), holds), _label), F.lit(0)))
     if not hits:
         return out.withColumn("_zone", F.lit(None).cast("struct<zone_id:int,zone_name:string>"))
@@ -164,13 +169,13 @@ def segments_meet(p1, p2, q1, q2) -> Column:
         | ((o3 == 0) & on(q1, q2, p1)) | ((o4 == 0) & on(q1, q2, p2))
 
 
-def zone_adjacency(zones: DataFrame, bits: int = 12) -> DataFrame:
+def zone_adjacency(zones: DataFrame, bits: int | None = None) -> DataFrame:
     """(zone_id, neighbour_id) for zones that intersect or touch, each zone with itself.
 
     Boundary segments are hashed to the cells of their box and meet in an equi join on the cell, so
     only segments near each other are compared. Two zones without a crossing boundary still meet
     when one lies inside the other; that is tested with one vertex per ring through the cell cover.
-    ``bits`` sets the cell size: choose it close to the length of a boundary segment.
+    ``bits`` sets the cell size; by default cells are as wide as the longer boundary segments.
     """
     ring = F.col("ring")
     rings = zones.select("zone_id", F.explode("polygons").alias("poly")).select(
@@ -180,10 +185,14 @@ def zone_adjacency(zones: DataFrame, bits: int = 12) -> DataFrame:
         ring, geo.previous_vertices(ring), lambda a, b: F.struct(point(b).alias("p"), point(a).alias("q"))
     )).alias("s")).select("zone_id", F.col("s.p").alias("p"), F.col("s.q").alias("q"))
     p, q = F.col("p"), F.col("q")
+    segs = segs.where(p != q)
+    if bits is None:
+        reach = F.greatest(F.abs(p["x"] - q["x"]) / 360.0, F.abs(p["y"] - q["y"]) / 180.0)
+        long = segs.agg(F.percentile_approx(reach, 0.9).alias("r")).first()["r"] or 1.0
+        bits = max(0, min(geo.CELL_BITS, math.floor(-math.log2(long))))
     span = lambda f, u, v: F.sequence(f(F.least(u, v), bits), f(F.greatest(u, v), bits))
     segs = (
-        segs.where(p != q)
-        .withColumn("cx", F.explode(span(geo.cell_x, p["x"], q["x"])))
+        segs.withColumn("cx", F.explode(span(geo.cell_x, p["x"], q["x"])))
         .withColumn("cy", F.explode(span(geo.cell_y, p["y"], q["y"])))
         .withColumn("cell", geo.cell_key(F.col("cx"), F.col("cy"))).drop("cx", "cy")
     )

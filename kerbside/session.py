@@ -44,13 +44,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+def broadcast_if_small(df: DataFrame, limit: int = 100_000, weight: Column | None = None) -> DataFrame:
     """Hint a broadcast only after counting; beyond the bound the join stays a shuffle join.
 
-    The count stops at ``max_rows + 1``, so it is cheap on a large side too.
+    Counts rows, stopping at ``limit + 1``, so it is cheap on a large side too. For rows of very
+    different size give their ``weight``, e.g. the vertices of a polygon; its sum is bounded then.
     """
-    small = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n")).first()["n"] <= max_rows
-    return F.broadcast(df) if small else df
+    if weight is None:
+        size = df.limit(limit + 1).agg(F.count(F.lit(1)).alias("n"))
+    else:
+        size = df.agg(F.coalesce(F.sum(weight), F.lit(0)).alias("n"))
+    return F.broadcast(df) if size.first()["n"] <= limit else df
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -9,10 +9,13 @@ from kerbside.operators import tables
 
 
 def write_curated(df: DataFrame, path: str, rows_per_file: int = 500_000) -> None:
-    """Curated trips by month. Rows of a month are spread over tasks by trip id, so a month that
-    holds most rows is not written by one task; file sizes are capped by row count."""
-    df.write.mode("overwrite").partitionBy("year_month").option("compression", "snappy").option(
-        "maxRecordsPerFile", rows_per_file).parquet(path)
+    """Curated trips by month, file sizes capped by rows.
+
+    The rebalance hint gathers a month into few files and, at run time, splits a month that is too
+    large for one task; without it every task would write a small file into every month.
+    """
+    df.hint("rebalance", "year_month").write.mode("overwrite").partitionBy("year_month").option(
+        "compression", "snappy").option("maxRecordsPerFile", rows_per_file).parquet(path)
 
 
 def write_kpi(df: DataFrame, path: str) -> None:
@@ -36,7 +39,7 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[
     target = spark.read.parquet(path)
     touched = updates.select(*partition_by).distinct()
     affected = target.join(touched, partition_by, "left_semi")
-    merged = tables.upsert(affected, updates, keys, order)
+    merged = tables.upsert(affected, updates, keys, order).hint("rebalance", *partition_by)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
         *partition_by).parquet(path)
 
