@@ -41,33 +41,31 @@ def _node(level) -> Column:
 
 
 # Bounds without trigonometry per cell: they are evaluated for every query and cell on the way.
-# ``qcos`` is the cosine of the query's latitude, ``cos_max`` the largest one inside the cell's box.
+# They are SQL text over the query's qlat, qlon, qcos (cosine of its latitude) and a cell's box;
+# ``cos_max`` is the largest cosine of latitude inside the box. ``p`` prefixes the box columns.
 
 
-def _lower_bound(box) -> Column:
+def _lower_bound(p: str = "") -> str:
     """No point of the box is closer: the gap to its latitude band, and the one to its meridians.
 
     The way to a meridian d away is at least asin(cos(lat) sin d) >= cos(lat) (d - d^3/6).
     """
-    lat, lon = F.col("qlat"), F.col("qlon")
-    band = F.greatest(box["lat_min"] - lat, lat - box["lat_max"], F.lit(0.0))
-    turn = lambda edge: F.least(F.abs(lon - edge), 360.0 - F.abs(lon - edge), F.lit(90.0))
-    inside = lon.between(box["lon_min"], box["lon_max"])
-    d = F.when(inside, 0.0).otherwise(F.least(turn(box["lon_min"]), turn(box["lon_max"]))) * _RADIAN
-    return F.greatest(band * _RADIAN, F.col("qcos") * (d - d * d * d / 6)) * S.EARTH_RADIUS_M
+    turn = [f"abs(qlon - {p}{e}), 360D - abs(qlon - {p}{e})" for e in ("lon_min", "lon_max")]
+    d = f"(if(qlon BETWEEN {p}lon_min AND {p}lon_max, 0D, least({turn[0]}, {turn[1]}, 90D)) * {_RADIAN}D)"
+    band = f"(greatest({p}lat_min - qlat, qlat - {p}lat_max, 0D) * {_RADIAN}D)"
+    return f"greatest({band}, qcos * ({d} - {d} * {d} * {d} / 6D)) * {S.EARTH_RADIUS_M}D"
 
 
-def _upper_bound(box) -> Column:
+def _upper_bound(p: str = "") -> str:
     """Every point of the box is within this: the straight way in degrees to the farthest corner.
 
     A degree of longitude counts with the largest cosine met on the way, 1 across the equator.
     """
-    lat, lon = F.col("qlat"), F.col("qlon")
-    up = F.greatest(F.abs(lat - box["lat_min"]), F.abs(lat - box["lat_max"]))
-    across = F.greatest(F.abs(lon - box["lon_min"]), F.abs(lon - box["lon_max"]))
-    same_side = (lat * box["lat_min"] > 0) & (lat * box["lat_max"] > 0)
-    across = across * F.when(same_side, F.greatest(F.col("qcos"), box["cos_max"])).otherwise(F.lit(1.0))
-    return F.sqrt(up * up + across * across) * (_RADIAN * S.EARTH_RADIUS_M)
+    up = f"greatest(abs(qlat - {p}lat_min), abs(qlat - {p}lat_max))"
+    same_side = f"qlat * {p}lat_min > 0 AND qlat * {p}lat_max > 0"
+    across = (f"(greatest(abs(qlon - {p}lon_min), abs(qlon - {p}lon_max))"
+              f" * if({same_side}, greatest(qcos, {p}cos_max), 1D))")
+    return f"sqrt({up} * {up} + {across} * {across}) * {_RADIAN * S.EARTH_RADIUS_M}D"
 
 
 _BOX = ["lat_min", "lat_max", "lon_min", "lon_max", "cos_max"]
@@ -102,10 +100,6 @@ def _prune(cands: DataFrame, k: int) -> DataFrame:
     return cands.where(F.col("lb") <= F.col("bound") + _SLACK).drop("_seen")
 
 
-def _bounds(box) -> list[Column]:
-    return [_lower_bound(box).alias("lb"), _upper_bound(box).alias("ub")]
-
-
 def _broadcast_upto(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast hint when the known number of rows is small; else a shuffle join with skew handling."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
@@ -123,8 +117,9 @@ def _roots(q: DataFrame, roots: DataFrame, n: int, k: int, radius_m: float | Non
         q = q.withColumn("cells", F.try_element_at(table, F.col("grp")))
     else:
         q = q.join(lists, "grp")
-    q = q.withColumn("cells", F.transform("cells", lambda c: F.struct(
-        c["node"].alias("node"), c["cnt"].alias("cnt"), *[c[x].alias(x) for x in _BOX], *_bounds(c))))
+    fields = ", ".join(f"c.{x} AS {x}" for x in ("node", "cnt", *_BOX))
+    q = q.withColumn("cells", F.expr(
+        f"transform(cells, c -> struct({fields}, {_lower_bound('c.')} AS lb, {_upper_bound('c.')} AS ub))"))
     if k == 1:
         q = q.withColumn("bound", F.array_min(F.transform("cells", lambda c: c["ub"])))
     else:
@@ -189,12 +184,10 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
         opened = cands.join(
             _broadcast_upto(kids, stats[level][0]),
             (F.col("grp") == F.col("k_grp")) & (F.col("node") == F.col("k_parent")), "left")
-        box = {c: F.coalesce(F.col(f"k_{c}"), F.col(c)) for c in _BOX}
-        cands = opened.select(
+        cands = opened.selectExpr(
             "qid", "grp", "qlat", "qlon", "qcos", "bound",
-            F.coalesce("k_node", "node").alias("node"), F.coalesce("k_cnt", "cnt").alias("cnt"),
-            *[box[c].alias(c) for c in _BOX], *_bounds(box),
-        )
+            *[f"coalesce(k_{c}, {c}) AS {c}" for c in ("node", "cnt", *_BOX)],
+        ).selectExpr("*", f"{_lower_bound()} AS lb", f"{_upper_bound()} AS ub")
         # most kids fall to the bound of the level above, before anything is shuffled by query
         cands = _prune(cands.where(F.col("lb") <= F.col("bound") + _SLACK), k)
 
