@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kerbside.llm import mixing, packing
+from kerbside.llm import minhash, mixing, packing
 from kerbside.llm.common import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,3 +42,8 @@ def op3_packing(spark, sf_dir):
 def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "whole", "part")
+
+
+@query("op9_minhash_dedup")
+def op9_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
