@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from kerbside.llm import minhash, mixing, packing
+from kerbside.llm import hnsw, minhash, mixing, packing, vectors
 from kerbside.llm.common import settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +48,13 @@ def op5_mixing(spark, sf_dir):
 @query("op9_minhash_dedup")
 def op9_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
+@query("op8_embedding_dedup")
+def op8_embedding_dedup(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_nearest_neighbours")
+def op10_nearest_neighbours(spark, sf_dir):
+    return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
