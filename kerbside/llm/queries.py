@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import hnsw, minhash, mixing, packing, vectors
-from kerbside.llm.common import settings
+from kerbside.llm import hnsw, langid, minhash, mixing, packing, quality, substrings, toxicity, vectors
+from kerbside.llm.common import remainder, settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,17 +34,45 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op2_language_id")
+def op2_language_id(spark, sf_dir):
+    held_out = remainder(F.col("doc_id"), 4) == 2
+    found = langid.identify(table(spark, sf_dir, "documents"), learn=~held_out)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query("op3_packing")
 def op3_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+@query("op4_quality")
+def op4_quality(spark, sf_dir):
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    scores = quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op5_mixing")
 def op5_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken", "whole", "part")
 
 
+@query("op6_toxicity")
+def op6_toxicity(spark, sf_dir):
+    held_out = remainder(F.col("doc_id"), 5) == 0
+    scores = toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), learn=~held_out)
+    return scores.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark, sf_dir):
+    cut = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return cut.select("doc_id", "text", F.col("__sentences").alias("n_sentences"), F.col("__removed").alias("n_removed"),
+                      F.col("__bytes").alias("removed_bytes"))
+
+
 @query("op9_minhash_dedup")
 def op9_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
