@@ -17,6 +17,7 @@ from itertools import islice
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside.llm.common import WORD
 from kerbside.session import broadcast_if_small, cut_lineage
@@ -169,7 +170,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, block: int = BLOCK_
                       (F.col("taken") - whole * F.col("size")).alias("part"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _first_words(texts: pd.Series, counts: pd.Series) -> pd.Series:
     """The text up to the end of its n-th word, white space as it was."""
     def cut(text, n):

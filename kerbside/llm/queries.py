@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import hnsw, langid, minhash, mixing, packing, quality, substrings, toxicity, vectors
+from kerbside.llm import hnsw, langid, licenses, minhash, mixing, packing, quality, substrings, toxicity, vectors
 from kerbside.llm.common import remainder, settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,6 +34,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@query("op1_license_scan", licenses.oracle())
+def op1_license_scan(spark, sf_dir):
+    found = licenses.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *[F.array_join(c, ",").alias(c) for c in ("sentence_ids", "licenses", "unexplained")])
+
+
 @query("op2_language_id")
 def op2_language_id(spark, sf_dir):
     held_out = remainder(F.col("doc_id"), 4) == 2

@@ -14,13 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kerbside.llm.common import LOWER, in_arrow, mix64, segments, spans_hash, words
 from kerbside.session import cut_lineage
 
 SPAN = 3  # sentences
 SPAN_WORDS = 16
-CUT_EVERY = 8  # one word in so many ends a sentence by its hash
+CUT_EVERY = 6  # one word in so many ends a sentence by its hash
 
 _ENDS = np.zeros(256, bool)
 _ENDS[list(b".!?")] = True
@@ -114,7 +115,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     return later.groupBy("row").agg(F.collect_set("first").alias("firsts"))
 
 
-@F.arrow_udf("struct<text:string,sentences:int,removed:int,bytes:array<int>>")
+_CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("sentences", T.IntegerType()),
+                     T.StructField("removed", T.IntegerType()), T.StructField("bytes", T.ArrayType(T.IntegerType()))])
+
+
+@F.arrow_udf(_CUT)
 def _without(texts: pa.Array, firsts: pa.Array) -> pa.Array:
     """Texts without the sentences of the given spans; ``bytes`` has (start, end) of what went, in turn."""
     out = []
