@@ -108,16 +108,15 @@ RULES = [
 
 #: What a text must hold for any known sentence to be in it, and how sentences are brought to plain form.
 HINT = "(?i)licen[sc]|copyright|permi|rights reserved|redistribut|free software|merchantability|noninfringement|warrant|liable|public domain"
-SENTENCE_END = r"([.!?;:])[ \t\r]+"
+SENTENCE_END = r"([.!?])[ \t\r]+([^0-9 \t\r])"  # "v. 2.0" is no end
 PLAIN = [
     (r"[^a-z0-9.+]+", " "),
     (r"^[ .]+|[ .]+$", ""),
     (r"^spdx license identifier ", "licensed under "),
-    (r"^(this|the) (work|software|project|file|program|code|document|package|library|dataset|content) is ", ""),
-    (r"^(licensed|released|distributed|published|available|made available|provided|covered) (under|by)( the terms of)?( the)? ", "licensed under "),
+    (r"^((this|the) (work|software|project|file|program|code|document|package|library|dataset|content) is )?"
+     r"(licensed|released|distributed|published|available|made available|provided|covered) (under|by)( the terms of)?( the)? ", "licensed under "),
     (r"^neither the name of .* nor the names of (its|any) contributors ", "neither the name of the holder nor the names of its contributors "),
     (r"^copyright .*$", "copyright"),
-    (r" the license$", ""),
 ]
 
 
@@ -133,7 +132,7 @@ def known_sentences() -> dict[str, str]:
                              f"creative commons {long} {version} international", f"creative commons {long} {version} license",
                              f"creative commons {long} {version} international license"):
                 names[spelling] = name
-    out = {f"licensed under {spelling}": f"under:{name}" for spelling, name in names.items()}
+    out = {f"licensed under {spelling}{end}": f"under:{name}" for spelling, name in names.items() for end in ("", " the license")}
     out |= {f"licensed under {spelling} {later}": f"under:{name}-or-later" for spelling, name in names.items()
             if "GPL-" in name for later in ("or later", "or any later version", "or at your option any later version")}
     return out | {text: key for key, text in BODY.items()} | {"copyright": "copyright"}
@@ -156,7 +155,7 @@ def sentence_ids(text: Column) -> Column:
     """Identifiers of the known sentences of a text, in order; an empty array if it has none."""
     known = known_sentences()
     table = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values())))
-    split = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n"), "\n")
+    split = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n$2"), "\n")
     found = F.filter(F.transform(split, lambda s: F.try_element_at(table, plain_form(s))), lambda i: i.isNotNull())
     return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
 
@@ -180,7 +179,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null and empty texts have none of either. Rows are judged each by themselves; an empty table
     gives an empty result. A column that already has one of the three names is replaced. Sentences
-    end with a line, or with . ! ? ; or : and white space; case, punctuation and spacing don't matter.
+    end with a line, or with . ! or ? and white space, unless a digit follows; case, punctuation and spacing don't matter.
     """
     rows = docs.withColumn("sentence_ids", F.coalesce(sentence_ids(F.col(text_col)), F.array().cast("array<string>")))
     rows = rows.withColumn("__told", licenses_of(F.col("sentence_ids")))
@@ -196,8 +195,8 @@ def oracle() -> str:
         plain = f"regexp_replace({plain}, {quote(pattern)}, {quote(by)}, 'g')"
     known = ", ".join(f"({quote(a)}, {quote(b)})" for a, b in known_sentences().items())
     sql = f"""WITH known(plain, id) AS (VALUES {known}),
-    parts AS (SELECT doc_id, unnest(string_split(regexp_replace(text, {quote(SENTENCE_END)}, '\\1' || chr(10), 'g'), chr(10))) AS s,
-        generate_subscripts(string_split(regexp_replace(text, {quote(SENTENCE_END)}, '\\1' || chr(10), 'g'), chr(10)), 1) AS n
+    parts AS (SELECT doc_id, unnest(string_split(regexp_replace(text, {quote(SENTENCE_END)}, '\\1' || chr(10) || '\\2', 'g'), chr(10))) AS s,
+        generate_subscripts(string_split(regexp_replace(text, {quote(SENTENCE_END)}, '\\1' || chr(10) || '\\2', 'g'), chr(10)), 1) AS n
         FROM documents WHERE regexp_matches(text, {quote(HINT)})),
     hits AS (SELECT doc_id, n, id FROM parts JOIN known ON known.plain = {plain}),
     r0 AS (SELECT doc_id, string_agg(id, ',' ORDER BY n) AS sentence_ids, string_agg(' ' || id || ' ', '' ORDER BY n) AS row_,

@@ -35,12 +35,15 @@ class Sentences:
 
     def spans(self, span: int = SPAN, span_words: int = SPAN_WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(hash, first sentence, last sentence) of the shortest run from each sentence that is long
-        enough; runs the text is too short for are left out."""
+        enough, and at last of the shortest one that ends with the text, if it isn't among them."""
         n = len(self.ends)
         first_word = np.concatenate(([0], self.ends[:-1])) if n else np.zeros(0, np.int64)
         last = np.maximum(np.arange(n) + span - 1, np.searchsorted(self.ends, first_word + span_words))
         first = np.flatnonzero(last < n)
         last = last[first]
+        if len(last) and last[-1] < n - 1:
+            begin = min(n - span, int(np.searchsorted(first_word, self.ends[-1] - span_words, "right")) - 1)
+            first, last = np.append(first, begin), np.append(last, n - 1)
         code = spans_hash(self.word_hash.view(np.uint8), first_word[first] * 8, self.ends[last] * 8)
         return code, first, last
 
@@ -88,7 +91,7 @@ def row_key() -> Column:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(row, firsts): for each row that has any, the first sentences of its spans that occur elsewhere before.
+    """(row, spans): for each row that has any, the numbers of its spans that occur elsewhere before.
 
     Occurrences are ordered by row key and place, so the copy that stays doesn't depend on the order
     of rows. Only hashes, row keys and places are shuffled, and spans of one row's key twice when the
@@ -99,20 +102,20 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             keys = batch.column(0).to_numpy()
             codes, rows, places = [], [], []
             for key, text in zip(keys, sentences(batch.column(1))):
-                code, first, _ = text.spans()
+                code, _, _ = text.spans()
                 codes.append(code.view(np.int64))
                 rows.append(np.full(len(code), key, np.int64))
-                places.append(first)
+                places.append(np.arange(len(code)))
             yield pa.RecordBatch.from_arrays([
                 pa.array(np.concatenate(codes or [np.zeros(0, np.int64)]), pa.int64()),
                 pa.array(np.concatenate(rows or [np.zeros(0, np.int64)]), pa.int64()),
                 pa.array(np.concatenate(places or [np.zeros(0, np.int64)]).astype(np.int32), pa.int32())],
-                ["code", "row", "first"])
+                ["code", "row", "span"])
 
-    spans = in_arrow(docs.select(row_key().alias("row"), "text"), run, "code long, row long, first int")
-    again = spans.groupBy("code").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("row", "first")).alias("_stays")).where("_n > 1")
-    later = spans.join(again.select("code", "_stays"), "code").where(F.struct("row", "first") > F.col("_stays"))
-    return later.groupBy("row").agg(F.collect_set("first").alias("firsts"))
+    spans = in_arrow(docs.select(row_key().alias("row"), "text"), run, "code long, row long, span int")
+    again = spans.groupBy("code").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("row", "span")).alias("_stays")).where("_n > 1")
+    later = spans.join(again.select("code", "_stays"), "code").where(F.struct("row", "span") > F.col("_stays"))
+    return later.groupBy("row").agg(F.collect_set("span").alias("spans"))
 
 
 _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("sentences", T.IntegerType()),
@@ -120,17 +123,17 @@ _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("sente
 
 
 @F.arrow_udf(_CUT)
-def _without(texts: pa.Array, firsts: pa.Array) -> pa.Array:
+def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
     """Texts without the sentences of the given spans; ``bytes`` has (start, end) of what went, in turn."""
     out = []
-    for text, parsed, some in zip(texts.to_pylist(), sentences(texts), firsts.to_pylist()):
+    for text, parsed, some in zip(texts.to_pylist(), sentences(texts), spans.to_pylist()):
         if text is None or some is None:
             out.append({"text": text, "sentences": len(parsed.ends), "removed": 0, "bytes": []})
             continue
         gone = np.zeros(len(parsed.ends), bool)
         _, first, last = parsed.spans()
-        for f in some:
-            gone[f:last[np.searchsorted(first, f)] + 1] = True
+        for k in some:
+            gone[first[k]:last[k] + 1] = True
         raw = text.encode()
         edges = np.append(parsed.byte_starts[np.concatenate(([0], parsed.ends[:-1]))], len(raw))
         edges[0] = 0
@@ -151,15 +154,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """``docs``, all columns and rows, with repeated passages cut from ``text``; and what was cut:
     __sentences, __removed (sentences) and __bytes (start and end of every cut in the UTF-8 text).
 
-    A text in which nothing repeats is returned as it is, null as null. Copies of a document lose
-    everything but what is too short for a span, except the first. Rows equal in id and text count as
+    A text in which nothing repeats is returned as it is, null as null. Of copies long
+    enough for a span only the first keeps its text. Rows equal in id and text count as
     one. White space after a removed sentence goes with it. An empty table gives an empty result.
     Columns are looked up by name; other columns may have any name that doesn't start with "__".
     """
-    firsts = cut_lineage(repeated_spans(docs.select("doc_id", "text"))).select(
-        F.col("row").alias("__row"), F.col("firsts").alias("__firsts"))
-    rows = docs.withColumn("__row", row_key()).join(firsts, "__row", "left")
-    rows = rows.withColumn("__cut", _without("text", "__firsts"))
+    spans = cut_lineage(repeated_spans(docs.select("doc_id", "text"))).select(
+        F.col("row").alias("__row"), F.col("spans").alias("__spans"))
+    rows = docs.withColumn("__row", row_key()).join(spans, "__row", "left")
+    rows = rows.withColumn("__cut", _without("text", "__spans"))
     others = [F.col(c) if c != "text" else F.col("__cut.text").alias("text") for c in docs.columns]
     return rows.select(*others, F.col("__cut.sentences").alias("__sentences"), F.col("__cut.removed").alias("__removed"),
                        F.col("__cut.bytes").alias("__bytes"))
