@@ -213,19 +213,22 @@ def most_requested(spark, d):
 
 
 _GAPS = """gaps AS (SELECT d.zone_id, d.n AS coverage_gap_demand FROM (SELECT zone_id, count(*) AS n FROM trips_hist GROUP BY 1) d
-  LEFT JOIN (SELECT zone_id, count(DISTINCT taxi_id) AS v FROM zoned WHERE event_id % 100 < 2 GROUP BY 1) s USING (zone_id)
-  WHERE v IS NULL OR v < 20)"""
+  LEFT JOIN (SELECT zone_id, count(*) AS v FROM (SELECT zone_id FROM zoned
+    QUALIFY row_number() OVER (PARTITION BY taxi_id ORDER BY ts DESC, event_id DESC) = 1) GROUP BY 1) s USING (zone_id)
+  WHERE coalesce(v, 0) < 3)"""
 
 
 def _gaps(spark, d):
-    vehicles = demand.vehicles_per_zone(B.zoned(B.pings(spark, d)).where(F.col("event_id") % 100 < 2))
+    last = tables.latest_per_key(B.zoned(B.pings(spark, d)).select("taxi_id", "zone_id", "ts", "event_id"),
+                                 ["taxi_id"], ["ts", "event_id"])
+    vehicles = demand.vehicles_per_zone(last)
     counts = demand.requests_per_zone(B.trips_hist(spark, d)).withColumnRenamed("request_count", "demand_count")
-    return demand.coverage_gaps(counts, vehicles, 20)
+    return demand.coverage_gaps(counts, vehicles, 3)
 
 
 @query("SELECT zone_id, coverage_gap_demand FROM gaps", B.TRIPS, B.pings_sql(), _ZONED, _GAPS)
 def coverage_gaps(spark, d):
-    """Demand zones against a thin fleet: vehicles that pinged with a hash of 0 or 1."""
+    """Demand zones where fewer than three vehicles were last seen."""
     return _gaps(spark, d)
 
 

@@ -213,7 +213,7 @@ def choropleth(spark, d):
 @query("SELECT trip_id, stride, n_points FROM polylines WHERE len(points) > 3", B.TRIPS, B.POLYLINES)
 def valid_trajectories(spark, d):
     """More than one usable point once the first two are cut off."""
-    t = B.points(B.trips_hist(spark, d)).withColumn("points", F.slice("points", 3, 100))
+    t = B.points(B.trips_hist(spark, d)).withColumn("points", F.expr("slice(points, 3, greatest(size(points) - 2, 0))"))
     return curate.valid_trajectory(t, "points").select("trip_id", "stride", "n_points")
 
 

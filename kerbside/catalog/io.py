@@ -117,6 +117,31 @@ def keyed_batches(spark, d):
     return sinks.read_keyed(spark, folded, ["taxi_id"], ["event_id"]).select("taxi_id", "event_id")
 
 
+@query("SELECT event_id, cast(event_id%3 AS int) AS batch_id FROM pings WHERE event_id%3=0 OR (event_id%3=1 AND event_id%2=0)", B.pings_sql())
+def batch_replayed_smaller(spark, d):
+    """Batches by sub-partition, tried again with fewer rows and sub-partitions, or none: only the last try counts."""
+    path = scratch_path(spark, "replayed")
+    p = B.pings(spark, d).select("event_id").withColumn("part", F.col("event_id") % 5)
+    batch = lambda n: p.where(F.col("event_id") % 3 == n)
+    sinks.append_batch(batch(0), path, 0, ["part"])
+    sinks.append_batch(batch(1), path, 1, ["part"])
+    sinks.append_batch(batch(1).where("event_id % 2 = 0"), path, 1, ["part"])
+    sinks.append_batch(batch(2), path, 2, ["part"])
+    sinks.append_batch(batch(2).where("false"), path, 2, ["part"])
+    return spark.read.parquet(path).select("event_id", "batch_id")
+
+
+@query("SELECT taxi_id, max(event_id) AS event_id FROM pings GROUP BY 1", B.pings_sql())
+def batches_folded_in_place(spark, d):
+    """Old batches of a growing table folded into one, later ones kept; last write per key."""
+    path = scratch_path(spark, "grown")
+    p = B.pings(spark, d).select("taxi_id", "event_id")
+    for n in range(4):
+        sinks.append_batch(p.where(F.col("event_id") % 4 == n), path, n)
+    sinks.fold_batches(spark, path, 2, ["taxi_id"], ["event_id"])
+    return sinks.read_keyed(spark, path, ["taxi_id"], ["event_id"]).select("taxi_id", "event_id")
+
+
 @query("SELECT taxi_id, epoch_ms(ts) AS timestamp_ms, lat, lon FROM (SELECT taxi_id, make_timestamp(epoch_us(ts)//1000*1000) AS ts, lat, lon FROM pings)",
        B.pings_sql())
 def json_events(spark, d):

@@ -16,9 +16,10 @@ from kerbside import schemas as S
 from kerbside import sinks
 from kerbside.catalog.base import query, rounded
 from kerbside.catalog.billing import BILLED, COMPLETIONS, completion_events
-from kerbside.catalog.demand import _WINDOW_COLUMNS, WINDOWS
+from kerbside.catalog.demand import _WINDOW_COLUMNS, _ZONED, WINDOWS
 from kerbside.catalog.matching import _LATEST, _PICK, positions
 from kerbside.catalog.trips import COMPLETION_ROWS, LIFECYCLE
+from kerbside.functions import events
 from kerbside.plans import bindings as B
 from kerbside.session import scratch_path
 from kerbside.streaming import archive, billing, common, demand, gps, lifecycle, matching
@@ -97,7 +98,11 @@ def stream_demand_windows(spark, d):
     return rounded(t, 6, "ratio").select("zone_id", "zone_name", "window_start", "active_vehicles", "pending_requests", "ratio")
 
 
-@query(f"""SELECT r.trip_id, m.taxi_id AS driver_id, round(m.d, 1) AS distance_meters, m.zone_id AS matched_zone,
+_ETA = f"CASE WHEN m.taxi_id IS NOT NULL THEN greatest(30, cast(floor(m.d/{30000 / 3600!r}e0) AS int)) END"
+
+
+@query(f"""SELECT r.trip_id, m.taxi_id AS driver_id, r.rider_id, round(m.d, 1) AS distance_meters, m.zone_id AS matched_zone,
+  {_ETA} AS eta_seconds, r.origin_zone, r.destination_zone, true AS has_time, m.taxi_id AS trip_taxi, {_ETA} AS trip_eta,
   CASE WHEN m.taxi_id IS NULL THEN 'NO_TAXI_AVAILABLE' ELSE 'MATCHED' END AS status
   FROM requests r LEFT JOIN (SELECT trip_id, taxi_id, zone_id, d FROM (
     SELECT p.trip_id, v.taxi_id, v.zone_id, {B.sql_haversine('plat', 'plon', 'v.lat', 'v.lon')} AS d FROM pick p JOIN latest v
@@ -110,9 +115,24 @@ def stream_match_events(spark, d):
     src, out, ck, fleet = (scratch_path(spark, f"match_{n}") for n in ("in", "out", "ck", "fleet"))
     sinks.append_batch(positions(spark, d), fleet, 0)
     replay([(request_messages(spark, d), "ts", src)], "text", lambda: matching.start_match_job(
-        common.read_event_files(spark, src), lambda: spark.read.parquet(fleet), out, ck, every=None))
-    e = spark.read.parquet(f"{out}/events").select(F.from_json("value", S.MATCH_EVENT).alias("e"))
-    return e.select("e.trip_id", "e.driver_id", "e.distance_meters", "e.matched_zone", "e.status")
+        common.read_event_files(spark, src), lambda: spark.read.parquet(fleet), out, ck, every=None, ttl=None))
+    # through the same check as any consumer's: nothing may go to quarantine
+    raw = spark.read.parquet(f"{out}/events").select("value")
+    good, _ = events.split_valid(raw, S.MATCH_EVENT, [["trip_id"], ["status"], ["matched_at"]])
+    e, rows = F.col("event"), spark.read.parquet(f"{out}/trips").select("trip_id", F.col("taxi_id").alias("trip_taxi"),
+                                                                         F.col("eta_seconds").alias("trip_eta"))
+    told = good.select(*[e[c].alias(c) for c in ("trip_id", "driver_id", "rider_id", "distance_meters", "eta_seconds",
+                                                  "origin_zone", "destination_zone", "matched_zone", "status")],
+                       (F.timestamp_millis(e["matched_at"]) > F.lit("2024-01-01").cast("timestamp")).alias("has_time"))
+    return told.join(rows, "trip_id", "left")
+
+
+@query("""SELECT taxi_id, arg_max(zone_id, (ts, event_id)) AS zone_id, max(ts) AS event_time FROM zoned
+  WHERE ts <= TIMESTAMP '2024-01-15' AND ts >= TIMESTAMP '2024-01-15' - INTERVAL 6 HOUR GROUP BY 1""", B.pings_sql(), _ZONED)
+def fleet_without_stale_taxis(spark, d):
+    """The fleet as the matcher sees it at a point in time: later pings unknown, silent taxis gone."""
+    rows = positions(spark, d)
+    return matching.fleet_snapshot(rows, F.lit("2024-01-15").cast("timestamp"), "6 HOURS").select("taxi_id", "zone_id", "event_time")
 
 
 @query("""SELECT trip_id, rider_id, strftime(requested_at, '%Y-%m-%d') AS date_bucket, origin_zone, destination_zone AS dest_zone, 'REQUESTED' AS status
@@ -127,6 +147,26 @@ def stream_requested_trips(spark, d):
     return t.select("trip_id", "rider_id", F.col("date_bucket").cast("string").alias("date_bucket"), "origin_zone", "dest_zone", "status")
 
 
+@query("""SELECT trip_id, rider_id, origin_zone, destination_zone, origin_lat, origin_lon, 33.5 + destination_zone/100 AS dest_lat,
+  CAST(NULL AS DOUBLE) AS dest_lon, epoch_us(requested_at)//1000 AS requested_at, CASE WHEN origin_zone%2=0 THEN 'B' ELSE 'A' END AS call_type
+  FROM requests""", B.REQUESTS)
+def stream_request_events(spark, d):
+    """What the request job publishes, read as the next job reads it: every declared field survives."""
+    common.configure(spark)
+    src, out, ck = (scratch_path(spark, f"published_{n}") for n in ("in", "out", "ck"))
+    r = B.requests(spark, d).withColumns({
+        "dest_lat": 33.5 + F.col("destination_zone") / 100,
+        "call_type": F.when(F.col("origin_zone") % 2 == 0, "B")})
+    fields = F.struct("trip_id", "rider_id", "origin_zone", "destination_zone", "origin_lat", "origin_lon", "dest_lat",
+                      "call_type", F.unix_millis("requested_at").alias("requested_at"))
+    replay([(r.select(F.col("requested_at").alias("ts"), F.to_json(fields).alias("value")), "ts", src)], "text",
+           lambda: matching.start_request_job(common.read_event_files(spark, src), out, ck, every=None))
+    good, _ = events.split_valid(spark.read.parquet(f"{out}/events").select("value"), S.TRIP_REQUEST_EVENT, [["trip_id"], ["requested_at"]])
+    e = F.col("event")
+    return good.select(*[e[c].alias(c) for c in ("trip_id", "rider_id", "origin_zone", "destination_zone", "origin_lat",
+                                                 "origin_lon", "dest_lat", "dest_lon", "requested_at", "call_type")])
+
+
 def _lifecycle(spark, d):
     common.configure(spark)
     src, out, ck = (scratch_path(spark, f"life_{n}") for n in ("in", "out", "ck"))

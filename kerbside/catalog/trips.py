@@ -19,7 +19,7 @@ from kerbside.plans import bindings as B
 def requested_trips(spark, d):
     """Zones from the request, from coordinates or the default; blank riders are unknown."""
     r = B.requests(spark, d)
-    key = F.substring("trip_id", 2, 20).cast("long")
+    key = F.expr("substring(trip_id, 2)").cast("long")
     r = r.withColumns({
         "rider_id": F.when(key % 5 == 0, F.lit(" ")).otherwise(F.col("rider_id")),
         "origin_zone": F.col("origin_zone") - 2, "destination_zone": F.col("destination_zone") + 3,
@@ -106,20 +106,20 @@ def trip_feed(spark, d):
 @query("""SELECT t.trip_id, coalesce(m.driver_id, t.taxi_id) AS taxi_id, coalesce(m.eta, t.eta_seconds) AS eta_seconds,
   CASE WHEN s.st IS NOT NULL THEN s.st WHEN m.driver_id IS NOT NULL THEN 'MATCHED' ELSE t.status END AS status FROM trips t
   LEFT JOIN (SELECT cast(l_orderkey AS varchar) AS trip_id, concat('d', arg_max(l_suppkey, (l_shipdate, l_suppkey, l_partkey, l_linenumber))) AS driver_id,
-     cast(arg_max(l_partkey, (l_shipdate, l_suppkey, l_partkey, l_linenumber)) % 500 + 30 AS int) AS eta FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1) m USING (trip_id)
-  LEFT JOIN (SELECT cast(l_orderkey AS varchar) AS trip_id, arg_max(CASE WHEN l_linenumber=3 THEN 'ACCEPTED' ELSE 'IN_PROGRESS' END,
-     (l_shipdate, l_linenumber)) AS st FROM lineitem WHERE l_linenumber IN (3,4) GROUP BY 1) s USING (trip_id)""", B.TRIPS_STATUS)
+     cast(arg_max(l_partkey, (l_shipdate, l_suppkey, l_partkey, l_linenumber)) % 500 + 30 AS int) AS eta FROM lineitem WHERE l_linenumber % 2 = 1 GROUP BY 1) m USING (trip_id)
+  LEFT JOIN (SELECT cast(l_orderkey AS varchar) AS trip_id, arg_max(CASE WHEN l_linenumber%4=2 THEN 'ACCEPTED' ELSE 'IN_PROGRESS' END,
+     (l_shipdate, l_linenumber)) AS st FROM lineitem WHERE l_linenumber % 2 = 0 GROUP BY 1) s USING (trip_id)""", B.TRIPS_STATUS)
 def trip_status_view(spark, d):
-    """Trips with last match and last status; a status event comes a century after the matches."""
+    """Trips with last match (odd lines) and last status (even lines), which comes a century after the matches."""
     item = B.table(spark, d, "lineitem")
     trip = F.col("l_orderkey").cast("string").alias("trip_id")
-    m = item.where("l_linenumber <= 2").select(
+    m = item.where("l_linenumber % 2 = 1").select(
         trip, F.concat(F.lit("d"), F.col("l_suppkey").cast("string")).alias("driver_id"),
         (F.col("l_partkey") % 500 + 30).cast("int").alias("eta_seconds"),
         F.struct("l_shipdate", "l_suppkey", "l_partkey", "l_linenumber").alias("at"))
     m = tables.latest_per_key(m, ["trip_id"], ["at"]).withColumn("ts", F.col("at.l_shipdate").cast("timestamp"))
-    s = item.where("l_linenumber IN (3, 4)").select(
-        trip, F.when(F.col("l_linenumber") == 3, "ACCEPTED").otherwise("IN_PROGRESS").alias("status"),
+    s = item.where("l_linenumber % 2 = 0").select(
+        trip, F.when(F.col("l_linenumber") % 4 == 2, "ACCEPTED").otherwise("IN_PROGRESS").alias("status"),
         (F.col("l_shipdate").cast("timestamp") + F.expr("INTERVAL 36525 DAYS")).alias("ts"), F.col("l_linenumber").alias("seq"))
     return trips.trip_status_view(B.trips_status(spark, d), m.drop("at"), s).select(
         "trip_id", "taxi_id", "eta_seconds", "status")
@@ -206,7 +206,7 @@ def driver_sources(spark, d):
     pending = tables.latest_per_key(slot, ["driver_id"], ["ts", "seq"]).where("kind = 'assign'").select("driver_id", "trip_id")
     ping = e.where("kind = 'ping'").select("driver_id", "lat", "lon", "ts", "seq")
     latest = tables.latest_per_key(ping, ["driver_id"], ["ts", "seq"]).drop("seq")
-    key = F.substring("driver_id", 2, 20).cast("long")
+    key = F.expr("substring(driver_id, 2)").cast("long")
     return (
         last.select("driver_id", F.when(F.col("status") == "COMPLETED", "AVAILABLE").otherwise("BUSY").alias("status")),
         latest.where(key % 3 != 0), last.where("status <> 'COMPLETED'").select("driver_id", "trip_id"), pending,
@@ -252,7 +252,7 @@ def driver_details(spark, d):
 def live_positions(spark, d):
     """Index rows, overridden by local rows of the same driver."""
     status, local, active, _, index = driver_sources(spark, d)
-    stale = index.withColumns({"lat": F.col("lat") + F.when(F.substring("driver_id", 2, 20).cast("long") % 3 != 0, 1.0).otherwise(0.0)})
+    stale = index.withColumns({"lat": F.col("lat") + F.when(F.expr("substring(driver_id, 2)").cast("long") % 3 != 0, 1.0).otherwise(0.0)})
     return trips.live_positions(stale, local, active, status)
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside import schemas as S
 from kerbside.functions import geo, scalars
 from kerbside.operators.tables import first_per_key
-from kerbside.session import broadcast_if_small, once
+from kerbside.session import broadcast_if_small, cut_lineage, once
 
 
 # --- row filters -------------------------------------------------------------------------------
@@ -147,21 +149,30 @@ def breakdown(df: DataFrame, column: str) -> DataFrame:
 
 
 def profile(df: DataFrame, column: str) -> DataFrame:
-    """count, mean, stddev, min, quartiles, max; exact.
+    """count, mean, stddev, min, quartiles, max; exact, quartiles interpolated between their neighbours.
 
-    Quartiles run over (value, frequency) pairs, so the last aggregation sees distinct values only.
+    Moments are the built-in central ones, which keep their digits far from zero. Quartiles are found
+    by rank: values and their frequencies are dealt to ranges, ranges are counted, and only the values
+    at the wanted ranks meet. No task sees more than its range.
     """
-    freq = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
-    v, n = F.col(column).cast("double"), F.col("_n")
-    total = F.sum(n)
-    mean = F.sum(v * n) / total
-    spread = (F.sum(v * v * n) - F.pow(F.sum(v * n), 2) / total) / (total - 1)
-    quart = lambda p: F.percentile(v, p, n)
-    return freq.agg(
-        total.alias("count"), mean.alias("mean"),
-        F.sqrt(F.greatest(spread, F.lit(0.0))).alias("stddev"), F.min(v).alias("min"),
-        quart(0.25).alias("p25"), quart(0.5).alias("p50"), quart(0.75).alias("p75"), F.max(v).alias("max"),
-    )
+    v = F.col(column).cast("double")
+    whole = df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("stddev"),
+                   F.min(v).alias("min"), F.max(v).alias("max"))
+    freq = df.select(v.alias("_v")).where(F.col("_v").isNotNull()).groupBy("_v").agg(F.count(F.lit(1)).alias("_n"))
+    ranges = cut_lineage(freq.repartitionByRange("_v").withColumn("_range", F.spark_partition_id()))
+    sums = ranges.groupBy("_range").agg(F.sum("_n").alias("_sum"))  # one row per partition
+    before = sums.withColumn("_before", F.sum("_sum").over(Window.orderBy("_range")) - F.col("_sum"))
+    total = before.agg(F.sum("_sum")).first()[0] or 0
+    wanted = {f"p{p}": (total - 1) * p / 100 for p in (25, 50, 75)}
+    end = F.col("_before") + F.sum("_n").over(Window.partitionBy("_range").orderBy("_v"))
+    placed = ranges.join(F.broadcast(before), "_range").withColumn("_end", end)
+    at = lambda rank: F.max(F.when((rank >= F.col("_end") - F.col("_n")) & (rank < F.col("_end")), F.col("_v")))
+    low = {name: at(F.lit(math.floor(max(r, 0)))) for name, r in wanted.items()}
+    high = {name: at(F.lit(math.ceil(max(r, 0)))) for name, r in wanted.items()}
+    quartiles = placed.agg(*[(low[n] + (high[n] - low[n]) * (r - math.floor(r))).alias(n) for n, r in wanted.items()])
+    found = quartiles.select(F.struct(*wanted)).scalar()
+    return whole.withColumns({n: found[n] for n in wanted}).select(
+        "count", "mean", "stddev", "min", "p25", "p50", "p75", "max")
 
 
 def time_bounds(df: DataFrame, ts: str) -> DataFrame:

@@ -99,8 +99,7 @@ def coverage_gaps(zone_demand: DataFrame, vehicles: DataFrame, min_vehicles: int
     """Zones with demand and fewer than ``min_vehicles`` vehicles; no vehicles at all counts."""
     return (
         zone_demand.join(vehicles, "zone_id", "left")
-        .where((F.col("demand_count") > 0)
-               & (F.col("available_vehicles").isNull() | (F.col("available_vehicles") < min_vehicles)))
+        .where("demand_count > 0").where(F.coalesce("available_vehicles", F.lit(0)) < min_vehicles)
         .select("zone_id", F.col("demand_count").alias("coverage_gap_demand"))
     )
 

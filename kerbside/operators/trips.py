@@ -14,8 +14,9 @@ from kerbside.session import cut_lineage
 # --- requests ----------------------------------------------------------------------------------
 
 
-def request_trips(requests: DataFrame, created_at: Column, user: Column | None = None) -> DataFrame:
-    """New trip rows from requests. Batch or stream.
+def request_trips(requests: DataFrame, created_at: Column, user: Column | None = None,
+                  keep: list[str] | None = None) -> DataFrame:
+    """New trip rows from requests, columns to ``keep`` behind them. Batch or stream.
 
     Zones: explicit 1..16, else from coordinates, else 1. Rider: given, else the signed-in user,
     else "unknown".
@@ -29,10 +30,30 @@ def request_trips(requests: DataFrame, created_at: Column, user: Column | None =
         created_at.alias("created_at"), "trip_id", F.coalesce(*rider, F.lit("unknown")).alias("rider_id"),
         geo.resolve_zone(F.col("origin_zone"), F.col("origin_lat"), F.col("origin_lon")).alias("origin_zone"),
         geo.resolve_zone(F.col("destination_zone"), F.col("dest_lat"), F.col("dest_lon")).alias("dest_zone"),
-        F.lit("REQUESTED").alias("status"),
+        F.lit("REQUESTED").alias("status"), *(keep or []),
     )
 
 
+def request_events(requests: DataFrame, created_at: Column, user: Column | None = None) -> DataFrame:
+    """What a request publishes: the fields of ``TRIP_REQUEST_EVENT``, zones and rider resolved.
+
+    Absent coordinates stay absent; the call type is the given one, else "A".
+    """
+    places = ["origin_lat", "origin_lon", "dest_lat", "dest_lon"]
+    given = requests if "call_type" in requests.columns else requests.withColumn("call_type", F.lit(None).cast("string"))
+    out = request_trips(given, created_at, user, keep=[*places, "call_type"])
+    return out.select("trip_id", "rider_id", "origin_zone", F.col("dest_zone").alias("destination_zone"), *places,
+                      F.unix_millis("created_at").alias("requested_at"), F.coalesce("call_type", F.lit("A")).alias("call_type"))
+
+
+def matched_trips(matches: DataFrame, matched_at: Column) -> DataFrame:
+    """Trip rows of matched requests: who comes, and in how many seconds."""
+    return matches.where("status = 'MATCHED'").select(
+        F.lit(S.CITY_NAME).alias("city"), scalars.date_bucket(matched_at).alias("date_bucket"),
+        matched_at.alias("created_at"), "trip_id", "rider_id", F.col("driver_id").alias("taxi_id"), "origin_zone",
+        F.col("destination_zone").alias("dest_zone"), "status", "eta_seconds")
+
+
 # --- odometer ----------------------------------------------------------------------------------
 
 

@@ -8,13 +8,14 @@ on the cell and an exact test, never a nested loop over all polygons.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo, scalars
 from kerbside.operators.tables import latest_per_key
-from kerbside.session import broadcast_if_small, cut_lineage, once
+from kerbside.session import cut_lineage, once
 
 _COVER = 8  # a polygon's box spans at most this many cells per axis at its own level
 
@@ -48,21 +49,39 @@ def cover_zones(zones: DataFrame) -> DataFrame:
 
 
 _BROADCAST_VERTICES = 1_000_000  # about 50 MB of rings
-_CROWDED = 256  # zones sharing one cell beyond which zones are joined row by row
 
 
-def assign_zone_polygon(points: DataFrame, zones: DataFrame, how: str = "left",
+@dataclass(frozen=True)
+class ZoneCover:
+    """Zones prepared for joins: one row per (level, cell) with its zones in order, and the vertices
+    of each level. Built once, it serves any number of joins, e.g. every micro-batch of a stream."""
+
+    cells: DataFrame
+    levels: dict[int, int]
+
+
+def zone_cover(zones: DataFrame) -> ZoneCover:
+    """Cover of the zones, checkpointed; the zones of one cell share a row."""
+    zone = F.struct("zone_order", "zone_id", "zone_name", "polygons", "_box")
+    cells = cut_lineage(cover_zones(zones).groupBy("_level", "_cell").agg(
+        F.array_sort(F.collect_list(zone)).alias("_zones")))
+    vertices = F.aggregate(F.transform("_zones", lambda z: F.size(F.flatten(F.flatten(z["polygons"])))),
+                           F.lit(0).cast("long"), lambda acc, n: acc + n)
+    rows = cells.groupBy("_level").agg(F.sum(vertices).alias("n")).collect()  # at most 27 rows
+    return ZoneCover(cells, {r["_level"]: r["n"] for r in sorted(rows, key=lambda r: r["_level"])})
+
+
+def assign_zone_polygon(points: DataFrame, zones: DataFrame | ZoneCover, how: str = "left",
                         exact: bool = True) -> DataFrame:
     """Add zone_id and zone_name of the first zone (by zone_order) that holds the point.
 
     ``how="left"`` keeps points outside every zone as 0 / "Unknown", ``"inner"`` drops them.
-    ``exact=False`` stops at the bounding box. The cover is grouped to one row per cell, so the
-    join never multiplies points and needs no second shuffle to find the first match. With few
-    zones it is broadcast and points are not shuffled at all. Works on streaming points too.
+    ``exact=False`` stops at the bounding box. The cover has one row per cell, so looking up a
+    point's cell on each level never multiplies points and needs no second shuffle to find the first
+    match. A level of bounded size is broadcast and points aren't shuffled for it. The same form for
+    any zones, batch or stream.
     """
-    cover = cut_lineage(cover_zones(zones))
-    per_cell = cover.groupBy("_level", "_cell").agg(F.count(F.lit(1)).alias("n"))
-    levels = per_cell.groupBy("_level").agg(F.max("n").alias("n")).collect()  # at most 27 rows
+    cover = zones if isinstance(zones, ZoneCover) else zone_cover(zones)
     lon, lat = F.col("lon"), F.col("lat")
 
     def holds(z):
@@ -71,11 +90,17 @@ def assign_zone_polygon(points: DataFrame, zones: DataFrame, how: str = "left",
             inside = F.when(inside, geo.point_in_multipolygon(lon, lat, z["polygons"])).otherwise(False)
         return inside
 
-    used = sorted(r["_level"] for r in levels)
-    if max([r["n"] for r in levels], default=0) > _CROWDED:
-        out = _first_zone_by_rows(points, cover, used, holds)
+    hits, out = [], points
+    for level, vertices in cover.levels.items():
+        one = cover.cells.where(F.col("_level") == level).select(
+            F.col("_cell").alias(f"_c{level}"), F.col("_zones").alias(f"_z{level}"))
+        here = _cell_at(F.lit(level), lat, lon) == F.col(f"_c{level}")
+        out = out.join(F.broadcast(one) if vertices <= _BROADCAST_VERTICES else one, here, "left")
+        hits.append(F.get(F.transform(F.filter(F.col(f"_z{level}"), holds), _label), F.lit(0)))
+    if hits:
+        out = once(out, "_zone", F.least(*hits) if len(hits) > 1 else hits[0])
     else:
-        out = _first_zone_by_cells(points, cover, used, holds)
+        out = out.withColumn("_zone", F.lit(None).cast("struct<zone_id:int,zone_name:string>"))
     if how == "inner":
         out = out.where(F.col("_zone").isNotNull() & (F.col("_zone.zone_id") != 0))
     return out.select(
@@ -90,37 +115,6 @@ def _label(z) -> Column:
                     z["zone_name"].alias("zone_name"))
 
 
-def _first_zone_by_cells(points: DataFrame, cover: DataFrame, levels: list[int], holds) -> DataFrame:
-    """One lookup per level used; every cell row carries its few zones in order."""
-    cells = cover.groupBy("_level", "_cell").agg(F.array_sort(F.collect_list(
-        F.struct("zone_order", "zone_id", "zone_name", "polygons", "_box"))).alias("_zones"))
-    hits = []
-    out = points
-    for level in levels:
-        one = cells.where(F.col("_level") == level).select(
-            F.col("_cell").alias(f"_c{level}"), F.col("_zones").alias(f"_z{level}"))
-        here = _cell_at(F.lit(level), F.col("lat"), F.col("lon")) == F.col(f"_c{level}")
-        vertices = F.aggregate(F.transform(f"_z{level}", lambda z: F.size(F.flatten(F.flatten(z["polygons"])))),
-                               F.lit(0), lambda acc, n: acc + n)
-        out = out.join(broadcast_if_small(one, _BROADCAST_VERTICES, vertices), here, "left")
-        hits.append(F.get(F.transform(F.filter(F.col(f"_z{level}"), holds), _label), F.lit(0)))
-    if not hits:
-        return out.withColumn("_zone", F.lit(None).cast("struct<zone_id:int,zone_name:string>"))
-    return once(out, "_zone", F.least(*hits) if len(hits) > 1 else hits[0])
-
-
-def _first_zone_by_rows(points: DataFrame, cover: DataFrame, levels: list[int], holds) -> DataFrame:
-    """For heavily overlapping zones: join zone rows, keep the first hit with a map-side combine."""
-    p = cut_lineage(points.withColumn("_pid", F.monotonically_increasing_id()))
-    keyed = p.withColumn("_at", F.explode(F.array(*[
-        F.struct(F.lit(z).alias("_level"), _cell_at(F.lit(z), F.col("lat"), F.col("lon")).alias("_cell"))
-        for z in levels]))).select("_pid", "lon", "lat", "_at.*")
-    zone = {c: F.col(c) for c in ("zone_order", "zone_id", "zone_name", "polygons", "_box")}
-    first = keyed.join(cover, ["_level", "_cell"]).where(holds(zone)).groupBy("_pid").agg(
-        F.min(_label(zone)).alias("_zone"))
-    return p.join(first, "_pid", "left")
-
-
 def assign_zone_grid(points: DataFrame, mode: str = "reject") -> DataFrame:
     """Grid fallback: zone of the 4 x 4 grid, ``Grid-n`` as name; ``reject`` drops outside points."""
     prefix = "Grid-" if mode == "reject" else "Zone-"

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.operators import tables
+from kerbside.session import cut_lineage
 
 
 def write_curated(df: DataFrame, path: str, rows_per_file: int = 500_000) -> None:
@@ -26,18 +27,26 @@ def write_table(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+_NAMED_PARTITIONS = 1000
+
+
 def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[str], order: list[str],
                  partition_by: list[str]) -> None:
     """Merge updates into a partitioned Parquet table, rewriting only the partitions they touch.
 
     The partition columns must be part of the keys, so a key never moves between partitions. The
-    join with the touched partition values prunes the scan; dynamic overwrite replaces exactly
-    those partitions, and running the same updates again gives the same table.
+    values the updates touch, counted and then named in a filter, prune the scan to the partitions
+    that are rewritten; dynamic overwrite replaces exactly those, and running the same updates again
+    gives the same table. Updates over more values than ``_NAMED_PARTITIONS`` scan them by a join.
     """
     if not set(partition_by) <= set(keys):
         raise ValueError("partition columns must be part of the keys")
     target = spark.read.parquet(path)
     touched = updates.select(*partition_by).distinct()
+    values = touched.limit(_NAMED_PARTITIONS + 1).collect()
+    if len(values) <= _NAMED_PARTITIONS:
+        for c in partition_by:
+            target = target.where(F.col(c).isin(list({r[c] for r in values})))
     affected = target.join(touched, partition_by, "left_semi")
     merged = tables.upsert(affected, updates, keys, order).hint("rebalance", *partition_by)
     merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
@@ -45,9 +54,32 @@ def upsert_table(spark: SparkSession, path: str, updates: DataFrame, keys: list[
 
 
 def append_batch(df: DataFrame, path: str, batch_id: int, partition_by: list[str] | None = None) -> None:
-    """Idempotent append for foreachBatch: a replayed batch replaces its own folder."""
-    df.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic").partitionBy("batch_id", *(partition_by or [])).parquet(path)
+    """Idempotent append for foreachBatch: a replayed batch replaces its own folder as a whole.
+
+    Whatever an earlier try wrote goes, also partitions the new rows don't touch and also when there
+    are no rows now. Readers see ``batch_id`` as a partition column.
+    """
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(f"{path}/batch_id={batch_id}")
+
+
+def fold_batches(spark: SparkSession, path: str, upto: int, keys: list[str], order: list[str],
+                 partition_by: list[str] | None = None) -> None:
+    """Housekeeping of an appended table: batches up to ``upto`` become that one batch, last write per key.
+
+    The folded batch is written before the others are emptied, so a reader by key sees every row at
+    any time, and running it again after a failure ends the work. Later batches aren't touched; call
+    it for batches that are committed, i.e. won't be replayed.
+    """
+    old = spark.read.parquet(path).where(F.col("batch_id") <= upto)
+    done = [r["batch_id"] for r in old.select("batch_id").distinct().collect()]  # folders, folded away each time
+    rows = cut_lineage(tables.latest_per_key(old, keys, [*order, "batch_id"]).drop("batch_id"))
+    append_batch(rows, path, upto, partition_by)
+    for batch_id in done:
+        if batch_id != upto:
+            append_batch(rows.limit(0), path, batch_id, partition_by)
 
 
 def read_keyed(spark: SparkSession, path: str, keys: list[str], order: list[str]) -> DataFrame:

@@ -39,7 +39,7 @@ def start_billing_job(spark: SparkSession, raw: DataFrame, out: str, checkpoint:
     table = f"{out}/billing"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch, rows = batch.persist(), None
         try:
             good, bad = completions_from_events(batch)
             existing = _billed(spark, table, batch_id, good)
@@ -47,9 +47,10 @@ def start_billing_job(spark: SparkSession, raw: DataFrame, out: str, checkpoint:
             sinks.append_batch(rows, table, batch_id)
             sinks.append_batch(billing_ops.billing_events(rows), f"{out}/events", batch_id)
             sinks.append_batch(bad, f"{out}/quarantine", batch_id)
-            rows.unpersist()
         finally:
             batch.unpersist()
+            if rows is not None:
+                rows.unpersist()
 
     return common.job(raw.writeStream.foreachBatch(write), checkpoint, every).start()
 

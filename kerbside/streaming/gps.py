@@ -30,7 +30,7 @@ def split_pings(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return pings, bad
 
 
-def normalise_gps(raw: DataFrame, zones: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def normalise_gps(raw: DataFrame, zones: DataFrame | zone_ops.ZoneCover | None = None) -> tuple[DataFrame, DataFrame]:
     """(positions inside the city, quarantine). Zones by polygon, or by grid without polygons."""
     pings, bad = split_pings(raw)
     placed = (zone_ops.assign_zone_grid(pings) if zones is None
@@ -54,12 +54,16 @@ def enriched_events(positions: DataFrame) -> DataFrame:
 
 def start_gps_job(raw: DataFrame, out: str, checkpoint: str, zones: DataFrame | None = None,
                   ingest: bool = False, every: str | None = "60 seconds") -> StreamingQuery:
-    """Per micro-batch: positions table, enriched events, quarantine, each replaced on a replay."""
+    """Per micro-batch: positions table, enriched events, quarantine, each replaced on a replay.
+
+    The zones' cover is built here, once; a micro-batch only joins with it.
+    """
+    cover = None if zones is None or ingest else zone_ops.zone_cover(zones)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         try:
-            good, bad = ingest_pings(batch) if ingest else normalise_gps(batch, zones)
+            good, bad = ingest_pings(batch) if ingest else normalise_gps(batch, cover)
             sinks.append_batch(good, f"{out}/positions", batch_id, ["city"])
             sinks.append_batch(enriched_events(good), f"{out}/events", batch_id)
             sinks.append_batch(bad, f"{out}/quarantine", batch_id)

@@ -25,27 +25,38 @@ def fleet_snapshot(positions: DataFrame, as_of=None, ttl: str = "24 HOURS") -> D
                                  ["taxi_id"], ["event_time", "zone_id", "lat", "lon", "status"])
 
 
+def match_events(matches: DataFrame) -> DataFrame:
+    """One message per request, matched or not, as ``MATCH_EVENT`` declares it, keyed by trip."""
+    return events.to_event(matches.withColumn("matched_at", F.unix_millis("matched_at")),
+                           S.MATCH_EVENT.fieldNames(), key="trip_id")
+
+
 def start_match_job(raw_requests: DataFrame, read_positions: Callable[[], DataFrame], out: str,
-                    checkpoint: str, every: str | None = "5 seconds") -> StreamingQuery:
-    """Per micro-batch: match rows, one event per request (matched or not), quarantine for bad ones.
+                    checkpoint: str, every: str | None = "5 seconds", ttl: str | None = "24 HOURS") -> StreamingQuery:
+    """Per micro-batch: matches, their trip rows, one event per request, quarantine for bad ones.
 
-    ``read_positions`` opens the positions table anew for every batch.
+    ``read_positions`` opens the positions table anew for every batch. Requests see positions up to
+    the newest request of the batch and no older than ``ttl`` before it, so a vehicle that fell
+    silent isn't sent; ``None`` takes any.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch, matches = batch.persist(), None
         try:
             good, bad = requests_from_events(batch)
             unique = tables.first_per_key(good, ["trip_id"], ["requested_at", "rider_id"])
-            matches = proximity.match_nearest(unique, fleet_snapshot(read_positions())).withColumn(
-                "matched_at", F.current_timestamp())
-            matches = matches.persist()
+            newest = None if ttl is None else unique.agg(F.max("requested_at")).first()[0]
+            fleet = fleet_snapshot(read_positions(), None if newest is None else F.lit(newest), ttl)
+            matches = proximity.match_nearest(unique, fleet).withColumn("matched_at", F.current_timestamp()).persist()
             sinks.append_batch(matches.where("status = 'MATCHED'"), f"{out}/matches", batch_id)
-            sinks.append_batch(events.to_event(matches, key="trip_id"), f"{out}/events", batch_id)
+            sinks.append_batch(trips.matched_trips(matches, F.col("matched_at")), f"{out}/trips", batch_id,
+                               ["city", "date_bucket"])
+            sinks.append_batch(match_events(matches), f"{out}/events", batch_id)
             sinks.append_batch(bad, f"{out}/quarantine", batch_id)
-            matches.unpersist()
         finally:
             batch.unpersist()
+            if matches is not None:
+                matches.unpersist()
 
     return common.job(raw_requests.writeStream.foreachBatch(write), checkpoint, every).start()
 
@@ -55,18 +66,20 @@ def start_request_job(raw_requests: DataFrame, out: str, checkpoint: str,
     """New trip rows and one event per request, keyed by origin zone."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        good, bad = events.split_valid(batch, S.TRIP_REQUEST_EVENT, [["trip_id"]])
-        e = F.col("event")
-        fields = good.select(
-            e["trip_id"].alias("trip_id"), F.coalesce(e["rider_id"], e["client_id"]).alias("rider_id"),
-            e["origin_zone"].alias("origin_zone"), e["destination_zone"].alias("destination_zone"),
-            e["origin_lat"].alias("origin_lat"), e["origin_lon"].alias("origin_lon"),
-            e["dest_lat"].alias("dest_lat"), e["dest_lon"].alias("dest_lon"),
-            events.event_time(e["requested_at"], F.col("record_time")).alias("created_at"))
-        rows = trips.request_trips(fields, F.col("created_at")).persist()
-        sinks.append_batch(rows, f"{out}/trips", batch_id, ["city", "date_bucket"])
-        sinks.append_batch(events.to_event(rows, key="origin_zone"), f"{out}/events", batch_id)
-        sinks.append_batch(bad, f"{out}/quarantine", batch_id)
-        rows.unpersist()
+        batch = batch.persist()
+        try:
+            good, bad = events.split_valid(batch, S.TRIP_REQUEST_EVENT, [["trip_id"]])
+            e = F.col("event")
+            same = ["trip_id", "origin_zone", "destination_zone", "origin_lat", "origin_lon", "dest_lat", "dest_lon", "call_type"]
+            fields = good.select(
+                *[e[c].alias(c) for c in same], F.coalesce(e["rider_id"], e["client_id"]).alias("rider_id"),
+                events.event_time(e["requested_at"], F.col("record_time")).alias("created_at"))
+            created = F.col("created_at")
+            sinks.append_batch(trips.request_trips(fields, created), f"{out}/trips", batch_id, ["city", "date_bucket"])
+            sinks.append_batch(events.to_event(trips.request_events(fields, created), key="origin_zone"),
+                               f"{out}/events", batch_id)
+            sinks.append_batch(bad, f"{out}/quarantine", batch_id)
+        finally:
+            batch.unpersist()
 
     return common.job(raw_requests.writeStream.foreachBatch(write), checkpoint, every).start()

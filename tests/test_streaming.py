@@ -4,7 +4,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from kerbside import schemas as S
 from kerbside import sinks
+from kerbside.functions import events
 from kerbside.plans import bindings as B
 from kerbside.streaming import archive, billing, common, demand, gps, matching
 
@@ -102,13 +104,37 @@ def test_match_job_sees_the_newest_status(spark, topic, tmp_path):
                                  ("far", 1, 16, 33.64, -7.43, "available")], schema.replace("event_time timestamp", "t int"))
     sinks.append_batch(pos.withColumn("event_time", F.timestamp_seconds("t")).drop("t"), fleet, 0)
     src = topic("trips", request("t1", 0), request("t2", 1, zone=1), request("t1", 2), '{"rider_id":"x"}')
-    matching.start_match_job(common.read_event_files(spark, src), lambda: spark.read.parquet(fleet), out, ck, every=None).awaitTermination()
+    matching.start_match_job(common.read_event_files(spark, src), lambda: spark.read.parquet(fleet), out, ck, every=None, ttl=None).awaitTermination()
     ev = {e["trip_id"]: e for e in (json.loads(r["value"]) for r in spark.read.parquet(f"{out}/events").collect())}
     assert ev["t1"]["driver_id"] == "far" and ev["t1"]["status"] == "MATCHED" and ev["t1"]["matched_zone"] == 16
     assert ev["t2"]["status"] == "NO_TAXI_AVAILABLE" and "driver_id" not in ev["t2"]
     assert spark.read.parquet(f"{out}/matches").count() == 1 and spark.read.parquet(f"{out}/quarantine").count() == 1
 
 
+def test_match_events_fit_their_schema_and_silent_taxis_stay(spark, topic, tmp_path):
+    out, ck, fleet = (str(tmp_path / n) for n in ("out", "ck", "fleet"))
+    pos = spark.createDataFrame([("old", T0 // 1000 - 90_000, 11, 33.598, -7.509, "available"), ("far", T0 // 1000 - 60, 16, 33.64, -7.43, "available")],
+                                "taxi_id string, t long, zone_id int, lat double, lon double, status string")
+    sinks.append_batch(pos.withColumn("event_time", F.timestamp_seconds("t")).drop("t"), fleet, 0)
+    src = topic("trips", request("t1", 0), request("t2", 1, zone=1))
+    matching.start_match_job(common.read_event_files(spark, src), lambda: spark.read.parquet(fleet), out, ck, every=None).awaitTermination()
+    good, bad = events.split_valid(spark.read.parquet(f"{out}/events").select("value"), S.MATCH_EVENT, [["trip_id"], ["matched_at"]])
+    assert bad.isEmpty() and good.count() == 2
+    rows = spark.read.parquet(f"{out}/trips").collect()
+    assert [(r["trip_id"], r["taxi_id"], r["status"]) for r in rows] == [("t1", "far", "MATCHED")] and rows[0]["eta_seconds"] >= 30
+
+
+def test_request_events_keep_every_field(spark, topic, tmp_path):
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    src = topic("trips", request("t1", 0, zone=3, destination_zone=2, origin_lat=33.51, origin_lon=-7.68, dest_lat=33.6, dest_lon=-7.5, call_type="C"))
+    matching.start_request_job(common.read_event_files(spark, src), out, ck, every=None).awaitTermination()
+    raw = spark.read.parquet(f"{out}/events").select("value")
+    good, bad = events.split_valid(raw, S.TRIP_REQUEST_EVENT, [["trip_id"], ["requested_at"]])
+    e = good.first()["event"].asDict()
+    assert bad.isEmpty() and (e["origin_zone"], e["destination_zone"], e["call_type"], e["requested_at"]) == (3, 2, "C", T0)
+    assert (e["origin_lat"], e["origin_lon"], e["dest_lat"], e["dest_lon"]) == (33.51, -7.68, 33.6, -7.5)
+
+
 def test_request_job_resolves_zones(spark, topic, tmp_path):
     out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
     src = topic("trips", request("t1", 0, zone=77, origin_lat=33.51, origin_lon=-7.68), request("t2", 1, zone=None, rider_id=" "))

@@ -78,6 +78,45 @@ def test_replayed_batch_replaces_itself(spark, tmp_path):
     assert sinks.read_keyed(spark, path, ["k"], ["ts"]).count() == 1
 
 
+@pytest.mark.parametrize("parts", [None, ["p"]])
+def test_smaller_and_empty_replays_leave_nothing_behind(spark, tmp_path, parts):
+    path = str(tmp_path / "log")
+    rows = spark.range(30).withColumn("p", F.col("id") % 3)
+    ids = lambda: sorted(r["id"] for r in spark.read.parquet(path).where("batch_id = 1").collect())
+    for batch in (0, 1):
+        sinks.append_batch(rows, path, batch, parts)
+    sinks.append_batch(rows.where("id < 4"), path, 1, parts)
+    assert ids() == [0, 1, 2, 3]
+    sinks.append_batch(rows.where("p = 0 and id < 9"), path, 1, parts)
+    assert ids() == [0, 3, 6]
+    sinks.append_batch(rows.where("false"), path, 1, parts)
+    assert ids() == [] and spark.read.parquet(path).where("batch_id = 0").count() == 30
+
+
+def test_folding_keeps_the_last_write_and_later_batches(spark, tmp_path):
+    path = str(tmp_path / "log")
+    for batch in range(5):
+        sinks.append_batch(spark.range(6).select("id", F.lit(batch).alias("ts")).where(F.col("id") % 5 != batch), path, batch)
+    before = sorted(map(tuple, sinks.read_keyed(spark, path, ["id"], ["ts"]).collect()))
+    for _ in range(2):
+        sinks.fold_batches(spark, path, 3, ["id"], ["ts"])
+        rows = spark.read.parquet(path)
+        assert rows.where("batch_id <= 3").select("batch_id").distinct().count() == 1
+        assert rows.where("batch_id = 4").count() == 5 and rows.count() == 11
+        assert sorted(map(tuple, sinks.read_keyed(spark, path, ["id"], ["ts"]).collect())) == before
+
+
+def test_upsert_names_the_partitions_it_reads(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "t")
+    spark.range(40).select((F.col("id") % 8).alias("z"), F.col("id").alias("k"), F.lit(1).alias("ts")).write.partitionBy("z").parquet(path)
+    up = spark.createDataFrame([(2, 10, 2)], "z long, k long, ts int")
+    seen = []
+    real = sinks.tables.upsert
+    monkeypatch.setattr(sinks.tables, "upsert", lambda a, *r: seen.append(a._jdf.queryExecution().executedPlan().toString()) or real(a, *r))
+    sinks.upsert_table(spark, path, up, ["z", "k"], ["ts"], ["z"])
+    assert "PartitionFilters: [isnotnull(z" in seen[0] and "(z#" in seen[0] and "= 2)" in seen[0]
+
+
 def test_pages_cover_everything_once(spark):
     df = spark.range(45)
     seen = [r["id"] for p in range(4) for r in tables.page(df, [F.col("id").desc()], p, 20)[0].collect()]
@@ -115,6 +154,22 @@ def test_peak_hour_prefers_the_earlier_hour(spark):
     assert tuple(demand.peak_hour(z).first()) == (1, 7, 5)
 
 
+@pytest.mark.parametrize("rows", [[1e9, 1e9 + 1, 1e9 + 2], [5.0], [1.0, None, 2.0, 2.0, 2.0, 9.0], [float(i * i % 101) for i in range(500)]])
+def test_profile_keeps_its_digits(spark, rows):
+    import numpy as np
+
+    p = curate.profile(spark.createDataFrame([(v,) for v in rows], "v double").repartition(5), "v").first()
+    known = np.array([v for v in rows if v is not None])
+    assert p["count"] == len(known) and p["mean"] == pytest.approx(known.mean())
+    assert (p["stddev"] is None) if len(known) == 1 else p["stddev"] == pytest.approx(known.std(ddof=1))
+    assert [p["p25"], p["p50"], p["p75"]] == pytest.approx(list(np.percentile(known, [25, 50, 75])))
+
+
+def test_profile_of_nothing(spark):
+    p = curate.profile(spark.createDataFrame([(None,)], "v double"), "v").first()
+    assert p["count"] == 0 and p["p50"] is None and p["mean"] is None
+
+
 def test_profile_equals_summary(spark):
     df = spark.range(1001).select((F.col("id") % 37 * 0.25).alias("v"))
     p = curate.profile(df, "v").first()

@@ -32,22 +32,28 @@ CASES = [("l_bar", 3.0, 1.0, 1), ("l_notch", 3.0, 3.0, 0), ("donut", 11.0, 5.0,
          ("tiny", 15.0005, 5.0005, 6), ("far", -100.0, 60.0, 0)]
 
 
-@pytest.mark.parametrize("crowded", [256, 0])
-def test_first_zone_by_order(spark, shapes, monkeypatch, crowded):
-    monkeypatch.setattr(zones, "_CROWDED", crowded)
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_first_zone_by_order(spark, shapes, monkeypatch, broadcast):
+    monkeypatch.setattr(zones, "_BROADCAST_VERTICES", broadcast)
     pts = spark.createDataFrame([(n, x, y) for n, x, y, _ in CASES], "name string, lon double, lat double")
     got = {r["name"]: r["zone_id"] for r in zones.assign_zone_polygon(pts, shapes).collect()}
     assert got == {n: z for n, _, _, z in CASES}
-    inner = zones.assign_zone_polygon(pts, shapes, how="inner")
+    inner = zones.assign_zone_polygon(pts, zones.zone_cover(shapes), how="inner")
     assert inner.count() == sum(1 for c in CASES if c[3])
 
 
-def test_both_forms_agree_on_overlapping_areas(spark, sf_dir, monkeypatch):
-    p = B.pings(spark, sf_dir, 0.02).select("event_id", "lat", "lon")
-    a = zones.assign_zone_polygon(p, B.supplier_polygons(spark, sf_dir)).collect()
-    monkeypatch.setattr(zones, "_CROWDED", 0)
-    b = zones.assign_zone_polygon(p, B.supplier_polygons(spark, sf_dir)).collect()
-    assert sorted(map(tuple, a)) == sorted(map(tuple, b))
+def test_many_overlapping_zones_on_a_stream(spark, tmp_path):
+    """300 zones over the same place: the smallest order wins, for tables and streams alike."""
+    many = spark.createDataFrame([(i, 1000 + i, f"z{i}", [[square(0.0, 0.0, 1.0 + i)]]) for i in range(300)], SCHEMA)
+    pts = spark.createDataFrame([(k, k * 7 + 0.5, 0.5) for k in range(45)], "k int, lon double, lat double")
+    expect = {k: 1000 + max(0, 7 * k) if k * 7 < 300 else 0 for k in range(45)}
+    assert {r["k"]: r["zone_id"] for r in zones.assign_zone_polygon(pts, many).collect()} == expect
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    pts.write.parquet(src)
+    stream = zones.assign_zone_polygon(spark.readStream.schema(pts.schema).parquet(src), many)
+    stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", ck).trigger(
+        availableNow=True).start().awaitTermination()
+    assert {r["k"]: r["zone_id"] for r in spark.read.parquet(out).collect()} == expect
 
 
 def test_points_are_not_shuffled_for_few_zones(spark, sf_dir):
