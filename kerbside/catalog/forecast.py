@@ -163,3 +163,21 @@ def filled_forecast(spark, d):
     w = demand.demand_timeseries(B.zoned(B.pings(spark, d)), "ts").select(
         "zone_id", F.col("time_window").alias("window_start"), F.col("demand").alias("n"))
     return forecast.fill_forecast(w, forecast.score_demand(grid(spark, d), None))
+
+
+@query("""SELECT count(*) AS rows, count(*) AS scored, 0 AS changed_by_reload, 12 AS features, true AS importances_add_up,
+  count(DISTINCT time_window) AS hours FROM features, cut WHERE time_window >= cut""", *_CTES, _FEATURES, _CUT)
+def model_facts(spark, d):
+    """What must hold of any trained model: every future row scored, the same after a reload, importances that sum to 1."""
+    model, test = trained(spark, d)
+    path = scratch_path(spark, "model_facts")
+    forecast.save_model(model, path)
+    again = forecast.load_model(path).transform(test).select("zone_id", "time_window", F.col("prediction").alias("again"))
+    both = model.transform(test).select("zone_id", "time_window", "prediction").join(again, ["zone_id", "time_window"])
+    weights = forecast.feature_importances(spark, model, top=12)
+    facts = weights.agg(F.count(F.lit(1)).cast("int").alias("features"), (F.abs(F.sum("importance") - 1) < 1e-6).alias("sum"))
+    told = facts.select(F.struct("features", "sum")).scalar()
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count("prediction").alias("scored"),
+                    F.count_if(~F.col("prediction").eqNullSafe(F.col("again"))).cast("int").alias("changed_by_reload"),
+                    F.count_distinct("time_window").alias("hours")).select(
+        "*", told["features"].alias("features"), told["sum"].alias("importances_add_up"))

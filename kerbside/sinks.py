@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kerbside.operators import tables
@@ -66,16 +66,19 @@ def append_batch(df: DataFrame, path: str, batch_id: int, partition_by: list[str
 
 
 def fold_batches(spark: SparkSession, path: str, upto: int, keys: list[str], order: list[str],
-                 partition_by: list[str] | None = None) -> None:
+                 partition_by: list[str] | None = None, alive: Column | None = None) -> None:
     """Housekeeping of an appended table: batches up to ``upto`` become that one batch, last write per key.
 
+    Rows that aren't ``alive`` any more, e.g. older than the table keeps them, are dropped for good.
+
     The folded batch is written before the others are emptied, so a reader by key sees every row at
     any time, and running it again after a failure ends the work. Later batches aren't touched; call
     it for batches that are committed, i.e. won't be replayed.
     """
     old = spark.read.parquet(path).where(F.col("batch_id") <= upto)
     done = [r["batch_id"] for r in old.select("batch_id").distinct().collect()]  # folders, folded away each time
-    rows = cut_lineage(tables.latest_per_key(old, keys, [*order, "batch_id"]).drop("batch_id"))
+    rows = tables.latest_per_key(old, keys, [*order, "batch_id"]).drop("batch_id")
+    rows = cut_lineage(rows if alive is None else rows.where(alive))
     append_batch(rows, path, upto, partition_by)
     for batch_id in done:
         if batch_id != upto:

@@ -104,6 +104,8 @@ def test_folding_keeps_the_last_write_and_later_batches(spark, tmp_path):
         assert rows.where("batch_id <= 3").select("batch_id").distinct().count() == 1
         assert rows.where("batch_id = 4").count() == 5 and rows.count() == 11
         assert sorted(map(tuple, sinks.read_keyed(spark, path, ["id"], ["ts"]).collect())) == before
+    sinks.fold_batches(spark, path, 3, ["id"], ["ts"], alive=F.col("ts") >= 3)
+    assert spark.read.parquet(path).where("batch_id <= 3 and ts < 3").isEmpty()
 
 
 def test_upsert_names_the_partitions_it_reads(spark, tmp_path, monkeypatch):
