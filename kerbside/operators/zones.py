@@ -163,10 +163,28 @@ def segments_meet(p1, p2, q1, q2) -> Column:
         | ((o3 == 0) & on(q1, q2, p1)) | ((o4 == 0) & on(q1, q2, p2))
 
 
+def _cells_crossed(segs: DataFrame, bits: int) -> DataFrame:
+    """One row per segment (p, q) and cell it passes: for each column of cells the rows between the
+    heights at which the segment enters and leaves it, so a long diagonal has as many cells as columns
+    and rows together. A hundredth of a cell is added on all sides against rounding."""
+    p, q = F.col("p"), F.col("q")
+    west, east = F.least(p["x"], q["x"]), F.greatest(p["x"], q["x"])
+    wide, high = 360.0 / 2 ** bits, 180.0 / 2 ** bits
+    columns = segs.withColumn("cx", F.explode(F.sequence(geo.cell_x(west, bits), geo.cell_x(east, bits))))
+    left = F.col("cx") * wide - 180.0 - wide / 100
+    slope = F.when(p["x"] != q["x"], (q["y"] - p["y"]) / (q["x"] - p["x"]))
+    at = lambda x: p["y"] + (x - p["x"]) * slope
+    enter = F.coalesce(at(F.greatest(west, left)), p["y"])
+    leave = F.coalesce(at(F.least(east, left + wide * 1.02)), q["y"])
+    low, top = F.least(enter, leave) - high / 100, F.greatest(enter, leave) + high / 100
+    rows = columns.withColumn("cy", F.explode(F.sequence(geo.cell_y(low, bits), geo.cell_y(top, bits))))
+    return rows.withColumn("cell", geo.cell_key(F.col("cx"), F.col("cy"))).drop("cx", "cy")
+
+
 def zone_adjacency(zones: DataFrame, bits: int | None = None) -> DataFrame:
     """(zone_id, neighbour_id) for zones that intersect or touch, each zone with itself.
 
-    Boundary segments are hashed to the cells of their box and meet in an equi join on the cell, so
+    Boundary segments are hashed to the cells they cross and meet in an equi join on the cell, so
     only segments near each other are compared. Two zones without a crossing boundary still meet
     when one lies inside the other; that is tested with one vertex per ring through the cell cover.
     ``bits`` sets the cell size; by default cells are as wide as the longer boundary segments.
@@ -184,12 +202,7 @@ def zone_adjacency(zones: DataFrame, bits: int | None = None) -> DataFrame:
         reach = F.greatest(F.abs(p["x"] - q["x"]) / 360.0, F.abs(p["y"] - q["y"]) / 180.0)
         long = segs.agg(F.percentile_approx(reach, 0.9).alias("r")).first()["r"] or 1.0
         bits = max(0, min(geo.CELL_BITS, math.floor(-math.log2(long))))
-    span = lambda f, u, v: F.sequence(f(F.least(u, v), bits), f(F.greatest(u, v), bits))
-    segs = (
-        segs.withColumn("cx", F.explode(span(geo.cell_x, p["x"], q["x"])))
-        .withColumn("cy", F.explode(span(geo.cell_y, p["y"], q["y"])))
-        .withColumn("cell", geo.cell_key(F.col("cx"), F.col("cy"))).drop("cx", "cy")
-    )
+    segs = _cells_crossed(segs, bits)
     a, b = segs.alias("a"), segs.alias("b")
     crossing = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.zone_id") < F.col("b.zone_id"))
                       & segments_meet(F.col("a.p"), F.col("a.q"), F.col("b.p"), F.col("b.q")))
