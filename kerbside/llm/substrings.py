@@ -91,31 +91,23 @@ def row_key() -> Column:
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
-    """(row, spans): for each row that has any, the numbers of its spans that occur elsewhere before.
+    """(row, codes): for each row that has any, the spans that a row of a smaller key has too.
 
-    Occurrences are ordered by row key and place, so the copy that stays doesn't depend on the order
-    of rows. Only hashes, row keys and places are shuffled, and spans of one row's key twice when the
-    row itself is repeated.
+    Only hashes and row keys are shuffled, each span of a text once; spans that occur again within a
+    text are known without the others. Which copy stays doesn't depend on the order of rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(0).to_numpy()
-            codes, rows, places = [], [], []
-            for key, text in zip(keys, sentences(batch.column(1))):
-                code, _, _ = text.spans()
-                codes.append(code.view(np.int64))
-                rows.append(np.full(len(code), key, np.int64))
-                places.append(np.arange(len(code)))
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(codes or [np.zeros(0, np.int64)]), pa.int64()),
-                pa.array(np.concatenate(rows or [np.zeros(0, np.int64)]), pa.int64()),
-                pa.array(np.concatenate(places or [np.zeros(0, np.int64)]).astype(np.int32), pa.int32())],
-                ["code", "row", "span"])
-
-    spans = in_arrow(docs.select(row_key().alias("row"), "text"), run, "code long, row long, span int")
-    again = spans.groupBy("code").agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("row", "span")).alias("_stays")).where("_n > 1")
-    later = spans.join(again.select("code", "_stays"), "code").where(F.struct("row", "span") > F.col("_stays"))
-    return later.groupBy("row").agg(F.collect_set("span").alias("spans"))
+            codes = [np.unique(text.spans()[0]).view(np.int64) for text in sentences(batch.column(1))]
+            rows = [np.full(len(c), key, np.int64) for c, key in zip(codes, keys)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c or [np.zeros(0, np.int64)]), pa.int64())
+                                              for c in (codes, rows)], ["code", "row"])
+
+    spans = in_arrow(docs.select(row_key().alias("row"), "text"), run, "code long, row long")
+    again = spans.groupBy("code").agg(F.count(F.lit(1)).alias("_n"), F.min("row").alias("_stays")).where("_n > 1")
+    later = spans.join(again.select("code", "_stays"), "code").where("row <> _stays")
+    return later.groupBy("row").agg(F.collect_set("code").alias("codes"))
 
 
 _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("sentences", T.IntegerType()),
@@ -123,17 +115,23 @@ _CUT = T.StructType([T.StructField("text", T.StringType()), T.StructField("sente
 
 
 @F.arrow_udf(_CUT)
-def _without(texts: pa.Array, spans: pa.Array) -> pa.Array:
-    """Texts without the sentences of the given spans; ``bytes`` has (start, end) of what went, in turn."""
+def _without(texts: pa.Array, elsewhere: pa.Array) -> pa.Array:
+    """Texts without the sentences of spans that occur elsewhere or earlier in the text; ``bytes`` has
+    (start, end) of what went, in turn."""
     out = []
-    for text, parsed, some in zip(texts.to_pylist(), sentences(texts), spans.to_pylist()):
-        if text is None or some is None:
+    for text, parsed, some in zip(texts.to_pylist(), sentences(texts), elsewhere.to_pylist()):
+        code, first, last = parsed.spans()
+        repeated = np.ones(len(code), bool)
+        repeated[np.unique(code, return_index=True)[1]] = False
+        if some is not None:
+            repeated |= np.isin(code.view(np.int64), some)
+        if not repeated.any():
             out.append({"text": text, "sentences": len(parsed.ends), "removed": 0, "bytes": []})
             continue
-        gone = np.zeros(len(parsed.ends), bool)
-        _, first, last = parsed.spans()
-        for k in some:
-            gone[first[k]:last[k] + 1] = True
+        cover = np.zeros(len(parsed.ends) + 1, np.int64)
+        np.add.at(cover, first[repeated], 1)
+        np.add.at(cover, last[repeated] + 1, -1)
+        gone = np.cumsum(cover)[:-1] > 0
         raw = text.encode()
         edges = np.append(parsed.byte_starts[np.concatenate(([0], parsed.ends[:-1]))], len(raw))
         edges[0] = 0
@@ -159,10 +157,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     one. White space after a removed sentence goes with it. An empty table gives an empty result.
     Columns are looked up by name; other columns may have any name that doesn't start with "__".
     """
-    spans = cut_lineage(repeated_spans(docs.select("doc_id", "text"))).select(
-        F.col("row").alias("__row"), F.col("spans").alias("__spans"))
-    rows = docs.withColumn("__row", row_key()).join(spans, "__row", "left")
-    rows = rows.withColumn("__cut", _without("text", "__spans"))
+    codes = cut_lineage(repeated_spans(docs.select("doc_id", "text"))).select(
+        F.col("row").alias("__row"), F.col("codes").alias("__codes"))
+    rows = docs.withColumn("__row", row_key()).join(codes, "__row", "left")
+    rows = rows.withColumn("__cut", _without("text", "__codes"))
     others = [F.col(c) if c != "text" else F.col("__cut.text").alias("text") for c in docs.columns]
     return rows.select(*others, F.col("__cut.sentences").alias("__sentences"), F.col("__cut.removed").alias("__removed"),
                        F.col("__cut.bytes").alias("__bytes"))
