@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +24,8 @@ from kerbside.llm import grams
 from kerbside.session import spread
 
 PER_CLASS = 4000
-EVIDENCE = 14.0  # nats by which a term's documents differ from the share of toxic documents
-STEM = (3, 8)  # letters
+EVIDENCE = 10.5  # nats by which a term's families of documents differ from the share of toxic ones
+STEM = (4, 8)  # letters
 WINDOW = 6  # words of context on either side
 FUZZY_LETTERS = 5  # terms shorter than this are matched exactly
 _CACHE = 400_000
@@ -208,38 +209,54 @@ def _evidence(toxic, clean, share: float):
 def learn_lexicon(sampled: DataFrame) -> Lexicon:
     """Terms and stems whose documents are toxic far more often than chance allows.
 
-    Words and their beginnings are counted by document in Spark; only those in several toxic
-    documents and in nearly no other come to the driver, a number bounded by the sample.
+    Words and their beginnings are counted in Spark, by families of documents: texts whose words
+    have the same smallest hash, as copies and most near copies do, count as one. Only those in
+    several toxic families and in nearly no other come to the driver, a number bounded by the sample.
     """
+    def words_of(text: str | None) -> set[str]:
+        found = {t.strip(_EDGE) for t in set((text or "").lower().split())}
+        return {w for w in found if len(w) > 2 and w.isalpha()}
+
+    def family(found: set[str]) -> int:
+        return min((crc32(w.encode()) * 0x9E3779B1 % 2**32 for w in found), default=0)
+
+    def families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(
+                [family(words_of(t)) for t in batch.column(1).to_pylist()], pa.int64())], ["label", "family"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[str, int]] = []
+            out: list[tuple[str, int, int]] = []
             for text, label in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                found = {t.strip(_EDGE) for t in set((text or "").lower().split())}
-                found = {w for w in found if len(w) > 2 and w.isalpha()}
+                found = words_of(text)
                 stems = {w[:n] + "*" for w in found for n in range(STEM[0], STEM[1] + 1) if len(w) > n}
-                out += [(w, label) for w in found | stems]
-            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()),
-                                              pa.array([o[1] for o in out], pa.int32())], ["word", "label"])
-
-    sizes = {r["label"]: r["count"] for r in sampled.groupBy("label").count().collect()}
+                kin = family(found)
+                out += [(w, label, kin) for w in found | stems]
+            yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.int32()),
+                                              pa.array([o[2] for o in out], pa.int64())], ["word", "label", "family"])
+
+    counted = sampled.mapInArrow(run, "word string, label int, family long").distinct()
+    sizes = {r["label"]: r["n"] for r in sampled.mapInArrow(families, "label int, family long").distinct().groupBy(
+        "label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return Lexicon({t: 2.0 for t in SEED_TERMS}, {})
     share = sizes[1] / (sizes[0] + sizes[1])
-    words = sampled.mapInArrow(run, "word string, label int").groupBy("word").agg(
+    words = counted.groupBy("word").agg(
         F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean"))
     counts = words.where("toxic >= 4 and toxic > 8 * clean").toPandas()
     sure = _evidence(counts["toxic"].to_numpy(float), counts["clean"].to_numpy(float), share) >= EVIDENCE
     chosen = {w: (t, c) for w, t, c in counts[sure][["word", "toxic", "clean"]].itertuples(index=False)}
     odds = lambda t, c: math.log((t + 0.5) / (sizes[1] + 1) / ((c + 0.5) / (sizes[0] + 1)))
+    begins = {w[:-1]: n for w, n in chosen.items() if w.endswith("*")}
     stems = {}
-    for word in sorted((w for w in chosen if w.endswith("*")), key=len):
-        stem = word[:-1]
-        inside = [t for w, (t, _) in chosen.items() if not w.endswith("*") and w.startswith(stem)]
-        whole = max(inside, default=0)
-        covered = any(stem.startswith(s) for s in stems)
-        if not covered and chosen[word][0] > 1.5 * whole and chosen[word][1] <= 0.02 * chosen[word][0]:
-            stems[stem] = min(6.0, odds(*chosen[word]))
+    for stem in sorted(begins, key=lambda s: (len(s), s)):
+        inside = max((t for w, (t, _) in chosen.items() if not w.endswith("*") and w.startswith(stem)), default=0)
+        if any(stem.startswith(s) for s in stems) or begins[stem][0] <= 1.5 * inside or begins[stem][1] > 0.02 * begins[stem][0]:
+            continue
+        while longer := [s for s in begins if s.startswith(stem) and len(s) == len(stem) + 1 and begins[s][0] >= 0.9 * begins[stem][0]]:
+            stem = longer[0]  # as long as it hardly loses a document
+        stems[stem] = min(6.0, odds(*begins[stem]))
     terms = {w: min(6.0, odds(t, c)) for w, (t, c) in chosen.items() if not w.endswith("*")}
     common = {r["word"] for r in words.where(F.col("word").isin(SEED_TERMS) & (F.col("clean") * 4 > F.col("toxic"))).collect()}
     terms = {t: 2.0 for t in SEED_TERMS if t not in common} | terms
