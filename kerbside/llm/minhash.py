@@ -7,8 +7,11 @@ CHUNK_ERRORS differing codes, so every chunk is indexed once per set of codes le
 under the threshold meet in a bucket. Links are confirmed on full shingle sets.
 
 Documents of equal sets are one class, represented by the smallest id. Buckets hold classes and give
-only what connects them: first the pairs of a spanning forest, then, where confirmation left a bucket
-in several components, the pairs between components. Pairs inside a component decide nothing.
+only what connects them: first a spanning forest of the pairs that look nearest, then, where
+confirmation left a bucket in several components, all pairs between components. Pairs inside a
+component decide nothing. A pair is given by the first bucket that holds it, and before its full
+sets are fetched a longer sketch must allow it: the share of SKETCH hash ranges with equal minima
+has a standard deviation of 0.018 at most, and may fall short of the similarity by SKETCH_MARGIN.
 """
 
 from __future__ import annotations
@@ -29,7 +32,9 @@ PERCENT = 80  # least similarity of a link
 POSITIONS = 48
 MAX_DISTANCE = 19  # 3.4 standard deviations above the mean of 9.6 at a similarity of 0.8
 CHUNKS = 10
-BLOCK = 512  # classes compared at once
+SKETCH = 512  # hash ranges, a power of two
+SKETCH_MARGIN = 0.06
+BLOCK = 2048  # classes compared at once
 
 _rng = np.random.default_rng(20240917)
 _ODD = _rng.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -84,13 +89,22 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (mix64(low) >> np.uint64(48)).astype(np.uint16)
 
 
+def sketch(shingles: np.ndarray) -> np.ndarray:
+    """An 8-bit code of the smallest shingle in each of SKETCH equal hash ranges; 0 where there is none."""
+    out = np.zeros(SKETCH, np.uint8)
+    part = (shingles >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    first = np.flatnonzero(np.diff(part, prepend=-1))
+    out[part[first]] = 1 + mix64(shingles[first]) % np.uint64(255)
+    return out
+
+
 def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
     return (int(np.bitwise_xor.reduce(mix64(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5))).astype(np.int64)) if len(shingles) else 0,
             int(np.add.reduce(mix64(shingles * np.uint64(0x9E3779B97F4A7C15))).astype(np.int64)) if len(shingles) else 0)
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2, sig, keys) per row; documents without shingles have no signature."""
+    """(doc_id, n, fp1, fp2, sig, sketch, keys) per row; documents without shingles have no signature."""
     variants = chunk_variants()
     salts = _rng_salts(len(variants))
 
@@ -111,71 +125,97 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
                 pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()),
+                pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 pa.array([None if s is None else next(keys) for s in sigs], pa.list_(pa.int64())),
-            ], ["doc_id", "n", "fp1", "fp2", "sig", "keys"])
+            ], ["doc_id", "n", "fp1", "fp2", "sig", "sketch", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
     return in_arrow(docs.select("doc_id", "text"), run,
-                    f"doc_id {kind}, n long, fp1 long, fp2 long, sig binary, keys array<long>")
+                    f"doc_id {kind}, n long, fp1 long, fp2 long, sig binary, sketch binary, keys array<long>")
 
 
 def _rng_salts(n: int) -> np.ndarray:
     return mix64(np.arange(1, n + 1, dtype=np.uint64))
 
 
-def _codes(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, POSITIONS)
-
-
-def _near(one: np.ndarray, many: np.ndarray) -> np.ndarray:
-    return np.count_nonzero(many != one, axis=1) <= MAX_DISTANCE
-
-
-def forest(sig: np.ndarray) -> list[tuple[int, int]]:
-    """Edges of a spanning forest of the pairs within the distance; roots come first in order."""
-    left, out = np.arange(len(sig)), []
-    while len(left):
-        queue, left = [left[0]], left[1:]
-        while queue and len(left):
-            at = queue.pop()
-            hit = _near(sig[at], sig[left])
-            out += [(at, j) for j in left[hit]]
-            queue += list(left[hit])
-            left = left[~hit]
-    return out
-
-
-def crossing(sig: np.ndarray, comp: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs within the distance whose components differ and of which one is at home in this block."""
-    out = []
-    for i in np.flatnonzero(home):
-        other = np.flatnonzero((comp != comp[i]) & (~home | (np.arange(len(sig)) > i)))
-        out += [(i, j) for j in other[_near(sig[i], sig[other])]] if len(other) else []
-    return out
-
-
-def bucket_pairs(members: DataFrame, kind: str, between: bool) -> DataFrame:
-    """Distinct candidate pairs (a < b) of (key, block, home, rep, comp, sig); blocks are bounded runs
+class Block:
+    """Classes that share an index key: which of their pairs are candidates."""
+
+    def __init__(self, variant: int, sig: np.ndarray):
+        self.variant, self.sig = variant, sig
+        earlier = chunk_variants()[:variant]
+        self.earlier = np.zeros((POSITIONS, variant), np.float32)
+        for v, at in enumerate(earlier):
+            self.earlier[at, v] = 1
+        self.sizes = self.earlier.sum(axis=0)
+
+    def near(self, i: int, others: np.ndarray) -> np.ndarray:
+        """Those of the others within the distance that no earlier key brings together with i."""
+        same = self.sig[others] == self.sig[i]
+        hit = np.count_nonzero(same, axis=1) >= POSITIONS - MAX_DISTANCE
+        others, same = others[hit], same[hit]
+        if self.variant and len(others):
+            others = others[~(same.astype(np.float32) @ self.earlier == self.sizes).any(axis=1)]
+        return others
+
+    def candidates(self, sketches: np.ndarray, share: float, others) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, share of equal sketch codes) of the candidate pairs whose share is large enough;
+        ``others`` gives the partners to look at for each i."""
+        full, out = sketches > 0, []
+        for i in range(len(self.sig)):
+            hit = self.near(i, others(i))
+            if len(hit):
+                equal = ((sketches[hit] == sketches[i]) & full[i]).sum(axis=1) / (full[hit] | full[i]).sum(axis=1)
+                hit, equal = hit[equal >= share], equal[equal >= share]
+                out.append((np.full(len(hit), i), hit, equal))
+        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int),) * 3
+
+    def forest(self, sketches: np.ndarray, share: float) -> list[tuple[int, int]]:
+        """A spanning forest of the pairs that look similar enough, likeliest pairs first."""
+        number = np.arange(len(self.sig))
+        i, j, likely = self.candidates(sketches, share, lambda i: number[i + 1:])
+        root, out = list(range(len(self.sig))), []
+        for p in np.argsort(-likely, kind="stable").tolist():
+            a, b = int(i[p]), int(j[p])
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            while root[b] != b:
+                root[b] = b = root[root[b]]
+            if a != b:
+                root[max(a, b)] = min(a, b)
+                out.append((int(i[p]), int(j[p])))
+        return out
+
+    def crossing(self, sketches: np.ndarray, share: float, comp: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
+        """All candidate pairs whose components differ and of which one is at home in this block."""
+        number, none = np.arange(len(self.sig)), np.zeros(0, int)
+        i, j, _ = self.candidates(sketches, share, lambda i: np.flatnonzero(
+            (comp != comp[i]) & (~home | (number > i))) if home[i] else none)
+        return list(zip(i.tolist(), j.tolist()))
+
+
+def bucket_pairs(members: DataFrame, kind: str, share: float, between: bool) -> DataFrame:
+    """Distinct candidate pairs (a < b) of (variant, key, block, home, rep, comp, sig, sketch) with the
+    least ``share`` of the sketch: forests, or all pairs between components. Blocks are bounded runs
     of the sorted rows, read as a stream."""
     def flush(rows: list[tuple]) -> list[tuple]:
-        rows.sort(key=lambda r: r[3])
-        sig = np.array([r[5] for r in rows])
+        rows.sort(key=lambda r: r[4])
+        block = Block(rows[0][0], np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, POSITIONS))
+        sketches = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, SKETCH)
         if between:
-            ids = {c: i for i, c in enumerate({r[4] for r in rows})}
-            pairs = crossing(sig, np.array([ids[r[4]] for r in rows]), np.array([r[2] for r in rows]))
+            ids = {c: i for i, c in enumerate({r[5] for r in rows})}
+            pairs = block.crossing(sketches, share, np.array([ids[r[5]] for r in rows]), np.array([r[3] for r in rows]))
         else:
-            pairs = forest(sig)
-        got = [(rows[i][3], rows[j][3]) for i, j in pairs]
+            pairs = block.forest(sketches, share)
+        got = [(rows[i][4], rows[j][4]) for i, j in pairs]
         return [(min(p), max(p)) for p in got if p[0] != p[1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, id_type = [], None
         for batch in batches:
-            id_type = batch.column(3).type
-            rows = list(zip(*[c.to_pylist() for c in batch.columns[:5]], _codes(batch.column(5))))
-            out = []
-            for row in rows:
-                if held and held[-1][:2] != row[:2]:
+            id_type, out = batch.column(4).type, []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if held and held[-1][:3] != row[:3]:
                     out += flush(held) if len(held) > 1 else []
                     held = []
                 held.append(row)
@@ -186,8 +226,8 @@ def bucket_pairs(members: DataFrame, kind: str, between: bool) -> DataFrame:
     def table(pairs, id_type):
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], id_type) for i in (0, 1)], ["a", "b"])
 
-    rows = members.select("key", "block", "home", "rep", "comp", "sig")
-    rows = rows.repartition("key", "block").sortWithinPartitions("key", "block")
+    rows = members.select("variant", "key", "block", "home", "rep", "comp", "sig", "sketch")
+    rows = rows.repartition("variant", "key", "block").sortWithinPartitions("variant", "key", "block")
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
@@ -230,35 +270,40 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     base = cut_lineage(signatures(docs, k))
     named = base.where("n > 0 and doc_id is not null")
     classes = cut_lineage(named.groupBy("fp1", "fp2", "n").agg(
-        F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("keys").alias("keys")))
-    keyed = classes.select("rep", F.explode("keys").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("_x"),
-                                       F.min("rep").alias("low")).where("size > 1")
-    buckets = buckets.groupBy("size", "_x", "low").agg(F.min("key").alias("key")).drop("_x")  # equal buckets once
-    members = keyed.join(buckets, "key").join(classes.select("rep", "sig"), "rep")
+        F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("sketch").alias("sketch"),
+        F.first("keys").alias("keys")))
+    keyed = classes.select("rep", F.posexplode("keys").alias("variant", "key"))
+    buckets = keyed.groupBy("variant", "key").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("_x"), F.min("rep").alias("low")).where("size > 1")
+    # buckets of equal members bring nothing new after the first of them
+    buckets = buckets.groupBy("size", "_x", "low").agg(F.min(F.struct("variant", "key")).alias("_first")).select(
+        "size", "low", "_first.variant", "_first.key")
+    members = keyed.join(buckets, ["variant", "key"])
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     members = cut_lineage(members.withColumns({
         "block": F.pmod(F.xxhash64("rep"), blocks).cast("int"), "blocks": blocks, "home": F.lit(True)}))
     first = members.withColumn("comp", F.col("rep"))
     lowest = first.where("rep = low and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     ties = first.where("rep <> low or blocks = 1").unionByName(lowest)
-    links = confirmed(docs, classes, cut_lineage(bucket_pairs(ties, kind, False)), k, percent)
-    links = cut_lineage(links)
-
+    codes = classes.select("rep", "sig", "sketch")
+    likely = cut_lineage(bucket_pairs(ties.join(codes, "rep"), kind, percent / 100, between=False))
+    links = confirmed(docs, classes, likely, k, percent)
     found = cut_lineage(components(links, "a", "b"))
     now = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
         "comp", F.coalesce("component", "rep")).drop("component")
-    shares = now.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("_n"))
-    mixed = shares.groupBy("key").agg(F.count(F.lit(1)).alias("_comps"), F.max_by("comp", "_n").alias("_main")).where(
+    shares = now.groupBy("variant", "key", "comp").agg(F.count(F.lit(1)).alias("_n"))
+    mixed = shares.groupBy("variant", "key").agg(F.count(F.lit(1)).alias("_comps"), F.max_by("comp", "_n").alias("_main")).where(
         "_comps > 1")
-    now = now.join(mixed, "key")
+    now = now.join(mixed, ["variant", "key"])
     guests = now.where("blocks > 1 and comp <> _main").withColumn("_own", F.col("block")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> _own").withColumn(
         "home", F.lit(False)).drop("_own")
-    more = cut_lineage(bucket_pairs(now.unionByName(guests), kind, True))
-    links = links.unionByName(confirmed(docs, classes, more, k, percent))
+    rest = now.unionByName(guests).join(codes, "rep")
+    more = cut_lineage(bucket_pairs(rest, kind, percent / 100 - SKETCH_MARGIN, between=True))
+    more = confirmed(docs, classes, more, k, percent)
 
-    found = components(links, "a", "b").withColumnRenamed("id", "rep")
+    stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+    found = components(stars.unionByName(more), "a", "b").withColumnRenamed("id", "rep")
     named_as = classes.select("fp1", "fp2", "n", "rep").join(found, "rep", "left").select(
         "fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
     out = base.select("doc_id", "n", "fp1", "fp2").join(named_as, ["fp1", "fp2", "n"], "left")
