@@ -42,7 +42,7 @@ class Encoder:
     """Ids of whole texts, by the vocabulary of a byte-level tokenizer file.
 
     The file's ids follow the order of its merges, so they serve as ranks of the faster encoder with
-    the same result; special tokens in a text are ordinary text.
+    the same result. Texts that hold one of the file's added tokens go to the file's own tokenizer.
     """
 
     def __init__(self, path: str):
@@ -50,13 +50,17 @@ class Encoder:
         from tokenizers import Tokenizer
 
         byte_of = _byte_of()
-        vocabulary = Tokenizer.from_file(path).get_vocab(with_added_tokens=False)
+        self.whole = Tokenizer.from_file(path)
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        vocabulary = self.whole.get_vocab(with_added_tokens=False)
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items()
                  if all(c in byte_of for c in token) and not re.fullmatch(r"<\|.*\|>", token)}
         self.bpe = tiktoken.Encoding("file", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
+        if any(token in text for token in self.added):
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return np.array(self.bpe.encode_ordinary(text), "<u4").tobytes()
 
 

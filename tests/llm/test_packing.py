@@ -106,3 +106,15 @@ def test_whole_table(spark, tokenizer):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     sizes = check(queries.op3_packing(spark, sf).collect(), texts, tokenizer, 2048, with_ids=False)
     assert sum(2048 - n for n in sizes if n & (n - 1)) <= 0.01 * sum(sizes)
+
+
+def test_added_tokens_have_their_ids(documents, encoder):
+    """Against the tokenizer as the file gives it."""
+    unaltered = Tokenizer.from_file(tokenizer_path())
+    texts = dict(enumerate(["a <|endoftext|> b", "<|endoftext|>", " <|endoftext|><|endoftext|>\n", "<|endoftext|", "plain text"]))
+    rows = packing.pack(documents([(i, t, None, None, None) for i, t in texts.items()]), tokenizer_path(), keep_ids=True).collect()
+    check(rows, texts, unaltered, 2048)
+    r = random.Random(5)
+    for _ in range(1000):
+        text = "".join(r.choice(ODD) for _ in range(r.randint(0, 14)))
+        assert list(np.frombuffer(encoder.encode(text), "<u4")) == list(ids_of(unaltered, text)[:-1])
