@@ -1,7 +1,7 @@
 """Approximate nearest neighbours: a hierarchical navigable small-world graph per shard.
 
 Vectors are dealt to shards of bounded size by a hash of their id. Each shard's graph is built in one
-task and kept as one row of flat neighbour arrays. Queries visit every shard; the shards' results are
+task, on one node per distinct vector, and kept as one row of flat neighbour arrays. Queries visit every shard; the shards' results are
 merged by distance. A task reads a shard's index once and its queries as a stream.
 """
 
@@ -62,18 +62,31 @@ def build_level(x: np.ndarray, most: int) -> np.ndarray:
     return out
 
 
+def _folded(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(ids in order by distinct vector, where each vector's ids start, distinct vectors)."""
+    number: dict[bytes, int] = {}
+    x = x + 0.0  # no negative zeros
+    own = np.array([number.setdefault(v.tobytes(), len(number)) for v in x])
+    order = np.lexsort((ids, own))
+    first = np.flatnonzero(np.diff(own[order], prepend=-1))
+    return ids[order], np.append(first, len(ids)), x[order[first]]
+
+
 class Graph:
-    """A shard's graph: ids, vectors and, per level, its nodes and their neighbours."""
+    """A shard's graph of distinct vectors: ids of each, vectors and, per level, its nodes and their neighbours."""
 
-    def __init__(self, ids, x, nodes, links):
-        self.ids, self.x, self.nodes, self.links = ids, x, nodes, links
+    def __init__(self, ids, first, x, nodes, links):
+        self.ids, self.first, self.x, self.nodes, self.links = ids, first, x, nodes, links
         self.rows = [{int(v): r for r, v in enumerate(some)} for some in nodes[1:]]
 
     @classmethod
     def build(cls, ids: np.ndarray, x: np.ndarray) -> "Graph":
-        chance = mix64(ids.view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
+        ids, first, x = _folded(ids, x)
+        chance = mix64(ids[first[:-1]].view(np.uint64) ^ np.uint64(0x5851F42D4C957F2D))
         order = np.argsort(chance, kind="stable")
-        ids, x, chance = ids[order], x[order], chance[order]
+        sizes = np.diff(first)[order]
+        ids = np.concatenate([ids[first[v]:first[v + 1]] for v in order])
+        first, x, chance = np.concatenate(([0], np.cumsum(sizes))), x[order], chance[order]
         level = (-np.log((mix64(chance) >> np.uint64(11)).astype(np.float64) / 2.0**53 + 2.0**-54) / np.log(LINKS)).astype(int)
         nodes, links = [], []
         for at in range(level.max() + 1):
@@ -81,7 +94,7 @@ class Graph:
             near = build_level(x[some], 2 * LINKS if at == 0 else LINKS)
             nodes.append(some)
             links.append(np.where(near >= 0, some[near], -1).astype(np.int32))
-        return cls(ids, x, nodes, links)
+        return cls(ids, first, x, nodes, links)
 
     def _distance(self, q: np.ndarray, at) -> np.ndarray:
         return ((self.x[at] - q) ** 2).sum(axis=-1)
@@ -101,7 +114,7 @@ class Graph:
                 if dist[at] >= best:
                     break
                 here, best = int(near[at]), float(dist[at])
-        seen = np.zeros(len(self.ids), bool)
+        seen = np.zeros(len(self.x), bool)
         seen[here] = True
         todo, found = [(best, here)], [(-best, here)]
         ground = self.links[0]
@@ -122,15 +135,25 @@ class Graph:
                 elif d < -found[0][0]:
                     heapq.heapreplace(found, (-d, v))
                     heapq.heappush(todo, (d, v))
-        return sorted((-d, int(self.ids[v])) for d, v in found)[:k]
+        hits: list[tuple[float, int]] = []
+        edge = float("inf")  # as far as the k-th hit
+        for d, v in sorted((-d, v) for d, v in found):
+            if d > edge:
+                break
+            hits += [(d, i) for i in self.ids[self.first[v]:self.first[v + 1]][:k].tolist()]
+            edge = d if len(hits) >= k else edge
+        return sorted(hits)[:k]
 
 
-INDEX = "dim int, shard int, ids binary, vectors binary, nodes array<binary>, links array<binary>"
+INDEX = "dim int, shard int, ids binary, first binary, vectors binary, nodes array<binary>, links array<binary>"
 
 
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
                 shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """The index of every usable vector: one row per shard, flat arrays of little-endian numbers."""
+    """The index of every usable vector: one row per shard, flat arrays of little-endian numbers.
+
+    Equal vectors of a shard are one node of its graph, which holds all their ids.
+    """
     rows = vectors.where(usable(F.col(vector_col)) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.withColumn("dim", F.size("vector"))
@@ -140,7 +163,8 @@ def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "e
 
     def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         g = Graph.build(rows["vec_id"].to_numpy(np.int64), np.stack(rows["vector"].to_list()).astype(np.float64))
-        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "ids": [g.ids.tobytes()], "vectors": [g.x.tobytes()],
+        return pd.DataFrame({"dim": [key[0]], "shard": [key[1]], "ids": [g.ids.tobytes()],
+                             "first": [g.first.astype(np.int64).tobytes()], "vectors": [g.x.tobytes()],
                              "nodes": [[n.tobytes() for n in g.nodes]], "links": [[n.tobytes() for n in g.links]]})
 
     return cut_lineage(rows.select("dim", "shard", "vec_id", "vector").groupBy("dim", "shard").applyInPandas(build, INDEX))
@@ -166,7 +190,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
     graphs = index.join(F.broadcast(sizes), "dim").withColumn(
         "slice", F.explode(F.sequence(F.lit(0), F.col("_slices") - 1))).drop("_slices").withColumns(
         {"query_id": F.lit(None).cast("long"), "vector": F.lit(None).cast("array<double>")})
-    rows = graphs.unionByName(visits).select("dim", "shard", "slice", "query_id", "vector", "ids", "vectors", "nodes", "links")
+    rows = graphs.unionByName(visits).select("dim", "shard", "slice", "query_id", "vector", "ids", "first", "vectors", "nodes", "links")
     rows = rows.repartition("dim", "shard", "slice").sortWithinPartitions("dim", "shard", "slice", F.asc_nulls_first("query_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,10 +200,10 @@ def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
             query_ids = batch.column(3).to_pylist()
             for at, query_id in enumerate(query_ids):
                 if query_id is None:
-                    ids, raw, nodes, links = (batch.column(c)[at].as_py() for c in (5, 6, 7, 8))
-                    ids = np.frombuffer(ids, np.int64)
+                    ids, first, raw, nodes, links = (batch.column(c)[at].as_py() for c in (5, 6, 7, 8, 9))
+                    ids, first = np.frombuffer(ids, np.int64), np.frombuffer(first, np.int64)
                     nodes = [np.frombuffer(n, np.int32) for n in nodes]
-                    graph = Graph(ids, np.frombuffer(raw, np.float64).reshape(len(ids), -1), nodes,
+                    graph = Graph(ids, first, np.frombuffer(raw, np.float64).reshape(len(first) - 1, -1), nodes,
                                   [np.frombuffer(m, np.int32).reshape(len(n), -1) for n, m in zip(nodes, links)])
                     continue
                 q = matrix(batch.column(4).slice(at, 1))[0]

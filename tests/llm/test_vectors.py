@@ -127,3 +127,23 @@ def test_graph_is_connected_and_bounded():
     assert g.links[0].shape == (600, 2 * hnsw.LINKS) and len(g.nodes) > 1
     found = sum(g.search(x[i], 1, 64)[0][0] == 0 for i in range(600))
     assert found >= 595
+
+
+def test_recall_beside_a_group_of_copies(frame):
+    """Copies of one vector, a third of the rows of several shards, hide no true neighbour."""
+    r = np.random.default_rng(17)
+    centres = r.normal(size=(6, 32))
+    x = centres[r.integers(0, 6, 1600)] + 0.4 * r.normal(size=(1600, 32))
+    x = np.concatenate([x, np.repeat(x[:1], 800, axis=0)]).astype(np.float32)[r.permutation(2400)]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    vecs = frame(rows)
+    index = hnsw.build_index(vecs, shard_rows=600)
+    assert index.count() == 4
+    got = hnsw.search(index, vecs.where("vec_id % 20 = 0"), 10).collect()
+    expect = brute(rows, {i for i, _ in rows if i % 20 == 0}, 10)
+    copies = {q for q, near in expect.items() if near[-1][0] == 0}
+    assert copies and len(copies) < len(expect)
+    mine = {q: [(r["score"], r["vec_id"]) for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] for q in expect}
+    assert all(mine[q] == expect[q] for q in copies)
+    hits = sum(len({i for _, i in mine[q]} & {i for _, i in expect[q]}) for q in expect if q not in copies)
+    assert hits >= 0.99 * 10 * (len(expect) - len(copies))
