@@ -43,6 +43,16 @@ _CC_PARTS = {"by": "attribution", "nc": "noncommercial", "nd": "noderivatives",
 _CC_KINDS = ("by", "by-sa", "by-nd", "by-nc", "by-nc-sa", "by-nc-nd")
 _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 
+#: Identifiers that SPDX tags give besides the spellings above, with the name to report.
+SPDX = {i.lower().replace("-", " "): i for i in (
+    "BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "Artistic-2.0", *NAMES, "0BSD", "AFL-3.0", "APSL-2.0", "Artistic-1.0",
+    "BSD-1-Clause", "BSD-2-Clause-Patent", "BSD-3-Clause-Clear", "BSD-4-Clause", "BlueOak-1.0.0", "BUSL-1.1", "CDDL-1.1",
+    "CECILL-2.1", "CPL-1.0", "ECL-2.0", "EUPL-1.1", "EUPL-1.2", "FTL", "HPND", "IJG", "IPL-1.0", "LPPL-1.3c", "MIT-0",
+    "MPL-1.0", "MPL-1.1", "MS-PL", "MS-RL", "MulanPSL-2.0", "NCSA", "ODC-By-1.0", "OpenSSL", "OSL-3.0", "PDDL-1.0",
+    "PHP-3.01", "PostgreSQL", "PSF-2.0", "QPL-1.0", "Ruby", "SSPL-1.0", "UPL-1.0", "Vim", "W3C", "X11", "ZPL-2.1",
+    *(f"{family}{end}" for family in ("GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0", "AGPL-1.0",
+                                      "AGPL-3.0", "GFDL-1.1", "GFDL-1.2", "GFDL-1.3") for end in ("", "-only", "-or-later")))}
+
 #: Sentences of license texts in plain form.
 BODY = {
     "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
@@ -109,6 +119,16 @@ RULES = [
 #: What a text must hold for any known sentence to be in it, and how sentences are brought to plain form.
 HINT = "(?i)licen[sc]|copyright|permi|rights reserved|redistribut|free software|merchantability|noninfringement|warrant|liable|public domain"
 SENTENCE_END = r"([.!?])[ \t\r]+([^0-9 \t\r])"  # "v. 2.0" is no end
+#: How lines of a paragraph come to stand for joined sentences: comment marks go, a blank line ends every sentence.
+PARAGRAPHS = [
+    (r"(?md)^[ \t\r/*#;%|!<>\"'`~=_-]+", ""),
+    (r"(?imd)^(rem|dnl)(?=[ \t\r]|$)[ \t\r]*", ""),
+    (r"(?i)(?<!version)\n(?=\(?[0-9a-z]{1,2}[.)][ \t]+[a-z])", "\n\n"),  # items of a list
+    (SENTENCE_END, "$1\n\n$2"),
+    (r"(?d)\n\n\(?[0-9A-Za-z]{1,2}\)[ \t]+", "\n\n"),
+    (r"([.!?:][\"')]*[ \t\r]*)\n(?![0-9])", "$1\n\n"),
+    (r"(?imd)^(copyright[ \t]*(?:\(c\)|\u00a9|[0-9]{4}).*)$", "\n$1\n"),
+]
 PLAIN = [
     (r"[^a-z0-9.+]+", " "),
     (r"^[ .]+|[ .]+$", ""),
@@ -138,9 +158,14 @@ def known_sentences() -> dict[str, str]:
     return out | {text: key for key, text in BODY.items()} | {"copyright": "copyright"}
 
 
-def rules() -> list[tuple[str, str]]:
+def all_sentences() -> dict[str, str]:
+    """The known sentences and those that SPDX tags make."""
+    return {f"licensed under {spelling}": f"under:{name}" for spelling, name in SPDX.items()} | known_sentences()
+
+
+def rules(sentences: dict[str, str] | None = None) -> list[tuple[str, str]]:
     """(license, identifiers as they stand in a row of identifiers), in the order they are tried."""
-    named = sorted({v for v in known_sentences().values() if v.startswith("under:")})
+    named = sorted({v for v in (sentences or known_sentences()).values() if v.startswith("under:")})
     return [(name, "".join(f" {i} " for i in ids)) for name, ids in RULES] + [(v[6:], f" {v} ") for v in named]
 
 
@@ -152,17 +177,40 @@ def plain_form(sentence: Column) -> Column:
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order; an empty array if it has none."""
-    known = known_sentences()
+    """Identifiers of the known sentences of a text, in order; an empty array if it has none.
+
+    A sentence is looked up with its lines joined; if it isn't known, its parts at ";" and ":" are, and
+    of a part that isn't known the lines each. A line known as a whole is not cut.
+    """
+    known = all_sentences()
     table = F.map_from_arrays(F.array(*map(F.lit, known)), F.array(*map(F.lit, known.values())))
-    split = F.split(F.regexp_replace(text, SENTENCE_END, "$1\n$2"), "\n")
-    found = F.filter(F.transform(split, lambda s: F.try_element_at(table, plain_form(s))), lambda i: i.isNotNull())
-    return F.when(text.rlike(HINT), found).otherwise(F.array().cast("array<string>"))
+
+    def looked_up(s: Column) -> Column:
+        return F.try_element_at(table, plain_form(s))
+
+    def lines(s: Column) -> Column:
+        return F.split(s, "\n")
+
+    def joined(s: Column, otherwise) -> Column:
+        """The identifier of the whole; a copyright line doesn't take in the lines after it."""
+        whole = F.filter(F.array(looked_up(s)), lambda i: i.isNotNull() & ((i != "copyright") | ~F.contains(s, F.lit("\n"))))
+        return F.flatten(F.transform(F.array(whole), lambda w: F.when(F.size(w) > 0, w).otherwise(otherwise(s))))
+
+    def parts(s: Column) -> Column:
+        uncut = F.array_join(F.transform(lines(s), lambda x: F.when(
+            looked_up(x).isNotNull(), F.translate(x, ";:", "  ")).otherwise(x)), "\n")
+        return F.flatten(F.transform(F.split(uncut, "[;:]"), lambda p: joined(p, lambda p: F.transform(lines(p), looked_up))))
+
+    for pattern, by in PARAGRAPHS:
+        paragraphs = F.regexp_replace(text if pattern == PARAGRAPHS[0][0] else paragraphs, pattern, by)
+    found = F.flatten(F.transform(F.split(paragraphs, "\n{2,}"), lambda s: joined(s, parts)))
+    hint = HINT.replace(" ", "[^a-z0-9]+")  # its words may stand on two lines
+    return F.when(text.rlike(hint), F.filter(found, lambda i: i.isNotNull())).otherwise(F.array().cast("array<string>"))
 
 
 def licenses_of(ids: Column) -> Column:
     """(licenses in the order of the rules, identifiers that no rule explains)."""
-    told = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("pattern")) for name, pattern in rules()])
+    told = F.array(*[F.struct(F.lit(name).alias("name"), F.lit(pattern).alias("pattern")) for name, pattern in rules(all_sentences())])
     row = F.array_join(F.transform(ids, lambda i: F.concat(F.lit(" "), i, F.lit(" "))), "")
     start = F.struct(row.alias("row"), F.array().cast("array<string>").alias("names"))
 
@@ -179,7 +227,8 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Null and empty texts have none of either. Rows are judged each by themselves; an empty table
     gives an empty result. A column that already has one of the three names is replaced. Sentences
-    end with a line, or with . ! or ? and white space, unless a digit follows; case, punctuation and spacing don't matter.
+    end with a paragraph, or with . ! or ? and white space, unless a digit follows; a line known by itself
+    counts too. Case, punctuation, spacing and comment marks don't matter.
     """
     rows = docs.withColumn("sentence_ids", F.coalesce(sentence_ids(F.col(text_col)), F.array().cast("array<string>")))
     rows = rows.withColumn("__told", licenses_of(F.col("sentence_ids")))
@@ -188,7 +237,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def oracle() -> str:
-    """The scan of documents in SQL: the same tables and rules, written out."""
+    """The scan of documents in SQL: the same tables and rules, written out, for sentences that don't wrap."""
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     plain = "lower(s)"
     for pattern, by in PLAIN:

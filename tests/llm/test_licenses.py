@@ -1,3 +1,5 @@
+import textwrap
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,3 +66,43 @@ def test_every_known_sentence_is_found_in_plain_text(documents):
 def test_native_plan(awkward):
     plan = licenses.scan(awkward)._jdf.queryExecution().executedPlan().toString()
     assert not any(x in plan for x in ("Python", "Arrow", "Exchange", "Join"))
+
+
+APACHE = ('Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the '
+          "License. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed "
+          'on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.')
+GPL = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
+       "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.\n\nThis "
+       "program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+       "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.")
+ISC = ("Copyright (c) 2020 Acme\nPermission to use, copy, modify, and/or distribute this software for any purpose with or without fee "
+       "is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.")
+LIABLE = ("\n\nIN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN "
+          "ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER "
+          "DEALINGS IN THE SOFTWARE.")
+LIST = BSD.replace("\n", "\n1. ", 1)
+LIST = LIST[:LIST.rindex("\n")] + "\n2. " + LIST[LIST.rindex("\n") + 1:] + ENDORSE.replace("\n", "\n3. ")
+
+
+@pytest.mark.parametrize("width", [47, 72, 5000])
+@pytest.mark.parametrize("mark", ["", "// ", " * "])
+def test_wrapped_texts(documents, width, mark):
+    def wrapped(text):
+        lines = [w for line in text.split("\n") for w in (textwrap.wrap(line, width) or [""])]
+        return "\n".join((mark + line).rstrip() for line in lines)
+
+    got = found(documents, *map(wrapped, [MIT + LIABLE, BSD, BSD + ENDORSE, LIST, ISC, GPL, APACHE, APACHE.replace("; you", ";\nyou"),
+                                          "Copyright (c) 2020 Acme\nAll rights reserved."]))
+    assert [g[0] for g in got] == [
+        ["mit-grant", "mit-notice", "mit-liability"], ["bsd-grant", "bsd-source", "bsd-binary"],
+        *[["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"]] * 2, ["copyright", "isc-grant"], ["gpl-2-later", "gpl-hope"],
+        *[["under:Apache-2.0", "apache-comply", "apache-as-is"]] * 2, ["copyright", "all-rights"]]
+    assert [g[1] for g in got] == [["MIT"], ["BSD-2-Clause"], ["BSD-3-Clause"], ["BSD-3-Clause"], ["ISC"], ["GPL-2.0-or-later"],
+                                   ["Apache-2.0"], ["Apache-2.0"], ["Proprietary"]]
+
+
+def test_every_spdx_identifier(documents):
+    names = [*licenses.SPDX.values(), "CC-BY-4.0", "CC-BY-NC-SA-3.0"]
+    got = found(documents, *[f"// SPDX-License-Identifier: {n}\nint main;" for n in names])
+    assert [g[1] for g in got] == [[n] for n in names]
+    assert {"BSD-2-Clause", "BSD-3-Clause", "Zlib", "BSL-1.0", "Artistic-2.0", "GPL-2.0-only", "AGPL-3.0-or-later"} <= set(names)
