@@ -186,36 +186,36 @@ class Block:
                 out.append((int(i[p]), int(j[p])))
         return out
 
-    def crossing(self, sketches: np.ndarray, share: float, comp: np.ndarray, home: np.ndarray) -> list[tuple[int, int]]:
-        """All candidate pairs whose components differ and of which one is at home in this block."""
-        number, none = np.arange(len(self.sig)), np.zeros(0, int)
-        i, j, _ = self.candidates(sketches, share, lambda i: np.flatnonzero(
-            (comp != comp[i]) & (~home | (number > i))) if home[i] else none)
+    def crossing(self, sketches: np.ndarray, share: float, comp: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+        """All candidate pairs whose components differ, across the two parts if two meet in this block."""
+        one = len(np.unique(own)) == 1
+        i, j, _ = self.candidates(sketches, share, lambda i: i + 1 + np.flatnonzero(
+            (comp[i + 1:] != comp[i]) & (one | (own[i + 1:] != own[i]))))
         return list(zip(i.tolist(), j.tolist()))
 
 
 def bucket_pairs(members: DataFrame, kind: str, share: float, between: bool) -> DataFrame:
-    """Distinct candidate pairs (a < b) of (variant, key, block, home, rep, comp, sig, sketch) with the
-    least ``share`` of the sketch: forests, or all pairs between components. Blocks are bounded runs
-    of the sorted rows, read as a stream."""
+    """Distinct candidate pairs (a < b) of (variant, key, low, high, own, rep, comp, sig, sketch) with the
+    least ``share`` of the sketch: forests, or all pairs between components. A block is what shares
+    variant, key, low and high: a bounded run of the sorted rows, read as a stream."""
     def flush(rows: list[tuple]) -> list[tuple]:
-        rows.sort(key=lambda r: r[4])
-        block = Block(rows[0][0], np.frombuffer(b"".join(r[6] for r in rows), np.uint16).reshape(-1, POSITIONS))
-        sketches = np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(-1, SKETCH)
+        rows.sort(key=lambda r: r[5])
+        block = Block(rows[0][0], np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, POSITIONS))
+        sketches = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(-1, SKETCH)
         if between:
-            ids = {c: i for i, c in enumerate({r[5] for r in rows})}
-            pairs = block.crossing(sketches, share, np.array([ids[r[5]] for r in rows]), np.array([r[3] for r in rows]))
+            ids = {c: i for i, c in enumerate({r[6] for r in rows})}
+            pairs = block.crossing(sketches, share, np.array([ids[r[6]] for r in rows]), np.array([r[4] for r in rows]))
         else:
             pairs = block.forest(sketches, share)
-        got = [(rows[i][4], rows[j][4]) for i, j in pairs]
+        got = [(rows[i][5], rows[j][5]) for i, j in pairs]
         return [(min(p), max(p)) for p in got if p[0] != p[1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, id_type = [], None
         for batch in batches:
-            id_type, out = batch.column(4).type, []
+            id_type, out = batch.column(5).type, []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if held and held[-1][:3] != row[:3]:
+                if held and held[-1][:4] != row[:4]:
                     out += flush(held) if len(held) > 1 else []
                     held = []
                 held.append(row)
@@ -226,11 +226,37 @@ def bucket_pairs(members: DataFrame, kind: str, share: float, between: bool) ->
     def table(pairs, id_type):
         return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], id_type) for i in (0, 1)], ["a", "b"])
 
-    rows = members.select("variant", "key", "block", "home", "rep", "comp", "sig", "sketch")
-    rows = rows.repartition("variant", "key", "block").sortWithinPartitions("variant", "key", "block")
+    group = ["variant", "key", "low", "high"]
+    rows = members.select(*group, "own", "rep", "comp", "sig", "sketch")
+    rows = rows.repartition(*group).sortWithinPartitions(*group)
     return rows.mapInArrow(run, f"a {kind}, b {kind}").distinct()
 
 
+def between_components(members: DataFrame) -> DataFrame:
+    """(variant, key, low, high, own, rep, comp) of the buckets of (variant, key, rep, comp) that hold
+    several components, dealt so that pairs between components meet in blocks of about BLOCK rows.
+
+    A bucket's largest component and its other members, the guests, are cut into parts of half a
+    block. Every two guest parts meet, and every guest part and part of the component.
+    """
+    shares = members.groupBy("variant", "key", "comp").agg(F.count(F.lit(1)).alias("_n"))
+    mixed = shares.groupBy("variant", "key").agg(
+        F.count(F.lit(1)).alias("_comps"), F.max(F.struct("_n", "comp")).alias("_most"), F.sum("_n").alias("_size")).where("_comps > 1")
+    half = max(BLOCK // 2, 1)
+    crowded = F.col("_size") > BLOCK
+    mixed = mixed.select(
+        "variant", "key", F.col("_most.comp").alias("_main"),
+        F.when(crowded, F.ceil((F.col("_size") - F.col("_most._n")) / half)).otherwise(1).cast("int").alias("_guests"),
+        F.when(crowded, F.ceil(F.col("_most._n") / half)).otherwise(0).cast("int").alias("_mains"))
+    guest = (F.col("comp") != F.col("_main")) | (F.col("_mains") == 0)
+    number = F.xxhash64("rep")
+    own = F.when(guest, F.pmod(number, F.col("_guests"))).otherwise(F.col("_guests") + F.pmod(number, F.col("_mains"))).cast("int")
+    last = F.when(guest, F.col("_guests") + F.col("_mains") - 1).otherwise(F.col("_guests") - 1)
+    return members.join(mixed, ["variant", "key"]).withColumn("own", own).withColumn(
+        "_other", F.explode(F.sequence(F.lit(0), last))).select(
+        "variant", "key", F.least("own", "_other").alias("low"), F.greatest("own", "_other").alias("high"), "own", "rep", "comp")
+
+
 def confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose full shingle sets are similar enough. Only texts in a pair are read again."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -277,28 +303,20 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
         F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("rep")).alias("_x"), F.min("rep").alias("low")).where("size > 1")
     # buckets of equal members bring nothing new after the first of them
     buckets = buckets.groupBy("size", "_x", "low").agg(F.min(F.struct("variant", "key")).alias("_first")).select(
-        "size", "low", "_first.variant", "_first.key")
+        "size", F.col("low").alias("lowest"), "_first.variant", "_first.key")
     members = keyed.join(buckets, ["variant", "key"])
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    members = cut_lineage(members.withColumns({
-        "block": F.pmod(F.xxhash64("rep"), blocks).cast("int"), "blocks": blocks, "home": F.lit(True)}))
+    members = cut_lineage(members.withColumns({"low": F.pmod(F.xxhash64("rep"), blocks).cast("int"), "blocks": blocks}))
     first = members.withColumn("comp", F.col("rep"))
-    lowest = first.where("rep = low and blocks > 1").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    ties = first.where("rep <> low or blocks = 1").unionByName(lowest)
+    lowest = first.where("rep = lowest and blocks > 1").withColumn("low", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    ties = first.where("rep <> lowest or blocks = 1").unionByName(lowest).withColumns({"high": F.col("low"), "own": F.col("low")})
     codes = classes.select("rep", "sig", "sketch")
     likely = cut_lineage(bucket_pairs(ties.join(codes, "rep"), kind, percent / 100, between=False))
     links = confirmed(docs, classes, likely, k, percent)
     found = cut_lineage(components(links, "a", "b"))
-    now = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
+    now = members.select("variant", "key", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn(
         "comp", F.coalesce("component", "rep")).drop("component")
-    shares = now.groupBy("variant", "key", "comp").agg(F.count(F.lit(1)).alias("_n"))
-    mixed = shares.groupBy("variant", "key").agg(F.count(F.lit(1)).alias("_comps"), F.max_by("comp", "_n").alias("_main")).where(
-        "_comps > 1")
-    now = now.join(mixed, ["variant", "key"])
-    guests = now.where("blocks > 1 and comp <> _main").withColumn("_own", F.col("block")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> _own").withColumn(
-        "home", F.lit(False)).drop("_own")
-    rest = now.unionByName(guests).join(codes, "rep")
+    rest = between_components(now).join(codes, "rep")
     more = cut_lineage(bucket_pairs(rest, kind, percent / 100 - SKETCH_MARGIN, between=True))
     more = confirmed(docs, classes, more, k, percent)
 

@@ -108,6 +108,26 @@ def test_awkward_empty_and_one_of_each_group(awkward, spark):
     assert minhash.near_duplicates(awkward.limit(0)).collect() == []
 
 
+def test_second_pass_is_dealt_in_bounded_blocks(spark, monkeypatch):
+    """No block holds a bucket whose members mostly don't link; every pair between components meets once."""
+    monkeypatch.setattr(minhash, "BLOCK", 64)
+    comps = {(0, r): r for r in range(400)}  # nothing links
+    comps |= {(1, r): 0 if r < 300 else r for r in range(400)}  # a large component and guests
+    comps |= {(2, r): r % 2 for r in range(40)} | {(3, r): 0 for r in range(40)}
+    rows = spark.createDataFrame([(0, k, r, c) for (k, r), c in comps.items()], "variant int, key long, rep long, comp long")
+    blocks = {}
+    for r in minhash.between_components(rows).collect():
+        blocks.setdefault((r["key"], r["low"], r["high"]), []).append(r)
+    assert max(map(len, blocks.values())) <= 2 * 64
+    met = []
+    for (key, _, _), some in blocks.items():
+        one = len({r["own"] for r in some}) == 1
+        met += [(key, min(a["rep"], b["rep"]), max(a["rep"], b["rep"])) for i, a in enumerate(some) for b in some[:i]
+                if a["comp"] != b["comp"] and (one or a["own"] != b["own"])]
+    expect = {(k, a, b) for (k, a), x in comps.items() for (j, b), y in comps.items() if j == k and a < b and x != y}
+    assert len(met) == len(set(met)) and set(met) == expect
+
+
 # --- repeated passages ---------------------------------------------------------------------------
 
 
