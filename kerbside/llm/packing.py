@@ -154,6 +154,18 @@ def fill_up(pieces: list[Piece], window: int) -> list[list[Piece]]:
     return out
 
 
+def close_fullest(windows: list[list[Piece]], window: int, most: int) -> tuple[list[list[Piece]], list[Piece]]:
+    """(full windows, pieces kept): where open windows hold more than ``most`` ids, pieces of the fullest
+    are cut to fill them; less than ``most`` and a window stays."""
+    windows = sorted(windows, key=lambda w: sum(p.size for p in w))
+    upto = np.cumsum([sum(p.size for p in w) for w in windows])
+    stay = int(np.searchsorted(upto, most, "right"))
+    kept = [p for w in windows[:stay] for p in w]
+    filled = fill_up([p for w in windows[stay:] for p in w], window)
+    done = [w for w in filled if sum(p.size for p in w) == window]
+    return done, kept + [p for w in filled[len(done):] for p in w]
+
+
 def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, with
     ``keep_ids``, the ids.
@@ -197,7 +209,11 @@ def pack(docs: DataFrame, tokenizer_path: str, window: int = WINDOW, keep_ids: b
             nonlocal held, tokens
             windows = [[held[i] for i in w] for w in best_fit_decreasing([p.size for p in held], window)]
             done = [w for w in windows if sum(p.size for p in w) >= window - SLACK]
-            held = [p for w in windows if sum(q.size for q in w) < window - SLACK for p in w]
+            still = [w for w in windows if sum(p.size for p in w) < window - SLACK]
+            held = [p for w in still for p in w]
+            if not last:
+                more, held = close_fullest(still, window, GROUP_TOKENS // 2)
+                done += more
             if last:
                 done, held = done + fill_up(held, window), []
             tokens = sum(p.size for p in held)

@@ -118,3 +118,16 @@ def test_added_tokens_have_their_ids(documents, encoder):
     for _ in range(1000):
         text = "".join(r.choice(ODD) for _ in range(r.randint(0, 14)))
         assert list(np.frombuffer(encoder.encode(text), "<u4")) == list(ids_of(unaltered, text)[:-1])
+
+
+def test_rests_of_like_length_dont_pile_up(documents, tokenizer, monkeypatch):
+    """Rests of more than half a window, of which no two share one, leave a bounded rest of pieces."""
+    open_windows = [[packing.Piece(i, 150, 0, np.full(150, i, "<u4").tobytes())] for i in range(100)]
+    done, kept = packing.close_fullest(open_windows, 256, 1000)
+    assert all(sum(p.size for p in w) == 256 for w in done) and sum(p.size for p in kept) < 1000 + 256
+    assert sum(p.size for w in [*done, kept] for p in w) == 100 * 150
+    assert packing.close_fullest(open_windows[:6], 256, 1000) == ([], [w[0] for w in open_windows[:6]])
+    monkeypatch.setattr(packing, "GROUP_TOKENS", 4096)
+    texts = {i: f"{i} " + "word " * 150 for i in range(200)}
+    rows = documents([(i, t, None, None, None) for i, t in texts.items()]).coalesce(1)
+    check(packing.pack(rows, tokenizer_path(), 256, keep_ids=True).collect(), texts, tokenizer, 256)
