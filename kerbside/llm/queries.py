@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbside.llm import hnsw, langid, licenses, minhash, mixing, packing, quality, substrings, toxicity, vectors
+from kerbside.llm import (
+    audit, bpe, hnsw, langid, licenses, minhash, mixing, packing, quality, substrings, toxicity, vectors, whitening)
 from kerbside.llm.common import remainder, settings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,10 +29,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return settings(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op1_license_scan", licenses.oracle())
@@ -92,3 +93,20 @@ def op8_embedding_dedup(spark, sf_dir):
 @query("op10_nearest_neighbours")
 def op10_nearest_neighbours(spark, sf_dir):
     return hnsw.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+@query("op11_byte_bpe")
+def op11_byte_bpe(spark, sf_dir):
+    coded = bpe.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"))
+    decimals = F.array_join(F.col("input_ids").cast("array<string>"), " ")
+    return coded.select("doc_id", "n_tokens", F.sha2(decimals, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+@query("op13_filter_audit", audit.oracle())
+def op13_filter_audit(spark, sf_dir):
+    return audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

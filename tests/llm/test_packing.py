@@ -19,7 +19,6 @@ def encoder():
 @pytest.fixture(scope="module")
 def tokenizer():
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     return t
 
 

@@ -97,7 +97,8 @@ def test_sql_twins(spark, name):
     import duckdb
 
     got = queries.QUERIES[name](spark, SF).toPandas()
-    duckdb.sql(f"create or replace view documents as select * from '{SF}/documents.parquet'")
+    for name_ in ("documents", "labels"):
+        duckdb.sql(f"create or replace view {name_} as select * from '{SF}/{name_}.parquet'")
     twin = duckdb.sql(queries.ORACLES[name]).df()[list(got.columns)]
     by = list(got.columns)
     assert got.sort_values(by).values.tolist() == twin.sort_values(by).values.tolist()
