@@ -1,10 +1,11 @@
 """How filters interact: what each removes in every order, from a sparse document-term matrix.
 
 Documents are read in shards. A shard counts the words of its documents into compressed sparse rows
-over its own list of words; the lists of all shards give one dictionary with a dense number per
-word, and the rows' columns are renumbered by it. Row sums and numbers of nonzeros decide the filters
-on word counts; the others are flags found in the same pass over the texts, and the smallest id of
-equal texts. What remains is one count per combination of flags, from which every order follows.
+over its own list of words; the lists of all shards meet word by word, where every word gets one
+number for the whole table, and the rows' columns are renumbered by it. Row sums and numbers of
+nonzeros decide the filters on word counts; the others are flags found in the same pass over the
+texts, and the smallest id of equal texts. What remains is one count per combination of flags, from
+which every order follows.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from itertools import permutations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import SEGMENT_BYTES, _end_of_piece, in_arrow
@@ -27,7 +29,8 @@ FILTERS = "ABCDE"
 LEAST_WORDS = 200  # A
 LEAST_DISTINCT = 50  # B: percent of the words
 MOST_CAPITALS = 2  # C: percent of the code points
-SHARD_BYTES = 1 << 20  # of text, or one longer text
+SHARD_BYTES = 1 << 24  # of text, or one longer text
+SHARD_ROWS = 1 << 14
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ODD = b"#$%&*|"  # D
 
@@ -45,30 +48,53 @@ def word_counts(raw: bytes) -> Counter:
     return counts
 
 
+def packed(numbers: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes: differences, first their lowest bytes, then the next ones."""
+    steps = np.diff(numbers.astype(np.int64), prepend=0)
+    return pa.compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True) if len(steps) else b""
+
+
+def unpacked(data: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.int64)
+    planes = np.frombuffer(pa.decompress(data, 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.int64).ravel())
+
+
+class _Numbers(dict):
+    """Numbers words as they are met."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _shard_types(kind: str) -> str:
+    return (f"shard long, doc_id array<{kind}>, source array<string>, capitals array<long>, chars array<long>, odd array<boolean>, "
+            "print array<binary>, sizes binary, pairs long, column binary, count binary, n_words int")
+
+
 def shards(docs: DataFrame) -> DataFrame:
-    """One row per shard: facts of its documents, sparse rows (first, column, count) and its words."""
+    """One row per shard: facts of its documents, sparse rows (packed sizes, columns and counts) and
+    its words in the order of the columns, joined by spaces."""
     kind = dict(docs.dtypes)["doc_id"]
-    names = ["shard", "doc_id", "source", "capitals", "chars", "odd", "print", "first", "column", "count", "words"]
+    types = _shard_types(kind) + ", words string"
+    names = [c.split(" ")[0] for c in types.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, number, id_type = TaskContext.get().partitionId() << 32, 0, None
-        number_of: dict[bytes, int] = {}
-        facts: list[tuple] = []
-        sizes, columns, counts, size = [], [], [], 0
+        numbers, facts, sizes, columns, counts, size = _Numbers(), [], [], [], [], 0
 
         def shard() -> pa.RecordBatch:
-            nonlocal number, size
-            lists = [pa.array([[f[i] for f in facts]], pa.list_(t)) for i, t in enumerate(
-                (id_type, pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))]
-            flat = [np.concatenate(([0], np.cumsum(sizes))).astype(np.int64), np.concatenate([*columns, np.zeros(0, np.int32)]).astype(np.int32),
-                    np.concatenate([*counts, np.zeros(0, np.int64)]).astype(np.int64)]
-            out = pa.RecordBatch.from_arrays([
-                pa.array([base + number], pa.int64()), *lists, *[pa.array([f.tobytes()], pa.large_binary()).cast(pa.binary()) for f in flat],
-                pa.array([list(number_of)], pa.list_(pa.binary()))], names)
-            number, size = number + 1, 0
-            for held in (number_of, facts, sizes, columns, counts):
-                held.clear()
-            return out
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            column, count = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (columns, counts))
+            order = np.lexsort((column, row))
+            lists = [pa.array([list(x)], pa.list_(t)) for x, t in zip(zip(*facts), (
+                id_type, pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()))]
+            return pa.RecordBatch.from_arrays([
+                pa.array([base + number], pa.int64()), *lists, pa.array([packed(np.array(sizes))], pa.binary()),
+                pa.array([len(column)], pa.int64()), *[pa.array([packed(x[order])], pa.binary()) for x in (column, count)],
+                pa.array([len(numbers)], pa.int32()), pa.array([b" ".join(numbers).decode()], pa.string())], names)
 
         for batch in batches:
             id_type, doc_ids, sources, texts = batch.column(0).type, batch.column(0), batch.column(1), batch.column(2)
@@ -79,79 +105,121 @@ def shards(docs: DataFrame) -> DataFrame:
                 facts.append((doc_ids[row].as_py(), sources[row].as_py(), len(raw) - len(raw.translate(None, CAPITALS)), len(text),
                               len(raw.translate(None, ODD)) < len(raw), hashlib.sha256(raw).digest()))
                 sizes.append(len(found))
-                columns.append(np.fromiter((number_of.setdefault(w, len(number_of)) for w in found), np.int32, len(found)))
+                columns.append(np.fromiter(map(numbers.__getitem__, found), np.int64, len(found)))
                 counts.append(np.fromiter(found.values(), np.int64, len(found)))
                 size += len(raw)
-                if size >= SHARD_BYTES or len(facts) >= 4096:
+                if size >= SHARD_BYTES or len(facts) >= SHARD_ROWS:
                     yield shard()
+                    numbers, facts, sizes, columns, counts, size = _Numbers(), [], [], [], [], 0
+                    number += 1
         if facts:
             yield shard()
 
-    return cut_lineage(in_arrow(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), run,
-                                f"shard long, doc_id array<{kind}>, source array<string>, capitals array<long>, chars array<long>, "
-                                "odd array<boolean>, print array<binary>, first binary, column binary, count binary, words array<binary>"))
+    return cut_lineage(in_arrow(docs.select("doc_id", F.col("source").cast("string").alias("source"), "text"), run, types))
+
+
+def numbered(own: DataFrame, with_words: bool = False) -> DataFrame:
+    """Global numbers of the shards' words: (shard, at, term), packed places and numbers of some words,
+    and with ``with_words`` also (word, number) of every distinct word.
 
+    A word's rows, one a shard that has it, meet in sorted order; its number is the partition's, upper
+    half, and its rank there.
+    """
+    used = own.where("n_words > 0").select("shard", F.posexplode(F.split("words", " ")).alias("at", "word"))
+    used = used.repartition("word").sortWithinPartitions("word")
+    names = ["shard", "n", "at", "term", "word", "number"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, number, last = TaskContext.get().partitionId() << 32, -1, None
+        held, size = [], 0
+
+        def by_shard() -> pa.RecordBatch:
+            shard, at, term = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((term, shard))
+            cut = np.flatnonzero(np.diff(shard[order], prepend=-1))
+            groups = [order[a:b] for a, b in zip(cut, [*cut[1:], len(order)])]
+            return pa.RecordBatch.from_arrays([
+                pa.array(shard[order][cut]), pa.array([len(g) for g in groups], pa.int64()),
+                pa.array([packed(at[g]) for g in groups], pa.binary()), pa.array([packed(term[g]) for g in groups], pa.binary()),
+                pa.nulls(len(groups), pa.string()), pa.nulls(len(groups), pa.int64())], names)
 
-def dictionary(words: DataFrame) -> DataFrame:
-    """(word, term): every distinct word with a dense number from 0."""
-    own = cut_lineage(words.select("word").distinct().withColumn("_m", F.monotonically_increasing_id()))
-    own = own.select("word", F.shiftright("_m", 33).alias("_part"), F.col("_m").bitwiseAND((1 << 33) - 1).alias("_row"))
-    sizes = own.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row per partition
-    starts = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_start"))
-    return own.join(F.broadcast(starts), "_part").select("word", (F.col("_start") + F.col("_row")).alias("term"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            word = batch.column(2)
+            new = np.append(word[0].as_py() != last, pc.not_equal(word[1:], word[:-1]).to_numpy(zero_copy_only=False))
+            term = base + number + np.cumsum(new)
+            number, last = int(term[-1]) - base, word[-1].as_py()
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), term))
+            size += batch.num_rows
+            if with_words:
+                some = np.flatnonzero(new)
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(len(some), t) for t in (pa.int64(), pa.int64(), pa.binary(), pa.binary())],
+                                                  word.take(pa.array(some)), pa.array(term[some])], names)
+            if size >= 1 << 20:
+                yield by_shard()
+                held, size = [], 0
+        if held:
+            yield by_shard()
+
+    return cut_lineage(used.select("shard", "at", "word").mapInArrow(
+        run, "shard long, n long, at binary, term binary, word string, number long"))
+
+
+def _with_numbers(own: DataFrame, numbers: DataFrame) -> DataFrame:
+    """The shards without their words, and the numbers of those: a shard's own, packed."""
+    per_shard = numbers.where("shard is not null").groupBy("shard").agg(
+        F.collect_list(F.struct("n", "at", "term")).alias("numbers"))
+    return own.drop("words").join(per_shard, "shard", "left")
+
+
+def _rows_of(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(where each document's entries start, global number, count) of a shard and its numbers."""
+    sizes, pairs, column, count, n_words, numbers = (batch.column(c)[row].as_py() for c in range(7, 13))
+    first = np.concatenate(([0], np.cumsum(unpacked(sizes, len(batch.column(1)[row])))))
+    term = np.zeros(n_words, np.int64)
+    for part in numbers or []:
+        term[unpacked(part["at"], part["n"])] = unpacked(part["term"], part["n"])
+    return first, term[unpacked(column, pairs)], unpacked(count, pairs)
 
 
 def term_matrix(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(sparse shards, dictionary). A shard's columns are the dictionary's terms, ascending in a row.
+    """(sparse rows in shards, dictionary of word and number).
 
-    Columns of the shards: shard, doc_id, source, capitals, chars, odd, print (arrays, an entry per
-    document) and the little-endian arrays first, term and count (64 bits): the terms of document i
-    are those from first[i] to first[i + 1].
+    Columns of the shards: shard, doc_id (an entry per document) and the little-endian arrays first,
+    term and count (64 bits): the words of document i are those from first[i] to first[i + 1].
     """
     own = shards(docs)
-    used = own.select("shard", F.posexplode("words").alias("at", "word"))
-    terms = dictionary(used)
-    numbers = used.join(terms, "word").groupBy("shard").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("at", "term"))), lambda x: x["term"]).alias("terms"))  # a shard's words
-    facts = ["shard", "doc_id", "source", "capitals", "chars", "odd", "print"]
-    rows = own.drop("words").join(numbers, "shard", "left").select(*facts, "first", "column", "count", "terms")
-    kind = dict(docs.dtypes)["doc_id"]
+    numbers = numbered(own, with_words=True)
 
-    def renumber(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                first, count = (np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in (7, 9))
-                column = np.frombuffer(batch.column(8)[row].as_py(), np.int32)
-                term = batch.column(10)[row].values
-                term = term.to_numpy()[column] if term is not None else np.zeros(0, np.int64)
-                order = np.lexsort((term, np.repeat(np.arange(len(first) - 1), np.diff(first))))
-                yield pa.RecordBatch.from_arrays([
-                    *[c.slice(row, 1) for c in batch.columns[:8]],
-                    *[pa.array([a[order].astype(np.int64).tobytes()], pa.binary()) for a in (term, count)]],
-                    [*facts, "first", "term", "count"])
+                arrays = [pa.array([x.astype(np.int64).tobytes()], pa.binary()) for x in _rows_of(batch, row)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, 1), batch.column(1).slice(row, 1), *arrays],
+                                                 ["shard", "doc_id", "first", "term", "count"])
 
-    return rows.mapInArrow(renumber, (
-        f"shard long, doc_id array<{kind}>, source array<string>, capitals array<long>, chars array<long>, "
-        "odd array<boolean>, print array<binary>, first binary, term binary, count binary")), terms
+    kind = dict(docs.dtypes)["doc_id"]
+    matrix = _with_numbers(own, numbers).mapInArrow(run, f"shard long, doc_id array<{kind}>, first binary, term binary, count binary")
+    return matrix, numbers.where("word is not null").select("word", F.col("number").alias("term"))
 
 
 def document_facts(docs: DataFrame) -> DataFrame:
     """doc_id, source, words, terms, capitals, chars, odd, print of every row, counted on the matrix."""
-    matrix, _ = term_matrix(docs)
-    kind = dict(docs.dtypes)["doc_id"]
+    own = shards(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                first, count = (np.frombuffer(batch.column(c)[row].as_py(), np.int64) for c in (7, 8))
+                first, term, count = _rows_of(batch, row)
                 upto = np.concatenate(([0], np.cumsum(count)))
                 doc_id, source, capitals, chars, odd, prints = (batch.column(c)[row].values for c in range(1, 7))
                 yield pa.RecordBatch.from_arrays([
                     doc_id, source, pa.array(upto[first[1:]] - upto[first[:-1]]), pa.array(np.diff(first)), capitals, chars, odd, prints],
                     ["doc_id", "source", "words", "terms", "capitals", "chars", "odd", "print"])
 
-    facts = ["shard", "doc_id", "source", "capitals", "chars", "odd", "print"]
-    return matrix.select(*facts, "first", "count").mapInArrow(run, f"doc_id {kind}, source string, {_PER_DOC}")
+    kind = dict(docs.dtypes)["doc_id"]
+    return _with_numbers(own, numbered(own)).mapInArrow(run, f"doc_id {kind}, source string, {_PER_DOC}")
 
 
 def failures(docs: DataFrame) -> DataFrame:
