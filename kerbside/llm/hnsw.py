@@ -99,8 +99,17 @@ class Graph:
     def _distance(self, q: np.ndarray, at) -> np.ndarray:
         return ((self.x[at] - q) ** 2).sum(axis=-1)
 
-    def search(self, q: np.ndarray, k: int, breadth: int) -> list[tuple[float, int]]:
-        """The (squared distance, id) of the k nearest found, nearest first."""
+    def _only(self, own: int) -> np.ndarray:
+        """Which nodes hold no other id."""
+        is_own = self.ids == own
+        if not is_own.any():
+            return np.zeros(len(self.x), bool)
+        return np.add.reduceat(~is_own, self.first[:-1], dtype=np.int64) == 0
+
+    def search(self, q: np.ndarray, k: int, breadth: int, own: int | None = None) -> list[tuple[float, int]]:
+        """The (squared distance, id) of the k nearest found, nearest first, without the id ``own``: the
+        search passes through its vectors, but they take no place among what is found."""
+        hidden = np.zeros(len(self.x), bool) if own is None else self._only(own)
         here = int(self.nodes[-1][0])
         best = float(self._distance(q, here))
         for level in range(len(self.nodes) - 1, 0, -1):
@@ -116,7 +125,7 @@ class Graph:
                 here, best = int(near[at]), float(dist[at])
         seen = np.zeros(len(self.x), bool)
         seen[here] = True
-        todo, found = [(best, here)], [(-best, here)]
+        todo, found = [(best, here)], [] if hidden[here] else [(-best, here)]
         ground = self.links[0]
         while todo:
             dist, at = heapq.heappop(todo)
@@ -129,18 +138,17 @@ class Graph:
                 continue
             seen[near] = True
             for d, v in zip(self._distance(q, near).tolist(), near.tolist()):
-                if len(found) < breadth:
-                    heapq.heappush(found, (-d, v))
-                    heapq.heappush(todo, (d, v))
-                elif d < -found[0][0]:
-                    heapq.heapreplace(found, (-d, v))
+                if len(found) < breadth or d < -found[0][0]:
                     heapq.heappush(todo, (d, v))
+                    if not hidden[v]:
+                        (heapq.heappush if len(found) < breadth else heapq.heapreplace)(found, (-d, v))
         hits: list[tuple[float, int]] = []
         edge = float("inf")  # as far as the k-th hit
         for d, v in sorted((-d, v) for d, v in found):
             if d > edge:
                 break
-            hits += [(d, i) for i in self.ids[self.first[v]:self.first[v + 1]][:k].tolist()]
+            ids = self.ids[self.first[v]:self.first[v + 1]]
+            hits += [(d, i) for i in ids[ids != own][:k].tolist()]
             edge = d if len(hits) >= k else edge
         return sorted(hits)[:k]
 
@@ -207,8 +215,7 @@ def search(index: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id",
                                   [np.frombuffer(m, np.int32).reshape(len(n), -1) for n, m in zip(nodes, links)])
                     continue
                 q = matrix(batch.column(4).slice(at, 1))[0]
-                hits = [(query_id, v, d) for d, v in graph.search(q, k + 1, max(breadth, k + 1)) if v != query_id][:k]
-                out += [(a, v, float(np.sqrt(d))) for a, v, d in hits]
+                out += [(query_id, v, float(np.sqrt(d))) for d, v in graph.search(q, k, max(breadth, k), query_id)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()),
                 pa.array([r[2] for r in out], pa.float64())], ["query_id", "vec_id", "score"])

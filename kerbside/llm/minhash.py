@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbside.llm.common import LOWER, components, in_arrow, mix64, segments, spans_hash, words
@@ -35,6 +35,7 @@ CHUNKS = 10
 SKETCH = 512  # hash ranges, a power of two
 SKETCH_MARGIN = 0.06
 BLOCK = 2048  # classes compared at once
+STRIP = 1 << 16  # pairs of a block held at once
 
 _rng = np.random.default_rng(20240917)
 _ODD = _rng.integers(1, 2**63, POSITIONS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -103,8 +104,13 @@ def _fingerprint(shingles: np.ndarray) -> tuple[int, int]:
             int(np.add.reduce(mix64(shingles * np.uint64(0x9E3779B97F4A7C15))).astype(np.int64)) if len(shingles) else 0)
 
 
+def row_key() -> Column:
+    """What a row is told apart by: its id and its text."""
+    return F.xxhash64("doc_id", "text", F.md5(F.col("text").cast("binary")))
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, fp1, fp2, sig, sketch, keys) per row; documents without shingles have no signature."""
+    """(doc_id, row_key, n, fp1, fp2, sig, sketch, keys) per row; documents without shingles have no signature."""
     variants = chunk_variants()
     salts = _rng_salts(len(variants))
 
@@ -122,16 +128,16 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
             keys = iter(keys.view(np.int64))
             prints = [_fingerprint(s) for s in sets]
             yield pa.RecordBatch.from_arrays([
-                batch.column(0), pa.array([len(s) for s in sets], pa.int64()),
+                batch.column(0), batch.column(2), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([p[0] for p in prints], pa.int64()), pa.array([p[1] for p in prints], pa.int64()),
                 pa.array([None if s is None else s.tobytes() for s in sigs], pa.binary()),
                 pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary()),
                 pa.array([None if s is None else next(keys) for s in sigs], pa.list_(pa.int64())),
-            ], ["doc_id", "n", "fp1", "fp2", "sig", "sketch", "keys"])
+            ], ["doc_id", "row_key", "n", "fp1", "fp2", "sig", "sketch", "keys"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    return in_arrow(docs.select("doc_id", "text"), run,
-                    f"doc_id {kind}, n long, fp1 long, fp2 long, sig binary, sketch binary, keys array<long>")
+    return in_arrow(docs.select("doc_id", "text", row_key().alias("row_key")), run,
+                    f"doc_id {kind}, row_key long, n long, fp1 long, fp2 long, sig binary, sketch binary, keys array<long>")
 
 
 def _rng_salts(n: int) -> np.ndarray:
@@ -158,73 +164,87 @@ class Block:
             others = others[~(same.astype(np.float32) @ self.earlier == self.sizes).any(axis=1)]
         return others
 
-    def candidates(self, sketches: np.ndarray, share: float, others) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(i, j, share of equal sketch codes) of the candidate pairs whose share is large enough;
-        ``others`` gives the partners to look at for each i."""
-        full, out = sketches > 0, []
+    def strips(self, sketches: np.ndarray, share: float, others) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, share of equal sketch codes) of the candidate pairs whose share is large enough, some
+        rows of the block at a time; ``others`` gives the partners to look at for each i."""
+        full, out, size = sketches > 0, [], 0
         for i in range(len(self.sig)):
             hit = self.near(i, others(i))
             if len(hit):
                 equal = ((sketches[hit] == sketches[i]) & full[i]).sum(axis=1) / (full[hit] | full[i]).sum(axis=1)
                 hit, equal = hit[equal >= share], equal[equal >= share]
                 out.append((np.full(len(hit), i), hit, equal))
-        return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, int),) * 3
-
-    def forest(self, sketches: np.ndarray, share: float) -> list[tuple[int, int]]:
-        """A spanning forest of the pairs that look similar enough, likeliest pairs first."""
-        number = np.arange(len(self.sig))
-        i, j, likely = self.candidates(sketches, share, lambda i: number[i + 1:])
-        root, out = list(range(len(self.sig))), []
-        for p in np.argsort(-likely, kind="stable").tolist():
-            a, b = int(i[p]), int(j[p])
-            while root[a] != a:
-                root[a] = a = root[root[a]]
-            while root[b] != b:
-                root[b] = b = root[root[b]]
-            if a != b:
-                root[max(a, b)] = min(a, b)
-                out.append((int(i[p]), int(j[p])))
-        return out
-
-    def crossing(self, sketches: np.ndarray, share: float, comp: np.ndarray, own: np.ndarray) -> list[tuple[int, int]]:
+                size += len(hit)
+            if out and (size >= STRIP or i + 1 == len(self.sig)):
+                yield tuple(np.concatenate(c) for c in zip(*out))
+                out, size = [], 0
+        if out:
+            yield tuple(np.concatenate(c) for c in zip(*out))
+
+    def forest(self, sketches: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of the pairs that look similar enough, likeliest pairs first.
+
+        The forest of the strips so far and the next strip's pairs give the next forest, so that no
+        more than a strip of pairs is held."""
+        n = len(self.sig)
+        number = np.arange(n)
+        held = tuple(np.zeros(0, t) for t in (np.int64, np.int64, float))
+        for strip in self.strips(sketches, share, lambda i: number[i + 1:]):
+            i, j, likely = (np.concatenate(c) for c in zip(held, strip))
+            root, kept = list(range(n)), []
+            for p in np.argsort(-likely, kind="stable").tolist():
+                a, b = int(i[p]), int(j[p])
+                while root[a] != a:
+                    root[a] = a = root[root[a]]
+                while root[b] != b:
+                    root[b] = b = root[root[b]]
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    kept.append(p)
+                    if len(kept) + 1 == n:
+                        break
+            held = i[kept], j[kept], likely[kept]
+        return held[:2]
+
+    def crossing(self, sketches: np.ndarray, share: float, comp: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """All candidate pairs whose components differ, across the two parts if two meet in this block."""
         one = len(np.unique(own)) == 1
-        i, j, _ = self.candidates(sketches, share, lambda i: i + 1 + np.flatnonzero(
-            (comp[i + 1:] != comp[i]) & (one | (own[i + 1:] != own[i]))))
-        return list(zip(i.tolist(), j.tolist()))
+        for i, j, _ in self.strips(sketches, share, lambda i: i + 1 + np.flatnonzero(
+                (comp[i + 1:] != comp[i]) & (one | (own[i + 1:] != own[i])))):
+            yield i, j
 
 
 def bucket_pairs(members: DataFrame, kind: str, share: float, between: bool) -> DataFrame:
     """Distinct candidate pairs (a < b) of (variant, key, low, high, own, rep, comp, sig, sketch) with the
     least ``share`` of the sketch: forests, or all pairs between components. A block is what shares
     variant, key, low and high: a bounded run of the sorted rows, read as a stream."""
-    def flush(rows: list[tuple]) -> list[tuple]:
+    def pairs_of(rows: list[tuple], id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         rows.sort(key=lambda r: r[5])
         block = Block(rows[0][0], np.frombuffer(b"".join(r[7] for r in rows), np.uint16).reshape(-1, POSITIONS))
         sketches = np.frombuffer(b"".join(r[8] for r in rows), np.uint8).reshape(-1, SKETCH)
         if between:
-            ids = {c: i for i, c in enumerate({r[6] for r in rows})}
-            pairs = block.crossing(sketches, share, np.array([ids[r[6]] for r in rows]), np.array([r[4] for r in rows]))
+            numbers = {c: i for i, c in enumerate({r[6] for r in rows})}
+            found = block.crossing(sketches, share, np.array([numbers[r[6]] for r in rows]), np.array([r[4] for r in rows]))
         else:
-            pairs = block.forest(sketches, share)
-        got = [(rows[i][5], rows[j][5]) for i, j in pairs]
-        return [(min(p), max(p)) for p in got if p[0] != p[1]]
+            found = iter([block.forest(sketches, share)])
+        ids = pa.array([r[5] for r in rows], id_type)
+        same = np.cumsum([0, *(x[5] != y[5] for x, y in zip(rows[1:], rows))])  # a row may be here twice
+        for i, j in found:
+            other = same[i] != same[j]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(i[other])), ids.take(pa.array(j[other]))], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, id_type = [], None
         for batch in batches:
-            id_type, out = batch.column(5).type, []
+            id_type = batch.column(5).type
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if held and held[-1][:4] != row[:4]:
-                    out += flush(held) if len(held) > 1 else []
+                    if len(held) > 1:
+                        yield from pairs_of(held, id_type)
                     held = []
                 held.append(row)
-            yield table(out, id_type)
         if len(held) > 1:
-            yield table(flush(held), id_type)
-
-    def table(pairs, id_type):
-        return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], id_type) for i in (0, 1)], ["a", "b"])
+            yield from pairs_of(held, id_type)
 
     group = ["variant", "key", "low", "high"]
     rows = members.select(*group, "own", "rep", "comp", "sig", "sketch")
@@ -292,6 +312,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     their own text. An empty table gives an empty result. Columns other than doc_id and text are
     not read.
     """
+    return judged(docs, k, percent).drop("row_key")
+
+
+def judged(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """As ``near_duplicates``, with the row_key that tells rows of one id apart."""
     kind = dict(docs.dtypes)["doc_id"]
     base = cut_lineage(signatures(docs, k))
     named = base.where("n > 0 and doc_id is not null")
@@ -324,18 +349,25 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -
     found = components(stars.unionByName(more), "a", "b").withColumnRenamed("id", "rep")
     named_as = classes.select("fp1", "fp2", "n", "rep").join(found, "rep", "left").select(
         "fp1", "fp2", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = base.select("doc_id", "n", "fp1", "fp2").join(named_as, ["fp1", "fp2", "n"], "left")
+    out = base.select("doc_id", "row_key", "n", "fp1", "fp2").join(named_as, ["fp1", "fp2", "n"], "left")
     component = F.when(F.col("doc_id").isNull(), None).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
+    return out.select("doc_id", "row_key", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def keep_one(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents whose row in ``found`` is kept; of rows that repeat an id, one."""
-    found = cut_lineage(found.select("doc_id", "kept"))
-    out = docs.join(found.where("not kept").select("doc_id").distinct(), "doc_id", "left_anti")
-    again = cut_lineage(found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    if again.isEmpty():
-        return out.select(*docs.columns)
-    once = out.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return out.join(again, "doc_id", "left_anti").unionByName(once).select(*docs.columns)
+def keep_one(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents, all columns, whose row is kept; of rows that repeat an id and its text, one.
+
+    Rows are told apart by id and text: of an id with two texts, one may go as a copy of an earlier
+    document while the other stays. Rows without id all stay.
+    """
+    found = cut_lineage(judged(docs, k, percent).select("doc_id", "row_key", "kept"))
+    gone = found.where("not kept").select("row_key").distinct()
+    out = docs.withColumn("_row_key", row_key())
+    out = out.join(gone.withColumnRenamed("row_key", "_row_key"), "_row_key", "left_anti")
+    again = cut_lineage(found.where("kept and doc_id is not null").groupBy("row_key").count().where("count > 1")
+                        .select(F.col("row_key").alias("_row_key")))
+    if not again.isEmpty():
+        once = out.join(again, "_row_key", "left_semi").dropDuplicates(["_row_key"])
+        out = out.join(again, "_row_key", "left_anti").unionByName(once)
+    return out.select(*docs.columns)

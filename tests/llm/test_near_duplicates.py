@@ -101,7 +101,7 @@ def test_awkward_empty_and_one_of_each_group(awkward, spark):
     by_id = {r["doc_id"]: r for r in rows}
     assert by_id[None]["component_id"] is None and by_id[None]["kept"]
     assert by_id[1]["n_shingles"] == 0 and by_id[1]["kept"] and by_id[8]["component_id"] == 6
-    kept = minhash.keep_one(awkward, found)
+    kept = minhash.keep_one(awkward)
     assert kept.columns == awkward.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert sorted(map(str, ids)) == sorted(str(i) for i in [1, 2, 3, 4, 5, 6, 7, 9, 10, 50, None])
@@ -128,6 +128,59 @@ def test_second_pass_is_dealt_in_bounded_blocks(spark, monkeypatch):
     assert len(met) == len(set(met)) and set(met) == expect
 
 
+def near_copies(n, length, share, seed=0):
+    """Codes and sketches of n sets that each differ from a common one in a share of their shingles."""
+    r = np.random.default_rng(seed)
+    base = r.integers(0, 2**63, length, dtype=np.uint64)
+    out = []
+    for _ in range(n):
+        s = base.copy()
+        s[r.random(length) < share] = r.integers(0, 2**63, 1, dtype=np.uint64)
+        out.append(np.unique(s ^ np.where(r.random(length) < share, r.integers(0, 2**63, length, dtype=np.uint64), np.uint64(0))))
+    return np.stack([minhash.signature(s) for s in out]), np.stack([minhash.sketch(s) for s in out])
+
+
+def test_forest_of_strips_is_the_likeliest_one(monkeypatch):
+    """Likelihoods of the forest equal those of a walk through all pairs at once."""
+    sig, sketches = near_copies(150, 60, 0.06)
+    block = minhash.Block(0, sig)
+    number = np.arange(len(sig))
+    i, j, likely = (np.concatenate(c) for c in zip(*block.strips(sketches, 0.6, lambda i: number[i + 1:])))
+    root, want = list(range(len(sig))), []
+    for p in np.argsort(-likely, kind="stable"):
+        a, b = root[i[p]], root[j[p]]
+        if a != b:
+            root = [a if x == b else x for x in root]
+            want.append(likely[p])
+    monkeypatch.setattr(minhash, "STRIP", 100)
+    a, b = block.forest(sketches, 0.6)
+    of = {(x, y): v for x, y, v in zip(i.tolist(), j.tolist(), likely)}
+    assert sorted(of[p] for p in zip(a.tolist(), b.tolist())) == sorted(want) and len(want) > 100
+
+
+def test_memory_of_a_full_block():
+    """A block of 2,048 near copies holds a strip of its two million pairs."""
+    import tracemalloc
+
+    sig, sketches = near_copies(minhash.BLOCK, 40, 0.02, seed=2)
+    block = minhash.Block(0, sig)
+    comp, own = np.arange(len(sig)), np.zeros(len(sig), int)
+    tracemalloc.start()
+    forest = block.forest(sketches, 0.7)
+    pairs = sum(len(i) for i, _ in block.crossing(sketches, 0.7, comp, own))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6 and pairs > 100_000 and len(forest[0]) > 1500
+
+
+def test_rows_of_one_id_are_dropped_by_their_text(documents, prose):
+    """An id with two texts loses the copy and keeps the other; a repeated row stays once."""
+    a, b = prose(1, 60), prose(2, 60)
+    rows = [(i, t, "en", "s", 1) for i, t in [(1, a), (2, a), (2, b), (3, a), (4, b), (2, b), (None, a)]]
+    kept = [(r["doc_id"], r["text"]) for r in minhash.keep_one(documents(rows)).collect()]
+    assert sorted(kept, key=str) == sorted([(1, a), (2, b), (None, a)], key=str)
+
+
 # --- repeated passages ---------------------------------------------------------------------------
 
 

@@ -147,3 +147,18 @@ def test_recall_beside_a_group_of_copies(frame):
     assert all(mine[q] == expect[q] for q in copies)
     hits = sum(len({i for _, i in mine[q]} & {i for _, i in expect[q]}) for q in expect if q not in copies)
     assert hits >= 0.99 * 10 * (len(expect) - len(copies))
+
+
+@pytest.mark.parametrize("extra", [3, 12, 300])
+def test_rows_of_the_querys_id_take_no_place(frame, extra):
+    """However many rows repeat the query's id, near to it or not, its ten nearest are other ids."""
+    r = np.random.default_rng(extra)
+    x = r.normal(size=(300, 6)).astype(np.float32)
+    rows = [(i + 1, [float(c) for c in v]) for i, v in enumerate(x)]
+    rows += [(100, [float(c) for c in x[99] + 0.001 * r.normal(size=6)]) for _ in range(extra)]
+    table = frame(rows)
+    got = hnsw.search(hnsw.build_index(table, shard_rows=1000), table.where("vec_id = 100").limit(1), 10).collect()
+    q = np.array(table.where("vec_id = 100").first()["embedding"])
+    near = sorted((float(np.sqrt(((np.array(v) - q) ** 2).sum())), i) for i, v in rows if i != 100)[:10]
+    mine = [(m["score"], m["vec_id"]) for m in sorted(got, key=lambda m: m["rank"])]
+    assert len(mine) == 10 and len({i for _, i in mine} & {i for _, i in near}) >= 9 and mine[0] == pytest.approx(near[0])
