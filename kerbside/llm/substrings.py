@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from kerbside.llm.common import LOWER, in_arrow, mix64, segments, spans_hash, words
-from kerbside.session import cut_lineage
+from kerbside.session import cut_lineage, once
 
 SPAN = 3  # sentences
 SPAN_WORDS = 16
@@ -160,7 +160,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     codes = cut_lineage(repeated_spans(docs.select("doc_id", "text"))).select(
         F.col("row").alias("__row"), F.col("codes").alias("__codes"))
     rows = docs.withColumn("__row", row_key()).join(codes, "__row", "left")
-    rows = rows.withColumn("__cut", _without("text", "__codes"))
+    rows = once(rows, "__cut", _without("text", "__codes"))  # a filter on the result would run it again
     others = [F.col(c) if c != "text" else F.col("__cut.text").alias("text") for c in docs.columns]
     return rows.select(*others, F.col("__cut.sentences").alias("__sentences"), F.col("__cut.removed").alias("__removed"),
                        F.col("__cut.bytes").alias("__bytes"))
