@@ -8,7 +8,7 @@ from kerbside import schemas as S
 from kerbside import sinks
 from kerbside.catalog.base import query, rounded
 from kerbside.catalog.matching import positions
-from kerbside.functions import events
+from kerbside.functions import events, geo
 from kerbside.operators import curate, demand, forecast, tables
 from kerbside.plans import bindings as B
 from kerbside.session import scratch_path
@@ -131,17 +131,48 @@ def batch_replayed_smaller(spark, d):
     return spark.read.parquet(path).select("event_id", "batch_id")
 
 
+@query(f"SELECT zone_id, taxi_id, max(event_id) AS event_id FROM (SELECT *, {B.sql_grid('lat', 'lon', 'reject')} AS zone_id FROM pings "
+       "WHERE event_id%3<>0 OR ts >= TIMESTAMP '2024-01-15') GROUP BY 1, 2", B.pings_sql(0.0213))
+def upsert_null_partitions(spark, d):
+    """Newest ping per (zone, taxi) in a table whose null partition holds the pings outside the city."""
+    path = scratch_path(spark, "with_outside")
+    p = B.pings(spark, d, 0.0213)
+    p = p.select(geo.grid_zone(F.col("lat"), F.col("lon"), "reject").alias("zone_id"), "taxi_id", "event_id", "ts")
+    keys = ["zone_id", "taxi_id"]
+    tables.latest_per_key(p.where("event_id % 3 <> 0"), keys, ["event_id"]).write.partitionBy("zone_id").parquet(path)
+    new = p.where("ts >= '2024-01-15'")
+    for _ in range(2):
+        sinks.upsert_table(spark, path, tables.latest_per_key(new, keys, ["event_id"]), keys, ["event_id"], ["zone_id"])
+    return spark.read.parquet(path).select("zone_id", "taxi_id", "event_id")
+
+
 @query("SELECT taxi_id, max(event_id) AS event_id FROM pings GROUP BY 1", B.pings_sql())
 def batches_folded_in_place(spark, d):
-    """Old batches of a growing table folded into one, later ones kept; last write per key."""
+    """Old batches of a growing table folded twice and swept, later ones kept; last write per key."""
     path = scratch_path(spark, "grown")
     p = B.pings(spark, d).select("taxi_id", "event_id")
-    for n in range(4):
-        sinks.append_batch(p.where(F.col("event_id") % 4 == n), path, n)
-    sinks.fold_batches(spark, path, 2, ["taxi_id"], ["event_id"])
+    for n in range(6):
+        sinks.append_batch(p.where(F.col("event_id") % 6 == n), path, n)
+        if n in (2, 4):
+            sinks.fold_batches(spark, path, n - 1, ["taxi_id"], ["event_id"])
+            sinks.sweep(spark, path)
     return sinks.read_keyed(spark, path, ["taxi_id"], ["event_id"]).select("taxi_id", "event_id")
 
 
+@query("""SELECT event_id, strftime(ts, '%Y-%m-%d') AS day FROM pings
+  WHERE ts >= (SELECT date_trunc('day', max(ts)) - INTERVAL 7 DAY FROM pings)""", B.pings_sql())
+def days_dropped(spark, d):
+    """A table kept for seven days: whole day folders of batches and of a fold go, no row is rewritten."""
+    path = scratch_path(spark, "kept")
+    p = B.pings(spark, d).select("event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), "ts")
+    oldest = p.agg(F.date_sub(F.max("ts").cast("date"), 7).cast("string")).first()[0]
+    for n in range(3):
+        sinks.append_batch(p.where(F.col("event_id") % 3 == n).drop("ts"), path, n, ["day"])
+    sinks.fold_batches(spark, path, 1, ["event_id", "day"], ["event_id"], ["day"])
+    sinks.drop_before(spark, path, "day", oldest)
+    return sinks.read_table(spark, path).select("event_id", F.col("day").cast("string").alias("day"))
+
+
 @query("SELECT taxi_id, epoch_ms(ts) AS timestamp_ms, lat, lon FROM (SELECT taxi_id, make_timestamp(epoch_us(ts)//1000*1000) AS ts, lat, lon FROM pings)",
        B.pings_sql())
 def json_events(spark, d):

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,6 +14,8 @@ from kerbside.operators import billing as billing_ops
 from kerbside.session import broadcast_if_small
 from kerbside.streaming import common
 
+BUCKETS = 256  # hash folders of billed ids
+FOLD_EVERY = 500  # batches after which the folders of ids are folded
 REQUIRED = [["trip_id", "tripId"], ["driver_id", "driverId"]]
 
 
@@ -34,17 +36,21 @@ def start_billing_job(spark: SparkSession, raw: DataFrame, out: str, checkpoint:
                       every: str | None = "60 seconds") -> StreamingQuery:
     """Per micro-batch: new records, their events, quarantine.
 
-    A batch looks for trips billed by other batches only, so replaying it gives the same records.
+    A batch looks for trips billed by other batches only, so replaying it gives the same records. The ids
+    of billed trips are kept beside the records in a fixed number of hash folders, of which a batch reads
+    those that its own ids fall into.
     """
-    table = f"{out}/billing"
+    table, ids = f"{out}/billing", f"{out}/billed_ids"
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch, rows = batch.persist(), None
         try:
             good, bad = completions_from_events(batch)
-            existing = _billed(spark, table, batch_id, good)
+            existing = billed_before(spark, ids, batch_id, good)
             rows = billing_ops.bill_trips(good, existing, F.col("completed_at")).persist()
             sinks.append_batch(rows, table, batch_id)
+            sinks.append_batch(rows.select("trip_id", bucket_of("trip_id").alias("bucket")), ids, batch_id, ["bucket"])
+            sinks.keep_house(spark, ids, batch_id, FOLD_EVERY, ["trip_id", "bucket"], ["trip_id"], ["bucket"])
             sinks.append_batch(billing_ops.billing_events(rows), f"{out}/events", batch_id)
             sinks.append_batch(bad, f"{out}/quarantine", batch_id)
         finally:
@@ -55,11 +61,21 @@ def start_billing_job(spark: SparkSession, raw: DataFrame, out: str, checkpoint:
     return common.job(raw.writeStream.foreachBatch(write), checkpoint, every).start()
 
 
-def _billed(spark: SparkSession, table: str, batch_id: int, batch: DataFrame) -> DataFrame | None:
-    """Trips of this batch that other batches billed: the small batch filters the large table."""
+def bucket_of(trip_id: str) -> Column:
+    return F.pmod(F.xxhash64(trip_id), F.lit(BUCKETS)).cast("int")
+
+
+def billed_before(spark: SparkSession, ids: str, batch_id: int, batch: DataFrame) -> DataFrame | None:
+    """Trips of this batch that other batches billed.
+
+    The buckets of the batch's ids are named in a filter, so the others aren't read; the batch's
+    ids then filter what is. At most ``BUCKETS`` numbers come to the driver.
+    """
+    wanted = batch.select("trip_id", bucket_of("trip_id").alias("bucket")).distinct()
+    buckets = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]
     try:
-        stored = spark.read.parquet(table)
+        stored = sinks.read_table(spark, ids)
     except AnalysisException:  # nothing written yet
         return None
-    ids = broadcast_if_small(batch.select("trip_id").distinct(), 1_000_000)
-    return stored.where(F.col("batch_id") != batch_id).join(ids, "trip_id", "left_semi").select("trip_id")
+    stored = stored.where(F.col("bucket").isin(buckets) & (F.col("batch_id") != batch_id))
+    return stored.join(broadcast_if_small(wanted.select("trip_id"), 1_000_000), "trip_id", "left_semi").select("trip_id")

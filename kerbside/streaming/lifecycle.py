@@ -1,23 +1,40 @@
-"""Driver state machine as keyed streaming state."""
+"""Driver state machine as keyed streaming state, in event-time order across micro-batches."""
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from kerbside.schemas import EARTH_RADIUS_M
 
+TICK = "tick"  # an event of this kind only moves the watermark on
 STATE = ("pending string, pending_client string, active string, client string, status string, "
          "start_us long, metres double, lat double, lon double")
-OUTPUT = ("driver_id string, trip_id string, status string, ts timestamp, seq long, client_id string, "
+WAITING = "ts_us long, seq long, kind string, trip_id string, client_id string, lat double, lon double"
+CLOCK = "timer_ms long, last_ms long, forget_ms long"  # next timer for events, last event handled, timer for silence
+OUTPUT = ("driver_id string, trip_id string, status string, ts_us long, seq long, client_id string, "
           "distance_km double, duration_min double, surge double")
-_FIELDS = ["pending", "pending_client", "active", "client", "status", "start_us", "metres", "lat", "lon"]
-_SORT = ["ts", "seq"]
+_FIELDS = [c.split()[0] for c in STATE.split(", ")]
+_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+
+
+class Event(NamedTuple):
+    """One event of a driver, in the order they are handled: by time, then by sequence number."""
+
+    ts_us: int
+    seq: int
+    kind: str
+    trip_id: str | None
+    client_id: str | None
+    lat: float | None
+    lon: float | None
 
 
 def _metres(lat1: float, lon1: float, lat2: float, lon2: float) -> float:
@@ -34,68 +51,130 @@ def _half_up(value: float, places: int) -> float:
 class DriverTrips(StatefulProcessor):
     """pending -> accepted (busy) -> in progress -> completed, or rejected.
 
-    Events of a driver are handled in (ts, seq) order within a micro-batch; a transition without
-    its precondition is ignored. A micro-batch is bounded by the source's rate limit, so the rows
-    sorted here are those of one driver in one batch.
+    Events wait in a list until the watermark has passed them and are then handled by time, so the
+    order in which micro-batches bring them doesn't matter. A driver has one timer for the earliest
+    waiting event and one that forgets the driver after a silence; a transition without its
+    precondition is ignored. What waits is a driver's events within the watermark's delay.
     """
 
+    def __init__(self, silence_ms: int):
+        self.silence_ms = silence_ms
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("driver", STATE)
+        self.handle = handle
+        self.driver = handle.getValueState("driver", STATE)
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.clock = handle.getValueState("clock", CLOCK)
+
+    def _clock(self) -> tuple[int | None, int | None, int | None]:
+        return tuple(self.clock.get()) if self.clock.exists() else (None, None, None)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        s = dict.fromkeys(_FIELDS)
-        if self.state.exists():
-            s = dict(zip(_FIELDS, self.state.get(), strict=True))
+        new = []
+        for batch in rows:
+            batch = batch[batch["kind"] != TICK]
+            plain = batch[list(Event._fields)].astype(object)
+            new += [tuple(e) for e in plain.where(plain.notna(), None).itertuples(index=False)]
+        if new:
+            self.waiting.appendList(new)
+            timer, last, forget = self._clock()
+            earliest = min(e[0] for e in new) // 1000 + 1  # the first millisecond after the event
+            if timer is None or earliest < timer:
+                self.handle.registerTimer(earliest)
+                self.clock.update((earliest, last, forget))
+        yield pd.DataFrame([], columns=_COLUMNS)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()  # nothing up to here can come any more
+        timer, last, forget = self._clock()
         out = []
-        batch = pd.concat(list(rows)).sort_values(_SORT)
-        batch = batch.astype(object).where(batch.notna(), None)
-        for e in batch.itertuples(index=False):
-            out.extend(self._step(key[0], s, e))
-        self.state.update(tuple(s[f] for f in _FIELDS))
-        columns = [c.split()[0] for c in OUTPUT.split(", ")]
-        yield pd.DataFrame(out, columns=columns)
-
-    @staticmethod
-    def _step(driver: str, s: dict, e) -> list[tuple]:
-        def status(trip, name, *more):
-            return [(driver, trip, name, e.ts, e.seq, *(more or (None, None, None, None)))]
-
-        if e.kind == "ping":
-            if s["active"] is not None and s["start_us"] is not None and s["lat"] is not None:
-                s["metres"] += _metres(s["lat"], s["lon"], e.lat, e.lon)
-            s["lat"], s["lon"] = e.lat, e.lon
-            s["status"] = s["status"] or "AVAILABLE"
-        elif e.kind == "assign":
-            s["pending"], s["pending_client"] = e.trip_id, e.client_id
-        elif e.kind in ("accept", "reject") and s["pending"] is not None:
-            trip, client = s["pending"], s["pending_client"]
-            s["pending"] = s["pending_client"] = None
-            if e.kind == "reject":
-                return status(trip, "REJECTED")
-            s.update(active=trip, client=client, status="BUSY", start_us=None, metres=0.0)
-            return status(trip, "ACCEPTED")
-        elif e.kind == "start" and s["active"] is not None:
-            s["start_us"], s["metres"] = pd.Timestamp(e.ts).value // 1000, 0.0
-            return status(s["active"], "IN_PROGRESS")
-        elif e.kind == "complete" and s["active"] is not None:
-            trip, client, km = s["active"], s["client"], (s["metres"] or 0.0) / 1000
-            minutes = 5.0
-            if s["start_us"] is not None:
-                minutes = (pd.Timestamp(e.ts).value // 1_000_000 - s["start_us"] // 1000) / 60000
-            s.update(active=None, client=None, status="AVAILABLE", start_us=None, metres=0.0)
-            return status(trip, "COMPLETED", client or "unknown",
-                          _half_up(km, 3) if km > 0 else 5.0, _half_up(minutes, 2), 1.0)
-        return []
+        if timer is not None and timer <= passed:
+            events = [Event(*e) for e in self.waiting.get()] if self.waiting.exists() else []
+            due = sorted((e for e in events if e.ts_us < passed * 1000), key=lambda e: (e.ts_us, e.seq))
+            rest = [tuple(e) for e in events if e.ts_us >= passed * 1000]
+            state = dict.fromkeys(_FIELDS)
+            if self.driver.exists():
+                state = dict(zip(_FIELDS, self.driver.get(), strict=True))
+            for e in due:
+                if last is not None and e.ts_us // 1000 - last > self.silence_ms:
+                    state = dict.fromkeys(_FIELDS)  # the driver was forgotten before this event
+                out += step(key[0], state, e)
+                last = e.ts_us // 1000
+            self.waiting.clear()
+            timer = None
+            if rest:
+                self.waiting.put(rest)
+                timer = min(e[0] for e in rest) // 1000 + 1
+                self.handle.registerTimer(timer)
+            if due:
+                self.driver.update(tuple(state[f] for f in _FIELDS))
+                if forget is None:
+                    forget = last + self.silence_ms + 1
+                    self.handle.registerTimer(forget)
+        if forget is not None and forget <= passed:
+            silent_until = last + self.silence_ms + 1
+            if silent_until <= passed:
+                self.driver.clear()
+                last = forget = None
+            else:
+                forget = silent_until
+                self.handle.registerTimer(forget)
+        if timer is None and last is None and forget is None:
+            self.clock.clear()
+        else:
+            self.clock.update((timer, last, forget))
+        yield pd.DataFrame(out, columns=_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def lifecycle_stream(events: DataFrame) -> DataFrame:
+def step(driver: str, s: dict, e: Event) -> list[tuple]:
+    """Apply one event to a driver's state; the status rows it gives."""
+    def status(trip, name, *more):
+        return [(driver, trip, name, e.ts_us, e.seq, *(more or (None, None, None, None)))]
+
+    if e.kind == "ping":
+        if s["active"] is not None and s["start_us"] is not None and s["lat"] is not None:
+            s["metres"] += _metres(s["lat"], s["lon"], e.lat, e.lon)
+        s["lat"], s["lon"] = e.lat, e.lon
+        s["status"] = s["status"] or "AVAILABLE"
+    elif e.kind == "assign":
+        s["pending"], s["pending_client"] = e.trip_id, e.client_id
+    elif e.kind in ("accept", "reject") and s["pending"] is not None:
+        trip, client = s["pending"], s["pending_client"]
+        s["pending"] = s["pending_client"] = None
+        if e.kind == "reject":
+            return status(trip, "REJECTED")
+        s.update(active=trip, client=client, status="BUSY", start_us=None, metres=0.0)
+        return status(trip, "ACCEPTED")
+    elif e.kind == "start" and s["active"] is not None:
+        s["start_us"], s["metres"] = e.ts_us, 0.0
+        return status(s["active"], "IN_PROGRESS")
+    elif e.kind == "complete" and s["active"] is not None:
+        trip, client, km = s["active"], s["client"], (s["metres"] or 0.0) / 1000
+        minutes = 5.0
+        if s["start_us"] is not None:
+            minutes = (e.ts_us // 1000 - s["start_us"] // 1000) / 60000
+        s.update(active=None, client=None, status="AVAILABLE", start_us=None, metres=0.0)
+        return status(trip, "COMPLETED", client or "unknown",
+                      _half_up(km, 3) if km > 0 else 5.0, _half_up(minutes, 2), 1.0)
+    return []
+
+
+def lifecycle_stream(events: DataFrame, late_by: str = "10 minutes", silence_hours: float = 24 * 30) -> DataFrame:
     """Status rows of all drivers; COMPLETED rows also carry client, km, minutes and surge.
 
-    events: driver_id, ts, seq, kind, trip_id, client_id, lat, lon. Needs the RocksDB state store,
-    see common.configure.
+    events: driver_id, ts, seq, kind, trip_id, client_id, lat, lon. An event may arrive up to
+    ``late_by`` after a newer one of any driver and is still handled in its place; later ones are
+    dropped. Rows are given when the watermark passes their event. A driver without events for
+    ``silence_hours`` of event time is forgotten: a trip left open then never completes. Events of
+    kind ``TICK`` belong to no driver and only move the watermark, e.g. from a heartbeat, so that the
+    last events of a quiet topic don't wait. Needs the RocksDB state store, see common.configure.
     """
-    return events.groupBy("driver_id").transformWithStateInPandas(
-        statefulProcessor=DriverTrips(), outputStructType=OUTPUT, outputMode="append", timeMode="None")
+    timed = events.withColumn("ts_us", F.unix_micros("ts")).withWatermark("ts", late_by)
+    rows = timed.groupBy("driver_id").transformWithStateInPandas(
+        statefulProcessor=DriverTrips(int(silence_hours * 3_600_000)), outputStructType=OUTPUT, outputMode="append",
+        timeMode="EventTime")
+    return rows.select("driver_id", "trip_id", "status", F.timestamp_micros("ts_us").alias("ts"), "seq", "client_id",
+                       "distance_km", "duration_min", "surge")

@@ -8,7 +8,7 @@ from kerbside import schemas as S
 from kerbside import sinks
 from kerbside.functions import events
 from kerbside.plans import bindings as B
-from kerbside.streaming import archive, billing, common, demand, gps, matching
+from kerbside.streaming import archive, billing, common, demand, gps, lifecycle, matching
 
 T0 = 1_704_096_000_000  # 2024-01-01 08:00 UTC
 
@@ -169,3 +169,82 @@ def test_idle_input_policy(spark):
     assert spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "max"
     common.configure(spark)
     assert spark.conf.get("spark.sql.streaming.multipleWatermarkPolicy") == "min"
+
+
+# --- life cycle across batches -------------------------------------------------------------------
+
+DRIVER = "driver_id string, ts timestamp, seq long, kind string, trip_id string, client_id string, lat double, lon double"
+
+
+@pytest.fixture
+def drive(spark, tmp_path):
+    """Deliver batches of (driver, second, seq, kind, trip, client, lat, lon), one run each; the status rows."""
+    common.configure(spark)
+
+    def run(*batches, **options):
+        src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
+        for rows in batches:
+            rows = [(r[0], *r[1:], *[None] * (8 - len(r))) for r in rows]
+            frame = spark.createDataFrame(rows, DRIVER.replace("ts timestamp", "t long"))
+            frame.select("driver_id", F.timestamp_seconds(F.lit(T0 // 1000) + F.col("t")).alias("ts"), *frame.columns[2:]).coalesce(1).write.mode("append").parquet(src)
+            stream = lifecycle.lifecycle_stream(spark.readStream.schema(DRIVER).parquet(src), **options)
+            common.job(stream.writeStream.format("parquet").option("path", out), ck, None).start().awaitTermination()
+        got = spark.read.parquet(out).orderBy("driver_id", "ts", "seq").collect()
+        return [(r["driver_id"], r["trip_id"], r["status"], int(r["ts"].timestamp()) - T0 // 1000) for r in got], got
+
+    return run
+
+
+RIDE = [("d", 10, 1, "assign", "t1", "c"), ("d", 20, 2, "accept"), ("d", 30, 3, "start"), ("d", 40, 4, "ping", None, None, 33.5, -7.6),
+        ("d", 50, 5, "ping", None, None, 33.51, -7.6), ("d", 60, 6, "complete"), ("d", 70, 7, "assign", "t2", "c2"), ("d", 80, 8, "reject")]
+TICK = ("", 100_000, 99, lifecycle.TICK)
+ALL = [("d", "t1", "ACCEPTED", 20), ("d", "t1", "IN_PROGRESS", 30), ("d", "t1", "COMPLETED", 60), ("d", "t2", "REJECTED", 80)]
+
+
+def test_events_one_batch_late_are_handled_in_their_place(drive):
+    late = [RIDE[i] for i in (0, 3, 5)]
+    rows, got = drive([e for e in RIDE if e not in late], late, [TICK], late_by="2 minutes")
+    assert rows == ALL
+    done = next(r for r in got if r["status"] == "COMPLETED")
+    assert done["client_id"] == "c" and done["duration_min"] == 0.5 and 1.1 < done["distance_km"] < 1.12
+
+
+def test_rows_wait_for_the_watermark_and_later_events_are_dropped(drive):
+    rows, _ = drive(RIDE[:3], [("d", 1000, 9, "ping", None, None, 33.5, -7.6)], RIDE[3:], late_by="2 minutes")
+    assert rows == ALL[:2]  # the ride's end came a quarter of an hour late
+
+
+def test_a_silent_driver_is_forgotten(drive):
+    far = 3 * 3600
+    rows, _ = drive(RIDE[:3], [("e", far, 9, "assign", "x", "c")], [("d", far + 10, 10, "complete"), ("e", far + 20, 11, "accept")], [TICK],
+                    late_by="2 minutes", silence_hours=1)
+    assert rows == [*ALL[:2], ("e", "x", "ACCEPTED", far + 20)]  # nothing is left to complete
+
+
+def test_silence_within_one_delivery_counts_too(drive):
+    rows, _ = drive([*RIDE[:3], ("d", 3 * 3600, 9, "complete")], [TICK], late_by="2 minutes", silence_hours=1)
+    assert rows == ALL[:2]
+
+
+# --- ids of billed trips -------------------------------------------------------------------------
+
+
+def test_a_batch_reads_the_folders_of_its_own_ids(spark, tmp_path):
+    """The tenth batch of a few trips names as few folders as the second, and finds what was billed."""
+    ids = str(tmp_path / "ids")
+    batch = lambda n: spark.createDataFrame([(f"trip-{n}-{i}",) for i in range(3)], "trip_id string")
+    assert billing.billed_before(spark, ids, 0, batch(0)) is None
+    read = []
+    for n in range(10):
+        again = batch(n).unionByName(batch(max(0, n - 1)).limit(1))
+        if n:
+            found = billing.billed_before(spark, ids, n, again)
+            plan = found._jdf.queryExecution().executedPlan().toString()
+            assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+            assert [r["trip_id"] for r in found.collect()] == [f"trip-{n - 1}-0"]
+            read.append(len({r["bucket"] for r in again.select(billing.bucket_of("trip_id").alias("bucket")).collect()}))
+        sinks.append_batch(batch(n).select("trip_id", billing.bucket_of("trip_id").alias("bucket")), ids, n, ["bucket"])
+    assert max(read) <= 4 < billing.BUCKETS
+    sinks.fold_batches(spark, ids, 8, ["trip_id", "bucket"], ["trip_id"], ["bucket"])
+    sinks.sweep(spark, ids)
+    assert billing.billed_before(spark, ids, 10, batch(3)).count() == 3

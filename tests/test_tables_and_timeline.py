@@ -93,19 +93,98 @@ def test_smaller_and_empty_replays_leave_nothing_behind(spark, tmp_path, parts):
     assert ids() == [] and spark.read.parquet(path).where("batch_id = 0").count() == 30
 
 
+def grown(spark, path, batches=5):
+    for batch in range(batches):
+        sinks.append_batch(spark.range(6).select("id", F.lit(batch).alias("ts")).where(F.col("id") % 5 != batch), path, batch)
+    return sorted(map(tuple, sinks.read_keyed(spark, path, ["id"], ["ts"]).collect()))
+
+
 def test_folding_keeps_the_last_write_and_later_batches(spark, tmp_path):
     path = str(tmp_path / "log")
-    for batch in range(5):
-        sinks.append_batch(spark.range(6).select("id", F.lit(batch).alias("ts")).where(F.col("id") % 5 != batch), path, batch)
-    before = sorted(map(tuple, sinks.read_keyed(spark, path, ["id"], ["ts"]).collect()))
+    before = grown(spark, path)
+    assert sinks.folded(spark, path) is None and sinks.sweep(spark, path) == 0
     for _ in range(2):
         sinks.fold_batches(spark, path, 3, ["id"], ["ts"])
-        rows = spark.read.parquet(path)
+        rows = sinks.read_table(spark, path)
         assert rows.where("batch_id <= 3").select("batch_id").distinct().count() == 1
         assert rows.where("batch_id = 4").count() == 5 and rows.count() == 11
         assert sorted(map(tuple, sinks.read_keyed(spark, path, ["id"], ["ts"]).collect())) == before
-    sinks.fold_batches(spark, path, 3, ["id"], ["ts"], alive=F.col("ts") >= 3)
-    assert spark.read.parquet(path).where("batch_id <= 3 and ts < 3").isEmpty()
+    assert sinks.batch_ids(spark, path) == [0, 1, 2, 3, 4]
+    assert sinks.sweep(spark, path) == 4 and sinks.batch_ids(spark, path) == [4]
+    assert sorted(map(tuple, sinks.read_keyed(spark, path, ["id"], ["ts"]).collect())) == before
+    sinks.fold_batches(spark, path, 4, ["id"], ["ts"], alive=F.col("ts") >= 4)
+    assert sinks.sweep(spark, path) == 2 and sinks.batch_ids(spark, path) == []  # the last batch and the fold before
+    assert sinks.read_table(spark, path).where("ts < 4").isEmpty() and sinks.read_table(spark, path).count() == 5
+    assert sinks._versions(spark, path) == [2]
+
+
+def test_a_killed_fold_loses_nothing(spark, tmp_path, monkeypatch):
+    """Killed after its rows are written or while it is published: readers see the table as it was."""
+    path = str(tmp_path / "log")
+    before = grown(spark, path)
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    for step in ("_publish", "uuid"):
+        with monkeypatch.context() as m:
+            m.setattr(sinks, step, killed if step == "_publish" else None)
+            with pytest.raises((KeyboardInterrupt, AttributeError)):
+                sinks.fold_batches(spark, path, 3, ["id"], ["ts"])
+        assert sinks.folded(spark, path) is None and sinks.sweep(spark, path) == 0
+        assert sorted(map(tuple, sinks.read_keyed(spark, path, ["id"], ["ts"]).collect())) == before
+    sinks.fold_batches(spark, path, 3, ["id"], ["ts"])
+    assert sinks.sweep(spark, path) == 5  # four batches, and the folder of the killed fold
+    assert sorted(map(tuple, sinks.read_keyed(spark, path, ["id"], ["ts"]).collect())) == before
+
+
+def test_a_reader_during_a_fold_sees_every_row(spark, tmp_path):
+    path = str(tmp_path / "log")
+    before = grown(spark, path)
+    began = sinks.read_keyed(spark, path, ["id"], ["ts"])  # files are listed here
+    sinks.fold_batches(spark, path, 3, ["id"], ["ts"])
+    assert sorted(map(tuple, began.collect())) == before
+    sinks.append_batch(spark.range(6, 9).select("id", F.lit(9).alias("ts")), path, 5)
+    assert sinks.read_keyed(spark, path, ["id"], ["ts"]).count() == len(before) + 3
+
+
+def test_days_go_as_folders(spark, tmp_path):
+    """Old days go from batches and folds; other files aren't touched, a null day stays."""
+    path = str(tmp_path / "log")
+    for batch in range(4):
+        rows = spark.range(5).select("id", F.lit(batch).alias("ts"), F.lit("a").alias("city"),
+                                     F.when(F.col("id") < 4, F.concat(F.lit("2024-01-0"), F.col("id") + 1)).alias("day"))
+        sinks.append_batch(rows, path, batch, ["city", "day"])
+    sinks.fold_batches(spark, path, 1, ["id", "city", "day"], ["ts"], ["city", "day"])
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert sinks.drop_before(spark, path, "day", "2024-01-03") == 2 * 4 + 2
+    left = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet")}
+    assert left.items() < files.items()
+    rows = sinks.read_table(spark, path)
+    assert rows.count() == 3 * 3 and {r["id"] for r in rows.collect()} == {2, 3, 4}
+    assert sinks.drop_before(spark, path, "day", "2024-01-03") == 0
+
+
+def test_housekeeping_bounds_the_number_of_folders(spark, tmp_path):
+    path, counts = str(tmp_path / "log"), []
+    for batch in range(23):
+        sinks.append_batch(spark.range(2).select((F.col("id") + batch % 3).alias("id"), F.lit(batch).alias("ts")), path, batch)
+        sinks.keep_house(spark, path, batch, 4, ["id"], ["ts"])
+        counts.append(len(sinks.batch_ids(spark, path)))
+    assert max(counts) <= 2 * 4 + 1
+    got = {r["id"]: r["ts"] for r in sinks.read_keyed(spark, path, ["id"], ["ts"]).collect()}
+    assert got == {0: 21, 1: 22, 2: 22, 3: 20}
+
+
+def test_upsert_keeps_the_rows_of_a_null_partition(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = "z long, k long, ts int"
+    spark.createDataFrame([(None, 1, 1), (None, 2, 1), (3, 1, 1), (4, None, 1)], schema).write.partitionBy("z").parquet(path)
+    up = spark.createDataFrame([(None, 2, 2), (4, None, 5), (None, None, 1)], schema)
+    for _ in range(2):
+        sinks.upsert_table(spark, path, up, ["z", "k"], ["ts"], ["z"])
+    got = sorted(((r["z"], r["k"], r["ts"]) for r in spark.read.parquet(path).collect()), key=str)
+    assert got == sorted([(None, 1, 1), (None, 2, 2), (None, None, 1), (3, 1, 1), (4, None, 5)], key=str)
 
 
 def test_upsert_names_the_partitions_it_reads(spark, tmp_path, monkeypatch):
