@@ -78,6 +78,28 @@ def stream_ingested_pings(spark, d):
     return spark.read.parquet(f"{out}/positions").select("taxi_id", "zone_id", "event_time", "status")
 
 
+@query(f"""SELECT taxi_id, n AS positions, n AS events, zone_id, event_time, round(metres, 1) AS metres, n AS measured FROM (
+  SELECT taxi_id, count(*) AS n, arg_max(zone_id, (ts, lat, lon)) AS zone_id, max(ts) AS event_time, sum(step) AS metres FROM (
+    SELECT *, coalesce({B.sql_haversine('plat', 'plon', 'lat', 'lon')}, 0) AS step FROM (
+      SELECT *, lag(lat) OVER w AS plat, lag(lon) OVER w AS plon FROM (
+        SELECT taxi_id, lat, lon, {B.sql_grid('lat', 'lon')} AS zone_id, {_MILLIS} AS ts FROM pings)
+      WINDOW w AS (PARTITION BY taxi_id ORDER BY ts, lat, lon)))
+  GROUP BY 1)""", B.pings_sql(0.0213))
+def stream_ping_fan_out(spark, d):
+    """One read of driver pings feeds positions, events, driver index and odometer; all four per taxi."""
+    common.configure(spark)
+    src, out, ck = (scratch_path(spark, f"fan_{n}") for n in ("in", "out", "ck"))
+    replay([(ping_messages(spark, d, 0.0213), "ts", src)], "text", lambda: gps.start_ingest_job(
+        spark, common.read_event_files(spark, src), out, ck, every=None, ttl="3650 DAYS", keep_days=None))
+    count = lambda df, name: df.groupBy("taxi_id").agg(F.count(F.lit(1)).alias(name))
+    told, _ = gps.split_pings(spark.read.parquet(f"{out}/events").select("value", F.lit(None).cast("timestamp").alias("record_time")))
+    index = sinks.read_keyed(spark, f"{out}/driver_index", ["taxi_id"], gps.LAST).select("taxi_id", "zone_id", "event_time")
+    way = spark.read.parquet(f"{out}/odometer").groupBy("taxi_id").agg(
+        F.round(F.sum("metres"), 1).alias("metres"), F.sum("pings").alias("measured"))
+    return count(spark.read.parquet(f"{out}/positions"), "positions").join(count(told, "events"), "taxi_id", "full").join(
+        index, "taxi_id", "full").join(way, "taxi_id", "full")
+
+
 @query(f"""SELECT {_WINDOW_COLUMNS.replace("'casablanca' AS city, ", "")}, concat('Zone-', cast(zone_id AS varchar)) AS zone_name FROM w
   WHERE ws + INTERVAL 30 SECOND <= (SELECT make_timestamp(epoch_us(least((SELECT max(ts) FROM pings), (SELECT max(requested_at) FROM requests)))//1000*1000)
     - INTERVAL 180 SECOND)""", B.pings_sql(), B.REQUESTS, WINDOWS)
@@ -127,6 +149,32 @@ def stream_match_events(spark, d):
     return told.join(rows, "trip_id", "left")
 
 
+@query(f"""SELECT r.trip_id, m.taxi_id AS driver_id, round(m.d, 1) AS distance_meters, m.zone_id AS matched_zone
+  FROM requests r LEFT JOIN (SELECT trip_id, taxi_id, zone_id, d FROM (
+    SELECT p.trip_id, v.taxi_id, v.zone_id, {B.sql_haversine('plat', 'plon', 'v.lat', 'v.lon')} AS d
+    FROM pick p JOIN requests q USING (trip_id) JOIN (
+      SELECT *, lead(ts) OVER (PARTITION BY taxi_id ORDER BY ts, event_id) AS gone FROM zoned) v
+    ON v.ts <= date_trunc('second', q.requested_at) AND (v.gone IS NULL OR v.gone > date_trunc('second', q.requested_at))
+    AND v.ts > date_trunc('second', q.requested_at) - INTERVAL 24 HOUR AND v.status='available'
+    AND abs((p.origin_zone-1)%4 - (v.zone_id-1)%4) <= 1 AND abs((p.origin_zone-1)//4 - (v.zone_id-1)//4) <= 1)
+    QUALIFY row_number() OVER (PARTITION BY trip_id ORDER BY d, taxi_id) = 1) m USING (trip_id)""",
+       B.pings_sql(), B.REQUESTS, _ZONED, _PICK)
+def stream_matches_as_of(spark, d):
+    """Each request against the fleet of its own second, though one of the batch lies a year ahead."""
+    common.configure(spark)
+    src, out, ck, fleet = (scratch_path(spark, f"asof_{n}") for n in ("in", "out", "ck", "fleet"))
+    sinks.append_batch(positions(spark, d), fleet, 0)
+    ahead = B.requests(spark, d).limit(1).select(F.col("requested_at").alias("ts"), F.to_json(F.struct(
+        F.lit("ahead").alias("trip_id"), "rider_id", "origin_zone", "destination_zone", "origin_lat", "origin_lon",
+        (F.unix_millis("requested_at") + 365 * 86_400_000).alias("requested_at"))).alias("value"))
+    replay([(request_messages(spark, d).unionByName(ahead), "ts", src)], "text", lambda: matching.start_match_job(
+        common.read_event_files(spark, src), lambda: spark.read.parquet(fleet), out, ck, every=None))
+    good, _ = events.split_valid(spark.read.parquet(f"{out}/events").select("value"), S.MATCH_EVENT, [["trip_id"]])
+    e = F.col("event")
+    return good.where(e["trip_id"] != "ahead").select(
+        *[e[c].alias(c) for c in ("trip_id", "driver_id", "distance_meters", "matched_zone")])
+
+
 @query("""SELECT taxi_id, arg_max(zone_id, (ts, event_id)) AS zone_id, max(ts) AS event_time FROM zoned
   WHERE ts <= TIMESTAMP '2024-01-15' AND ts >= TIMESTAMP '2024-01-15' - INTERVAL 6 HOUR GROUP BY 1""", B.pings_sql(), _ZONED)
 def fleet_without_stale_taxis(spark, d):

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import scalars
-from kerbside.session import broadcast_if_small
+from kerbside.session import broadcast_if_small, cut_lineage
 
 # The model's input columns, in order.
 FEATURES = [
@@ -39,8 +39,8 @@ def zone_features(df: DataFrame, zones: DataFrame) -> DataFrame:
 
 
 def weather_features(df: DataFrame, weather: DataFrame) -> DataFrame:
-    """Left join on the hour; one weather row per hour."""
-    w = weather.select("time_window", "temperature_bucket", "is_raining")
+    """Left join on the hour; one weather row per hour, computed once for its count and the join."""
+    w = cut_lineage(weather.select("time_window", "temperature_bucket", "is_raining"))
     return df.join(broadcast_if_small(w), "time_window", "left")
 
 

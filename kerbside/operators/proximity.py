@@ -30,6 +30,7 @@ STEP = 2                  # bits per axis and level: up to 16 children
 _LEVELS = list(range(0, geo.CELL_BITS + 1, STEP))
 _SLACK = 1e-3       # metres, absorbs rounding in the bounds
 _RADIAN = math.pi / 180
+_ZONES = 1 << 16    # more than the largest zone id
 
 
 def _node(level) -> Column:
@@ -254,13 +255,14 @@ def nearby(searches: DataFrame, drivers: DataFrame, radius_m: float = 2000.0,
     return _per_place(at, ["at_lat", "at_lon"], search, "inner").drop("at_lat", "at_lon")
 
 
-def match_nearest(requests: DataFrame, positions: DataFrame) -> DataFrame:
+def match_nearest(requests: DataFrame, positions: DataFrame, instant: str | None = None) -> DataFrame:
     """Nearest available vehicle over the origin zone and its neighbours.
 
     requests: trip_id, rider_id, origin_zone, destination_zone, origin_lat, origin_lon.
-    positions: one row per vehicle (taxi_id, zone_id, lat, lon, status), see latest_per_key.
-    Missing pickup coordinates fall back to the centre of the origin zone. A request without a
-    vehicle gives NO_TAXI_AVAILABLE.
+    positions: one row per vehicle (taxi_id, zone_id, lat, lon, status), see latest_per_key; with
+    ``instant``, a whole-number column of both, one row per vehicle and instant, and a request sees
+    those of its own instant. Missing pickup coordinates fall back to the centre of the origin zone.
+    A request without a vehicle gives NO_TAXI_AVAILABLE.
     """
     known = F.col("origin_lat").isNotNull() & F.col("origin_lon").isNotNull()
     lat0, lon0 = geo.zone_center(F.col("origin_zone"))
@@ -268,16 +270,19 @@ def match_nearest(requests: DataFrame, positions: DataFrame) -> DataFrame:
         "pickup_lat": F.when(known, F.col("origin_lat")).otherwise(lat0),
         "pickup_lon": F.when(known, F.col("origin_lon")).otherwise(lon0),
     })
+    base = F.lit(0).cast("long") if instant is None else F.col(instant) * _ZONES
     vehicles = positions.where(F.col("status") == "available").select(
-        F.col("taxi_id").alias("pid"), F.col("zone_id").alias("grp"), "lat", "lon")
+        F.col("taxi_id").alias("pid"), (base + F.col("zone_id")).alias("grp"), "lat", "lon")
 
     def search(places):
         queries = places.select("qid", F.col("pickup_lat").alias("lat"), F.col("pickup_lon").alias("lon"),
-                                F.explode(geo.adjacent_zones(F.col("origin_zone"))).alias("grp"))
+                                base.alias("_base"), F.explode(geo.adjacent_zones(F.col("origin_zone"))).alias("_zone"))
+        queries = queries.select("qid", "lat", "lon", (F.col("_base") + F.col("_zone")).alias("grp"))
         return nearest(queries, vehicles).select(
-            "qid", F.col("pid").alias("driver_id"), F.col("grp").alias("matched_zone"), "distance_m")
+            "qid", F.col("pid").alias("driver_id"), F.pmod("grp", F.lit(_ZONES)).cast("int").alias("matched_zone"), "distance_m")
 
-    return _match_rows(_per_place(pickup, ["origin_zone", "pickup_lat", "pickup_lon"], search))
+    place = ["origin_zone", "pickup_lat", "pickup_lon", *([instant] if instant else [])]
+    return _match_rows(_per_place(pickup, place, search))
 
 
 def _match_rows(matched: DataFrame) -> DataFrame:

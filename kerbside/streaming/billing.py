@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,8 +13,8 @@ from kerbside.functions import events
 from kerbside.operators import billing as billing_ops
 from kerbside.session import broadcast_if_small
 from kerbside.streaming import common
+from kerbside.streaming.common import bucket_of
 
-BUCKETS = 256  # hash folders of billed ids
 FOLD_EVERY = 500  # batches after which the folders of ids are folded
 REQUIRED = [["trip_id", "tripId"], ["driver_id", "driverId"]]
 
@@ -61,15 +61,11 @@ def start_billing_job(spark: SparkSession, raw: DataFrame, out: str, checkpoint:
     return common.job(raw.writeStream.foreachBatch(write), checkpoint, every).start()
 
 
-def bucket_of(trip_id: str) -> Column:
-    return F.pmod(F.xxhash64(trip_id), F.lit(BUCKETS)).cast("int")
-
-
 def billed_before(spark: SparkSession, ids: str, batch_id: int, batch: DataFrame) -> DataFrame | None:
     """Trips of this batch that other batches billed.
 
     The buckets of the batch's ids are named in a filter, so the others aren't read; the batch's
-    ids then filter what is. At most ``BUCKETS`` numbers come to the driver.
+    ids then filter what is. At most ``common.BUCKETS`` numbers come to the driver.
     """
     wanted = batch.select("trip_id", bucket_of("trip_id").alias("bucket")).distinct()
     buckets = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+BUCKETS = 256  # hash folders of tables that a batch looks few keys up in
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -60,3 +61,8 @@ def job(writer: DataStreamWriter, checkpoint: str, every: str | None = "60 secon
     """Checkpoint and trigger; ``every=None`` processes what is there and stops."""
     writer = writer.option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True) if every is None else writer.trigger(processingTime=every)
+
+
+def bucket_of(key: str) -> Column:
+    """Hash folder of a key."""
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")

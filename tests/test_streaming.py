@@ -226,6 +226,36 @@ def test_silence_within_one_delivery_counts_too(drive):
     assert rows == ALL[:2]
 
 
+# --- driver pings to all readers -----------------------------------------------------------------
+
+
+def test_ping_fan_out_measures_across_batches(spark, topic, tmp_path):
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    run = lambda: gps.start_ingest_job(spark, common.read_event_files(spark, src), out, ck, every=None).awaitTermination()
+    src = topic("pings", ping("a", 0, 33.55), ping("a", 10, 33.56), ping("b", 0, 33.5), "junk")
+    run()
+    topic("pings", ping("a", 20, 33.57), ping("a", 5, 33.0), ping("b", 90_000, 33.6))  # one too late, one after a day of silence
+    run()
+    way = {r["taxi_id"]: (round(r["m"]), r["n"]) for r in spark.read.parquet(f"{out}/odometer").groupBy("taxi_id").agg(
+        F.sum("metres").alias("m"), F.sum("pings").alias("n")).collect()}
+    assert way == {"a": (2224, 3), "b": (0, 2)}
+    index = sinks.read_keyed(spark, f"{out}/driver_index", ["taxi_id"], gps.LAST)
+    assert {r["taxi_id"]: r["lat"] for r in index.collect()} == {"a": 33.57, "b": 33.6}
+    assert spark.read.parquet(f"{out}/positions").count() == 6 == spark.read.parquet(f"{out}/events").count()
+    assert spark.read.parquet(f"{out}/quarantine").count() == 1
+
+
+def test_ping_housekeeping(spark, topic, tmp_path):
+    """Folding between batches changes nothing of what is measured; old days of positions go."""
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    for n in range(6):
+        src = topic("pings", ping("a", 10 * n, 33.55 + 0.01 * n))
+        gps.start_ingest_job(spark, common.read_event_files(spark, src), out, ck, every=None, fold_every=2).awaitTermination()
+    metres = spark.read.parquet(f"{out}/odometer").agg(F.sum("metres")).first()[0]
+    assert round(metres) == round(5 * 1111.95) and len(sinks.batch_ids(spark, f"{out}/driver_index")) <= 4
+    assert spark.read.parquet(f"{out}/positions").count() == 1  # of 2024, dropped with every second batch
+
+
 # --- ids of billed trips -------------------------------------------------------------------------
 
 
@@ -242,9 +272,9 @@ def test_a_batch_reads_the_folders_of_its_own_ids(spark, tmp_path):
             plan = found._jdf.queryExecution().executedPlan().toString()
             assert "PartitionFilters: [" in plan and "bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
             assert [r["trip_id"] for r in found.collect()] == [f"trip-{n - 1}-0"]
-            read.append(len({r["bucket"] for r in again.select(billing.bucket_of("trip_id").alias("bucket")).collect()}))
-        sinks.append_batch(batch(n).select("trip_id", billing.bucket_of("trip_id").alias("bucket")), ids, n, ["bucket"])
-    assert max(read) <= 4 < billing.BUCKETS
+            read.append(len({r["bucket"] for r in again.select(common.bucket_of("trip_id").alias("bucket")).collect()}))
+        sinks.append_batch(batch(n).select("trip_id", common.bucket_of("trip_id").alias("bucket")), ids, n, ["bucket"])
+    assert max(read) <= 4 < common.BUCKETS
     sinks.fold_batches(spark, ids, 8, ["trip_id", "bucket"], ["trip_id"], ["bucket"])
     sinks.sweep(spark, ids)
     assert billing.billed_before(spark, ids, 10, batch(3)).count() == 3
