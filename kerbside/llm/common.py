@@ -137,26 +137,35 @@ def words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[0::2], edge[1::2]
 
 
+EDGES_A_TASK = 200_000  # of a round of components
+
+
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(id, component): the smallest id reachable over the edges, for every id that has one.
 
     Alternating large and small stars: each round is two map-side combined minima and two joins,
-    with a checkpoint after it. A component never meets in one task; crowded centres are joins that
-    adaptive execution splits. Ends when a round changes nothing.
+    with a checkpoint after it. A component never meets in one task beyond ``EDGES_A_TASK`` edges;
+    crowded centres are joins that adaptive execution splits. As many partitions are used as the
+    counted edges need, so the rounds of a small graph don't shuffle. Ends when a round changes
+    nothing.
     """
     def state(e):
         return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
 
+    def dealt(e, n):
+        return e.coalesce(max(1, -(-n // EDGES_A_TASK)))
+
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     e = cut_lineage(e)
     before = state(e)
     while before[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        ways = F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = dealt(e, before[0]).select(F.explode(ways).alias("_way")).select("_way.u", "_way.v")
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = cut_lineage(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        e = cut_lineage(dealt(moved.unionByName(low.select("u", F.col("m").alias("v"))), before[0]).distinct())
         now = state(e)
         if now == before:
             break

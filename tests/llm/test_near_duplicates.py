@@ -277,3 +277,21 @@ def test_long_texts_are_parsed_as_short_ones(prose):
     raw = text.encode()
     starts = [0] + [i + 1 for i, b in enumerate(raw) if b == 32]
     assert whole.byte_starts.tolist() == starts and whole.ends[-1] == len(starts)
+
+
+@pytest.mark.parametrize("edges_a_task", [200_000, 7])
+def test_components_of_chains_stars_and_loops(spark, monkeypatch, edges_a_task):
+    """The same components with one task and with many."""
+    from kerbside.llm import common
+
+    monkeypatch.setattr(common, "EDGES_A_TASK", edges_a_task)
+    r = random.Random(6)
+    edges = [(i, i + 1) for i in range(100, 160)] + [(500, 500 + i) for i in range(1, 60)] + [(7, 7), (3, 2), (2, 3), (900, 1)]
+    edges += [(r.randint(2000, 2100), r.randint(2000, 2100)) for _ in range(60)]
+    r.shuffle(edges)
+    ids = sorted({x for e in edges for x in e})
+    linked = {frozenset(e) for e in edges}
+    want = components(ids, lambda a, b: frozenset((a, b)) in linked)
+    got = common.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()
+    assert len(got) == len({x["id"] for x in got})
+    assert {x["id"]: x["component"] for x in got} == {i: want[i] for e in edges if e[0] != e[1] for i in e}
