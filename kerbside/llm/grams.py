@@ -108,14 +108,28 @@ def sums_of(texts: pa.Array, features: Callable, weights: np.ndarray) -> tuple[n
     return total / np.maximum(count, 1)[:, None], count
 
 
+def smallest_hashes(labelled: DataFrame, per_class: int) -> DataFrame:
+    """The ``per_class`` rows of each label whose ids hash lowest, of unique (doc_id, label).
+
+    The ids of a label are counted by the first 12 bits of their hash, and only those up to the range
+    that holds the last wanted one are ranked: about ``per_class`` rows a label, however many it has.
+    """
+    coded = labelled.withColumn("_h", F.xxhash64(F.col("doc_id").cast("string"))).withColumn("_b", F.shiftright("_h", 52))
+    counts = coded.groupBy("label", "_b").count()
+    upto = F.sum("count").over(Window.partitionBy("label").orderBy("_b")) - F.col("count")
+    last = counts.withColumn("_before", upto).where(F.col("_before") < per_class).groupBy("label").agg(F.max("_b").alias("_last"))
+    low = coded.join(F.broadcast(last), "label").where(F.col("_b") <= F.col("_last"))  # one row per label
+    order = Window.partitionBy("label").orderBy("_h", "doc_id")
+    return low.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_class).select("doc_id", "label")
+
+
 def sample(docs: DataFrame, labelled: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> DataFrame:
     """Texts of at most ``per_class`` rows of ``labelled`` (doc_id, label) per label, picked by hash of the id.
 
     Only ids and labels are ranked; the bounded choice is broadcast to the texts.
     """
     labelled = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").alias("label"))
-    order = Window.partitionBy("label").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id")
-    picked = labelled.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= per_class).drop("_r")
+    picked = smallest_hashes(labelled, per_class)
     return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # bounded by per_class
 
 

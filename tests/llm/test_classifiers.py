@@ -128,3 +128,14 @@ def test_remainder(spark, modulus):
 
     rows = spark.range(50).select("id", remainder(F.col("id"), modulus).alias("r")).collect()
     assert all(r["r"] == zlib.crc32(str(r["id"]).encode()) % modulus for r in rows)
+
+
+def test_sample_is_the_plain_ranking_by_hash(spark):
+    rows = [(i, "big" if i % 3 else "small") for i in range(9000)] + [(9000, "one")]
+    frame = spark.createDataFrame(rows, "doc_id long, label string")
+    hashed = frame.select("doc_id", "label", F.xxhash64(F.col("doc_id").cast("string")).alias("h")).collect()
+    for want in (1, 40, 2500, 7000):
+        expected = {r["doc_id"] for name in ("big", "small", "one")
+                    for r in sorted((r for r in hashed if r["label"] == name), key=lambda r: (r["h"], r["doc_id"]))[:want]}
+        got = grams.smallest_hashes(frame, want).collect()
+        assert len(got) == len(expected) and {r["doc_id"] for r in got} == expected
