@@ -88,6 +88,21 @@ def trip_earnings_totals(spark, d):
     return billing.trip_earnings(B.billing_hist(spark, d), 7, 1, 20)[1]
 
 
+@query("SELECT trip_id, driver_id, created_at, total_fare FROM billing ORDER BY driver_id DESC, created_at, trip_id LIMIT 40 OFFSET 2400", B.BILLING)
+def deep_page(spark, d):
+    """Page 60 of all records: driver, time and id are cut into counted ranges until 64 rows are left to sort."""
+    return tables.deep_page(B.billing_hist(spark, d), [("driver_id", True), ("created_at", False), ("trip_id", False)], 60, 40, most=64).select(
+        "trip_id", "driver_id", "created_at", "total_fare")
+
+
+@query("SELECT trip_id, driver_id, created_at, total_fare FROM billing WHERE created_at < TIMESTAMP '1997-01-01' "
+       "OR (created_at = TIMESTAMP '1997-01-01' AND trip_id > 500) ORDER BY created_at DESC, trip_id LIMIT 40", B.BILLING)
+def page_after(spark, d):
+    """The records after a given one, newest first."""
+    return tables.page_after(B.billing_hist(spark, d), [("created_at", True), ("trip_id", False)], ("1997-01-01 00:00:00", 500), 40).select(
+        "trip_id", "driver_id", "created_at", "total_fare")
+
+
 @query("SELECT trip_id, driver_id, created_at, total_fare FROM billing WHERE client_id = 17 ORDER BY created_at DESC, trip_id", B.BILLING)
 def client_history(spark, d):
     b = B.billing_hist(spark, d).where("client_id = 17")

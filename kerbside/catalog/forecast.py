@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kerbside.catalog.base import query, rounded
 from kerbside.catalog.demand import _GRID, _ZONED
-from kerbside.operators import demand, forecast
+from kerbside.operators import demand, forecast, trees
 from kerbside.plans import bindings as B
 from kerbside.session import cut_lineage, scratch_path
 from kerbside.sources import files
@@ -148,6 +148,19 @@ def model_scores(spark, d):
     return forecast.score_demand(test, forecast.load_model(path))
 
 
+@query("""SELECT zone_id, time_window, rows, true AS scored, true AS agrees FROM features, cut, (VALUES ('as they are'), ('unseen')) t(rows)
+  WHERE time_window >= cut""", *_CTES, _FEATURES, _CUT)
+def model_as_expression(spark, d):
+    """Future rows scored by the trees as one expression and by the pipeline, also with categories the model never saw."""
+    model, test = trained(spark, d)
+    unseen = test.withColumns({"_zone": F.lit("elsewhere"), "zone_type": F.lit(None).cast("string"), "temperature_bucket": F.lit("unheard of")})
+    both = test.withColumns({"_zone": F.col("zone_id"), "rows": F.lit("as they are")}).unionByName(unseen.withColumn("rows", F.lit("unseen")))
+    inputs = both.withColumns({"_id": F.col("zone_id"), "zone_id": F.col("_zone")})
+    scored = model.transform(inputs.withColumn("compiled", F.expr(trees.expression(model))))
+    return scored.select(F.col("_id").alias("zone_id"), "time_window", "rows", F.col("compiled").isNotNull().alias("scored"),
+                         (F.abs(F.col("compiled") - F.col("prediction")) < 1e-9).alias("agrees"))
+
+
 @query("""SELECT cast(zone_id AS varchar) AS zone_id, time_window, CASE WHEN hour(time_window) BETWEEN 7 AND 9 OR hour(time_window) BETWEEN 17 AND 19
   THEN 21 + zone_id%3 WHEN hour(time_window) <= 5 THEN 2 ELSE 9 END AS predicted_demand, 'medium' AS confidence,
   'heuristic_rule_v1' AS model_version FROM grid""", *_CTES)

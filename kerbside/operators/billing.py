@@ -143,41 +143,40 @@ def apply_charge_attempts(billing: DataFrame, attempts: DataFrame) -> DataFrame:
 
     attempts: trip_id, attempted_at, error (null = success). Attempts after a success or after the
     fifth failure do not count, as the record has left CALCULATED by then. Success clears the error.
+    At equal times failures come first; attempts without a time do not count.
+
+    One scan and one shuffle of the attempts: a record can use no more than the first five of its
+    trip, which Spark prunes before the shuffle, and folds them as an array.
     """
-    first_success = F.min(F.when(F.col("error").isNull(), F.col("attempted_at")))
-    ends = attempts.groupBy("trip_id").agg(first_success.alias("_success"))
-    open_records = billing.where(F.col("status") == "CALCULATED").select("trip_id", F.col("charge_attempts").alias("_before"))
+    order = [F.col("attempted_at"), F.col("error").isNull(), F.col("error")]
+    nth = F.row_number().over(Window.partitionBy("trip_id").orderBy(*order))
     tried = (
-        attempts.join(ends, "trip_id").join(open_records, "trip_id")
-        .where(F.col("_success").isNull() | (F.col("attempted_at") <= F.col("_success")))
-    )
-    # the record leaves CALCULATED at MAX failures, so only the first few attempts can matter;
-    # the constant bound lets Spark prune before the shuffle, the exact one depends on the record
-    room = F.greatest(F.lit(1), F.lit(S.MAX_CHARGE_ATTEMPTS) - F.col("_before"))
-    nth = F.row_number().over(Window.partitionBy("trip_id").orderBy("attempted_at"))
-    counted = (
-        tried.withColumn("_nth", nth).where(F.col("_nth") <= S.MAX_CHARGE_ATTEMPTS)
-        .where(F.col("_nth") <= room)
-        .groupBy("trip_id", "_before").agg(
-            F.count(F.lit(1)).cast("int").alias("_tries"),
-            F.max("attempted_at").alias("_last"),
-            F.max(F.when(F.col("error").isNull(), F.col("attempted_at"))).alias("_charged"),
-            F.max_by(F.struct("error"), F.col("attempted_at")).alias("_error"),
-        )
+        attempts.where(F.col("attempted_at").isNotNull()).withColumn("_nth", nth)
+        .where(F.col("_nth") <= S.MAX_CHARGE_ATTEMPTS)
+        .groupBy("trip_id").agg(F.array_sort(F.collect_list(F.struct("_nth", "attempted_at", "error"))).alias("_tried"))
     )
-    total = F.col("_before") + F.col("_tries")
-    status = F.when(F.col("_charged").isNotNull(), "CHARGED").when(
-        total >= S.MAX_CHARGE_ATTEMPTS, "CHARGE_FAILED").otherwise("CALCULATED")
-    folded = counted.select("trip_id", total.alias("_total"), status.alias("_status"), "_last", "_charged",
-                            F.col("_error.error").alias("_error"))
-    touched = F.col("_total").isNotNull()
-    return billing.join(folded, "trip_id", "left").withColumns({
-        "charge_attempts": F.coalesce("_total", "charge_attempts"),
-        "status": F.coalesce("_status", "status"),
-        "last_charge_error": F.when(touched, F.col("_error")).otherwise(F.col("last_charge_error")),
-        "last_attempted_at": F.coalesce("_last", "last_attempted_at"),
-        "charged_at": F.coalesce("_charged", "charged_at"),
-    }).drop("_total", "_status", "_last", "_charged", "_error")
+    types = {f.name: f.dataType for f in billing.schema}
+
+    def state(n: Column, status: Column, error: Column, last: Column, charged: Column) -> Column:
+        return F.struct(
+            n.cast(types["charge_attempts"]).alias("charge_attempts"), status.cast(types["status"]).alias("status"),
+            error.cast(types["last_charge_error"]).alias("last_charge_error"),
+            last.cast(types["last_attempted_at"]).alias("last_attempted_at"), charged.cast(types["charged_at"]).alias("charged_at"))
+
+    def attempt(record: Column, a: Column) -> Column:
+        n, ok = record["charge_attempts"] + 1, a["error"].isNull()
+        status = F.when(ok, "CHARGED").when(n >= S.MAX_CHARGE_ATTEMPTS, "CHARGE_FAILED").otherwise("CALCULATED")
+        charged = F.when(ok, a["attempted_at"]).otherwise(record["charged_at"])
+        return F.when(record["status"] == "CALCULATED", state(n, status, a["error"], a["attempted_at"], charged)).otherwise(record)
+
+    start = state(F.coalesce("charge_attempts", F.lit(0)), F.col("status"), F.col("last_charge_error"),
+                  F.col("last_attempted_at"), F.col("charged_at"))
+    open_record = (F.col("status") == "CALCULATED") & F.col("_tried").isNotNull()
+    folded = billing.join(tried, "trip_id", "left").withColumn(
+        "_end", F.when(open_record, F.aggregate("_tried", start, attempt)))
+    names = ["charge_attempts", "status", "last_charge_error", "last_attempted_at", "charged_at"]
+    return folded.withColumns({
+        c: F.when(F.col("_end").isNotNull(), F.col("_end")[c]).otherwise(F.col(c)) for c in names}).drop("_tried", "_end")
 
 
 def reconciliation_candidates(billing: DataFrame, as_of: Column) -> DataFrame:

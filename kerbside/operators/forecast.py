@@ -166,18 +166,19 @@ def scoring_rows(slots: DataFrame) -> DataFrame:
     })
 
 
-def score_demand(rows: DataFrame, model: PipelineModel | None) -> DataFrame:
+def score_demand(rows: DataFrame, model: PipelineModel | str | None) -> DataFrame:
     """Demand per zone and time: model output floored at 0 and truncated, or the rule without a model.
 
     With a model, ``rows`` carry the model inputs (build_features or scoring_rows); without one,
-    zone_id and time_window are enough.
+    zone_id and time_window are enough. The model may be the text that ``trees.expression`` made of it.
     """
     if model is None:
         return rows.select(
             "zone_id", "time_window",
             scalars.heuristic_demand(F.col("zone_id").cast("int"), F.hour("time_window")).alias("predicted_demand"),
             F.lit("medium").alias("confidence"), F.lit("heuristic_rule_v1").alias("model_version"))
-    return model.transform(rows).select(
+    scored = rows.withColumn("prediction", F.expr(model)) if isinstance(model, str) else model.transform(rows)
+    return scored.select(
         "zone_id", "time_window",
         F.greatest(F.lit(0.0), F.col("prediction")).cast("int").alias("predicted_demand"),
         F.lit("high").alias("confidence"), F.lit("spark_gbt_v1").alias("model_version"))

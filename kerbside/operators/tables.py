@@ -55,6 +55,85 @@ def page(df: DataFrame, order: list[Column], page_no: int, size: int) -> tuple[D
     return rows, totals
 
 
+def _ranges(df: DataFrame, name: str, cuts: int) -> list[tuple[Column, int, bool]]:
+    """Ranges of a number, date or timestamp column in rising order, nulls first: (rows in it, how many, one value only).
+
+    Percentiles cut the column; every cut is a range of its own, so a frequent value stands alone and
+    the ranges between are free of it. The counts are exact.
+    """
+    stamp = dict(df.dtypes)[name] == "timestamp"
+    shares = [i / cuts for i in range(cuts + 1)]
+    found = df.agg(F.array_distinct(F.percentile_approx(name, shares)).alias("b"))
+    found = found.select(F.transform("b", F.unix_micros) if stamp else F.col("b")).first()[0] or []
+    cut = [F.timestamp_micros(F.lit(b)) if stamp else F.lit(b).cast(df.schema[name].dataType) for b in found]
+    value = F.col(name)
+    parts = [(value.isNull(), True)]
+    for i, b in enumerate(cut):
+        parts += [((value > cut[i - 1]) & (value < b) if i else value < b, False), (value == b, True)]
+    parts.append((value > cut[-1] if cut else value.isNotNull(), False))
+    place = F.lit(None).cast("int")
+    for i in reversed(range(len(parts))):
+        place = F.when(parts[i][0], i).otherwise(place)
+    counts = dict(df.groupBy(place.alias("p")).count().collect())  # one row per range
+    return [(rows, counts[i], single) for i, (rows, single) in enumerate(parts) if counts.get(i)]
+
+
+def _reach(df: DataFrame, keys: list[tuple[str, bool]], skip: int, size: int, most: int, cuts: int) -> list[DataFrame]:
+    """The rows of ranks ``skip`` to ``skip + size``, as frames whose sort meets at most ``most`` rows each, where keys allow."""
+    order = [F.col(c).desc() if down else F.col(c).asc() for c, down in keys]
+    name, down = keys[0]
+    kind = dict(df.dtypes)[name]
+    if not (kind in ("date", "timestamp", "tinyint", "smallint", "int", "bigint", "float", "double") or kind.startswith("decimal")):
+        return [df.orderBy(*order).offset(skip).limit(size)]
+    ranges = _ranges(df, name, cuts)
+    before, pieces = 0, []
+    for rows, n, single in reversed(ranges) if down else ranges:
+        first, last = max(skip, before), min(skip + size, before + n)
+        if first < last:
+            part = df.where(rows)
+            rest = keys[1:] if single else keys
+            if n > most and rest:
+                pieces += _reach(part, rest, first - before, last - first, most, cuts)
+            else:
+                pieces.append(part.orderBy(*order).offset(first - before).limit(last - first))
+        before += n
+    return pieces
+
+
+def deep_page(df: DataFrame, keys: list[tuple[str, bool]], page_no: int, size: int, most: int = 100_000, cuts: int = 32) -> DataFrame:
+    """A page far into a table: only the ranges of the order that hold its ranks are read and sorted.
+
+    ``keys``: (column, descending), ending with a unique one; numbers, dates and timestamps are cut
+    into counted ranges until at most ``most`` rows are left, a frequent value by the keys after it.
+    Other types are sorted within the range reached so far. Nulls come first, descending last.
+    """
+    order = [F.col(c).desc() if down else F.col(c).asc() for c, down in keys]
+    pieces = _reach(df, keys, max(0, page_no) * size, size, most, cuts)
+    if not pieces:
+        return df.limit(0)
+    out = pieces[0]
+    for piece in pieces[1:]:
+        out = out.unionAll(piece)
+    return out.orderBy(*order)
+
+
+def page_after(df: DataFrame, keys: list[tuple[str, bool]], last: tuple, size: int) -> DataFrame:
+    """The ``size`` rows after the row whose key values are ``last``: no rank is counted, the bound reaches the scan.
+
+    Key columns and values are not null.
+    """
+    later, equal = F.lit(False), F.lit(True)
+    for (c, down), v in zip(keys, last, strict=True):
+        bound = F.lit(v).cast(df.schema[c].dataType)
+        later = later | (equal & (F.col(c) < bound if down else F.col(c) > bound))
+        equal = equal & (F.col(c) == bound)
+    c, down = keys[0]
+    bound = F.lit(last[0]).cast(df.schema[c].dataType)
+    near = F.col(c) <= bound if down else F.col(c) >= bound
+    order = [F.col(c).desc() if down else F.col(c).asc() for c, down in keys]
+    return df.where(near & later).orderBy(*order).limit(size)
+
+
 def newest_first(df: DataFrame, ts: str, tiebreak: str, limit: int | None = None) -> DataFrame:
     ordered = df.orderBy(F.col(ts).desc(), F.col(tiebreak))
     return ordered if limit is None else ordered.limit(limit)

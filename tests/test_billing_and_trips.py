@@ -1,14 +1,13 @@
-from datetime import datetime, timedelta
+from datetime import datetime, timedelta, timezone
 from decimal import Decimal
 
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from kerbside.functions import events
 from kerbside.operators import billing, trips
 from kerbside.streaming import billing as stream_billing
-from kerbside.streaming.lifecycle import _FIELDS, OUTPUT, DriverTrips
+from kerbside.streaming.lifecycle import _FIELDS, OUTPUT, Event, step
 
 T0 = datetime(2024, 1, 1, 8)
 
@@ -56,6 +55,23 @@ def test_settled_records_are_not_charged_again(spark):
     assert (r["status"], r["charge_attempts"]) == ("REFUNDED", 0)
 
 
+def test_charge_attempts_at_one_time_and_without_a_time(spark):
+    at = datetime(2024, 1, 1)
+    tried = spark.createDataFrame([("t", at, None), ("t", at, "declined"), ("t", None, None), (None, at, None)],
+                                  "trip_id string, attempted_at timestamp, error string")
+    r = billing.apply_charge_attempts(record(spark), tried).first()
+    assert (r["status"], r["charge_attempts"], r["last_charge_error"], r["charged_at"]) == ("CHARGED", 2, None, at)
+
+
+def test_charge_attempts_are_read_and_shuffled_once(spark, tmp_path):
+    many = spark.range(2000).select(F.col("id").cast("string").alias("trip_id"), F.lit(datetime(2024, 1, 1)).alias("attempted_at"),
+                                    F.lit("declined").alias("error"))
+    many.write.parquet(str(tmp_path / "a"))
+    got = billing.apply_charge_attempts(record(spark), spark.read.parquet(str(tmp_path / "a")))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") <= 2 and "WindowGroupLimit" in plan
+
+
 def test_alias_fields_and_bad_records(spark):
     good = ['{"tripId":"a","driverId":"d","distanceKm":2.5,"extra":1}', '{"trip_id":"b","driver_id":"d","rider_id":"r","surge_multiplier":2}']
     bad = ["not json", "{}", '{"trip_id":"c"}', '{"trip_id":"c","driver_id":"d","distance_km":"far"}', None, "x" * 500]
@@ -91,9 +107,9 @@ def state_machine(kinds, lats=None):
     s = dict.fromkeys(_FIELDS)
     out = []
     for i, (k, t) in enumerate(kinds):
-        e = pd.Series({"ts": T0 + timedelta(minutes=i), "seq": i, "kind": k, "trip_id": t, "client_id": "c1" if t else None,
-                       "lat": 33.5735 + 0.01 * (lats or range(99))[i], "lon": -7.5895})
-        out += DriverTrips._step("d1", s, e)
+        at = (T0 + timedelta(minutes=i)).replace(tzinfo=timezone.utc)
+        e = Event(int(at.timestamp()) * 1_000_000, i, k, t, "c1" if t else None, 33.5735 + 0.01 * (lats or range(99))[i], -7.5895)
+        out += step("d1", s, e)
     names = [c.split()[0] for c in OUTPUT.split(", ")]
     return [dict(zip(names, r, strict=True)) for r in out]
 
