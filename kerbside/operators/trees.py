@@ -1,7 +1,7 @@
 """Fitted boosted trees as one SQL expression over the model's raw input columns.
 
 The expression needs no index columns, vectors or pipeline, so it scores tables and streams inside a
-projection, and its text is plain SQL that other engines read as well.
+projection; a portable form of its text is plain SQL that other engines read as well.
 """
 
 from __future__ import annotations
@@ -56,12 +56,13 @@ def _walk(lines: Iterator[str], goes_left: Callable[[int, str, str], str]) -> st
     return f"CASE WHEN {goes_left(int(feature), kind, value)} THEN {left} ELSE {right} END"
 
 
-def expression(model: PipelineModel, backslash_escapes: bool = True) -> str:
+def expression(model: PipelineModel, portable: bool = False) -> str:
     """The prediction of a pipeline of string indexers, an assembler and boosted trees, as SQL text.
 
     Missing numbers go right at every test and missing or unknown categories take the place the
-    indexers keep for them, as in the pipeline. Set ``backslash_escapes`` False for engines that read
-    backslashes in string literals as they are.
+    indexers keep for them, as in the pipeline. The text for Spark adds the trees up as an array: as one
+    sum they would be generated as one method, too long for the JVM to compile. ``portable`` gives the
+    plain sum, with backslashes in string literals as they are, for other engines.
     """
     indexers = {s.getOutputCol(): s for s in model.stages if isinstance(s, StringIndexerModel)}
     inputs = next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols()
@@ -70,11 +71,13 @@ def expression(model: PipelineModel, backslash_escapes: bool = True) -> str:
     def goes_left(feature: int, kind: str, value: str) -> str:
         column = inputs[feature]
         if kind == "in":
-            return _member(indexers[column], {int(float(x)) for x in value.split(",")}, backslash_escapes)
+            return _member(indexers[column], {int(float(x)) for x in value.split(",")}, not portable)
         if column in indexers:
             raise ValueError(f"{column} is split as a number, not by category")
         return f"CAST({_name(column)} AS double) <= {_number(value)}"
 
     lines = (line.strip() for line in fitted.toDebugString.splitlines()[1:] if line.strip())
     terms = [f"{_number(_TREE.fullmatch(line).group(1))} * ({_walk(lines, goes_left)})" for line in lines]
-    return " + ".join(terms)
+    if portable:
+        return " + ".join(terms)
+    return f"aggregate(array({', '.join(terms)}), 0e0, (total, tree) -> total + tree)"

@@ -46,7 +46,7 @@ def test_equals_the_pipeline_on_missing_and_unknown_values(model, strange):
 def test_same_text_in_another_engine(model, strange):
     expected = {r["id"]: r["prediction"] for r in model.transform(strange).select("id", "prediction").collect()}
     scored = strange.toArrow()  # noqa: F841, read by name below
-    text = trees.expression(model, backslash_escapes=False)
+    text = trees.expression(model, portable=True)
     got = dict(duckdb.sql(f"SELECT id, {text} FROM scored").fetchall())
     assert got.keys() == expected.keys() and all(abs(got[i] - expected[i]) < 1e-9 for i in got)
 
