@@ -57,9 +57,10 @@ def matched_trips(matches: DataFrame, matched_at: Column) -> DataFrame:
 # --- odometer ----------------------------------------------------------------------------------
 
 
-def ping_deltas(pings: DataFrame, keys: list[str], order: list[str], bucket: str = "1 hour") -> DataFrame:
+def ping_deltas(pings: DataFrame, keys: list[str], order: list[str], bucket: str = "1 hour",
+                cuts: timeline.Cuts | None = None) -> DataFrame:
     """Pings with the metres since the previous ping of the same key; 0 for the first."""
-    with_prev = timeline.previous_row(pings, keys, order, ["lat", "lon"], bucket)
+    with_prev = timeline.previous_row(pings, keys, order, ["lat", "lon"], bucket, cuts=cuts)
     return with_prev.withColumn("delta_m", F.coalesce(
         geo.haversine_m(F.col("prev_lat"), F.col("prev_lon"), F.col("lat"), F.col("lon")), F.lit(0.0)))
 
@@ -89,9 +90,10 @@ def trip_lifecycle(events: DataFrame, bucket: str = "1 hour") -> tuple[DataFrame
     from valid accepts and completes in the same way. No per-driver loop is needed.
     """
     order = ["ts", "seq"]
+    cuts = timeline.count_cuts(events, ["driver_id"], "ts", bucket)  # fits every subset of the events
     base = ["driver_id", "ts", "seq", "kind", "trip_id", "client_id"]
     slot = events.where(F.col("kind").isin("assign", "accept", "reject")).select(*base)
-    slot = timeline.previous_row(slot, ["driver_id"], order, ["kind", "trip_id", "client_id"], bucket)
+    slot = timeline.previous_row(slot, ["driver_id"], order, ["kind", "trip_id", "client_id"], cuts=cuts)
     answered = slot.where((F.col("kind") != "assign") & (F.col("prev_kind") == "assign")).select(
         "driver_id", "ts", "seq", F.col("kind"), F.col("prev_trip_id").alias("trip_id"),
         F.col("prev_client_id").alias("client_id"))
@@ -105,7 +107,7 @@ def trip_lifecycle(events: DataFrame, bucket: str = "1 hour") -> tuple[DataFrame
     turns = accepted.unionByName(rides.where("kind = 'complete'"))
     active = timeline.as_of_join(
         rides.select("driver_id", "ts", "seq", "kind"), turns, ["driver_id"], "ts", "ts",
-        ["kind", "trip_id", "client_id"], right_order=["seq"], left_order=["seq"], bucket=bucket, strict=True,
+        ["kind", "trip_id", "client_id"], right_order=["seq"], left_order=["seq"], strict=True, cuts=cuts,
     ).where("asof_kind = 'accept'")
     active = active.select("driver_id", "ts", "seq", "kind", F.col("asof_trip_id").alias("trip_id"),
                            F.col("asof_client_id").alias("client_id"))
@@ -121,18 +123,19 @@ def trip_lifecycle(events: DataFrame, bucket: str = "1 hour") -> tuple[DataFrame
     # a ping counts for the ride whose start is the last turn of its driver
     marks = (accepted.unionByName(active)).select("driver_id", "ts", "seq", "kind", "trip_id")
     pings = ping_deltas(events.where("kind = 'ping'").select("driver_id", "ts", "seq", "lat", "lon"),
-                        ["driver_id"], order, bucket)
+                        ["driver_id"], order, cuts=cuts)
     counted = timeline.as_of_join(
         pings.select("driver_id", "ts", "seq", "delta_m"), marks.withColumn("mark_seq", F.col("seq")),
         ["driver_id"], "ts", "ts", ["kind", "trip_id", "mark_seq"], right_order=["seq"],
-        left_order=["seq"], bucket=bucket,
+        left_order=["seq"], cuts=cuts,
     ).where("asof_kind = 'start'")
     ridden = counted.groupBy("driver_id", F.col("asof_trip_id").alias("trip_id"),
                              F.col("asof_mark_seq").alias("start_seq")).agg(F.sum("delta_m").alias("metres"))
 
     done = active.where("kind = 'complete'").select("driver_id", "trip_id", "client_id", "ts", "seq")
     done = timeline.as_of_join(done, starts, ["driver_id", "trip_id"], "ts", "start_ts", ["start_seq"],
-                               right_order=["start_seq"], left_order=["seq"], bucket=bucket, prefix="")
+                               right_order=["start_seq"], left_order=["seq"], prefix="",
+                               cuts=timeline.Cuts(bucket))  # a trip has few turns
     done = done.join(ridden, ["driver_id", "trip_id", "start_seq"], "left")
     return statuses, done.select(
         "trip_id", "driver_id", F.coalesce("client_id", F.lit("unknown")).alias("client_id"),

@@ -43,6 +43,54 @@ def test_as_of_join(spark, strict, age):
     assert got == want
 
 
+def crowded(n, seed):
+    """Rows of few keys, a null one too, within one hour; half of them within one second, with ties."""
+    r = random.Random(seed)
+    return [(r.choice(["a", "a", "a", "b", None]), r.choice([r.randrange(3_600_000_000), 1_800_000_000 + r.randrange(40)]), i)
+            for i in range(n)]
+
+
+def micro_frame(spark, rows):
+    return spark.createDataFrame(rows, "k string, t long, seq long").select("k", F.timestamp_micros("t").alias("ts"), "t", "seq")
+
+
+def test_crowded_hours_are_cut(spark, monkeypatch):
+    """Pieces of about PIECE_ROWS rows, also where an hour or a second holds more; the same results."""
+    monkeypatch.setattr(timeline, "PIECE_ROWS", 20)
+    rows, right = crowded(600, 4), crowded(300, 5)
+    df = micro_frame(spark, rows)
+    cuts = timeline.count_cuts(df, ["k"], "ts")
+    sizes = [r["count"] for r in timeline._deal(df.select(F.struct("k").alias("_key"), F.col("ts").alias("_at")), cuts)
+             .groupBy("_key", "_piece").count().collect()]
+    assert len(sizes) > 20 and sum(sizes) == 600 and max(sizes) < 60
+    got = {r["seq"]: r["prev_seq"] for r in timeline.previous_row(df, ["k"], ["ts", "seq"], ["seq"]).collect()}
+    want, last = {}, {}
+    for k, t, s in sorted(rows, key=lambda r: (r[1], r[2])):
+        want[s] = last.get(k)
+        last[k] = s
+    assert got == want
+    out = timeline.as_of_join(df, micro_frame(spark, right).select("k", F.col("ts").alias("rts"), F.col("seq").alias("rseq")),
+                              ["k"], "ts", "rts", ["rseq"], right_order=["rseq"])
+    fit = lambda k, t: [(rt, rs) for rk, rt, rs in right if rk == k and rt <= t]
+    assert {r["seq"]: r["asof_rseq"] for r in out.collect()} == {s: max(fit(k, t))[1] if fit(k, t) else None for k, t, s in rows}
+
+
+def scans(df):
+    """Scans of files in the plan that ran."""
+    df.write.format("noop").mode("overwrite").save()
+    df.collect()
+    return df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan")
+
+
+def test_one_scan_per_input(spark, tmp_path):
+    for name, seed in (("l", 6), ("r", 7)):
+        micro_frame(spark, crowded(500, seed)).write.parquet(str(tmp_path / name))
+    left = spark.read.parquet(str(tmp_path / "l"))
+    right = spark.read.parquet(str(tmp_path / "r")).select("k", F.col("ts").alias("rts"), F.col("seq").alias("rseq"))
+    assert scans(timeline.previous_row(left, ["k"], ["ts", "seq"], ["seq"])) == 1
+    assert scans(timeline.as_of_join(left, right, ["k"], "ts", "rts", ["rseq"], right_order=["rseq"])) == 2
+
+
 def test_as_of_join_on_shared_sequence(spark):
     left = frame(spark, [("a", 10, 2), ("a", 10, 4)])
     right = frame(spark, [("a", 10, 1), ("a", 10, 3), ("a", 10, 5)]).select("k", F.col("ts").alias("rts"), F.col("seq").alias("rseq"))
