@@ -243,6 +243,19 @@ def point_in_ring(lon, lat, ring) -> Column:
     return F.size(F.filter(crossings, lambda hit: hit)) % 2 == 1
 
 
+def ring_edges(ring) -> Column:
+    """Edges of a ring as structs (ax, ay, bx, by)."""
+    return F.zip_with(ring, previous_vertices(ring), lambda a, b: F.struct(
+        a[0].alias("ax"), a[1].alias("ay"), b[0].alias("bx"), b[1].alias("by")))
+
+
+def crosses_edges(lon, lat, edges) -> Column:
+    """``point_in_ring`` on some of the ring's edges: all that a ray to the east from the point may cross."""
+    hits = F.filter(edges, lambda e: ((e["ay"] > lat) != (e["by"] > lat))
+                    & (lon < (e["bx"] - e["ax"]) * (lat - e["ay"]) / ((e["by"] - e["ay"]) + S.GEOMETRY_EPSILON) + e["ax"]))
+    return F.size(hits) % 2 == 1
+
+
 def point_in_polygon(lon, lat, rings) -> Column:
     """Inside the outer ring and inside none of the holes."""
     holes = F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0)))
@@ -253,6 +266,12 @@ def point_in_multipolygon(lon, lat, polygons) -> Column:
     return F.exists(polygons, lambda rings: point_in_polygon(lon, lat, rings))
 
 
+def point_in_edges(lon, lat, polygons) -> Column:
+    """``point_in_multipolygon`` on rings of edges."""
+    return F.exists(polygons, lambda rings: crosses_edges(lon, lat, rings[0]) & ~F.exists(
+        F.slice(rings, 2, F.greatest(F.size(rings) - 1, F.lit(0))), lambda h: crosses_edges(lon, lat, h)))
+
+
 def multipolygon_box(polygons) -> Column:
     """Struct (lon_min, lon_max, lat_min, lat_max) over the outer rings."""
     vertices = F.flatten(F.transform(polygons, lambda rings: rings[0]))

@@ -34,73 +34,176 @@ def _cell_at(level: Column, lat, lon) -> Column:
     return geo.cell_key(at(geo.cell_x(lon, geo.CELL_BITS)), at(geo.cell_y(lat, geo.CELL_BITS)))
 
 
-def cover_zones(zones: DataFrame) -> DataFrame:
-    """One row per (level, cell) with the zones whose box touches it, in zone order."""
+def _box_cells(df: DataFrame) -> DataFrame:
+    """Rows with _box and _level, once for every cell of the level that the box touches."""
     box = F.col("_box")
-    z = zones.withColumn("_box", geo.multipolygon_box(F.col("polygons")))
-    z = z.withColumn("_level", _level_for(box))
     drop = F.lit(geo.CELL_BITS) - F.col("_level")
     at = lambda v: F.call_function("shiftright", v, drop)
     xs = F.sequence(at(geo.cell_x(box["lon_min"], geo.CELL_BITS)), at(geo.cell_x(box["lon_max"], geo.CELL_BITS)))
     ys = F.sequence(at(geo.cell_y(box["lat_min"], geo.CELL_BITS)), at(geo.cell_y(box["lat_max"], geo.CELL_BITS)))
-    z = z.withColumn("_x", F.explode(xs)).withColumn("_y", F.explode(ys))
-    return z.select("_level", geo.cell_key(F.col("_x"), F.col("_y")).alias("_cell"),
-                    "zone_order", "zone_id", "zone_name", "polygons", "_box")
+    cells = df.withColumn("_x", F.explode(xs)).withColumn("_y", F.explode(ys))
+    return cells.withColumn("_cell", geo.cell_key(F.col("_x"), F.col("_y"))).drop("_x", "_y")
+
 
+def cover_zones(zones: DataFrame) -> DataFrame:
+    """One row per zone and (level, cell) that its box touches; the level fits the zone."""
+    z = zones.withColumn("_box", geo.multipolygon_box(F.col("polygons")))
+    return _box_cells(z.withColumn("_level", _level_for(F.col("_box")))).select(
+        "_level", "_cell", "zone_order", "zone_id", "zone_name", "polygons", "_box")
 
-_BROADCAST_VERTICES = 1_000_000  # about 50 MB of rings
+
+_BROADCAST_VERTICES = 1_000_000  # about 50 MB of edges
+_STEP = 3  # levels of the tree: every third, 64 children a node
+_NOWHERE = -1  # level and cell of points outside all zones
 
 
 @dataclass(frozen=True)
 class ZoneCover:
-    """Zones prepared for joins: one row per (level, cell) with its zones in order, and the vertices
-    of each level. Built once, it serves any number of joins, e.g. every micro-batch of a stream."""
+    """Zones prepared for joins. ``cells`` are the leaves of a tree of cells that part the box of all
+    zones, with the zones that reach into each, in order; ``weight`` counts cells and their edges.
+    Built once, it serves any number of joins, e.g. every micro-batch of a stream."""
 
     cells: DataFrame
-    levels: dict[int, int]
-
-
-def zone_cover(zones: DataFrame) -> ZoneCover:
-    """Cover of the zones, checkpointed; the zones of one cell share a row."""
-    zone = F.struct("zone_order", "zone_id", "zone_name", "polygons", "_box")
-    cells = cut_lineage(cover_zones(zones).groupBy("_level", "_cell").agg(
-        F.array_sort(F.collect_list(zone)).alias("_zones")))
-    vertices = F.aggregate(F.transform("_zones", lambda z: F.size(F.flatten(F.flatten(z["polygons"])))),
-                           F.lit(0).cast("long"), lambda acc, n: acc + n)
-    rows = cells.groupBy("_level").agg(F.sum(vertices).alias("n")).collect()  # at most 27 rows
-    return ZoneCover(cells, {r["_level"]: r["n"] for r in sorted(rows, key=lambda r: r["_level"])})
+    levels: tuple[int, ...]
+    box: tuple[float, float, float, float] | None
+    weight: int
+    exact: bool
+
+
+def _cell_box(level, cell) -> Column:
+    """Box of a cell, a hundredth larger on all sides against rounding."""
+    x, y = F.shiftright(cell, geo.CELL_BITS), cell.bitwiseAND(F.lit(2 ** geo.CELL_BITS - 1))
+    wide, high = 360.0 / F.pow(F.lit(2.0), level), 180.0 / F.pow(F.lit(2.0), level)
+    return F.struct(((x - 0.01) * wide - 180.0).alias("lon_min"), ((x + 1.01) * wide - 180.0).alias("lon_max"),
+                    ((y - 0.01) * high - 90.0).alias("lat_min"), ((y + 1.01) * high - 90.0).alias("lat_max"))
+
+
+def _ancestor(cell, down) -> Column:
+    """The cell ``down`` levels above."""
+    at = lambda v: F.call_function("shiftright", v, down.cast("int"))
+    return geo.cell_key(at(F.shiftright(cell, geo.CELL_BITS)), at(cell.bitwiseAND(F.lit(2 ** geo.CELL_BITS - 1))))
+
+
+def _touches(e, c) -> Column:
+    """The edge may touch the box: their boxes meet and the box has no side of the edge's line to itself."""
+    side = [(e["bx"] - e["ax"]) * (c[y] - e["ay"]) - (e["by"] - e["ay"]) * (c[x] - e["ax"])
+            for x in ("lon_min", "lon_max") for y in ("lat_min", "lat_max")]
+    return ((F.greatest(e["ax"], e["bx"]) >= c["lon_min"]) & (F.least(e["ax"], e["bx"]) <= c["lon_max"])
+            & (F.greatest(e["ay"], e["by"]) >= c["lat_min"]) & (F.least(e["ay"], e["by"]) <= c["lat_max"])
+            & (F.least(*side) <= 0) & (F.greatest(*side) >= 0))
+
+
+def _classified(cells: DataFrame, exact: bool) -> DataFrame:
+    """Rows (_level, _cell, zone, _box, _edges) of cells and zones: ``_inner`` if the zone holds the
+    whole cell, else the edges that matter within it; cells outside the zone are left out."""
+    c, box = F.col("_c"), F.col("_box")
+    cells = cells.withColumn("_c", _cell_box(F.col("_level"), F.col("_cell")))
+    if not exact:
+        apart = ((box["lon_min"] > c["lon_max"]) | (box["lon_max"] < c["lon_min"])
+                 | (box["lat_min"] > c["lat_max"]) | (box["lat_max"] < c["lat_min"]))
+        whole = geo.in_box(c["lon_min"], c["lat_min"], box) & geo.in_box(c["lon_max"], c["lat_max"], box)
+        return cells.where(~apart).withColumn("_inner", whole).drop("_c")
+    near = F.transform("_edges", lambda rings: F.transform(rings, lambda ring: F.filter(
+        ring, lambda e: (F.greatest(e["ay"], e["by"]) >= c["lat_min"]) & (F.least(e["ay"], e["by"]) <= c["lat_max"])
+        & (F.greatest(e["ax"], e["bx"]) >= c["lon_min"]))))
+    cells = once(cells.drop("_near"), "_near", near)
+    border = F.exists(F.flatten(F.flatten("_near")), lambda e: _touches(e, c))
+    centre = geo.point_in_edges((c["lon_min"] + c["lon_max"]) / 2, (c["lat_min"] + c["lat_max"]) / 2, F.col("_near"))
+    kind = F.when(border, F.lit("border")).when(centre, F.lit("inner")).otherwise(F.lit("outside"))
+    cells = once(cells, "_kind", kind).where("_kind <> 'outside'").withColumn("_inner", F.col("_kind") == "inner")
+    return cells.withColumn("_edges", F.when(~F.col("_inner"), F.col("_near"))).drop("_c", "_near", "_kind")
+
+
+def _leaves(cover: DataFrame, levels: tuple[int, ...], roots: DataFrame) -> DataFrame:
+    """(_level, _cell) of the leaves: every node above a cell of the cover has all its children."""
+    steps = F.array(*[F.lit(n) for n in levels])
+    level, cell = F.col("_level"), F.col("_cell")
+    above = cover.select("_level", "_cell").distinct().withColumn("_up", F.explode(F.filter(steps, lambda n: n < level)))
+    above = cut_lineage(above.select(F.col("_up").alias("_level"), _ancestor(cell, level - F.col("_up")).alias("_cell")).distinct())
+    side = 2 ** _STEP
+    x, y = F.shiftright(cell, geo.CELL_BITS) * side, cell.bitwiseAND(F.lit(2 ** geo.CELL_BITS - 1)) * side
+    children = above.withColumn("_i", F.explode(F.sequence(F.lit(0), F.lit(side * side - 1)))).select(
+        (level + _STEP).alias("_level"),
+        geo.cell_key(x + F.floor(F.col("_i") / side), y + F.col("_i") % side).alias("_cell"))
+    return roots.unionByName(children).join(above, ["_level", "_cell"], "left_anti")
+
+
+def zone_cover(zones: DataFrame, exact: bool = True) -> ZoneCover:
+    """Cover of the zones by a tree of cells, checkpointed.
+
+    A zone is first covered by cells of about its own size; where small zones lie, cells are parted
+    further, so that every point of the box of all zones lies in one leaf. A leaf lists the zones that
+    reach into it, in order, up to the first one that holds it whole; a zone whose border passes
+    through keeps only the edges that a point of the leaf must be tested against.
+    """
+    names = ["zone_order", "zone_id", "zone_name"]
+    edges = F.transform("polygons", lambda rings: F.transform(rings, geo.ring_edges))
+    z = zones.select(*names, geo.multipolygon_box(F.col("polygons")).alias("_box"), edges.alias("_edges"))
+    z = z.where("_box.lon_min is not null").withColumn("_fit", _level_for(F.col("_box")))
+    w, e, s, n, deepest = z.agg(F.min("_box.lon_min"), F.max("_box.lon_max"), F.min("_box.lat_min"),
+                                F.max("_box.lat_max"), F.max("_fit")).first()
+    if w is None:
+        return ZoneCover(z, (), None, 0, exact)
+    width = max((e - w) / 360.0, (n - s) / 180.0, 2.0 ** -geo.CELL_BITS)
+    base = max(0, min(geo.CELL_BITS, math.floor(math.log2((_COVER - 1) / width))))
+    levels = tuple(range(base, min(geo.CELL_BITS, max(deepest, base) + 1) + 1, _STEP))
+    fit = F.lit(base) + F.lit(_STEP) * F.round((F.col("_fit") - base) / _STEP).cast("int")
+    cells = _box_cells(z.withColumn("_level", F.greatest(F.lit(base), F.least(F.lit(levels[-1]), fit))))
+    cover = cut_lineage(_classified(cells.select("_level", "_cell", *names, "_box", "_edges"), exact))
+
+    one = zones.sparkSession.range(1).select(F.lit(base).alias("_level"), F.struct(
+        *[F.lit(float(v)).alias(k) for k, v in zip(("lon_min", "lon_max", "lat_min", "lat_max"), (w, e, s, n))]).alias("_box"))
+    leaves = _leaves(cover, levels, _box_cells(one).select("_level", "_cell"))
+    ways = leaves.withColumn("_up", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v <= F.col("_level"))))
+    ways = ways.withColumn("_top", _ancestor(F.col("_cell"), F.col("_level") - F.col("_up")))
+    above = cover.withColumnsRenamed({"_level": "_up", "_cell": "_top"})
+    met = ways.join(above, ["_up", "_top"])
+    held = met.where("_inner").select("_level", "_cell", *names, "_box", "_edges", "_inner")
+    cut = _classified(met.where("not _inner").select("_level", "_cell", *names, "_box", "_edges"), exact)
+    zone = F.struct(*names, "_inner", "_box", "_edges")
+    lists = held.unionByName(cut).groupBy("_level", "_cell").agg(F.array_sort(F.collect_list(zone)).alias("_zones"))
+    first = F.array_position(F.transform("_zones", lambda v: v["_inner"]), True)  # 0 if none
+    lists = lists.withColumn("_zones", F.slice("_zones", F.lit(1), F.when(first > 0, first.cast("int")).otherwise(F.size("_zones"))))
+    kept = leaves.join(lists, ["_level", "_cell"], "left")
+    nowhere = one.select(F.lit(_NOWHERE).alias("_level"), F.lit(_NOWHERE).cast("long").alias("_cell"))
+    kept = cut_lineage(kept.unionByName(nowhere, allowMissingColumns=True))
+    size = F.aggregate("_zones", F.lit(1).cast("long"), lambda acc, v: acc + 1 + F.coalesce(
+        F.size(F.flatten(F.flatten(v["_edges"]))), F.lit(0)))
+    weight = kept.agg(F.sum(F.coalesce(size, F.lit(1).cast("long")))).first()[0]
+    return ZoneCover(kept, levels, (w, e, s, n), weight, exact)
 
 
 def assign_zone_polygon(points: DataFrame, zones: DataFrame | ZoneCover, how: str = "left",
                         exact: bool = True) -> DataFrame:
     """Add zone_id and zone_name of the first zone (by zone_order) that holds the point.
 
-    ``how="left"`` keeps points outside every zone as 0 / "Unknown", ``"inner"`` drops them.
-    ``exact=False`` stops at the bounding box. The cover has one row per cell, so looking up a
-    point's cell on each level never multiplies points and needs no second shuffle to find the first
-    match. A level of bounded size is broadcast and points aren't shuffled for it. The same form for
-    any zones, batch or stream.
+    ``how="left"`` keeps points outside every zone, or without coordinates, as 0 / "Unknown",
+    ``"inner"`` drops them. ``exact=False`` stops at the bounding box; a cover built before says
+    itself which it is for. A point asks for its cell on every level of the cover and meets exactly
+    one leaf, so there is one join, and neither an aggregate nor a second shuffle. A cover of bounded
+    size is broadcast and points aren't shuffled. The same form for any zones, batch or stream.
     """
-    cover = zones if isinstance(zones, ZoneCover) else zone_cover(zones)
+    cover = zones if isinstance(zones, ZoneCover) else zone_cover(zones, exact)
     lon, lat = F.col("lon"), F.col("lat")
 
     def holds(z):
-        inside = geo.in_box(lon, lat, z["_box"])
-        if exact:
-            inside = F.when(inside, geo.point_in_multipolygon(lon, lat, z["polygons"])).otherwise(False)
-        return inside
-
-    hits, out = [], points
-    for level, vertices in cover.levels.items():
-        one = cover.cells.where(F.col("_level") == level).select(
-            F.col("_cell").alias(f"_c{level}"), F.col("_zones").alias(f"_z{level}"))
-        here = _cell_at(F.lit(level), lat, lon) == F.col(f"_c{level}")
-        out = out.join(F.broadcast(one) if vertices <= _BROADCAST_VERTICES else one, here, "left")
-        hits.append(F.get(F.transform(F.filter(F.col(f"_z{level}"), holds), _label), F.lit(0)))
-    if hits:
-        out = once(out, "_zone", F.least(*hits) if len(hits) > 1 else hits[0])
+        tested = geo.in_box(lon, lat, z["_box"])
+        if cover.exact:
+            tested = F.when(tested, geo.point_in_edges(lon, lat, z["_edges"])).otherwise(False)
+        return F.when(z["_inner"], True).otherwise(tested)
+
+    if cover.box:
+        spot = lambda level, cell: F.struct(F.lit(level).alias("level"), cell.alias("cell"))
+        w, e, s, n = cover.box
+        spots = F.when(lon.between(w, e) & lat.between(s, n), F.array(
+            *[spot(v, _cell_at(F.lit(v), lat, lon)) for v in cover.levels])).otherwise(
+            F.array(spot(_NOWHERE, F.lit(_NOWHERE).cast("long"))))
+        cells = F.broadcast(cover.cells) if cover.weight <= _BROADCAST_VERTICES else cover.cells
+        out = points.withColumn("_spot", F.explode(spots)).join(
+            cells, (F.col("_spot.level") == F.col("_level")) & (F.col("_spot.cell") == F.col("_cell")))
+        out = once(out, "_zone", F.get(F.transform(F.filter("_zones", holds), _label), F.lit(0)))
     else:
-        out = out.withColumn("_zone", F.lit(None).cast("struct<zone_id:int,zone_name:string>"))
+        out = points.withColumn("_zone", F.lit(None).cast("struct<zone_id:int,zone_name:string>"))
     if how == "inner":
         out = out.where(F.col("_zone").isNotNull() & (F.col("_zone.zone_id") != 0))
     return out.select(

@@ -1,4 +1,6 @@
 import json
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,6 +58,85 @@ def test_many_overlapping_zones_on_a_stream(spark, tmp_path):
     assert {r["k"]: r["zone_id"] for r in spark.read.parquet(out).collect()} == expect
 
 
+def inside(x, y, ring):
+    hit = False
+    for (ax, ay), (bx, by) in zip(ring, ring[-1:] + ring[:-1]):
+        hit ^= (ay > y) != (by > y) and x < (bx - ax) * (y - ay) / (by - ay) + ax
+    return hit
+
+
+@pytest.fixture(scope="module")
+def stars():
+    """Star-shaped zones of sizes from 0.001 to 40 degrees that overlap, every third with a hole."""
+    r = random.Random(8)
+    found = []
+    for i in range(40):
+        x, y, size = r.uniform(-60, 60), r.uniform(-50, 50), 40 * 10 ** -r.uniform(0, 4.5)
+        if i % 4 == 0 and i:
+            x, y = found[i - 1][1]
+        n = r.randint(5, 40)
+        ring = []
+        for k in range(n):
+            far, angle = (0.4 + 0.6 * r.random()) * size, 2 * math.pi * k / n
+            ring.append([x + far * math.cos(angle), y + far * math.sin(angle) / 2])
+        hole = [[x + size * 0.1 * math.cos(a), y + size * 0.04 * math.sin(a)] for a in (0.0, 1.5, 3.0, 4.5)]
+        found.append(([[ring, hole]] if i % 3 == 0 else [[ring]], (x, y), size))
+    return found
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_cover_against_all_polygons(spark, stars, monkeypatch, broadcast):
+    """Every point against every polygon; order 39 is the first zone, so that large and small ones mix."""
+    monkeypatch.setattr(zones, "_BROADCAST_VERTICES", broadcast)
+    r = random.Random(9)
+    pts = [(r.uniform(-110, 110), r.uniform(-80, 80)) for _ in range(500)]
+    for polygons, (x, y), size in stars:
+        pts += [(x + r.uniform(-1, 1) * size, y + r.uniform(-1, 1) * size / 2) for _ in range(60)]
+    rows = [(39 - i, i + 1, f"s{i}", polygons) for i, (polygons, _, _) in enumerate(stars)]
+
+    def first(x, y):
+        for _, zone, _, polygons in sorted(rows):
+            if any(inside(x, y, rings[0]) and not any(inside(x, y, h) for h in rings[1:]) for rings in polygons):
+                return zone
+        return 0
+
+    def boxed(x, y):
+        for _, zone, _, polygons in sorted(rows):
+            ring = polygons[0][0]
+            if min(p[0] for p in ring) <= x <= max(p[0] for p in ring) and min(p[1] for p in ring) <= y <= max(p[1] for p in ring):
+                return zone
+        return 0
+
+    frame = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pts)] + [(-1, None, 1.0), (-2, 400.0, 1.0), (-3, float("nan"), 1.0)],
+                                  "i int, lon double, lat double")
+    dim = spark.createDataFrame(rows, SCHEMA)
+    out = zones.assign_zone_polygon(frame, dim)
+    assert {q["i"]: q["zone_id"] for q in out.collect()} == {i: first(*p) for i, p in enumerate(pts)} | {-1: 0, -2: 0, -3: 0}
+    assert out.count() == len(pts) + 3
+    boxes = zones.assign_zone_polygon(frame, dim, exact=False)
+    assert {q["i"]: q["zone_id"] for q in boxes.collect()} == {i: boxed(*p) for i, p in enumerate(pts)} | {-1: 0, -2: 0, -3: 0}
+
+
+def test_one_join_for_any_levels(spark, stars):
+    dim = spark.createDataFrame([(i, i + 1, f"s{i}", p) for i, (p, _, _) in enumerate(stars)], SCHEMA)
+    cover = zones.zone_cover(dim)
+    assert len(cover.levels) >= 4
+    pts = spark.range(10).select(F.col("id").cast("double").alias("lon"), F.lit(0.5).alias("lat"))
+    plan = zones.assign_zone_polygon(pts, cover)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1 and "Aggregate" not in plan
+
+
+def test_leaves_within_a_zone_need_no_edges(spark):
+    """Of a large square most of the area lies in leaves without edges; a border leaf has few of many."""
+    n = 400
+    circle = [[10 + 5 * math.cos(2 * math.pi * k / n), 10 + 5 * math.sin(2 * math.pi * k / n)] for k in range(n)]
+    cover = zones.zone_cover(spark.createDataFrame([(0, 1, "c", [[circle]])], SCHEMA))
+    rows = cover.cells.where("size(_zones) > 0").select(F.col("_zones")[0].alias("z")).select(
+        "z._inner", F.size(F.flatten(F.flatten("z._edges"))).alias("n")).collect()
+    assert any(r["_inner"] for r in rows) and all(r["n"] in (-1, None) for r in rows if r["_inner"])
+    assert max(r["n"] for r in rows if not r["_inner"]) <= n / 2
+
+
 def test_points_are_not_shuffled_for_few_zones(spark, sf_dir):
     out = zones.assign_zone_polygon(B.pings(spark, sf_dir), B.grid_polygons(spark))
     plan = out._jdf.queryExecution().executedPlan().toString()
