@@ -157,16 +157,18 @@ def zone_cover(zones: DataFrame, exact: bool = True) -> ZoneCover:
     ways = leaves.withColumn("_up", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v <= F.col("_level"))))
     ways = ways.withColumn("_top", _ancestor(F.col("_cell"), F.col("_level") - F.col("_up")))
     above = cover.withColumnsRenamed({"_level": "_up", "_cell": "_top"})
-    met = ways.join(above, ["_up", "_top"])
-    held = met.where("_inner").select("_level", "_cell", *names, "_box", "_edges", "_inner")
-    cut = _classified(met.where("not _inner").select("_level", "_cell", *names, "_box", "_edges"), exact)
-    zone = F.struct(*names, "_inner", "_box", "_edges")
-    lists = held.unionByName(cut).groupBy("_level", "_cell").agg(F.array_sort(F.collect_list(zone)).alias("_zones"))
+    ways = ways.repartition(zones.sparkSession.sparkContext.defaultParallelism, "_level", "_cell")  # few bytes, much work a row
+    met = ways.join(above, ["_up", "_top"], "left")  # a leaf without zones keeps its own row
+    columns = ["_level", "_cell", *names, "_box", "_edges", "_inner"]
+    known = F.coalesce("_inner", F.lit(True)) | (F.col("_up") == F.col("_level"))
+    cut = _classified(met.where(~known).select(*columns[:-1]), exact)
+    zone = F.when(F.col("_inner").isNotNull(), F.struct(*names, "_inner", "_box", "_edges"))
+    lists = met.where(known).select(*columns).unionByName(cut).groupBy("_level", "_cell").agg(
+        F.array_sort(F.collect_list(zone)).alias("_zones"))
     first = F.array_position(F.transform("_zones", lambda v: v["_inner"]), True)  # 0 if none
     lists = lists.withColumn("_zones", F.slice("_zones", F.lit(1), F.when(first > 0, first.cast("int")).otherwise(F.size("_zones"))))
-    kept = leaves.join(lists, ["_level", "_cell"], "left")
     nowhere = one.select(F.lit(_NOWHERE).alias("_level"), F.lit(_NOWHERE).cast("long").alias("_cell"))
-    kept = cut_lineage(kept.unionByName(nowhere, allowMissingColumns=True))
+    kept = cut_lineage(lists.unionByName(nowhere, allowMissingColumns=True))
     size = F.aggregate("_zones", F.lit(1).cast("long"), lambda acc, v: acc + 1 + F.coalesce(
         F.size(F.flatten(F.flatten(v["_edges"]))), F.lit(0)))
     weight = kept.agg(F.sum(F.coalesce(size, F.lit(1).cast("long")))).first()[0]
