@@ -28,6 +28,12 @@ def _level_for(box) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(geo.CELL_BITS), bits))
 
 
+def _dealt(zones: DataFrame) -> DataFrame:
+    """Zones dealt to all cores: a zone is a few hundred bytes but gives dozens of cells, so a file of
+    zones that is one split would be covered by one task."""
+    return zones.repartition(4 * zones.sparkSession.sparkContext.defaultParallelism)
+
+
 def _cell_at(level: Column, lat, lon) -> Column:
     drop = F.lit(geo.CELL_BITS) - level
     at = lambda v: F.call_function("shiftright", v, drop)
@@ -256,16 +262,12 @@ def _orientation(a, b, c) -> Column:
 
 
 def segments_meet(p1, p2, q1, q2) -> Column:
-    """Closed segments share a point; arguments are structs (x, y)."""
+    """Closed segments share a point: their boxes meet and neither lies on one side of the other's line.
+    Arguments have x and y. Kept short, as a join's condition must stay small enough to be compiled."""
     o1, o2 = _orientation(p1, p2, q1), _orientation(p1, p2, q2)
     o3, o4 = _orientation(q1, q2, p1), _orientation(q1, q2, p2)
-
-    def on(a, b, c):
-        return (c["x"].between(F.least(a["x"], b["x"]), F.greatest(a["x"], b["x"]))
-                & c["y"].between(F.least(a["y"], b["y"]), F.greatest(a["y"], b["y"])))
-
-    return ((o1 * o2 < 0) & (o3 * o4 < 0)) | ((o1 == 0) & on(p1, p2, q1)) | ((o2 == 0) & on(p1, p2, q2)) \
-        | ((o3 == 0) & on(q1, q2, p1)) | ((o4 == 0) & on(q1, q2, p2))
+    boxes = [(F.least(p1[c], p2[c]) <= F.greatest(q1[c], q2[c])) & (F.least(q1[c], q2[c]) <= F.greatest(p1[c], p2[c])) for c in "xy"]
+    return boxes[0] & boxes[1] & (o1 * o2 <= 0) & (o3 * o4 <= 0)
 
 
 def _cells_crossed(segs: DataFrame, bits: int) -> DataFrame:
@@ -292,8 +294,12 @@ def zone_adjacency(zones: DataFrame, bits: int | None = None) -> DataFrame:
     Boundary segments are hashed to the cells they cross and meet in an equi join on the cell, so
     only segments near each other are compared. Two zones without a crossing boundary still meet
     when one lies inside the other; that is tested with one vertex per ring through the cell cover.
-    ``bits`` sets the cell size; by default cells are as wide as the longer boundary segments.
+    ``bits`` sets the cell size; by default cells are a quarter as wide as the longer boundary segments,
+    near where the pairs of segments in one cell stop falling. Segments are dealt out by cell, the
+    work being the pairs and not the bytes. What is found is a row per pair, shuffled once.
     """
+    cores = zones.sparkSession.sparkContext.defaultParallelism
+    zones = _dealt(zones)
     ring = F.col("ring")
     rings = zones.select("zone_id", F.explode("polygons").alias("poly")).select(
         "zone_id", F.explode("poly").alias("ring"))
@@ -306,12 +312,16 @@ def zone_adjacency(zones: DataFrame, bits: int | None = None) -> DataFrame:
     if bits is None:
         reach = F.greatest(F.abs(p["x"] - q["x"]) / 360.0, F.abs(p["y"] - q["y"]) / 180.0)
         long = segs.agg(F.percentile_approx(reach, 0.9).alias("r")).first()["r"] or 1.0
-        bits = max(0, min(geo.CELL_BITS, math.floor(-math.log2(long))))
-    segs = _cells_crossed(segs, bits)
+        bits = max(0, min(geo.CELL_BITS, math.floor(-math.log2(long)) + 2))
+    ends = ("p", "q")
+    sure = lambda c: F.coalesce(c, F.lit(float("nan")))  # noqa: E731  never null here; without null checks the condition is compiled
+    segs = _cells_crossed(segs, bits).select("zone_id", "cell", *[
+        sure(F.col(f"{e}.{c}")).alias(e + c) for e in ends for c in "xy"]).repartition(16 * cores, "cell")
     a, b = segs.alias("a"), segs.alias("b")
+    point_of = lambda side, e: {c: F.col(f"{side}.{e}{c}") for c in "xy"}
     crossing = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.zone_id") < F.col("b.zone_id"))
-                      & segments_meet(F.col("a.p"), F.col("a.q"), F.col("b.p"), F.col("b.q")))
-    crossing = crossing.select(F.col("a.zone_id").alias("z1"), F.col("b.zone_id").alias("z2")).distinct()
+                      & segments_meet(*[point_of(side, e) for side in "ab" for e in ends]))
+    crossing = crossing.select(F.col("a.zone_id").alias("z1"), F.col("b.zone_id").alias("z2"))
 
     vertices = zones.select(F.col("zone_id").alias("inner_id"), F.explode("polygons").alias("poly")).select(
         "inner_id", F.col("poly")[0][0].alias("v")).select(
@@ -319,14 +329,15 @@ def zone_adjacency(zones: DataFrame, bits: int | None = None) -> DataFrame:
     cover = cover_zones(zones)
     spread = vertices.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(geo.CELL_BITS))))
     spread = spread.withColumn("_cell", _cell_at(F.col("_level"), F.col("lat"), F.col("lon")))
-    inside = spread.join(cover, ["_level", "_cell"]).where(
-        (F.col("inner_id") != F.col("zone_id"))
+    spread = spread.repartition(16 * cores, "_level", "_cell")
+    inside = spread.join(cover.repartition(16 * cores, "_level", "_cell"), ["_level", "_cell"]).where(
+        (F.col("inner_id") != F.col("zone_id")) & geo.in_box(F.col("lon"), F.col("lat"), F.col("_box"))
         & geo.point_in_multipolygon(F.col("lon"), F.col("lat"), F.col("polygons"))
     ).select(F.least("inner_id", "zone_id").alias("z1"), F.greatest("inner_id", "zone_id").alias("z2"))
-    pairs = crossing.unionByName(inside).distinct()
-    both = pairs.unionByName(pairs.select(F.col("z2").alias("z1"), F.col("z1").alias("z2")))
-    own = zones.select(F.col("zone_id").alias("z1"), F.col("zone_id").alias("z2"))
-    return both.unionByName(own).distinct().select(
+    pairs = crossing.unionByName(inside).distinct()  # z1 < z2, so neither way round nor own pairs repeat one
+    both = pairs.select(F.explode(F.array(F.struct("z1", "z2"), F.struct(F.col("z2").alias("z1"), F.col("z1").alias("z2")))).alias("s"))
+    own = zones.select(F.col("zone_id").alias("z1"), F.col("zone_id").alias("z2")).distinct()
+    return both.select("s.z1", "s.z2").unionByName(own).select(
         F.col("z1").alias("zone_id"), F.col("z2").alias("neighbour_id"))
 
 

@@ -152,6 +152,12 @@ def test_adjacency(spark, shapes):
     assert {(1, 2), (2, 1), (1, 3), (3, 1)} <= got and (2, 3) not in got
 
 
+def test_adjacency_of_zones_in_one_split_is_dealt_to_all_cores(spark, shapes):
+    """The pairs of segments are the work: they are dealt out by cell, however few bytes they are."""
+    plan = zones.zone_adjacency(shapes.coalesce(1), bits=8)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(cell" in plan
+
+
 def test_grid_polygons_touch_like_the_grid(spark):
     got = {(r[0], r[1]) for r in zones.zone_adjacency(B.grid_polygons(spark)).collect()}
     ids = spark.range(1, 17).select(F.col("id").cast("int").alias("zone_id"))
