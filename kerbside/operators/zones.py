@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from kerbside.functions import geo, scalars
 from kerbside.operators.tables import latest_per_key
-from kerbside.session import cut_lineage, once
+from kerbside.session import broadcast_if_small, cut_lineage, once
 
 _COVER = 8  # a polygon's box spans at most this many cells per axis at its own level
 
@@ -120,6 +120,16 @@ def _classified(cells: DataFrame, exact: bool) -> DataFrame:
     return cells.withColumn("_edges", F.when(~F.col("_inner"), F.col("_near"))).drop("_c", "_near", "_kind")
 
 
+def _up_to_whole(cover: DataFrame, names: list[str]) -> DataFrame:
+    """Rows of the cover up to the first zone, in order, that holds its whole cell: no point of the cell
+    asks for later ones. The first zones are a combining aggregate, so what a cell collects is bounded
+    by the zones before its first one, however many zones lie on top of each other."""
+    zone = F.struct(*names)
+    firsts = cover.where("_inner").groupBy("_level", "_cell").agg(F.min(zone).alias("_first"))
+    kept = cover.join(broadcast_if_small(firsts, 500_000), ["_level", "_cell"], "left")
+    return kept.where(F.col("_first").isNull() | (zone <= F.col("_first"))).drop("_first")
+
+
 def _leaves(cover: DataFrame, levels: tuple[int, ...], roots: DataFrame) -> DataFrame:
     """(_level, _cell) of the leaves: every node above a cell of the cover has all its children."""
     steps = F.array(*[F.lit(n) for n in levels])
@@ -144,7 +154,9 @@ def zone_cover(zones: DataFrame, exact: bool = True) -> ZoneCover:
     """
     names = ["zone_order", "zone_id", "zone_name"]
     edges = F.transform("polygons", lambda rings: F.transform(rings, geo.ring_edges))
-    z = zones.select(*names, geo.multipolygon_box(F.col("polygons")).alias("_box"), edges.alias("_edges"))
+    if not exact:  # boxes only
+        edges = F.when(F.lit(False), edges)
+    z = _dealt(zones).select(*names, geo.multipolygon_box(F.col("polygons")).alias("_box"), edges.alias("_edges"))
     z = z.where("_box.lon_min is not null").withColumn("_fit", _level_for(F.col("_box")))
     w, e, s, n, deepest = z.agg(F.min("_box.lon_min"), F.max("_box.lon_max"), F.min("_box.lat_min"),
                                 F.max("_box.lat_max"), F.max("_fit")).first()
@@ -156,6 +168,7 @@ def zone_cover(zones: DataFrame, exact: bool = True) -> ZoneCover:
     fit = F.lit(base) + F.lit(_STEP) * F.round((F.col("_fit") - base) / _STEP).cast("int")
     cells = _box_cells(z.withColumn("_level", F.greatest(F.lit(base), F.least(F.lit(levels[-1]), fit))))
     cover = cut_lineage(_classified(cells.select("_level", "_cell", *names, "_box", "_edges"), exact))
+    cover = cut_lineage(_up_to_whole(cover, names))
 
     one = zones.sparkSession.range(1).select(F.lit(base).alias("_level"), F.struct(
         *[F.lit(float(v)).alias(k) for k, v in zip(("lon_min", "lon_max", "lat_min", "lat_max"), (w, e, s, n))]).alias("_box"))
@@ -163,8 +176,12 @@ def zone_cover(zones: DataFrame, exact: bool = True) -> ZoneCover:
     ways = leaves.withColumn("_up", F.explode(F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v <= F.col("_level"))))
     ways = ways.withColumn("_top", _ancestor(F.col("_cell"), F.col("_level") - F.col("_up")))
     above = cover.withColumnsRenamed({"_level": "_up", "_cell": "_top"})
-    ways = ways.repartition(zones.sparkSession.sparkContext.defaultParallelism, "_level", "_cell")  # few bytes, much work a row
+    whole = above.where("_inner").select("_up", "_top", F.struct(*names).alias("_zone"))
+    firsts = ways.join(whole, ["_up", "_top"]).groupBy("_level", "_cell").agg(F.min("_zone").alias("_first"))
+    ways = ways.join(broadcast_if_small(firsts, 500_000), ["_level", "_cell"], "left")
+    ways = ways.repartition(4 * zones.sparkSession.sparkContext.defaultParallelism, "_level", "_cell")  # few bytes, much work a row
     met = ways.join(above, ["_up", "_top"], "left")  # a leaf without zones keeps its own row
+    met = met.where(F.col("_first").isNull() | F.col("_inner").isNull() | (F.struct(*names) <= F.col("_first")))
     columns = ["_level", "_cell", *names, "_box", "_edges", "_inner"]
     known = F.coalesce("_inner", F.lit(True)) | (F.col("_up") == F.col("_level"))
     cut = _classified(met.where(~known).select(*columns[:-1]), exact)

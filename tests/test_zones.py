@@ -137,6 +137,23 @@ def test_leaves_within_a_zone_need_no_edges(spark):
     assert max(r["n"] for r in rows if not r["_inner"]) <= n / 2
 
 
+@pytest.mark.parametrize("exact", [True, False])
+def test_zones_behind_one_that_holds_the_cell_are_left_early(spark, monkeypatch, exact):
+    """Zones stacked on each other: only the first is carried past the first look at its cells."""
+    made, cut = [], zones.cut_lineage
+    monkeypatch.setattr(zones, "cut_lineage", lambda df: made.append(cut(df)) or made[-1])
+
+    def carried(copies):
+        made.clear()
+        zones.zone_cover(spark.createDataFrame([(i, i + 1, f"z{i}", [[square(0.0, 0.0, 4.0)]]) for i in range(copies)], SCHEMA), exact)
+        inner = [df.where("_inner").count() for df in made if "_inner" in df.columns]
+        parts = [df.rdd.getNumPartitions() for df in made if "_inner" in df.columns]
+        return inner, parts
+
+    one, many = carried(1), carried(30)
+    assert min(many[0]) == min(one[0]) and max(many[1]) > 1
+
+
 def test_points_are_not_shuffled_for_few_zones(spark, sf_dir):
     out = zones.assign_zone_polygon(B.pings(spark, sf_dir), B.grid_polygons(spark))
     plan = out._jdf.queryExecution().executedPlan().toString()
