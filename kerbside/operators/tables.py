@@ -6,9 +6,15 @@ rows, so a key that holds a large share of the rows is reduced before the shuffl
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbside.session import cut_lineage
+
+_NAMED_ROWS = 10_000  # rows of a page that are named in a filter
+
 
 def _winner(df: DataFrame, keys: list[str], order: list[str | Column], pick) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
@@ -106,15 +112,30 @@ def deep_page(df: DataFrame, keys: list[tuple[str, bool]], page_no: int, size: i
     ``keys``: (column, descending), ending with a unique one; numbers, dates and timestamps are cut
     into counted ranges until at most ``most`` rows are left, a frequent value by the keys after it.
     Other types are sorted within the range reached so far. Nulls come first, descending last.
+
+    The keys alone are written once (checkpoint), and all counting reads that, so whatever makes ``df``
+    runs once over all rows and once more for the rows of the page: those are named by the last key,
+    which reaches the scan where ``df`` lets a filter on it through.
     """
     order = [F.col(c).desc() if down else F.col(c).asc() for c, down in keys]
-    pieces = _reach(df, keys, max(0, page_no) * size, size, most, cuts)
+    names = list(dict.fromkeys(c for c, _ in keys))
+    pieces = _reach(cut_lineage(df.select(*names)), keys, max(0, page_no) * size, size, most, cuts)
     if not pieces:
         return df.limit(0)
-    out = pieces[0]
+    found = pieces[0]
     for piece in pieces[1:]:
-        out = out.unionAll(piece)
-    return out.orderBy(*order)
+        found = found.unionAll(piece)
+    found = cut_lineage(found.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies")))
+    rows, last = df, names[-1]
+    if df.schema[last].dataType.typeName() in ("byte", "short", "integer", "long", "string") and size <= _NAMED_ROWS:
+        values = {r[0] for r in found.select(last).collect()}
+        among = F.col(last).isin(list(values - {None}))
+        rows = df.where(among | F.col(last).isNull() if None in values else among)
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_page_{c}")) for c in names])
+    wanted = found.select(*[F.col(c).alias(f"_page_{c}") for c in names], "_copies")
+    rows = rows.join(F.broadcast(wanted) if size <= _NAMED_ROWS else wanted, same)
+    copy = F.row_number().over(Window.partitionBy(*names).orderBy(*order))  # of rows with equal keys as many as the page holds
+    return rows.withColumn("_copy", copy).where(F.col("_copy") <= F.col("_copies")).select(*df.columns).orderBy(*order)
 
 
 def page_after(df: DataFrame, keys: list[tuple[str, bool]], last: tuple, size: int) -> DataFrame:

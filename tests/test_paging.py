@@ -60,3 +60,20 @@ def test_pages_after_the_last_row(frame):
         ids += [r["id"] for r in rows]
         last = tuple(rows[-1][c] for c, _ in KEYS)
     assert ids == plain(whole)[:120]
+
+
+def test_ranges_are_counted_on_the_keys_alone(frame, monkeypatch):
+    """What makes the table isn't run again for every count: those read a checkpoint of the keys."""
+    seen, reach = [], tables._reach
+    monkeypatch.setattr(tables, "_reach", lambda df, *a: seen.append(df) or reach(df, *a))
+    wide = frame.withColumn("more", F.sha2(F.col("id").cast("string"), 256))
+    got = tables.deep_page(wide, KEYS, 40, 25, most=30, cuts=8)
+    assert [r["id"] for r in got.collect()] == plain(frame)[1000:1025] and got.columns == wide.columns
+    assert seen[0].columns == ["n", "at", "id"]
+    assert "sha2" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_rows_with_equal_keys_on_both_sides_of_a_page(spark):
+    rows = spark.createDataFrame([(i // 3,) for i in range(60)], "id long")
+    pages = [[r["id"] for r in tables.deep_page(rows, [("id", False)], n, 10, most=5, cuts=4).collect()] for n in range(6)]
+    assert pages == [[i // 3 for i in range(n * 10, n * 10 + 10)] for n in range(6)]
