@@ -146,7 +146,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
     ``queries``: qid, lat, lon and optionally grp; a query may appear once per group.
     ``points``: pid, lat, lon and optionally grp; a query sees the points of its groups only.
     Returns qid, pid, grp, lat, lon (of the point), distance_m, rank. Queries without a hit give
-    no row. The points are written once (reliable checkpoint), since every level reads them.
+    no row. The points are written once (reliable checkpoint), since every level reads them. Groups of at
+    most LEAF points, e.g. the vehicles of a zone at one instant, are met without a pyramid.
     """
     if "grp" not in points.columns:
         points = points.withColumn("grp", F.lit(0))
@@ -156,21 +157,58 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
     place = Window.partitionBy("grp", "lat", "lon").orderBy("pid")
     # rank <= k is pushed below the shuffle (window group limit), so a crowded place stays small
     points = points.withColumn("_r", F.row_number().over(place)).where(F.col("_r") <= k).drop("_r")
-    points = cut_lineage(points.withColumns({
-        "x": geo.cell_x(F.col("lon"), geo.CELL_BITS), "y": geo.cell_y(F.col("lat"), geo.CELL_BITS)}))
+    points = points.withColumns({
+        "x": geo.cell_x(F.col("lon"), geo.CELL_BITS), "y": geo.cell_y(F.col("lat"), geo.CELL_BITS)})
+    points = cut_lineage(points)
+    q = queries.where(usable).select("qid", "grp", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"),
+                                     F.cos(F.radians("lat")).alias("qcos"))
+    counts = points.groupBy("grp").agg(F.count(F.lit(1)).alias("n"))
+    large = F.col("n") > LEAF
+    groups, crowded = counts.agg(F.count(F.lit(1)), F.count_if(large)).first()
+    if not groups:
+        return _empty_result(queries, points)
+    hits = None
+    if crowded < groups:  # a group of a leaf's size needs no pyramid: its points are met at once
+        few = points
+        if crowded:
+            big = cut_lineage(counts.where(large).select("grp"))
+            few, points = (points.join(_broadcast_upto(big, crowded), "grp", how) for how in ("left_anti", "left_semi"))
+        hits = _hits(q.withColumn("bound", F.lit(float("inf"))), few.select(F.col("grp").alias("p_grp"), "pid", "lat", "lon"),
+                     F.col("grp") == F.col("p_grp"))
+    if crowded:
+        walked = _walk(q, points, k, radius_m)
+        hits = walked if hits is None else hits.unionByName(walked)
+    if radius_m is not None:
+        hits = hits.where(F.col("distance_m") <= radius_m)
+    if k == 1:
+        best = hits.groupBy("qid").agg(
+            F.min_by(F.struct("pid", "grp", "lat", "lon", "distance_m"),
+                     F.struct("distance_m", "pid")).alias("b"))
+        return best.select("qid", "b.*", F.lit(1).alias("rank"))
+    order = Window.partitionBy("qid").orderBy("distance_m", "pid")
+    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _hits(cands: DataFrame, members: DataFrame, on: Column) -> DataFrame:
+    """Queries with the points of the cells left to them, within their bound."""
+    return (
+        cands.join(members, on)
+        .withColumn("distance_m", geo.haversine_m(F.col("qlat"), F.col("qlon"), F.col("lat"), F.col("lon")))
+        .where(F.col("distance_m") <= F.col("bound") + _SLACK)
+        .select("qid", "pid", "grp", "lat", "lon", "distance_m")
+    )
+
+
+def _walk(q: DataFrame, points: DataFrame, k: int, radius_m: float | None) -> DataFrame:
+    """Hits of the queries (qid, grp, qlat, qlon, qcos) in groups larger than a leaf, down the pyramid."""
     nodes = cut_lineage(_pyramid(points))
 
     stats = {r["level"]: (r["n"], r["top"], r["points"]) for r in
              nodes.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.max("cnt").alias("top"),
                                         F.sum("cnt").alias("points")).collect()}  # one row per level
-    if not stats:
-        return _empty_result(queries, points)
     start = max([z for z in _LEVELS if stats[z][0] <= ROOTS], default=0)
     stop = min([z for z in _LEVELS if z >= start and stats[z][1] <= LEAF], default=_LEVELS[-1])
 
-    qlat, qlon = F.col("qlat"), F.col("qlon")
-    q = queries.where(usable).select("qid", "grp", F.col("lat").alias("qlat"), F.col("lon").alias("qlon"),
-                                 F.cos(F.radians("lat")).alias("qcos"))
     cands = _roots(q, nodes.where(F.col("level") == start), stats[start][0], k, radius_m)
     if start < stop:
         cands = _prune(cands, k)
@@ -195,23 +233,9 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
     levels = list(range(start, stop + 1, STEP))
     members = points.withColumn("level", F.explode(F.lit(levels))).select(
         F.col("grp").alias("p_grp"), "pid", "lat", "lon", _node(F.col("level")).alias("p_node"))
-    hits = (
-        cands.select("qid", "grp", "qlat", "qlon", "qcos", "bound", "node")
-        .join(_broadcast_upto(members, stats[start][2] * len(levels)),
-              (F.col("grp") == F.col("p_grp")) & (F.col("node") == F.col("p_node")))
-        .withColumn("distance_m", geo.haversine_m(qlat, qlon, F.col("lat"), F.col("lon")))
-        .where(F.col("distance_m") <= F.col("bound") + _SLACK)
-        .select("qid", "pid", "grp", "lat", "lon", "distance_m")
-    )
-    if radius_m is not None:
-        hits = hits.where(F.col("distance_m") <= radius_m)
-    if k == 1:
-        best = hits.groupBy("qid").agg(
-            F.min_by(F.struct("pid", "grp", "lat", "lon", "distance_m"),
-                     F.struct("distance_m", "pid")).alias("b"))
-        return best.select("qid", "b.*", F.lit(1).alias("rank"))
-    order = Window.partitionBy("qid").orderBy("distance_m", "pid")
-    return hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return _hits(cands.select("qid", "grp", "qlat", "qlon", "qcos", "bound", "node"),
+                 _broadcast_upto(members, stats[start][2] * len(levels)),
+                 (F.col("grp") == F.col("p_grp")) & (F.col("node") == F.col("p_node")))
 
 
 def _empty_result(queries: DataFrame, points: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kerbside import schemas as S
+from kerbside.functions import geo
 from kerbside.operators import proximity
 
 QUERIES = "qid int, grp int, lat double, lon double"
@@ -116,3 +117,19 @@ def test_index_add_and_remove(spark):
     p = p.withColumn("ts", F.timestamp_seconds("t")).drop("t")
     gone = spark.createDataFrame([("b", 4), ("a", 2)], "driver_id string, t int").select("driver_id", F.timestamp_seconds("t").alias("departed_at"))
     assert [(r["driver_id"], r["lat"]) for r in proximity.driver_index(p, gone).collect()] == [("a", 2.0)]
+
+
+def test_groups_of_a_leafs_size_need_no_pyramid(spark, monkeypatch):
+    """Small groups are met at once, large ones walk; both give what a plain loop gives."""
+    rows = [(f"p{i}", (i * 37 % 101) / 100, (i * 53 % 97) / 100, i % 20 if i < 100 else 99) for i in range(400)]
+    asked = [(j, (j * 17 % 89) / 90, (j * 29 % 83) / 90, g) for j in range(30) for g in (j % 20, 99)]
+    points = spark.createDataFrame(rows, "pid string, lat double, lon double, grp int")
+    queries = spark.createDataFrame(asked, "qid int, lat double, lon double, grp int")
+    walked, pyramid = [], proximity._pyramid
+    monkeypatch.setattr(proximity, "_pyramid", lambda df: walked.append({r[0] for r in df.select("grp").distinct().collect()}) or pyramid(df))
+    far = geo.haversine_m(F.col("q.lat"), F.col("q.lon"), F.col("p.lat"), F.col("p.lon"))
+    best = queries.alias("q").join(points.alias("p"), "grp").groupBy("qid").agg(F.min_by("pid", F.struct(far, "pid")).alias("pid"))
+    got = {(r["qid"], r["pid"]) for r in proximity.nearest(queries, points).collect()}
+    assert got == {(r["qid"], r["pid"]) for r in best.collect()} and walked == [{99}]
+    small = proximity.nearest(queries.where("grp < 99"), points.where("grp < 99"), k=2)
+    assert walked == [{99}] and small.count() == 60
