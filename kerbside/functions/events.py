@@ -39,10 +39,14 @@ def check_events(df: DataFrame, schema: T.StructType, required: list[list[str]],
 def split_valid(df: DataFrame, schema: T.StructType, required: list[list[str]],
                 value: str = "value") -> tuple[DataFrame, DataFrame]:
     """(good, quarantine): the quarantine keeps the error and the first 200 characters."""
-    checked = check_events(df, schema, required, value)
+    return split_checked(check_events(df, schema, required, value), df.columns, value)
+
+
+def split_checked(checked: DataFrame, columns: list[str], value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """``split_valid`` on checked records, of which ``columns`` were there before; keep them to parse once."""
     good = checked.where(F.col("error").isNull()).drop("error")
     bad = checked.where(F.col("error").isNotNull()).select(
-        *[c for c in df.columns if c != value],
+        *[c for c in columns if c != value],
         F.col(value), "error", F.substring(F.col(value), 1, 200).alias("raw"),
     )
     return good, bad

@@ -21,7 +21,12 @@ REQUIRED = [["trip_id", "tripId"], ["driver_id", "driverId"]]
 
 def completions_from_events(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Raw records to (completions, quarantine). Either field spelling, defaults for absent fields."""
-    good, bad = events.split_valid(raw, S.COMPLETION_EVENT, REQUIRED)
+    return _split(events.check_events(raw, S.COMPLETION_EVENT, REQUIRED), raw.columns)
+
+
+def _split(checked: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``completions_from_events`` on records checked before."""
+    good, bad = events.split_checked(checked, columns)
     fields = events.completion_fields(F.col("event"))
     fields["completed_at"] = events.event_time(fields["completed_at"], F.col("record_time"))
     return good.select(*[c.alias(n) for n, c in fields.items()]), bad
@@ -43,18 +48,20 @@ def start_billing_job(spark: SparkSession, raw: DataFrame, out: str, checkpoint:
     table, ids = f"{out}/billing", f"{out}/billed_ids"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch, rows = batch.persist(), None
+        checked, rows = events.check_events(batch, S.COMPLETION_EVENT, REQUIRED).persist(), None  # parsed once
         try:
-            good, bad = completions_from_events(batch)
+            good, bad = _split(checked, batch.columns)
             existing = billed_before(spark, ids, batch_id, good)
             rows = billing_ops.bill_trips(good, existing, F.col("completed_at")).persist()
             sinks.append_batch(rows, table, batch_id)
-            sinks.append_batch(rows.select("trip_id", bucket_of("trip_id").alias("bucket")), ids, batch_id, ["bucket"])
+            # gathered by bucket, or every task writes a file into each of them
+            billed = rows.select("trip_id", bucket_of("trip_id").alias("bucket")).hint("rebalance", "bucket")
+            sinks.append_batch(billed, ids, batch_id, ["bucket"])
             sinks.keep_house(spark, ids, batch_id, FOLD_EVERY, ["trip_id", "bucket"], ["trip_id"], ["bucket"])
             sinks.append_batch(billing_ops.billing_events(rows), f"{out}/events", batch_id)
             sinks.append_batch(bad, f"{out}/quarantine", batch_id)
         finally:
-            batch.unpersist()
+            checked.unpersist()
             if rows is not None:
                 rows.unpersist()
 
@@ -67,11 +74,11 @@ def billed_before(spark: SparkSession, ids: str, batch_id: int, batch: DataFrame
     The buckets of the batch's ids are named in a filter, so the others aren't read; the batch's
     ids then filter what is. At most ``common.BUCKETS`` numbers come to the driver.
     """
-    wanted = batch.select("trip_id", bucket_of("trip_id").alias("bucket")).distinct()
-    buckets = [r["bucket"] for r in wanted.select("bucket").distinct().collect()]
     try:
         stored = sinks.read_table(spark, ids)
     except AnalysisException:  # nothing written yet
         return None
+    wanted = batch.select("trip_id").distinct()
+    buckets = [r["bucket"] for r in batch.select(bucket_of("trip_id").alias("bucket")).distinct().collect()]
     stored = stored.where(F.col("bucket").isin(buckets) & (F.col("batch_id") != batch_id))
-    return stored.join(broadcast_if_small(wanted.select("trip_id"), 1_000_000), "trip_id", "left_semi").select("trip_id")
+    return stored.join(broadcast_if_small(wanted, 1_000_000), "trip_id", "left_semi").select("trip_id")
