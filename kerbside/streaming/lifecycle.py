@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
 from typing import NamedTuple
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -17,12 +17,13 @@ from kerbside.schemas import EARTH_RADIUS_M
 TICK = "tick"  # an event of this kind only moves the watermark on
 STATE = ("pending string, pending_client string, active string, client string, status string, "
          "start_us long, metres double, lat double, lon double")
-WAITING = "ts_us long, seq long, kind string, trip_id string, client_id string, lat double, lon double"
+WAITING = "events string"  # lines of JSON, an event each
+ENTRY = 1000  # events in an entry of the waiting list, at most
 CLOCK = "timer_ms long, last_ms long, forget_ms long"  # next timer for events, last event handled, timer for silence
 OUTPUT = ("driver_id string, trip_id string, status string, ts_us long, seq long, client_id string, "
           "distance_km double, duration_min double, surge double")
 _FIELDS = [c.split()[0] for c in STATE.split(", ")]
-_COLUMNS = [c.split()[0] for c in OUTPUT.split(", ")]
+_STATUS = Row(*[c.split()[0] for c in OUTPUT.split(", ")])
 
 
 class Event(NamedTuple):
@@ -55,6 +56,9 @@ class DriverTrips(StatefulProcessor):
     order in which micro-batches bring them doesn't matter. A driver has one timer for the earliest
     waiting event and one that forgets the driver after a silence; a transition without its
     precondition is ignored. What waits is a driver's events within the watermark's delay.
+
+    Every call to the state is a message to the JVM, so a driver's state and clock are one value, an
+    entry of the list holds up to ``ENTRY`` events, and nothing is asked for twice.
     """
 
     def __init__(self, silence_ms: int):
@@ -62,73 +66,92 @@ class DriverTrips(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.driver = handle.getValueState("driver", STATE)
+        self.driver = handle.getValueState("driver", f"{STATE}, {CLOCK}")
         self.waiting = handle.getListState("waiting", WAITING)
-        self.clock = handle.getValueState("clock", CLOCK)
-
-    def _clock(self) -> tuple[int | None, int | None, int | None]:
-        return tuple(self.clock.get()) if self.clock.exists() else (None, None, None)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = []
-        for batch in rows:
-            batch = batch[batch["kind"] != TICK]
-            plain = batch[list(Event._fields)].astype(object)
-            new += [tuple(e) for e in plain.where(plain.notna(), None).itertuples(index=False)]
-        if new:
-            self.waiting.appendList(new)
-            timer, last, forget = self._clock()
-            earliest = min(e[0] for e in new) // 1000 + 1  # the first millisecond after the event
-            if timer is None or earliest < timer:
-                self.handle.registerTimer(earliest)
-                self.clock.update((earliest, last, forget))
-        yield pd.DataFrame([], columns=_COLUMNS)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+
+    def _kept(self) -> tuple[dict, tuple[int | None, int | None, int | None]]:
+        kept = self.driver.get() or (None,) * (len(_FIELDS) + 3)
+        return dict(zip(_FIELDS, kept[:-3], strict=True)), tuple(kept[-3:])
+
+    def _keep(self, state: dict, *clock: int | None) -> None:
+        self.driver.update((*(state[f] for f in _FIELDS), *clock))
+
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        earliest, lines = None, []
+        for r in rows:
+            if r.event is None:
+                continue  # a tick
+            earliest = r.ts_us if earliest is None else min(earliest, r.ts_us)
+            lines.append(r.event)
+            if len(lines) == ENTRY:
+                self.waiting.appendValue(("\n".join(lines),))
+                lines = []
+        if lines:
+            self.waiting.appendValue(("\n".join(lines),))
+        if earliest is not None:
+            state, (timer, last, forget) = self._kept()
+            first = earliest // 1000 + 1  # the first millisecond after the event
+            if timer is None or first < timer:
+                self.handle.registerTimer(first)
+                self._keep(state, first, last, forget)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()  # nothing up to here can come any more
-        timer, last, forget = self._clock()
-        out = []
+        state, (timer, last, forget) = self._kept()
         if timer is not None and timer <= passed:
-            events = [Event(*e) for e in self.waiting.get()] if self.waiting.exists() else []
-            due = sorted((e for e in events if e.ts_us < passed * 1000), key=lambda e: (e.ts_us, e.seq))
-            rest = [tuple(e) for e in events if e.ts_us >= passed * 1000]
-            state = dict.fromkeys(_FIELDS)
-            if self.driver.exists():
-                state = dict(zip(_FIELDS, self.driver.get(), strict=True))
-            for e in due:
+            due, rest, earliest = [], [], None
+            for (entry,) in self.waiting.get():
+                for line in entry.split("\n"):
+                    e = _event(line)
+                    if e.ts_us < passed * 1000:
+                        due.append(e)
+                    else:
+                        rest.append(line)
+                        earliest = e.ts_us if earliest is None else min(earliest, e.ts_us)
+            for e in sorted(due, key=lambda e: (e.ts_us, e.seq)):
                 if last is not None and e.ts_us // 1000 - last > self.silence_ms:
                     state = dict.fromkeys(_FIELDS)  # the driver was forgotten before this event
-                out += step(key[0], state, e)
+                yield from (_STATUS(*row) for row in step(key[0], state, e))
                 last = e.ts_us // 1000
-            self.waiting.clear()
             timer = None
             if rest:
-                self.waiting.put(rest)
-                timer = min(e[0] for e in rest) // 1000 + 1
+                self.waiting.put([("\n".join(rest[i:i + ENTRY]),) for i in range(0, len(rest), ENTRY)])
+                timer = earliest // 1000 + 1
                 self.handle.registerTimer(timer)
-            if due:
-                self.driver.update(tuple(state[f] for f in _FIELDS))
-                if forget is None:
-                    forget = last + self.silence_ms + 1
-                    self.handle.registerTimer(forget)
+            else:
+                self.waiting.clear()
+            if due and forget is None:
+                forget = last + self.silence_ms + 1
+                self.handle.registerTimer(forget)
         if forget is not None and forget <= passed:
             silent_until = last + self.silence_ms + 1
             if silent_until <= passed:
-                self.driver.clear()
+                state = dict.fromkeys(_FIELDS)
                 last = forget = None
             else:
                 forget = silent_until
                 self.handle.registerTimer(forget)
         if timer is None and last is None and forget is None:
-            self.clock.clear()
+            self.driver.clear()
         else:
-            self.clock.update((timer, last, forget))
-        yield pd.DataFrame(out, columns=_COLUMNS)
+            self._keep(state, timer, last, forget)
 
     def close(self) -> None:
         pass
 
 
+def _event(line: str) -> Event:
+    *rest, lat, lon = map(json.loads(line).get, Event._fields)
+    return Event(*rest, None if lat is None else float(lat), None if lon is None else float(lon))
+
+
+def _line() -> Column:
+    """An event as a line of JSON; coordinates as text, which keeps them exact, NaN as null."""
+    place = lambda c: F.when(~F.isnan(c), F.col(c)).cast("string").alias(c)
+    return F.to_json(F.struct(*[place(c) if c in ("lat", "lon") else c for c in Event._fields]))
+
+
 def step(driver: str, s: dict, e: Event) -> list[tuple]:
     """Apply one event to a driver's state; the status rows it gives."""
     def status(trip, name, *more):
@@ -172,8 +195,9 @@ def lifecycle_stream(events: DataFrame, late_by: str = "10 minutes", silence_hou
     kind ``TICK`` belong to no driver and only move the watermark, e.g. from a heartbeat, so that the
     last events of a quiet topic don't wait. Needs the RocksDB state store, see common.configure.
     """
-    timed = events.withColumn("ts_us", F.unix_micros("ts")).withWatermark("ts", late_by)
-    rows = timed.groupBy("driver_id").transformWithStateInPandas(
+    timed = events.withColumn("ts_us", F.unix_micros("ts")).withWatermark("ts", late_by).select(
+        "driver_id", "ts", "ts_us", F.when(~F.col("kind").eqNullSafe(TICK), _line()).alias("event"))
+    rows = timed.groupBy("driver_id").transformWithState(
         statefulProcessor=DriverTrips(int(silence_hours * 3_600_000)), outputStructType=OUTPUT, outputMode="append",
         timeMode="EventTime")
     return rows.select("driver_id", "trip_id", "status", F.timestamp_micros("ts_us").alias("ts"), "seq", "client_id",

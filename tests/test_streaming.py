@@ -1,7 +1,9 @@
 import json
 import os
+from types import SimpleNamespace
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from kerbside import schemas as S
@@ -226,6 +228,55 @@ def test_silence_within_one_delivery_counts_too(drive):
     assert rows == ALL[:2]
 
 
+class OneDriver:
+    """Handle and state variables of one driver, kept here; ``calls`` are what Spark sends to the JVM as messages."""
+
+    def __init__(self):
+        self.calls, self.timers, self.entries, self.value = [], [], [], None
+
+    def getValueState(self, name, schema):
+        return SimpleNamespace(get=lambda: self.call("get") or self.value, update=lambda v: self.call("update") or setattr(self, "value", v),
+                               clear=lambda: self.call("clear") or setattr(self, "value", None), exists=lambda: self.call("exists") or self.value is not None)
+
+    def getListState(self, name, schema):
+        put = lambda v: self.call("put") or setattr(self, "entries", list(v))
+        return SimpleNamespace(get=lambda: self.call("list") or iter(self.entries), put=put, appendValue=lambda v: self.call("append") or self.entries.append(v),
+                               appendList=lambda v: self.call("append") or self.entries.extend(v), clear=lambda: put([]), exists=lambda: self.call("exists") or bool(self.entries))
+
+    def registerTimer(self, ms):
+        self.call("timer")
+        self.timers.append(ms)
+
+    def call(self, name):
+        self.calls.append(name)
+
+
+def test_a_driver_costs_few_messages_however_many_events_wait():
+    handle, trips = OneDriver(), lifecycle.DriverTrips(10**9)
+    trips.init(handle)
+    kinds = ["assign", "accept", "start", *["ping"] * 2500, "complete", "assign"]
+    event = lambda i, k: {"ts_us": (T0 + i) * 1000, "seq": i, "kind": k, **({"trip_id": f"t{i}"} if k == "assign" else {}), "lat": "33.5", "lon": "-7.6"}
+    rows = [Row(driver_id="d", ts=None, ts_us=(T0 + i) * 1000, event=json.dumps(event(i, k))) for i, k in enumerate(kinds)]
+    tick = Row(driver_id="d", ts=None, ts_us=T0 * 1000 - 1, event=None)
+    assert list(trips.handleInputRows(("d",), iter([tick, *rows[::-1]]), None)) == []
+    assert len(handle.entries) == 3 and len(handle.calls) <= 6 and handle.timers == [T0 + 1]
+    handle.calls.clear()
+    at = SimpleNamespace(getCurrentWatermarkInMs=lambda: T0 + len(kinds) - 1)  # the last event still waits
+    out = list(trips.handleExpiredTimer(("d",), at, None))
+    assert [(r["trip_id"], r["status"], r["duration_min"]) for r in out] == [("t0", "ACCEPTED", None), ("t0", "IN_PROGRESS", None), ("t0", "COMPLETED", 0.04)]
+    assert len(handle.calls) <= 6 and len(handle.entries) == 1 and handle.timers[1:] == [T0 + len(kinds), T0 + len(kinds) - 2 + 10**9 + 1]
+
+
+def test_values_come_through_the_waiting_list_as_they_are(drive):
+    trip, far, nan = 'a "t"\n\u00e9\\', 2**62 + 1, float("nan")
+    rows, got = drive([("d", 10, far, "assign", trip, "c\t'"), ("d", 20, far + 1, "accept"), ("d", 25, far + 1, "ping", None, None, nan, nan), ("d", 30, far + 2, "start"),
+                       ("d", 40, far + 3, "ping", None, None, 1e-7, -7.123456789012345), ("d", 50, far + 4, "ping", None, None, 0.01, -7.123456789012345),
+                       ("d", 60, far + 5, "complete"), (None, 10, 1, "assign", "x", None), (None, 20, 2, "reject"), ("d", 70, 1, None)], [TICK], late_by="2 minutes")
+    assert rows == [(None, "x", "REJECTED", 20), *[("d", trip, s, t) for s, t in (("ACCEPTED", 20), ("IN_PROGRESS", 30), ("COMPLETED", 60))]]
+    assert [r["seq"] for r in got] == [2, far + 1, far + 2, far + 5]
+    assert (got[-1]["client_id"], got[-1]["distance_km"]) == ("c\t'", 1.112)
+
+
 # --- driver pings to all readers -----------------------------------------------------------------
 
 
