@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import json
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from decimal import ROUND_HALF_UP, Decimal
+from operator import itemgetter
 from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -15,14 +18,13 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from kerbside.schemas import EARTH_RADIUS_M
 
 TICK = "tick"  # an event of this kind only moves the watermark on
-STATE = ("pending string, pending_client string, active string, client string, status string, "
-         "start_us long, metres double, lat double, lon double")
-WAITING = "events string"  # lines of JSON, an event each
+BUCKETS = 4096  # groups of drivers that share their state's messages
 ENTRY = 1000  # events in an entry of the waiting list, at most
-CLOCK = "timer_ms long, last_ms long, forget_ms long"  # next timer for events, last event handled, timer for silence
+WAITING = "events string"  # lines of JSON, an event each
+FLEET = "drivers string, timer_ms long, forget_ms long"  # lines of JSON, a driver each; timers for events, for silence
 OUTPUT = ("driver_id string, trip_id string, status string, ts_us long, seq long, client_id string, "
           "distance_km double, duration_min double, surge double")
-_FIELDS = [c.split()[0] for c in STATE.split(", ")]
+_FIELDS = ["pending", "pending_client", "active", "client", "status", "start_us", "metres", "lat", "lon"]
 _STATUS = Row(*[c.split()[0] for c in OUTPUT.split(", ")])
 
 
@@ -53,12 +55,14 @@ class DriverTrips(StatefulProcessor):
     """pending -> accepted (busy) -> in progress -> completed, or rejected.
 
     Events wait in a list until the watermark has passed them and are then handled by time, so the
-    order in which micro-batches bring them doesn't matter. A driver has one timer for the earliest
-    waiting event and one that forgets the driver after a silence; a transition without its
-    precondition is ignored. What waits is a driver's events within the watermark's delay.
-
-    Every call to the state is a message to the JVM, so a driver's state and clock are one value, an
-    entry of the list holds up to ``ENTRY`` events, and nothing is asked for twice.
+    order in which micro-batches bring them doesn't matter. A driver is forgotten after a silence; a
+    transition without its precondition is ignored.
+
+    Every call to the state is a message to the JVM, and every key costs a few of them a batch. So a
+    key is a bucket of drivers: it has one timer for its earliest waiting event and one for its
+    longest silent driver, its drivers and timers are one value, and an entry of the list holds up to
+    ``ENTRY`` events. In memory at a time are the drivers of a bucket and their events within the
+    watermark's delay.
     """
 
     def __init__(self, silence_ms: int):
@@ -66,54 +70,58 @@ class DriverTrips(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.driver = handle.getValueState("driver", f"{STATE}, {CLOCK}")
+        self.fleet = handle.getValueState("fleet", FLEET)
         self.waiting = handle.getListState("waiting", WAITING)
 
-    def _kept(self) -> tuple[dict, tuple[int | None, int | None, int | None]]:
-        kept = self.driver.get() or (None,) * (len(_FIELDS) + 3)
-        return dict(zip(_FIELDS, kept[:-3], strict=True)), tuple(kept[-3:])
-
-    def _keep(self, state: dict, *clock: int | None) -> None:
-        self.driver.update((*(state[f] for f in _FIELDS), *clock))
-
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        self._wait((r.ts_us, r.event) for r in rows)
+        return iter([])
+
+    def _wait(self, events: Iterator[tuple[int, str | None]]) -> None:
         earliest, lines = None, []
-        for r in rows:
-            if r.event is None:
+        for ts_us, line in events:
+            if line is None:
                 continue  # a tick
-            earliest = r.ts_us if earliest is None else min(earliest, r.ts_us)
-            lines.append(r.event)
+            if earliest is None or ts_us < earliest:
+                earliest = ts_us
+            lines.append(line)
             if len(lines) == ENTRY:
                 self.waiting.appendValue(("\n".join(lines),))
                 lines = []
         if lines:
             self.waiting.appendValue(("\n".join(lines),))
         if earliest is not None:
-            state, (timer, last, forget) = self._kept()
+            drivers, timer, forget = self.fleet.get() or (None, None, None)
             first = earliest // 1000 + 1  # the first millisecond after the event
             if timer is None or first < timer:
                 self.handle.registerTimer(first)
-                self._keep(state, first, last, forget)
-        return iter([])
+                self.fleet.update((drivers, first, forget))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()  # nothing up to here can come any more
-        state, (timer, last, forget) = self._kept()
-        if timer is not None and timer <= passed:
-            due, rest, earliest = [], [], None
+        lines, timer, forget = self.fleet.get() or (None, None, None)
+        events, silence = timer is not None and timer <= passed, forget is not None and forget <= passed
+        if not events and not silence:
+            return  # an earlier timer has done it
+        drivers = _drivers(lines)
+        if events:
+            due, rest, earliest = defaultdict(list), [], None
             for (entry,) in self.waiting.get():
-                for line in entry.split("\n"):
-                    e = _event(line)
+                for line, (driver, e) in zip(entry.split("\n"), _events(entry), strict=True):
                     if e.ts_us < passed * 1000:
-                        due.append(e)
+                        due[driver].append(e)
                     else:
                         rest.append(line)
                         earliest = e.ts_us if earliest is None else min(earliest, e.ts_us)
-            for e in sorted(due, key=lambda e: (e.ts_us, e.seq)):
-                if last is not None and e.ts_us // 1000 - last > self.silence_ms:
-                    state = dict.fromkeys(_FIELDS)  # the driver was forgotten before this event
-                yield from (_STATUS(*row) for row in step(key[0], state, e))
-                last = e.ts_us // 1000
+            for driver, turns in due.items():
+                state, last = drivers.get(driver) or (dict.fromkeys(_FIELDS), None)
+                for e in sorted(turns, key=itemgetter(0, 1)):
+                    if last is not None and e.ts_us // 1000 - last > self.silence_ms:
+                        state = dict.fromkeys(_FIELDS)  # the driver was forgotten before this event
+                    for row in step(driver, state, e):
+                        yield _STATUS(*row)
+                    last = e.ts_us // 1000
+                drivers[driver] = state, last
             timer = None
             if rest:
                 self.waiting.put([("\n".join(rest[i:i + ENTRY]),) for i in range(0, len(rest), ENTRY)])
@@ -121,35 +129,57 @@ class DriverTrips(StatefulProcessor):
                 self.handle.registerTimer(timer)
             else:
                 self.waiting.clear()
-            if due and forget is None:
-                forget = last + self.silence_ms + 1
-                self.handle.registerTimer(forget)
-        if forget is not None and forget <= passed:
-            silent_until = last + self.silence_ms + 1
-            if silent_until <= passed:
-                state = dict.fromkeys(_FIELDS)
-                last = forget = None
-            else:
-                forget = silent_until
+        if silence:
+            drivers = {d: (s, last) for d, (s, last) in drivers.items() if last + self.silence_ms >= passed}
+        if silence or forget is None:
+            forget = None
+            if drivers:
+                forget = min(last for _, last in drivers.values()) + self.silence_ms + 1
                 self.handle.registerTimer(forget)
-        if timer is None and last is None and forget is None:
-            self.driver.clear()
+        if drivers or timer is not None:
+            self.fleet.update((_lines(drivers), timer, forget))
         else:
-            self._keep(state, timer, last, forget)
+            self.fleet.clear()
 
     def close(self) -> None:
         pass
 
 
-def _event(line: str) -> Event:
-    *rest, lat, lon = map(json.loads(line).get, Event._fields)
-    return Event(*rest, None if lat is None else float(lat), None if lon is None else float(lon))
+class FleetTrips(DriverTrips):
+    """The same on frames: a bucket has enough rows for them, and single rows cost far more to read."""
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        self._wait(e for frame in rows for e in zip(frame["ts_us"].tolist(), frame["event"].tolist(), strict=True))
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        rows = list(super().handleExpiredTimer(key, timerValues, expiredTimerInfo))
+        if rows:
+            yield pd.DataFrame(rows, columns=list(_STATUS), dtype=object)  # whole numbers stay whole beside nulls
+
+
+def _drivers(lines: str | None) -> dict[str | None, tuple[dict, int]]:
+    """State and millisecond of the last event by driver."""
+    rows = map(json.loads, lines.split("\n")) if lines else ()
+    return {driver: (dict(zip(_FIELDS, state, strict=True)), last) for driver, last, *state in rows}
+
+
+def _lines(drivers: dict[str | None, tuple[dict, int]]) -> str:
+    return "\n".join(json.dumps([driver, last, *state.values()]) for driver, (state, last) in drivers.items())
+
+
+def _events(entry: str) -> Iterator[tuple[str | None, Event]]:
+    """Driver and event of each line, all read at once."""
+    for get in (e.get for e in json.loads(f"[{entry.replace(chr(10), ',')}]")):
+        lat, lon = get("lat"), get("lon")
+        yield get("driver_id"), Event(get("ts_us"), get("seq"), get("kind"), get("trip_id"), get("client_id"),
+                                      None if lat is None else float(lat), None if lon is None else float(lon))
 
 
 def _line() -> Column:
     """An event as a line of JSON; coordinates as text, which keeps them exact, NaN as null."""
     place = lambda c: F.when(~F.isnan(c), F.col(c)).cast("string").alias(c)
-    return F.to_json(F.struct(*[place(c) if c in ("lat", "lon") else c for c in Event._fields]))
+    return F.to_json(F.struct("driver_id", *[place(c) if c in ("lat", "lon") else c for c in Event._fields]))
 
 
 def step(driver: str, s: dict, e: Event) -> list[tuple]:
@@ -185,7 +215,8 @@ def step(driver: str, s: dict, e: Event) -> list[tuple]:
     return []
 
 
-def lifecycle_stream(events: DataFrame, late_by: str = "10 minutes", silence_hours: float = 24 * 30) -> DataFrame:
+def lifecycle_stream(events: DataFrame, late_by: str = "10 minutes", silence_hours: float = 24 * 30,
+                     buckets: int = BUCKETS) -> DataFrame:
     """Status rows of all drivers; COMPLETED rows also carry client, km, minutes and surge.
 
     events: driver_id, ts, seq, kind, trip_id, client_id, lat, lon. An event may arrive up to
@@ -193,12 +224,18 @@ def lifecycle_stream(events: DataFrame, late_by: str = "10 minutes", silence_hou
     dropped. Rows are given when the watermark passes their event. A driver without events for
     ``silence_hours`` of event time is forgotten: a trip left open then never completes. Events of
     kind ``TICK`` belong to no driver and only move the watermark, e.g. from a heartbeat, so that the
-    last events of a quiet topic don't wait. Needs the RocksDB state store, see common.configure.
+    last events of a quiet topic don't wait. Drivers share ``buckets`` keys of state; a bucket has to fit
+    a task's memory, so raise the number with the fleet. A checkpoint keeps to its number of buckets.
+    The watermark stays within the times that frames hold, up to 2261; later events only wait.
+    Needs the RocksDB state store, see common.configure.
     """
-    timed = events.withColumn("ts_us", F.unix_micros("ts")).withWatermark("ts", late_by).select(
-        "driver_id", "ts", "ts_us", F.when(~F.col("kind").eqNullSafe(TICK), _line()).alias("event"))
-    rows = timed.groupBy("driver_id").transformWithState(
-        statefulProcessor=DriverTrips(int(silence_hours * 3_600_000)), outputStructType=OUTPUT, outputMode="append",
+    last = F.lit("2261-12-31").cast("timestamp")
+    held = F.when(F.col("ts") > last, last).otherwise(F.col("ts"))
+    timed = events.withColumns({"ts_us": F.unix_micros("ts"), "ts": held}).withWatermark("ts", late_by).select(
+        F.pmod(F.xxhash64("driver_id"), F.lit(buckets)).cast("int").alias("bucket"), "ts", "ts_us",
+        F.when(~F.col("kind").eqNullSafe(TICK), _line()).alias("event"))
+    rows = timed.groupBy("bucket").transformWithStateInPandas(
+        statefulProcessor=FleetTrips(int(silence_hours * 3_600_000)), outputStructType=OUTPUT, outputMode="append",
         timeMode="EventTime")
     return rows.select("driver_id", "trip_id", "status", F.timestamp_micros("ts_us").alias("ts"), "seq", "client_id",
                        "distance_km", "duration_min", "surge")

@@ -267,6 +267,40 @@ def test_a_driver_costs_few_messages_however_many_events_wait():
     assert len(handle.calls) <= 6 and len(handle.entries) == 1 and handle.timers[1:] == [T0 + len(kinds), T0 + len(kinds) - 2 + 10**9 + 1]
 
 
+def test_drivers_of_a_bucket_share_their_messages_and_keep_their_states_apart():
+    handle, trips = OneDriver(), lifecycle.DriverTrips(1000)
+    trips.init(handle)
+    event = lambda d, at, k, **more: {"driver_id": d, "ts_us": (T0 + at) * 1000, "seq": at, "kind": k, **more}
+    send = lambda *events: (handle.calls.clear(), list(trips.handleInputRows((7,), iter(
+        [Row(bucket=7, ts=None, ts_us=e["ts_us"], event=json.dumps(e)) for e in events]), None)), len(handle.calls))[-1]
+    fire = lambda at: (handle.calls.clear(), list(trips.handleExpiredTimer((7,), SimpleNamespace(getCurrentWatermarkInMs=lambda: T0 + at), None)))[-1]
+    drivers = [f"d{i}" for i in range(300)]
+    assert send(*[event(d, 1 + i, k, **({"trip_id": "t" + d} if i == 0 else {})) for i, k in enumerate(("assign", "accept")) for d in drivers]) <= 4
+    assert [(r["driver_id"], r["trip_id"], r["status"]) for r in sorted(fire(3), key=lambda r: int(r["driver_id"][1:]))] == [(d, "t" + d, "ACCEPTED") for d in drivers]
+    assert len(handle.calls) <= 6 and handle.entries == [] and handle.timers == [T0 + 2, T0 + 1003]
+    send(event("d5", 900, "start"), event("d6", 1500, "start"))
+    assert [r["driver_id"] for r in fire(1003)] == ["d5"]  # the others are silent now; d6 is so before its event
+    assert len(handle.calls) <= 6 and handle.timers[2:] == [T0 + 901, T0 + 1501, T0 + 1901]
+    assert "d5" in handle.value[0] and "d7" not in handle.value[0]
+    assert fire(1004) == [] and handle.calls == ["get"]  # an earlier timer leaves it at that
+    assert fire(1600) == [] and fire(2600) == [] and handle.value is None
+
+
+def test_many_drivers_in_few_buckets(drive):
+    many = [("d%02d" % i, *e[1:4], *(("t%d" % i, "c") if e[3] == "assign" else e[4:])) for i in range(40) for e in RIDE[:6]]
+    late = many[::3]
+    rows, got = drive([*[e for e in many if e not in late], (None, 20, None, "accept"), ("x", 20, None, "accept")], [*late, (None, 5, 1, "assign", "tn", "c")], [TICK],
+                      late_by="2 minutes", buckets=2)
+    assert rows == [(None, "tn", "ACCEPTED", 20), *[("d%02d" % i, "t%d" % i, s, t) for i in range(40) for _, _, s, t in ALL[:3]]]
+    assert got[0]["seq"] is None and {r["distance_km"] for r in got if r["status"] == "COMPLETED"} == {1.112}
+
+
+def test_times_beyond_frames_do_not_stop_the_stream(drive):
+    old, far = -T0 // 1000 - 62_000_000_000, 253_370_764_800 - T0 // 1000  # the years 5 and 9999
+    rows, _ = drive([*RIDE, ("x", old, 1, "assign", "o", "c"), ("x", old + 1, 2, "accept")], [TICK], [("d", far, 9, "ping", None, None, 33.5, -7.6)], late_by="2 minutes")
+    assert rows == ALL  # a watermark starts at 1970
+
+
 def test_values_come_through_the_waiting_list_as_they_are(drive):
     trip, far, nan = 'a "t"\n\u00e9\\', 2**62 + 1, float("nan")
     rows, got = drive([("d", 10, far, "assign", trip, "c\t'"), ("d", 20, far + 1, "accept"), ("d", 25, far + 1, "ping", None, None, nan, nan), ("d", 30, far + 2, "start"),
