@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbside.functions import geo, scalars
@@ -51,13 +53,6 @@ def _box_cells(df: DataFrame) -> DataFrame:
     return cells.withColumn("_cell", geo.cell_key(F.col("_x"), F.col("_y"))).drop("_x", "_y")
 
 
-def cover_zones(zones: DataFrame) -> DataFrame:
-    """One row per zone and (level, cell) that its box touches; the level fits the zone."""
-    z = zones.withColumn("_box", geo.multipolygon_box(F.col("polygons")))
-    return _box_cells(z.withColumn("_level", _level_for(F.col("_box")))).select(
-        "_level", "_cell", "zone_order", "zone_id", "zone_name", "polygons", "_box")
-
-
 _BROADCAST_VERTICES = 1_000_000  # about 50 MB of edges
 _STEP = 3  # levels of the tree: every third, 64 children a node
 _NOWHERE = -1  # level and cell of points outside all zones
@@ -305,25 +300,187 @@ def _cells_crossed(segs: DataFrame, bits: int) -> DataFrame:
     return rows.withColumn("cell", geo.cell_key(F.col("cx"), F.col("cy"))).drop("cx", "cy")
 
 
-def zone_adjacency(zones: DataFrame, bits: int | None = None) -> DataFrame:
-    """(zone_id, neighbour_id) for zones that intersect or touch, each zone with itself.
-
-    Boundary segments are hashed to the cells they cross and meet in an equi join on the cell, so
-    only segments near each other are compared. Two zones without a crossing boundary still meet
-    when one lies inside the other; that is tested with one vertex per ring through the cell cover.
-    ``bits`` sets the cell size; by default cells are a quarter as wide as the longer boundary segments,
-    near where the pairs of segments in one cell stop falling. Segments are dealt out by cell, the
-    work being the pairs and not the bytes. What is found is a row per pair, shuffled once.
+_SIDE = 4_096  # zones of a cell that are met with as many others as one block
+_TASKS = 4_096  # at most so many tasks join blocks
+_EDGE_PAIRS = 100_000  # pairs of edges up to which two zones are compared edge by edge
+_SIDES = "wesn"
+_PARTS = ("_out0", "_out1", "_in0", "_in1")
+
+
+def _rect(w, e, s, n) -> Column:
+    return F.struct(w.alias("w"), e.alias("e"), s.alias("s"), n.alias("n"))
+
+
+def _meet(a, b) -> Column:
+    """Closed rectangles share a point."""
+    return (a["w"] <= b["e"]) & (b["w"] <= a["e"]) & (a["s"] <= b["n"]) & (b["s"] <= a["n"])
+
+
+def _slab(edges, s, n) -> Column:
+    """Rectangle around what lies between two latitudes; without width where nothing does. Where a slanting
+    edge is cut a nanodegree is added against rounding."""
+    def ends(e):
+        up, down = F.greatest(e["ay"], e["by"]), F.least(e["ay"], e["by"])
+        at = lambda y: e["ax"] + (e["bx"] - e["ax"]) * (y - e["ay"]) / (e["by"] - e["ay"])
+        low, high = at(F.greatest(down, s)), at(F.least(up, n))
+        slanting = F.when((e["ax"] != e["bx"]) & (up != down), F.struct(
+            (F.least(low, high) - 1e-9).alias("w"), (F.greatest(low, high) + 1e-9).alias("e")))
+        return F.coalesce(slanting, F.struct(F.least(e["ax"], e["bx"]).alias("w"), F.greatest(e["ax"], e["bx"]).alias("e")))
+
+    def bounds(met):
+        return _rect(F.array_min(F.transform(met, lambda v: v["w"])), F.array_max(F.transform(met, lambda v: v["e"])), s, n)
+
+    within = F.filter(edges, lambda e: (F.greatest(e["ay"], e["by"]) > s) & (F.least(e["ay"], e["by"]) < n))
+    return geo.let(F.transform(within, ends), bounds)
+
+
+def _held(a, b, edges) -> Column:
+    """The two slabs have all ends of edges, and one of them has all of an edge that runs along where they meet."""
+    inside = lambda r, x, y: (x >= r["w"]) & (x <= r["e"]) & (y >= r["s"]) & (y <= r["n"])
+    whole = lambda r, e: inside(r, e["ax"], e["ay"]) & inside(r, e["bx"], e["by"])
+    ends = lambda e: reduce(and_, [inside(a, e[v + "x"], e[v + "y"]) | inside(b, e[v + "x"], e[v + "y"]) for v in "ab"])
+    return F.forall(edges, lambda e: F.coalesce(F.when(e["ay"] == e["by"], whole(a, e) | whole(b, e)).otherwise(ends(e)), F.lit(False)))
+
+
+def _core(rect, polygons, edges) -> Column:
+    """The rectangle, or else a smaller one about its middle, if the zone holds it whole: no edge passes
+    through and the middle lies inside. A rectangle that meets nothing where none does."""
+    def shrunk(by):
+        x, y = (rect["w"] + rect["e"]) / 2, (rect["s"] + rect["n"]) / 2
+        wide, high = (rect["e"] - rect["w"]) / 2 * by, (rect["n"] - rect["s"]) / 2 * by
+        return rect if by == 1.0 else _rect(x - wide, x + wide, y - high, y + high)
+
+    def clear(r, e):
+        side = [(e["bx"] - e["ax"]) * (r[y] - e["ay"]) - (e["by"] - e["ay"]) * (r[x] - e["ax"]) for x in "we" for y in "sn"]
+        return ((F.greatest(e["ax"], e["bx"]) <= r["w"]) | (F.least(e["ax"], e["bx"]) >= r["e"])
+                | (F.greatest(e["ay"], e["by"]) <= r["s"]) | (F.least(e["ay"], e["by"]) >= r["n"])
+                | (F.least(*side) > 0) | (F.greatest(*side) < 0))
+
+    def whole(r):
+        return (r["w"] < r["e"]) & (r["s"] < r["n"]) & F.forall(edges, lambda e: clear(r, e)) & geo.point_in_edges(
+            (r["w"] + r["e"]) / 2, (r["s"] + r["n"]) / 2, polygons)
+
+    nothing = _rect(F.lit(float("inf")), F.lit(float("-inf")), F.lit(float("inf")), F.lit(float("-inf")))
+    return F.coalesce(F.get(F.filter(F.array(*[shrunk(v) for v in (1.0, 0.75, 0.5, 0.25)]), whole), F.lit(0)), nothing)
+
+
+def _sketched(zones: DataFrame) -> DataFrame:
+    """A row per zone with an id and a vertex: polygons as edges, their box, the box of the outer rings, and four
+    rectangles. The zone lies within _out0 and _out1, two slabs parted at one of up to eight latitudes of vertices
+    so that they are smallest, or twice its box; it holds all of _in0 and _in1. _plain says that the two pairs are
+    the same, _again that the id has several rows."""
+    known = lambda v: v.isNotNull() & ~F.isnan(v)
+    filled = lambda values: F.filter(values, lambda v: F.size(v) > 0)
+    bare = lambda values: F.filter(values, lambda v: v.isNotNull())
+    polygons = F.transform(filled("polygons"), lambda rings: F.transform(bare(rings), geo.ring_edges))
+    z = _dealt(zones.where("zone_id is not null")).select(
+        "zone_id", polygons.alias("_edges"), geo.multipolygon_box(F.col("polygons")).alias("_outer"))
+    z = once(z.where("_edges is not null"), "_flat", F.filter(F.flatten(F.flatten("_edges")), lambda e: (
+        known(e["ax"]) & known(e["ay"]) & known(e["bx"]) & known(e["by"]))))
+    ends = lambda fold, of, axis: fold(F.transform("_flat", lambda e: of(e["a" + axis], e["b" + axis])))
+    z = once(z, "_box", _rect(ends(F.array_min, F.least, "x"), ends(F.array_max, F.greatest, "x"),
+                              ends(F.array_min, F.least, "y"), ends(F.array_max, F.greatest, "y"))).where("_box.w is not null")
+    box, flat = F.col("_box"), F.col("_flat")
+    ys = F.array_sort(F.array_distinct(F.transform(flat, lambda e: e["ay"])))
+    z = once(z, "_cuts", F.filter(ys, lambda y: (y > box["s"]) & (y < box["n"])))
+    share = lambda i: F.floor(i * 8 / F.greatest(F.size("_cuts"), F.lit(8)))
+    cuts = F.filter("_cuts", lambda y, i: share(i + 1) > share(i))
+    size = lambda r: (r["e"] - r["w"]) * (r["n"] - r["s"])
+    parted = F.transform(cuts, lambda y: F.struct(_slab(flat, box["s"], y).alias("a"), _slab(flat, y, box["n"]).alias("b")))
+    parted = F.filter(parted, lambda v: _held(v["a"], v["b"], flat))
+    best = F.array_min(F.transform(parted, lambda v: F.struct(
+        (size(v["a"]) + size(v["b"])).alias("size"), v["a"].alias("a"), v["b"].alias("b"))))
+    z = once(z, "_best", best).withColumns({"_out0": F.coalesce("_best.a", "_box"), "_out1": F.coalesce("_best.b", "_box")})
+    for i in "01":
+        z = once(z, f"_in{i}", _core(F.col(f"_out{i}"), F.col("_edges"), flat))
+    wide = F.greatest((box["e"] - box["w"]) / 360.0, (box["n"] - box["s"]) / 180.0, F.lit(2.0 ** -geo.CELL_BITS))
+    z = z.select("zone_id", "_edges", "_outer", "_box", *_PARTS, F.size(flat).cast("long").alias("_n"),
+                 F.floor(F.greatest(F.lit(0.0), -F.log2(wide))).cast("int").alias("_fit"),
+                 ((F.col("_in0") == F.col("_out0")) & (F.col("_in1") == F.col("_out1"))).alias("_plain"))
+    z = z.repartition(4 * zones.sparkSession.sparkContext.defaultParallelism, "zone_id")
+    return z.withColumn("_again", F.count(F.lit(1)).over(Window.partitionBy("zone_id")) > 1)
+
+
+def _by_cell(z: DataFrame, levels: list[int]) -> tuple[DataFrame, int]:
+    """Zones once for every cell their box touches, four at most, on their own level and each coarser one in use.
+    _as and _bs are the numbers of blocks into which the zones at home in a crowded cell and all its zones go.
+    And the tasks that should join them: more for more blocks, so that none writes too many pairs."""
+    cores = z.sparkSession.sparkContext.defaultParallelism
+    drop = F.lit(geo.CELL_BITS) - F.col("level")
+    at = lambda v: F.call_function("shiftright", v, drop)
+    x, y = (lambda v: at(geo.cell_x(v, geo.CELL_BITS))), (lambda v: at(geo.cell_y(v, geo.CELL_BITS)))
+    steps = F.filter(F.array(*[F.lit(v) for v in levels]), lambda v: v <= F.col("_fit"))
+    rows = z.withColumn("level", F.explode(steps)).withColumns({"_x0": x(F.col("_box.w")), "_y0": y(F.col("_box.s"))})
+    rows = rows.withColumn("_x", F.explode(F.sequence("_x0", x(F.col("_box.e"))))).withColumn(
+        "_y", F.explode(F.sequence("_y0", y(F.col("_box.n")))))
+    rows = rows.withColumns({"cell": geo.cell_key(F.col("_x"), F.col("_y")), "_home": F.col("level") == F.col("_fit")})
+    blocks = lambda n, name: F.greatest(F.lit(1), F.ceil(n / F.lit(_SIDE))).cast("int").alias(name)
+    crowded = rows.groupBy("cell", "level").agg(F.count(F.lit(1)).alias("n"), F.count_if("_home").alias("homes"))
+    crowded = cut_lineage(crowded.where(F.col("n") > _SIDE).select("cell", "level", blocks(F.col("homes"), "_as"), blocks(F.col("n"), "_bs")))
+    met = crowded.agg(F.sum(F.col("_as").cast("long") * F.col("_bs"))).first()[0] or 0
+    rows = rows.join(broadcast_if_small(crowded), ["cell", "level"], "left").withColumns(
+        {n: F.coalesce(n, F.lit(1)) for n in ("_as", "_bs")})
+    return rows, max(16 * cores, min(_TASKS, met // 4))
+
+
+def _box_pairs(rows: DataFrame, tasks: int, test, *more: str) -> DataFrame:
+    """Joins each two zones whose boxes meet, once, where ``test`` holds: on the coarser level of the two, in the
+    cell of the south-west corner of what the boxes share. Zones of a crowded cell are dealt to blocks, and blocks
+    meet in pairs, so that no task has all pairs of a cell. ``test`` is given whether inner rectangles meet, whether
+    outer ones do, and the two sides; pairs of very many edges are left out."""
+    sure = lambda c: F.coalesce(c, F.lit(float("nan")))  # noqa: E731  never null here; without null checks the condition is compiled
+    flat = [sure(F.col(c)[v]).alias(f"{c}_{v}") for c in ("_box", *_PARTS) for v in _SIDES]
+    key = ["cell", "level", "_a", "_b"]
+    mine = lambda n: F.pmod(F.xxhash64("zone_id", "_box"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    dealt = lambda df: df.select(*key, "zone_id", "_home", "_again", "_n", "_plain", "_x", "_y", "_x0", "_y0", *flat, *more).repartition(tasks, *key)
+    a = dealt(rows.where("_home").withColumn("_a", mine("_as")).withColumn("_b", every("_bs"))).alias("a")
+    b = dealt(rows.withColumn("_b", mine("_bs")).withColumn("_a", every("_as"))).alias("b")
+    one, other = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    rect = lambda side, c: {v: side(f"{c}_{v}") for v in _SIDES}
+    here = _meet(rect(one, "_box"), rect(other, "_box")) & (F.greatest("a._x0", "b._x0") == one("_x")) & (
+        F.greatest("a._y0", "b._y0") == one("_y"))
+    once_each = (one("zone_id") < other("zone_id")) | (~other("_home") & (one("zone_id") != other("zone_id")))
+    parts = lambda kind: reduce(or_, [_meet(rect(one, kind + i), rect(other, kind + j)) for i in "01" for j in "01"])
+    small = one("_n") * other("_n") <= _EDGE_PAIRS
+    same = reduce(and_, [one(c) == other(c) for c in key])
+    return a.join(b, same & here & once_each & small & test(parts("_in"), parts("_out"), one, other))
+
+
+def _adjacent(df: DataFrame) -> DataFrame:
+    """Rows of two zones' edges and boxes (_edges1, _outer1, _box1 and 2) that meet: by their edges, or as one
+    polygon's first vertex lies in the other zone."""
+    def near(mine, box):
+        box = F.col(box)
+        return F.filter(F.flatten(F.flatten(mine)), lambda e: (
+            (F.least(e["ax"], e["bx"]) <= box["e"]) & (F.greatest(e["ax"], e["bx"]) >= box["w"])
+            & (F.least(e["ay"], e["by"]) <= box["n"]) & (F.greatest(e["ay"], e["by"]) >= box["s"])
+            & ((e["ax"] != e["bx"]) | (e["ay"] != e["by"]))))
+
+    def reaches(mine, other):
+        firsts = F.transform(F.col(f"_edges{mine}"), lambda rings: F.get(F.get(rings, F.lit(0)), F.lit(0)))
+        return F.exists(firsts, lambda v: F.coalesce(geo.in_box(v["ax"], v["ay"], F.col(f"_outer{other}")) & geo.point_in_edges(
+            v["ax"], v["ay"], F.col(f"_edges{other}")), F.lit(False)))
+
+    df = once(once(df, "_near1", near("_edges1", "_box2")), "_near2", near("_edges2", "_box1"))
+    end = lambda e, v: {"x": e[v + "x"], "y": e[v + "y"]}
+    crossing = F.exists("_near1", lambda e: F.exists("_near2", lambda f: segments_meet(end(e, "b"), end(e, "a"), end(f, "b"), end(f, "a"))))
+    return df.where(crossing | reaches(1, 2) | reaches(2, 1))
+
+
+def _long_pairs(z: DataFrame, bits: int | None) -> DataFrame:
+    """Pairs of zones that meet and have many edges, more than once each.
+
+    Boundary segments are hashed to the cells they cross and meet in an equi join on the cell, so only segments
+    near each other are compared. Two zones without a crossing boundary still meet when one lies inside the
+    other; that is tested with one vertex per polygon through the cell cover. By default cells are a quarter as
+    wide as the longer segments, near where the pairs of segments in one cell stop falling. Segments are dealt
+    out by cell, the work being the pairs and not the bytes.
     """
-    cores = zones.sparkSession.sparkContext.defaultParallelism
-    zones = _dealt(zones)
-    ring = F.col("ring")
-    rings = zones.select("zone_id", F.explode("polygons").alias("poly")).select(
-        "zone_id", F.explode("poly").alias("ring"))
-    point = lambda p: F.struct(p[0].alias("x"), p[1].alias("y"))
-    segs = rings.select("zone_id", F.explode(F.zip_with(
-        ring, geo.previous_vertices(ring), lambda a, b: F.struct(point(b).alias("p"), point(a).alias("q"))
-    )).alias("s")).select("zone_id", F.col("s.p").alias("p"), F.col("s.q").alias("q"))
+    cores = z.sparkSession.sparkContext.defaultParallelism
+    point = lambda v: F.struct(F.col(f"e.{v}x").alias("x"), F.col(f"e.{v}y").alias("y"))
+    segs = z.select("zone_id", "_n", F.explode(F.flatten(F.flatten("_edges"))).alias("e")).select(
+        "zone_id", "_n", point("b").alias("p"), point("a").alias("q"))
     p, q = F.col("p"), F.col("q")
     segs = segs.where(p != q)
     if bits is None:
@@ -332,26 +489,60 @@ def zone_adjacency(zones: DataFrame, bits: int | None = None) -> DataFrame:
         bits = max(0, min(geo.CELL_BITS, math.floor(-math.log2(long)) + 2))
     ends = ("p", "q")
     sure = lambda c: F.coalesce(c, F.lit(float("nan")))  # noqa: E731  never null here; without null checks the condition is compiled
-    segs = _cells_crossed(segs, bits).select("zone_id", "cell", *[
+    segs = _cells_crossed(segs, bits).select("zone_id", "_n", "cell", *[
         sure(F.col(f"{e}.{c}")).alias(e + c) for e in ends for c in "xy"]).repartition(16 * cores, "cell")
+    many = lambda a, b: F.col(a) * F.col(b) > _EDGE_PAIRS
     a, b = segs.alias("a"), segs.alias("b")
     point_of = lambda side, e: {c: F.col(f"{side}.{e}{c}") for c in "xy"}
-    crossing = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.zone_id") < F.col("b.zone_id"))
+    crossing = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.zone_id") < F.col("b.zone_id")) & many("a._n", "b._n")
                       & segments_meet(*[point_of(side, e) for side in "ab" for e in ends]))
     crossing = crossing.select(F.col("a.zone_id").alias("z1"), F.col("b.zone_id").alias("z2"))
 
-    vertices = zones.select(F.col("zone_id").alias("inner_id"), F.explode("polygons").alias("poly")).select(
-        "inner_id", F.col("poly")[0][0].alias("v")).select(
-        "inner_id", F.col("v")[0].alias("lon"), F.col("v")[1].alias("lat"))
-    cover = cover_zones(zones)
+    first = F.get(F.get(F.col("rings"), F.lit(0)), F.lit(0))
+    vertices = z.select(F.col("zone_id").alias("inner_id"), F.col("_n").alias("_m"), F.explode("_edges").alias("rings")).select(
+        "inner_id", "_m", first["ax"].alias("lon"), first["ay"].alias("lat"))
+    cover = z.select("zone_id", "_n", "_edges", F.col("_outer").alias("_box")).withColumn("_level", _level_for(F.col("_box")))
     spread = vertices.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(geo.CELL_BITS))))
     spread = spread.withColumn("_cell", _cell_at(F.col("_level"), F.col("lat"), F.col("lon")))
     spread = spread.repartition(16 * cores, "_level", "_cell")
-    inside = spread.join(cover.repartition(16 * cores, "_level", "_cell"), ["_level", "_cell"]).where(
-        (F.col("inner_id") != F.col("zone_id")) & geo.in_box(F.col("lon"), F.col("lat"), F.col("_box"))
-        & geo.point_in_multipolygon(F.col("lon"), F.col("lat"), F.col("polygons"))
+    inside = spread.join(_box_cells(cover).repartition(16 * cores, "_level", "_cell"), ["_level", "_cell"]).where(
+        (F.col("inner_id") != F.col("zone_id")) & many("_n", "_m") & geo.in_box(F.col("lon"), F.col("lat"), F.col("_box"))
+        & geo.point_in_edges(F.col("lon"), F.col("lat"), F.col("_edges"))
     ).select(F.least("inner_id", "zone_id").alias("z1"), F.greatest("inner_id", "zone_id").alias("z2"))
-    pairs = crossing.unionByName(inside).distinct()  # z1 < z2, so neither way round nor own pairs repeat one
+    return crossing.unionByName(inside)
+
+
+def zone_adjacency(zones: DataFrame, bits: int | None = None) -> DataFrame:
+    """(zone_id, neighbour_id) for zones that intersect or touch, each zone with itself.
+
+    Zones whose boxes meet are found once each by an equi join on cells, so their pairs, which may be the square
+    of the zones, are neither shuffled nor compared with each other. Most are told by rectangles alone: two
+    zones meet if rectangles within them do, and don't if those around them don't. Only the rest are compared
+    edge by edge. Pairs with very many edges are found by segments in cells of ``bits`` instead, and made
+    distinct, as are pairs of ids that have several rows.
+    """
+    z = cut_lineage(_sketched(zones))
+    levels, plain, again, most = z.agg(F.sort_array(F.collect_set("_fit")), F.coalesce(F.min("_plain"), F.lit(True)),
+                                       F.coalesce(F.max("_again"), F.lit(False)), F.coalesce(F.max("_n"), F.lit(0))).first()
+    rows, tasks = _by_cell(z, levels or [0])
+    ids = (F.col("a.zone_id").alias("z1"), F.col("b.zone_id").alias("z2"))
+
+    def found(some) -> DataFrame:
+        kept = lambda a, b: some(a("_again") | b("_again")) if again else F.lit(True)
+        pairs = _box_pairs(rows, tasks, lambda inner, outer, a, b: kept(a, b) & inner).select(*ids)
+        if plain:
+            return pairs
+        both = [F.col(f"{side}._{c}").alias(f"_{c}{i}") for i, side in ((1, "a"), (2, "b")) for c in ("edges", "outer")]
+        both += [_rect(*[F.col(f"{side}._box_{v}") for v in _SIDES]).alias(f"_box{i}") for i, side in ((1, "a"), (2, "b"))]
+        open_ = _box_pairs(rows, tasks, lambda inner, outer, a, b: kept(a, b) & ~(a("_plain") & b("_plain")) & outer & ~inner, "_edges", "_outer")
+        return pairs.unionByName(_adjacent(open_.select(*ids, *both)).select("z1", "z2"))
+
+    pairs = found(lambda several: ~several)
+    more = [found(lambda several: several).select(F.least("z1", "z2").alias("z1"), F.greatest("z1", "z2").alias("z2"))] if again else []
+    if most * most > _EDGE_PAIRS:
+        more.append(_long_pairs(z.where(F.col("_n") * most > _EDGE_PAIRS), bits))
+    if more:
+        pairs = pairs.unionByName(reduce(DataFrame.unionByName, more).distinct())
     both = pairs.select(F.explode(F.array(F.struct("z1", "z2"), F.struct(F.col("z2").alias("z1"), F.col("z1").alias("z2")))).alias("s"))
     own = zones.select(F.col("zone_id").alias("z1"), F.col("zone_id").alias("z2")).distinct()
     return both.select("s.z1", "s.z2").unionByName(own).select(

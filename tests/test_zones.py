@@ -175,6 +175,68 @@ def test_adjacency_of_zones_in_one_split_is_dealt_to_all_cores(spark, shapes):
     assert "REPARTITION_BY_NUM" in plan and "hashpartitioning(cell" in plan
 
 
+def segments_of(polygons):
+    return [(a, b) for rings in polygons for ring in rings for a, b in zip(ring, ring[-1:] + ring[:-1]) if a != b]
+
+
+def meet(p1, p2, q1, q2):
+    turn = lambda a, b, c: (v := (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])) and math.copysign(1, v)
+    boxes = all(min(p1[k], p2[k]) <= max(q1[k], q2[k]) and min(q1[k], q2[k]) <= max(p1[k], p2[k]) for k in (0, 1))
+    return boxes and turn(p1, p2, q1) * turn(p1, p2, q2) <= 0 and turn(q1, q2, p1) * turn(q1, q2, p2) <= 0
+
+
+def within(v, polygons):
+    return any(inside(*v, rings[0]) and not any(inside(*v, h) for h in rings[1:]) for rings in polygons)
+
+
+@pytest.fixture(scope="module")
+def mixed(stars):
+    """Zones that are told by their rectangles, zones that aren't, zones that touch only; ids that come twice."""
+    found = [polygons for polygons, _, _ in stars]
+    for i in range(12):
+        x, y, w = float(i % 4 * 4), float(i // 4 * 4), 2.0 if i % 5 else 1.0
+        low = [[x, y], [x + 2 * w, y], [x + 2 * w, y + w], [x + w, y + w], [x + w, y + 2 * w], [x, y + 2 * w]]
+        top = [[x, y], [x + w, y], [x + w, y + w], [x + 2 * w, y + w], [x + 2 * w, y + 2 * w], [x, y + 2 * w]]
+        found.append([[low if i % 2 else top]])
+    found += [[[square(-5.0, -5.0, 9.0), square(-2.0, -2.0, 2.5)]], [[square(-1.5, -1.5, 1.5)]], [[[[0.0, 0.0], [1.0, 1.0], [1.0, 0.0]]]],
+              [[[[1.0, 1.0], [2.0, 2.0], [1.0, 2.0]]]], [[square(50.0, 50.0, 1.0)], [square(3.0, 3.0, 1.0)]], [[[[4.5, 4.5]]]],
+              [[[[16.0, 4.0], [18.0, 4.0], [18.0, 5.0], [20.0, 5.0], [18.0, 5.0], [18.0, 6.0], [16.0, 6.0]]]], [[square(19.5, 4.5, 1.0)]]]
+    return [(i + 1, polygons) for i, polygons in enumerate(found)] + [(3, [[square(60.0, -40.0, 3.0)]]), (9, [[square(62.0, -40.0, 2.0)]])]
+
+
+def adjacent_pairs(rows):
+    met = {(z, z) for z, _ in rows}
+    for a, mine in rows:
+        for b, other in rows:
+            if a < b and (any(meet(*p, *q) for p in segments_of(mine) for q in segments_of(other))
+                          or any(within(rings[0][0], other) for rings in mine) or any(within(rings[0][0], mine) for rings in other)):
+                met |= {(a, b), (b, a)}
+    return met
+
+
+@pytest.mark.parametrize("edge_pairs, side", [(100_000, 8_192), (150, 8_192), (100_000, 5)])
+def test_adjacency_against_all_pairs(spark, mixed, monkeypatch, edge_pairs, side):
+    """Told by rectangles, by edges one by one or hashed to cells, in blocks or not: each pair comes once."""
+    monkeypatch.setattr(zones, "_EDGE_PAIRS", edge_pairs)
+    monkeypatch.setattr(zones, "_SIDE", side)
+    frame = spark.createDataFrame([(i, z, "z", polygons) for i, (z, polygons) in enumerate(mixed)] + [
+        (900, None, "none", [[square(0.0, 0.0, 5.0)]]), (901, 901, "empty", None), (902, 902, "bare", [[[[None, 1.0], [2.0, None]]]])], SCHEMA)
+    got = [(r[0], r[1]) for r in zones.zone_adjacency(frame).collect()]
+    assert sorted(got, key=str) == sorted(adjacent_pairs(mixed) | {(None, None), (901, 901), (902, 902)}, key=str)
+
+
+def test_adjacent_pairs_are_neither_shuffled_nor_made_distinct(spark, monkeypatch):
+    """Zones stacked on each other: the pairs are their square. Only ids go through an aggregate, and no task has
+    all pairs of a place."""
+    monkeypatch.setattr(zones, "_SIDE", 16)
+    n = 120
+    stacked = spark.createDataFrame([(i, i, f"z{i}", [[square(1.0 + i / 1000, 1.0, 1.0)]]) for i in range(n)], SCHEMA)
+    out = zones.zone_adjacency(stacked)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
+    tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(tasks) == n * n and max(tasks) < n * n / 4
+
+
 def test_grid_polygons_touch_like_the_grid(spark):
     got = {(r[0], r[1]) for r in zones.zone_adjacency(B.grid_polygons(spark)).collect()}
     ids = spark.range(1, 17).select(F.col("id").cast("int").alias("zone_id"))
