@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from kerbside import schemas as S
 from kerbside.functions import geo
-from kerbside.session import cut_lineage
+from kerbside.session import cut_lineage, once
 
 LEAF = 32                 # open a cell once it holds at most this many points
 ROOTS = 64                # the walk starts at the finest level with at most this many cells
@@ -151,7 +151,7 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
     """
     if "grp" not in points.columns:
         points = points.withColumn("grp", F.lit(0))
-        queries = queries.withColumn("grp", F.lit(0))
+        queries = once(queries, "grp", F.lit(0))  # a known value would make the join by group a nested loop
     usable = F.col("lat").isNotNull() & F.col("lon").isNotNull() & F.col("grp").isNotNull()
     points = points.where(usable).select("grp", "pid", "lat", "lon")
     place = Window.partitionBy("grp", "lat", "lon").orderBy("pid")
@@ -173,7 +173,8 @@ def nearest(queries: DataFrame, points: DataFrame, k: int = 1,
         if crowded:
             big = cut_lineage(counts.where(large).select("grp"))
             few, points = (points.join(_broadcast_upto(big, crowded), "grp", how) for how in ("left_anti", "left_semi"))
-        hits = _hits(q.withColumn("bound", F.lit(float("inf"))), few.select(F.col("grp").alias("p_grp"), "pid", "lat", "lon"),
+        few = few.select(F.col("grp").alias("p_grp"), "pid", "lat", "lon")
+        hits = _hits(q.withColumn("bound", F.lit(float("inf"))), F.broadcast(few) if groups == 1 else few,
                      F.col("grp") == F.col("p_grp"))
     if crowded:
         walked = _walk(q, points, k, radius_m)
